@@ -32,12 +32,12 @@ def bucket_counts(text: Column, dim: int = DEFAULT_DIM) -> Column:
         ),
         "",
     )
+    chars = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.char(d + _FIRST_CHAR))
     return F.transform(
-        F.array(named),
-        lambda s: F.array(*[
-            (F.char_length(s) - F.char_length(F.replace(s, F.lit(chr(_FIRST_CHAR + d)), F.lit("")))).cast("int")
-            for d in range(dim)
-        ]),
+        F.array(F.struct(named.alias("s"), chars.alias("chars"))),
+        lambda v: F.transform(
+            v["chars"], lambda c: F.char_length(v["s"]) - F.char_length(F.replace(v["s"], c, F.lit("")))
+        ),
     )[0]
 
 

@@ -12,6 +12,8 @@ WHITESPACE = (
     "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
+#: The same as a SQL literal.
+WHITESPACE_SQL = "'" + "".join(f"\\u{ord(c):04x}" for c in WHITESPACE) + "'"
 
 
 def trim_space(c: Column) -> Column:
@@ -59,8 +61,8 @@ def depth(path: Column) -> Column:
 
 
 def language(path: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
-    return F.coalesce(F.element_at(table, extension(path)), F.lit(UNKNOWN_LANGUAGE))
+    table = ", ".join(f"'{ext}', '{name}'" for ext, name in LANGUAGES.items())
+    return F.coalesce(F.element_at(F.expr(f"map({table})"), extension(path)), F.lit(UNKNOWN_LANGUAGE))
 
 
 def line_count(text: Column) -> Column:

@@ -1,7 +1,8 @@
 """Chunkers: cut a file's text into pieces of bounded size or into blocks with line spans.
 
 A file is one row, and every chunker works inside that row: no shuffle, no sort, no Python.  The folds
-carry sizes and positions only; the text is cut once at the end.
+carry sizes and positions only; the text is cut once at the end.  Folds are SQL text, which Spark parses in
+one go.
 """
 
 from __future__ import annotations
@@ -11,41 +12,30 @@ from pyspark.sql import functions as F
 
 from srcatlas.functions.arrays import items
 from srcatlas.functions.tables import CHUNK_BYTES, CHUNK_BYTES_IF_UNSET
-from srcatlas.functions.text import byte_len, is_blank, lines_of, trim_space
+from srcatlas.functions.text import WHITESPACE_SQL, lines_of, trim_space
 
 _SPANS = "array<struct<s:int,e:int>>"
 
 
-def _span(s: Column, e: Column) -> Column:
-    return F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"))
-
-
-def _pack(sizes: Column, limit: int, separator: int, slack: int, flush_full: bool) -> Column:
+def _pack(sizes: str, limit: int, separator: int, slack: int, flush_full: bool) -> Column:
     """Greedy packing of consecutive pieces: spans of piece numbers (1-based, inclusive).
 
-    ``s`` first piece of the open span, ``cur`` its bytes so far (0: none open), ``i`` pieces seen.
+    State: ``s`` first piece of the open span, ``cur`` its bytes so far (0: none open), ``i`` pieces seen.
+    ``z`` is the next piece's size.
     """
-
-    def step(acc: Column, size: Column) -> Column:
-        i = acc["i"] + 1
-        over = (acc["cur"] > 0) & (acc["cur"] + size + slack > limit)
-        fresh = (acc["cur"] == 0) | over
-        cur = F.when(fresh, size).otherwise(acc["cur"] + separator + size)
-        start = F.when(fresh, i).otherwise(acc["s"])
-        out = F.when(over, F.array_append(acc["out"], _span(acc["s"], acc["i"]))).otherwise(acc["out"])
-        if flush_full:
-            full = cur >= limit
-            out = F.when(full, F.array_append(out, _span(start, i))).otherwise(out)
-            cur = F.when(full, 0).otherwise(cur)
-        return F.struct(start.alias("s"), cur.alias("cur"), i.alias("i"), out.alias("out"))
-
-    def finish(acc: Column) -> Column:
-        last = F.array_append(acc["out"], _span(acc["s"], acc["i"]))
-        return F.when(acc["cur"] > 0, last).otherwise(acc["out"])
-
-    zero = F.lit(0).cast("int")
-    start = F.struct(zero.alias("s"), zero.alias("cur"), zero.alias("i"), F.array().cast(_SPANS).alias("out"))
-    return F.aggregate(sizes, start, step, finish)
+    over = f"(a.cur > 0 and a.cur + z + {slack} > {limit})"
+    fresh = f"(a.cur = 0 or {over})"
+    start = f"case when {fresh} then a.i + 1 else a.s end"
+    cur = f"case when {fresh} then z else a.cur + {separator} + z end"
+    out = f"case when {over} then array_append(a.out, named_struct('s', a.s, 'e', a.i)) else a.out end"
+    if flush_full:
+        full = f"({cur} >= {limit})"
+        out = f"case when {full} then array_append({out}, named_struct('s', {start}, 'e', a.i + 1)) else {out} end"
+        cur = f"case when {full} then 0 else {cur} end"
+    return F.expr(f"""
+      aggregate({sizes}, named_struct('s', 0, 'cur', 0, 'i', 0, 'out', cast(array() as {_SPANS})),
+        (a, z) -> named_struct('s', {start}, 'cur', {cur}, 'i', a.i + 1, 'out', cast({out} as {_SPANS})),
+        a -> case when a.cur > 0 then array_append(a.out, named_struct('s', a.s, 'e', a.i)) else a.out end)""")
 
 
 def _cut(pieces: str, spans: str, glue: str) -> Column:
@@ -64,7 +54,7 @@ def with_paragraph_chunks(files: DataFrame, max_bytes: int = CHUNK_BYTES, conten
     trimmed = F.transform(F.split(F.col(content), "\n\n", -1), trim_space)
     return (
         files.withColumn("_pieces", F.filter(trimmed, lambda x: x != ""))
-        .withColumn("_spans", _pack(F.transform("_pieces", byte_len), limit, 2, 0, flush_full=True))
+        .withColumn("_spans", _pack("transform(_pieces, x -> octet_length(x))", limit, 2, 0, flush_full=True))
         .withColumn("chunks", _cut("_pieces", "_spans", "\n\n"))
         .drop("_pieces", "_spans")
     )
@@ -76,10 +66,11 @@ def with_line_chunks(files: DataFrame, max_bytes: int, content: str = "content")
     A line ends at a line feed; one carriage return before it goes too.  Lines may have any length.
     """
     text = F.replace(F.col(content), F.lit("\r\n"), F.lit("\n"))
-    text = F.when(F.endswith(text, F.lit("\r")), F.left(text, F.char_length(text) - 1)).otherwise(text)
+    ended = F.endswith(text, F.lit("\n")) | F.endswith(text, F.lit("\r"))
+    text = F.when(ended, F.left(text, F.char_length(text) - 1)).otherwise(text)
     return (
         files.withColumn("_pieces", lines_of(text))
-        .withColumn("_spans", _pack(F.transform("_pieces", byte_len), max_bytes, 1, 1, flush_full=False))
+        .withColumn("_spans", _pack("transform(_pieces, x -> octet_length(x))", max_bytes, 1, 1, flush_full=False))
         .withColumn("chunks", _cut("_pieces", "_spans", "\n"))
         .drop("_pieces", "_spans")
     )
@@ -100,25 +91,19 @@ def line_chunks(files: DataFrame, max_bytes: int) -> DataFrame:
     return explode_chunks(with_line_chunks(files, max_bytes))
 
 
-def block_spans(lines: Column) -> Column:
-    """Spans (1-based line numbers) of maximal runs of non-blank lines."""
-
-    def edges(flags: Column) -> Column:
-        numbers = F.sequence(F.lit(1), F.size(flags))
-        starts = F.filter(
-            numbers, lambda i: ~F.element_at(flags, i) & ((i == 1) | F.get(flags, i - 2))
-        )
-        ends = F.filter(
-            numbers, lambda i: ~F.element_at(flags, i) & ((i == F.size(flags)) | F.get(flags, i))
-        )
-        return F.zip_with(starts, ends, _span)
-
-    return F.transform(F.array(F.transform(lines, is_blank)), edges)[0]
+def block_spans(lines: str) -> Column:
+    """Spans (1-based line numbers) of maximal runs of non-blank lines in an array column."""
+    blank = f"transform({lines}, x -> trim(leading {WHITESPACE_SQL} from x) = '')"
+    inside = "not get(b, i - 1)"
+    starts = f"filter(sequence(1, size(b)), i -> {inside} and (i = 1 or get(b, i - 2)))"
+    ends = f"filter(sequence(1, size(b)), i -> {inside} and (i = size(b) or get(b, i)))"
+    edges = f"zip_with({starts}, {ends}, (s, e) -> named_struct('s', s, 'e', e))"
+    return F.expr(f"transform(array({blank}), b -> {edges})[0]")
 
 
 def paragraph_blocks(files: DataFrame) -> DataFrame:
     """Runs of non-blank lines with their line numbers; lines keep their indentation."""
-    spans = files.withColumn("_lines", lines_of(F.col("content"))).withColumn("_span", F.explode(block_spans(F.col("_lines"))))
+    spans = files.withColumn("_lines", lines_of(F.col("content"))).withColumn("_span", F.explode(block_spans("_lines")))
     s, e = F.col("_span.s"), F.col("_span.e")
     return spans.select(
         "repo",

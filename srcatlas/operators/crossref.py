@@ -12,6 +12,9 @@ equality joins that give the same numbers:
 * The empty stem (a file named ``.py``) occurs in every file: a row count.
 
 Then ``imported_by = files holding the stem - 1 if the file holds its own``.  No pair of files is formed.
+
+Texts are read once: the runs of every file, and then the distinct runs of every repository, are written
+to the shared folder, and the later steps read these.
 """
 
 from __future__ import annotations
@@ -21,10 +24,11 @@ from pyspark.sql import functions as F
 
 from srcatlas.functions.text import stem
 from srcatlas.operators.skew import hot_keys, salted_join
+from srcatlas.session import durable
 
 # Word characters: ASCII letters, digits, underscore and everything beyond ASCII.
 _WORD = r"[A-Za-z0-9_\x{80}-\x{10FFFF}]"
-#: Texts are cut into windows of this many characters, overlapping by the longest stem.
+#: Longer texts are cut into windows of this many characters, overlapping by the longest stem.
 WINDOW = 256
 #: Repositories with unusual stems are recognised by a hash into this many buckets.
 BUCKETS = 4096
@@ -37,87 +41,85 @@ def _bucket() -> Column:
     return F.pmod(F.xxhash64("repo"), F.lit(BUCKETS)).cast("int")
 
 
-def _windows(text: Column, overlap: Column) -> Column:
-    """Cut ``text`` into windows such that every substring of up to ``overlap + 1`` characters starts
-    in one window and lies within it.  Two linear passes of a pattern."""
+def _word_only(base: Column) -> Column:
+    return base.rlike(f"^{_WORD}+$")
+
+
+def _unusual(base: Column) -> Column:
+    return (base != "") & ~_word_only(base)
+
+
+def _int_array(values: list[int]) -> Column:
+    return F.array(*map(F.lit, values)).cast("array<int>")
+
+
+def _windows(text: Column, overlap: int) -> Column:
+    """``text`` cut into windows: every substring of up to ``overlap + 1`` characters starts in one window
+    and lies within it.  Two linear passes of a pattern."""
     body = f"(?s).{{1,{WINDOW}}}"
-    tail = F.concat(F.lit(f"{body}(?=(.{{0,"), overlap.cast("string"), F.lit("}))"))
     return F.zip_with(
         F.regexp_extract_all(text, F.lit(body), F.lit(0)),
-        F.regexp_extract_all(text, tail, F.lit(1)),
-        F.concat,
+        F.regexp_extract_all(text, F.lit(f"{body}(?=(.{{0,{overlap}}}))"), F.lit(1)),
+        lambda head, tail: F.concat(head, tail),
     )
 
 
-def _substrings(text: Column, lengths: Column) -> Column:
-    """All substrings of the given lengths, with repeats."""
+def _substrings(text: Column, lengths: list[int]) -> Column:
+    """Distinct substrings of the given lengths."""
     size = F.char_length(text)
 
     def of_length(n: Column) -> Column:
         starts = F.sequence(F.lit(1), size - n + 1)
-        return F.when(n <= size, F.transform(starts, lambda p: F.substring(text, p, n))).otherwise(
-            F.array().cast("array<string>")
-        )
+        return F.transform(starts, lambda p: F.substring(text, p, n))
 
-    return F.flatten(F.transform(lengths, of_length))
+    fitting = F.filter(_int_array(lengths), lambda n: n <= size)
+    return F.array_distinct(F.flatten(F.transform(fitting, of_length)))
 
 
-def _stem_lengths(stems: DataFrame) -> Column:
-    """Distinct lengths of stems as one array value; file systems bound a name, so the array is short."""
-    lengths = stems.agg(F.sort_array(F.collect_set(F.char_length("base"))))
-    return F.coalesce(lengths.scalar(), F.array().cast("array<int>"))
+def _salts(is_spread: Column) -> Column:
+    return F.explode(F.when(is_spread, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0))))
 
 
-def stem_counts(texts: DataFrame) -> DataFrame:
-    """``repo, base, n``: number of files of the repository whose text holds the stem, where ``n > 0``."""
-    stems = texts.select("repo", stem(F.col("path")).alias("base"))
-    word_only = F.col("base").rlike(f"^{_WORD}+$")
-    words = stems.where(word_only).distinct()
-    others = stems.where(~word_only & (F.col("base") != "")).distinct()
-    everywhere = texts.groupBy("repo").agg(F.count(F.lit(1)).alias("n")).select("repo", F.lit("").alias("base"), "n")
-    hits = _word_hits(texts, words).unionByName(_other_hits(texts, others))
-    return hits.groupBy("repo", "base").agg(F.count_distinct("path").alias("n")).unionByName(everywhere)
-
-
-def _word_hits(texts: DataFrame, words: DataFrame) -> DataFrame:
+def _word_hits(files: DataFrame, lengths: list[int]) -> DataFrame:
     """``repo, base, path`` for stems of word characters, with repeats."""
-    lengths = _stem_lengths(words)
-    overlap = F.coalesce(F.array_max(lengths), F.lit(1)) - 1
-    runs = F.array_distinct(F.regexp_extract_all("text", F.lit(f"{_WORD}+"), F.lit(0)))
-    cut = F.flatten(
-        F.transform(runs, lambda r: F.when(F.char_length(r) > WINDOW, _windows(r, overlap)).otherwise(F.array(r)))
-    )
-    per_file = texts.select("repo", "path", F.explode(F.array_distinct(cut)).alias("run"))
-    vocabulary = per_file.groupBy("repo", "run").agg(F.count(F.lit(1)).alias("files"))
+    overlap = max(lengths) - 1
+    # Short runs pass as they are; flattening is skipped where no run is long.
+    long_runs = F.exists("runs", lambda r: F.char_length(r) > WINDOW)
+    cut = F.when(
+        long_runs,
+        F.array_distinct(
+            F.flatten(
+                F.transform("runs", lambda r: F.when(F.char_length(r) > WINDOW, _windows(r, overlap)).otherwise(F.array(r)))
+            )
+        ),
+    ).otherwise(F.col("runs"))
+    per_file = files.select("repo", "path", F.explode(cut).alias("run"))
+    vocabulary = durable(per_file.groupBy("repo", "run").agg(F.count(F.lit(1)).alias("files")), "vocabulary")
 
     # Which stems are in which run: equality on (repo, substring), short stems spread.
-    spread = F.pmod(F.xxhash64("run"), F.lit(SPREAD)).cast("int")
-    pieces = vocabulary.select(
-        "repo", "run", F.explode(F.array_distinct(_substrings(F.col("run"), lengths))).alias("base")
-    ).withColumn("_salt", F.when(F.char_length("base") <= SHORT, spread).otherwise(0))
-    every = F.when(F.char_length("base") <= SHORT, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(
-        F.array(F.lit(0))
+    is_short = F.char_length("base") <= SHORT
+    pieces = vocabulary.select("repo", "run", F.explode(_substrings(F.col("run"), lengths)).alias("base")).withColumn(
+        "_salt", F.when(is_short, F.pmod(F.xxhash64("run"), F.lit(SPREAD)).cast("int")).otherwise(0)
     )
-    found = pieces.join(words.withColumn("_salt", F.explode(every)), ["repo", "base", "_salt"]).drop("_salt")
+    words = files.where(_word_only(F.col("base"))).select("repo", "base").distinct().withColumn("_salt", _salts(is_short))
+    found = pieces.join(words, ["repo", "base", "_salt"]).select("repo", "run", "base")
 
     # Back to the files; runs such as keywords are in a large share of them.
     hot = hot_keys(vocabulary, ["repo", "run"], "files")
     return salted_join(per_file, found, ["repo", "run"], ["path"], hot=hot).select("repo", "base", "path")
 
 
-def _other_hits(texts: DataFrame, others: DataFrame) -> DataFrame:
+def _unusual_hits(texts: DataFrame, files: DataFrame, lengths: list[int], buckets: list[int]) -> DataFrame:
     """``repo, base, path`` for stems with other characters, with repeats."""
-    lengths = _stem_lengths(others)
-    overlap = F.coalesce(F.array_max(lengths), F.lit(1)) - 1
-    buckets = F.coalesce(others.agg(F.collect_set(_bucket())).scalar(), F.array().cast("array<int>"))
-    windows = texts.where(F.array_contains(buckets, _bucket())).select(
-        "repo", "path", F.explode(_windows(F.col("text"), overlap)).alias("window")
+    some = texts.where(F.array_contains(_int_array(buckets), _bucket()))
+    windows = some.select("repo", "path", F.explode(_windows(F.col("text"), max(lengths) - 1)).alias("window"))
+    pieces = windows.select("repo", "path", F.explode(_substrings(F.col("window"), lengths)).alias("base")).withColumn(
+        "_salt", F.pmod(F.xxhash64("path"), F.lit(SPREAD)).cast("int")
+    )
+    stems = files.where(_unusual(F.col("base"))).select("repo", "base").distinct()
+    return pieces.join(stems.withColumn("_salt", _salts(F.lit(True))), ["repo", "base", "_salt"]).select(
+        "repo", "base", "path"
     )
-    pieces = windows.select(
-        "repo", "path", F.explode(F.array_distinct(_substrings(F.col("window"), lengths))).alias("base")
-    ).withColumn("_salt", F.pmod(F.xxhash64("path"), F.lit(SPREAD)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
-    return pieces.join(others.withColumn("_salt", every), ["repo", "base", "_salt"]).select("repo", "base", "path")
 
 
 def add_imported_by(rows: DataFrame) -> DataFrame:
@@ -125,12 +127,38 @@ def add_imported_by(rows: DataFrame) -> DataFrame:
 
     Many files may share a stem (``index``, ``__init__``), so the counts come back by a salted join.
     """
-    own = rows.withColumn("base", stem(F.col("path"))).withColumn("_own", F.contains("text", "base").cast("int"))
-    counts = stem_counts(rows.select("repo", "path", "text"))
-    joined = salted_join(own.drop("text"), counts, ["repo", "base"], ["path"], how="left")
-    return joined.withColumn(
-        "imported_by", F.coalesce(F.col("n") - F.col("_own"), F.lit(0)).cast("long")
-    ).drop("base", "_own", "n")
+    kept = [c for c in rows.columns if c != "text"]
+    base = stem(F.col("path"))
+    files = durable(
+        rows.select(
+            *kept,
+            base.alias("base"),
+            F.contains("text", base).cast("int").alias("_own"),
+            F.array_distinct(F.regexp_extract_all("text", F.lit(f"{_WORD}+"), F.lit(0))).alias("runs"),
+        ),
+        "file-runs",
+    )
+    # One small row: the lengths that stems have (file systems bound a name) and at most BUCKETS numbers.
+    size = F.char_length("base")
+    names = files.agg(
+        F.collect_set(F.when(_word_only(F.col("base")), size)).alias("words"),
+        F.collect_set(F.when(_unusual(F.col("base")), size)).alias("unusual"),
+        F.collect_set(F.when(_unusual(F.col("base")), _bucket())).alias("buckets"),
+    ).first()
+
+    counts = files.groupBy("repo").agg(F.count(F.lit(1)).alias("n")).select("repo", F.lit("").alias("base"), "n")
+    hits = []
+    if names["words"]:
+        hits.append(_word_hits(files, sorted(names["words"])))
+    if names["unusual"]:
+        hits.append(_unusual_hits(rows.select("repo", "path", "text"), files, sorted(names["unusual"]), names["buckets"]))
+    for h in hits:
+        counts = counts.unionByName(h.groupBy("repo", "base").agg(F.count_distinct("path").alias("n")))
+
+    joined = salted_join(files.drop("runs"), counts, ["repo", "base"], ["path"], how="left")
+    return joined.withColumn("imported_by", F.coalesce(F.col("n") - F.col("_own"), F.lit(0)).cast("long")).drop(
+        "base", "_own", "n"
+    )
 
 
 def imported_by(texts: DataFrame) -> DataFrame:

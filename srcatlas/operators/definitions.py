@@ -6,29 +6,32 @@ are removed before braces are counted, but block comments, template strings and
 are not recognised, so braces or keywords inside them may shift a span.  An unnamed function expression is
 found when its line holds ``=>`` or ``function``; one row per kind and line.
 
-A file is one row and is folded line by line with a stack of open definitions: no shuffle.
+A file is one row and is folded line by line with a stack of open definitions: no shuffle.  The folds are
+SQL text, which Spark parses in one go.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcatlas.functions.arrays import items
-from srcatlas.functions.text import base_name, extension, lines_of, trim_space
+from srcatlas.functions.text import WHITESPACE_SQL, base_name, extension, lines_of
 from srcatlas.operators.chunk import block_spans
 
 _JS = (".js", ".ts", ".jsx", ".tsx")
-_HEAD = "struct<kind:string,name:string,oneline:boolean>"
-_DEF = "struct<kind:string,name:string,s:int,e:int>"
+_DEFS = "array<struct<kind:string,name:string,s:int,e:int>>"
+_HEADS = "array<struct<kind:string,name:string,oneline:boolean>>"
 _NAME = "[A-Za-z_$][A-Za-z0-9_$]*"
 
+# Header patterns; group 1 is the name.
 _PY_DEF = r"^[ \t]*(?:async[ \t]+)?def[ \t]+(\w+)"
 _PY_CLASS = r"^[ \t]*class[ \t]+(\w+)"
 _GO_FUNC = r"^func[ \t]+(\w+)"
 _GO_METHOD = r"^func[ \t]*\([^)]*\)[ \t]*(\w+)"
 _GO_STRUCT = r"^[ \t]*type[ \t]+(\w+)[ \t]*(?:\[[^\]]*\])?[ \t]*struct\b"
 _GO_GROUPED_STRUCT = r"^[ \t]+(\w+)[ \t]*(?:\[[^\]]*\])?[ \t]+struct\b"
+_GO_TYPE_GROUP = r"^type[ \t]*\([ \t]*$"
 _JS_EXPORT = r"^[ \t]*(?:export[ \t]+)?(?:default[ \t]+)?"
 _JS_FUNC = rf"{_JS_EXPORT}(?:async[ \t]+)?function[ \t]+({_NAME})"
 _JS_CLASS = rf"{_JS_EXPORT}(?:abstract[ \t]+)?class[ \t]+({_NAME})"
@@ -41,215 +44,146 @@ _JS_METHOD = (
     rf"(?!(?:if|for|while|switch|catch|function|return|with)\b)({_NAME})[ \t]*\([^)]*\)[ \t]*\{{"
 )
 _JS_FUNC_EXPR = rf"\bfunction\b[ \t]*(?:{_NAME}[ \t]*)?\("
-_LITERALS = r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`[^`]*`|//[^\n]*"
+# String literals and line comments; \x22, \x27 and \x60 are the three quotes.
+_LITERALS = r"\x22(?:\\.|[^\x22\\])*\x22|\x27(?:\\.|[^\x27\\])*\x27|\x60[^\x60]*\x60|//[^\n]*"
 
 
-def _heads(*candidates: tuple[Column, str, Column, Column]) -> Column:
-    """Headers found on a line, in the order given."""
-    built = [
-        F.when(cond, F.struct(F.lit(kind).alias("kind"), name.alias("name"), oneline.alias("oneline")))
-        for cond, kind, name, oneline in candidates
-    ]
-    return F.filter(F.array(*built), lambda h: h.isNotNull()).cast(f"array<{_HEAD}>")
-
-
-def _match(line: Column, pattern: str) -> tuple[Column, Column]:
-    name = F.regexp_extract(line, pattern, 1)
-    return name != "", name
-
-
-def _python_line(line: Column) -> Column:
-    """``skip``: blank or comment.  ``closer``: starts with a closing bracket, which ends nothing."""
-    stripped = trim_space(line)
-    indent = F.char_length(F.replace(F.regexp_extract(line, r"^[ \t]*", 0), F.lit("\t"), F.lit("        ")))
-    is_def, def_name = _match(line, _PY_DEF)
-    is_class, class_name = _match(line, _PY_CLASS)
-    return F.struct(
-        ((stripped == "") | F.startswith(stripped, F.lit("#"))).alias("skip"),
-        F.left(stripped, F.lit(1)).isin(")", "]", "}").alias("closer"),
-        indent.alias("indent"),
-        _heads((is_def, "function", def_name, F.lit(False)), (is_class, "class", class_name, F.lit(False))).alias(
-            "heads"
-        ),
-    )
+def _name(pattern: str) -> str:
+    return f"regexp_extract(x, r'{pattern}', 1)"
 
 
-def _python_spans(lines: Column) -> Column:
-    stack_type = "array<struct<kind:string,name:string,s:int,indent:int>>"
-
-    def closed(entries: Column, end: Column) -> Column:
-        return F.transform(
-            entries,
-            lambda d: F.struct(d["kind"].alias("kind"), d["name"].alias("name"), d["s"].alias("s"), end.alias("e")),
-        )
-
-    def step(acc: Column, line: Column) -> Column:
-        i = acc["i"] + 1
-        # A bracket that closes a header over several lines continues that header.
-        level = F.when(line["closer"], line["indent"] + 1).otherwise(line["indent"])
-        done = F.filter(acc["stack"], lambda d: d["indent"] >= level)
-        rest = F.filter(acc["stack"], lambda d: d["indent"] < level)
-        opened = F.transform(
-            line["heads"],
-            lambda h: F.struct(
-                h["kind"].alias("kind"), h["name"].alias("name"), i.alias("s"), line["indent"].alias("indent")
-            ),
-        )
-        out = F.when(F.size(done) > 0, F.concat(acc["out"], closed(done, acc["last"]))).otherwise(acc["out"])
-        moved = F.struct(
-            F.concat(rest, opened).cast(stack_type).alias("stack"), out.alias("out"), i.alias("last"), i.alias("i")
-        )
-        stay = F.struct(
-            acc["stack"].alias("stack"), acc["out"].alias("out"), acc["last"].alias("last"), i.alias("i")
-        )
-        return F.when(line["skip"], stay).otherwise(moved)
-
-    zero = F.lit(0).cast("int")
-    start = F.struct(
-        F.array().cast(stack_type).alias("stack"), F.array().cast(f"array<{_DEF}>").alias("out"),
-        zero.alias("last"), zero.alias("i"),
-    )
-    return F.aggregate(
-        F.transform(lines, _python_line), start, step, lambda a: F.concat(a["out"], closed(a["stack"], a["last"]))
-    )
-
-
-def _brace_counts(line: Column) -> tuple[Column, Column, Column]:
-    code = F.regexp_replace(line, _LITERALS, "")
-    size = F.char_length(code)
-    opens = size - F.char_length(F.replace(code, F.lit("{"), F.lit("")))
-    closes = size - F.char_length(F.replace(code, F.lit("}"), F.lit("")))
-    lead = F.regexp_extract(code, r"^[\s)\];,}]*", 0)
-    leading = F.char_length(lead) - F.char_length(F.replace(lead, F.lit("}"), F.lit("")))
-    return opens.cast("int"), closes.cast("int"), leading.cast("int")
-
-
-def _brace_line(line: Column, heads: Column, group: Column) -> Column:
-    opens, closes, leading = _brace_counts(line)
-    return F.struct(
-        opens.alias("opens"), closes.alias("closes"), leading.alias("leading"), heads.alias("heads"),
-        group.alias("group"),
-    )
-
-
-def _go_line(line: Column) -> Column:
-    """``group``: 1 where ``type (`` opens a list of types, -1 where it ends."""
-    no = F.lit(False)
-    is_func, func = _match(line, _GO_FUNC)
-    is_method, method = _match(line, _GO_METHOD)
-    is_struct, struct = _match(line, _GO_STRUCT)
-    in_group, grouped = _match(line, _GO_GROUPED_STRUCT)
-    heads = _heads(
-        (is_func, "function", func, no),
-        (is_method & ~is_func, "function", method, no),
-        (is_struct, "class", struct, no),
-        (in_group & ~is_struct, "grouped", grouped, no),
-    )
-    group = F.when(line.rlike(r"^type[ \t]*\([ \t]*$"), 1).when(F.startswith(line, F.lit(")")), -1).otherwise(0)
-    return _brace_line(line, heads, group)
-
-
-def _js_line(line: Column) -> Column:
-    code = F.regexp_replace(line, _LITERALS, "")
-    no, braceless = F.lit(False), ~F.contains(code, F.lit("{"))
-    none = F.lit(None).cast("string")
-    is_func, func = _match(line, _JS_FUNC)
-    is_class, cls = _match(line, _JS_CLASS)
-    is_var, var = _match(line, _JS_VAR)
-    is_method, method = _match(line, _JS_METHOD)
-    arrow = F.contains(code, F.lit("=>"))
-    expression = ~is_func & code.rlike(_JS_FUNC_EXPR)
-    heads = _heads(
-        (is_func, "function", func, no),
-        (arrow, "function", none, braceless),
-        (expression, "function", none, no),
-        (is_class, "class", cls, no),
-        (is_method & ~is_func & ~is_class & ~expression, "function", method, no),
-        (is_var, "function", var, arrow & braceless),
-    )
-    return _brace_line(line, heads, F.lit(0))
-
-
-def _brace_spans(lines: Column, describe) -> Column:
-    """Spans by brace depth.  A definition ends on the line that brings the depth back to where it began;
-    one whose body never opens ends on its own line."""
-    stack_type = "array<struct<kind:string,name:string,s:int,depth:int,open:boolean,done:boolean>>"
-
-    def entry(kind, name, s, depth, opened, done) -> Column:
-        return F.struct(
-            kind.alias("kind"), name.alias("name"), s.alias("s"), depth.alias("depth"), opened.alias("open"),
-            done.alias("done"),
-        )
-
-    def closed(entries: Column, end: Column) -> Column:
-        return F.transform(
-            entries,
-            lambda d: F.struct(
-                d["kind"].alias("kind"), d["name"].alias("name"), d["s"].alias("s"),
-                F.when(d["open"], end).otherwise(d["s"]).alias("e"),
-            ),
-        )
-
-    def step(acc: Column, line: Column) -> Column:
-        i = acc["i"] + 1
-        before = acc["depth"]
-        after = before + line["opens"] - line["closes"]
-        heads = F.filter(
-            line["heads"], lambda h: (h["kind"] != "grouped") | (acc["grouped"] & (before == 0))
-        )
-        # An open header that meets the next one before its body has no body.
-        standing = F.transform(
-            acc["stack"],
-            lambda d: entry(
-                d["kind"], d["name"], d["s"], d["depth"],
-                d["open"] | ((line["opens"] > 0) & (F.size(heads) == 0)),
-                ~d["open"] & (F.size(heads) > 0),
-            ),
-        )
-        fresh = F.transform(
-            heads,
-            lambda h: entry(
-                F.when(h["kind"] == "grouped", "class").otherwise(h["kind"]), h["name"], i,
-                before - line["leading"], line["opens"] > 0, h["oneline"],
-            ),
-        )
-        live = F.concat(standing, fresh)
-
-        def over(d: Column) -> Column:
-            return d["done"] | (d["open"] & (after <= d["depth"]))
-
-        quiet = (F.size(acc["stack"]) == 0) & (F.size(line["heads"]) == 0)
-        grouped = F.when(line["group"] == 1, True).when(line["group"] == -1, False).otherwise(acc["grouped"])
-        idle = F.struct(
-            acc["stack"].alias("stack"), acc["out"].alias("out"), after.alias("depth"), i.alias("i"),
-            grouped.alias("grouped"),
-        )
-        busy = F.struct(
-            F.filter(live, lambda d: ~over(d)).cast(stack_type).alias("stack"),
-            F.concat(acc["out"], closed(F.filter(live, over), i)).cast(f"array<{_DEF}>").alias("out"),
-            after.alias("depth"), i.alias("i"), grouped.alias("grouped"),
-        )
-        return F.when(quiet, idle).otherwise(busy)
-
-    zero = F.lit(0).cast("int")
-    start = F.struct(
-        F.array().cast(stack_type).alias("stack"), F.array().cast(f"array<{_DEF}>").alias("out"),
-        zero.alias("depth"), zero.alias("i"), F.lit(False).alias("grouped"),
-    )
-    return F.aggregate(
-        F.transform(lines, describe), start, step, lambda a: F.concat(a["out"], closed(a["stack"], a["i"]))
+def _heads(*candidates: tuple[str, str, str, str]) -> str:
+    """Headers found on line ``x``, in the order given: condition, kind, name, whether one line is all."""
+    cases = ", ".join(
+        f"case when {cond} then named_struct('kind', '{kind}', 'name', {name}, 'oneline', {oneline}) end"
+        for cond, kind, name, oneline in candidates
     )
+    return f"cast(filter(array({cases}), h -> h is not null) as {_HEADS})"
+
+
+def _closed(entries: str, end: str) -> str:
+    return f"transform({entries}, d -> named_struct('kind', d.kind, 'name', d.name, 's', d.s, 'e', {end}))"
+
+
+# --- Python: a definition ends before the next line that is not indented deeper than its header. -------------
+
+_PY_STACK = "array<struct<kind:string,name:string,s:int,indent:int>>"
+# skip: blank or comment.  level: indentation that closes; a line starting with a closing bracket continues a
+# header over several lines, so it closes only what is deeper than itself.
+_PY_LINE = f"""
+named_struct(
+  'skip', btrim(x, {WHITESPACE_SQL}) = '' or startswith(btrim(x, {WHITESPACE_SQL}), '#'),
+  'indent', char_length(replace(regexp_extract(x, r'^[ \\t]*', 0), '\\t', '        ')),
+  'level', char_length(replace(regexp_extract(x, r'^[ \\t]*', 0), '\\t', '        '))
+    + case when left(btrim(x, {WHITESPACE_SQL}), 1) in (')', ']', '}}') then 1 else 0 end,
+  'heads', {_heads(
+      (f"x rlike r'{_PY_DEF}'", "function", _name(_PY_DEF), "false"),
+      (f"x rlike r'{_PY_CLASS}'", "class", _name(_PY_CLASS), "false"))})"""
+_PY_SPANS = f"""
+aggregate(
+  transform(_lines, x -> {_PY_LINE}),
+  named_struct('stack', cast(array() as {_PY_STACK}), 'out', cast(array() as {_DEFS}), 'last', 0, 'i', 0),
+  (a, x) -> case
+    when x.skip then named_struct('stack', a.stack, 'out', a.out, 'last', a.last, 'i', a.i + 1)
+    else named_struct(
+      'stack', cast(concat(
+        filter(a.stack, d -> d.indent < x.level),
+        transform(x.heads, h -> named_struct('kind', h.kind, 'name', h.name, 's', a.i + 1, 'indent', x.indent))
+      ) as {_PY_STACK}),
+      'out', case when exists(a.stack, d -> d.indent >= x.level)
+        then cast(concat(a.out, {_closed("filter(a.stack, d -> d.indent >= x.level)", "a.last")}) as {_DEFS})
+        else a.out end,
+      'last', a.i + 1,
+      'i', a.i + 1) end,
+  a -> cast(concat(a.out, {_closed("a.stack", "a.last")}) as {_DEFS}))"""
+
+# --- Braces: a definition ends on the line that brings the depth back to where it began. ---------------------
+
+
+def _brace_line(code: str, heads: str, group: str) -> str:
+    """``leading``: closing braces before anything else on the line, which belong to the line before."""
+    lead = rf"regexp_extract({code}, r'^[\s)\];,}}]*', 0)"
+    return f"""
+named_struct(
+  'opens', char_length({code}) - char_length(replace({code}, '{{', '')),
+  'closes', char_length({code}) - char_length(replace({code}, '}}', '')),
+  'leading', char_length({lead}) - char_length(replace({lead}, '}}', '')),
+  'heads', {heads},
+  'group', {group})"""
+
+
+_CODE = f"regexp_replace(x, r'{_LITERALS}', '')"
+# group: 1 where a list of types opens, -1 where it ends; "grouped" structs count only inside such a list.
+_GO_LINE = _brace_line(
+    _CODE,
+    _heads(
+        (f"x rlike r'{_GO_FUNC}'", "function", _name(_GO_FUNC), "false"),
+        (f"x rlike r'{_GO_METHOD}'", "function", _name(_GO_METHOD), "false"),
+        (f"x rlike r'{_GO_STRUCT}'", "class", _name(_GO_STRUCT), "false"),
+        (f"x rlike r'{_GO_GROUPED_STRUCT}' and not x rlike r'{_GO_STRUCT}'", "grouped", _name(_GO_GROUPED_STRUCT), "false"),
+    ),
+    f"case when x rlike r'{_GO_TYPE_GROUP}' then 1 when startswith(x, ')') then -1 else 0 end",
+)
+_JS_EXPR = f"(not x rlike r'{_JS_FUNC}' and {_CODE} rlike r'{_JS_FUNC_EXPR}')"
+_JS_LINE = _brace_line(
+    _CODE,
+    _heads(
+        (f"x rlike r'{_JS_FUNC}'", "function", _name(_JS_FUNC), "false"),
+        (f"contains({_CODE}, '=>')", "function", "cast(null as string)", f"not contains({_CODE}, '{{')"),
+        (_JS_EXPR, "function", "cast(null as string)", "false"),
+        (f"x rlike r'{_JS_CLASS}'", "class", _name(_JS_CLASS), "false"),
+        (
+            f"x rlike r'{_JS_METHOD}' and not x rlike r'{_JS_FUNC}' and not x rlike r'{_JS_CLASS}' and not {_JS_EXPR}",
+            "function", _name(_JS_METHOD), "false",
+        ),
+        (f"x rlike r'{_JS_VAR}'", "function", _name(_JS_VAR), f"contains({_CODE}, '=>') and not contains({_CODE}, '{{')"),
+    ),
+    "0",
+)
+_BRACE_STACK = "array<struct<kind:string,name:string,s:int,depth:int,open:boolean,done:boolean>>"
+_HEADS_HERE = "filter(x.heads, h -> h.kind <> 'grouped' or (a.grouped and a.depth = 0))"
+# Open definitions after this line's headers.  A header that meets the next one before its body has none;
+# without a body, a definition ends on its own line.
+_LIVE = f"""
+concat(
+  transform(a.stack, d -> named_struct(
+    'kind', d.kind, 'name', d.name, 's', d.s, 'depth', d.depth,
+    'open', d.open or (x.opens > 0 and size({_HEADS_HERE}) = 0),
+    'done', not d.open and size({_HEADS_HERE}) > 0)),
+  transform({_HEADS_HERE}, h -> named_struct(
+    'kind', case h.kind when 'grouped' then 'class' else h.kind end, 'name', h.name, 's', a.i + 1,
+    'depth', a.depth - x.leading, 'open', x.opens > 0, 'done', h.oneline)))"""
+_OVER = "(d.done or (d.open and a.depth + x.opens - x.closes <= d.depth))"
+_GROUPED = "case x.group when 1 then true when -1 then false else a.grouped end"
+
+
+def _brace_spans(line: str) -> str:
+    return f"""
+aggregate(
+  transform(_lines, x -> {line}),
+  named_struct('stack', cast(array() as {_BRACE_STACK}), 'out', cast(array() as {_DEFS}), 'depth', 0, 'i', 0,
+    'grouped', false),
+  (a, x) -> case
+    when size(a.stack) = 0 and size(x.heads) = 0 then named_struct('stack', a.stack, 'out', a.out,
+      'depth', a.depth + x.opens - x.closes, 'i', a.i + 1, 'grouped', {_GROUPED})
+    else named_struct(
+      'stack', cast(filter({_LIVE}, d -> not {_OVER}) as {_BRACE_STACK}),
+      'out', cast(concat(a.out, {_closed(f"filter({_LIVE}, d -> {_OVER})", "case when d.open then a.i + 1 else d.s end")})
+        as {_DEFS}),
+      'depth', a.depth + x.opens - x.closes,
+      'i', a.i + 1,
+      'grouped', {_GROUPED}) end,
+  a -> cast(concat(a.out, {_closed("a.stack", "case when d.open then a.i else d.s end")}) as {_DEFS}))"""
 
 
 def with_definitions(files: DataFrame) -> DataFrame:
     """Add ``_lines`` and ``_defs array<struct<kind,name,s,e>>``; no definitions for other languages."""
     ext = F.lower(extension(F.col("path")))
-    lines = F.col("_lines")
     spans = (
-        F.when(ext == ".py", _python_spans(lines))
-        .when(ext == ".go", _brace_spans(lines, _go_line))
-        .when(ext.isin(*_JS), _brace_spans(lines, _js_line))
-        .otherwise(F.array().cast(f"array<{_DEF}>"))
+        F.when(ext == ".py", F.expr(_PY_SPANS))
+        .when(ext == ".go", F.expr(_brace_spans(_GO_LINE)))
+        .when(ext.isin(*_JS), F.expr(_brace_spans(_JS_LINE)))
+        .otherwise(F.expr(f"cast(array() as {_DEFS})"))
     )
     return files.withColumn("_lines", lines_of(F.col("content"))).withColumn("_defs", spans)
 
@@ -257,7 +191,6 @@ def with_definitions(files: DataFrame) -> DataFrame:
 def _emit(spans: DataFrame) -> DataFrame:
     """Whole source lines of each span.  A span starts at a line that is not blank, so none is blank."""
     s, e = F.col("_d.s"), F.col("_d.e")
-    content = F.array_join(F.slice("_lines", s, e - s + 1), "\n")
     return spans.select(
         "repo",
         F.col("path").alias("file"),
@@ -266,7 +199,7 @@ def _emit(spans: DataFrame) -> DataFrame:
         F.when(F.col("_d.kind") == "class", F.col("_d.name")).alias("class"),
         s.alias("start_line"),
         e.alias("end_line"),
-        content.alias("content"),
+        F.array_join(F.slice("_lines", s, e - s + 1), "\n").alias("content"),
     )
 
 
@@ -280,12 +213,7 @@ def definitions(files: DataFrame) -> DataFrame:
 
 def semantic_chunks(files: DataFrame) -> DataFrame:
     """Definitions where a file has any, else its blocks of non-blank lines."""
-    blocks = F.transform(
-        block_spans(F.col("_lines")),
-        lambda b: F.struct(
-            F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("name"),
-            b["s"].alias("s"), b["e"].alias("e"),
-        ),
-    )
-    chosen = F.when(F.size("_defs") > 0, F.col("_defs")).otherwise(blocks)
-    return _emit(with_definitions(files).withColumn("_d", F.explode(chosen)))
+    both = with_definitions(files).withColumn("_blocks", block_spans("_lines"))
+    chosen = F.expr(f"""case when size(_defs) > 0 then _defs else transform(_blocks, b ->
+      named_struct('kind', cast(null as string), 'name', cast(null as string), 's', b.s, 'e', b.e)) end""")
+    return _emit(both.withColumn("_d", F.explode(chosen)))

@@ -25,8 +25,8 @@ def _lines(chunks: Column) -> Column:
     return F.filter(F.flatten(F.transform(chunks, lambda c: F.transform(lines_of(c), trim_space))), lambda x: x != "")
 
 
-def _block_pattern(key: str) -> Column:
-    return F.lit(rf'"{key}"{_S}*:{_S}*\{{([^}}]*)\}}')
+def _block_pattern(key: str) -> str:
+    return rf'"{key}"{_S}*:{_S}*\{{([^}}]*)\}}'
 
 
 def _node_entries(text: Column, key: str) -> Column:
@@ -82,7 +82,7 @@ def deps_report(by_file: DataFrame) -> DataFrame:
     blocks = {key: i for i, key in enumerate(HEADINGS)}
     block = F.create_map(*[F.lit(x) for (e, s), i in blocks.items() for x in (f"{e}/{s}", i)])
 
-    is_dev = F.regexp_like(F.array_join("chunks", ""), _block_pattern("devDependencies"))
+    is_dev = F.array_join("chunks", "").rlike(_block_pattern("devDependencies"))
     present = F.filter(
         F.array(
             F.when(F.col("path") == GO_MANIFEST, "go/runtime"),

@@ -11,9 +11,11 @@ from __future__ import annotations
 import codecs
 import datetime as dt
 import os
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -23,6 +25,11 @@ from srcatlas.functions.tables import CODE_EXTENSIONS, SKIPPED_DIRS
 from srcatlas.functions.text import extension
 from srcatlas.schemas import FILES, SCANNED_FILES
 
+# Workers get this module's reader by value, so they need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Files are handed over in batches of about this many characters; a larger file is its own batch.
+READ_BATCH_CHARS = 4 << 20
 LISTING = "repo string, path string, location string, mtime timestamp, size bigint, _error string"
 
 
@@ -119,6 +126,7 @@ def _read_batches(fail_fast: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codecs.register_error("srcatlas_byte", _replace_byte)
         for batch in batches:
+            out, held = [], 0
             for row in batch.to_pylist():
                 text, error = None, row["_error"]
                 if error is None:
@@ -129,9 +137,14 @@ def _read_batches(fail_fast: bool):
                         if fail_fast:
                             raise
                         error = f"failed to read file: {e}"
-                out = {**{k: row[k] for k in ("repo", "path", "mtime", "size")}, "content": text, "_error": error}
-                # One file per batch: contents may be large.
-                yield pa.RecordBatch.from_pylist([out], schema=schema)
+                kept = {k: row[k] for k in ("repo", "path", "mtime", "size")}
+                out.append({**kept, "content": text, "_error": error})
+                held += len(text or "")
+                if held > READ_BATCH_CHARS:
+                    yield pa.RecordBatch.from_pylist(out, schema=schema)
+                    out, held = [], 0
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     return rows
 
@@ -145,7 +158,7 @@ def scan_code_files(
     cannot be read with its error; FAILFAST ends the job.  Roots must be readable on every executor.
     """
     roots = [roots] if isinstance(roots, str) else list(roots)
-    n = partitions or max(64, spark.sparkContext.defaultParallelism * 2)
+    n = partitions or spark.sparkContext.defaultParallelism * 2
     fail_fast = mode.upper() == "FAILFAST"
     spark.dataSource.register(CodeTreeSource)
     listing = (

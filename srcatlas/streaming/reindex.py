@@ -29,14 +29,15 @@ def _newest(versions: DataFrame) -> DataFrame:
 
 def index_batch(files: DataFrame, batch: int, target: str, embedder: Embedder | None, max_bytes: int) -> None:
     """Index the newest version of each file in a batch.  A row without content marks a deleted file."""
-    newest = files.groupBy("repo", "path").agg(F.max("mtime").alias("mtime"))
-    rows = files.join(newest, ["repo", "path", "mtime"]).dropDuplicates(["repo", "path"])
+    newest = F.max_by(F.struct("mtime", "content"), "mtime")
+    rows = files.groupBy("repo", "path").agg(newest.alias("_v")).select("repo", "path", "_v.*").persist()
     versions = rows.select(
         "repo", F.col("path").alias("file"), "mtime", F.col("content").isNull().alias("deleted")
     )
     chunks = index_files(rows.where(F.col("content").isNotNull()), embedder, max_bytes)
     chunks.write.mode("overwrite").parquet(f"{target}/chunks/batch={batch}")
     versions.write.mode("overwrite").parquet(f"{target}/versions/batch={batch}")
+    rows.unpersist()
 
 
 def start_reindex(

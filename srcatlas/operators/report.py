@@ -63,20 +63,18 @@ def fixed2(x: Column) -> Column:
 
     Java's own formatter rounds the shortest decimal form instead, which differs on values such as 0.145.
     """
-    scale, half = float(2**56), 2**55
+    # The fraction as a whole number of units of 2**-56, or of 2**-60 where the number is below 1/16.  That
+    # is exact from 2**-8 on, anything smaller rounds to zero, and a hundred times it fits a long.
+    unit = F.when(x < 0.0625, F.lit(2**60)).otherwise(F.lit(2**56))
     whole = F.floor(x)
-    scaled = (x - whole) * scale
-    bits = F.floor(scaled)
-    hundredths = F.floor(bits / F.lit(scale) * 100)
-    # bits * 100 < 2**63; the quotient above may be off by one at a boundary, so it is corrected.
-    product = bits.cast("long") * 100
-    q = F.when(product < hundredths * 2**56, hundredths - 1).when(
-        product >= (hundredths + 1) * 2**56, hundredths + 1
-    ).otherwise(hundredths)
-    rest = product - q * 2**56
-    up = (rest > half) | ((rest == half) & ((scaled > bits) | (q % 2 == 1)))
+    product = F.floor((x - whole) * unit) * 100
+    hundredths = F.floor(product / unit)
+    # The quotient was a double and may be off by one at a boundary.
+    q = hundredths + F.when(product < hundredths * unit, -1).when(product >= (hundredths + 1) * unit, 1).otherwise(0)
+    twice = (product - q * unit) * 2
+    up = (twice > unit) | ((twice == unit) & (q % 2 == 1))
     total = whole * 100 + q + up.cast("int")
-    return F.format_string("%d.%02d", F.floor(total / 100).cast("long"), (total % 100).cast("long"))
+    return F.format_string("%d.%02d", F.floor(total / 100), total % 100)
 
 
 def excerpt(text: Column, detail: str) -> Column:

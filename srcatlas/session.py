@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset (local runs, tests) a
+    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset (a local run, a test) a
     temporary folder is made and set on the session, so later calls share it.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="srcatlas-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="srcatlas-"))
+        folder = context.getCheckpointDir()
     return folder
 
 

@@ -32,6 +32,8 @@ _WORD = r"[A-Za-z0-9_\x{80}-\x{10FFFF}]"
 WINDOW = 256
 #: Repositories with unusual stems are recognised by a hash into this many buckets.
 BUCKETS = 4096
+#: Up to this many files the stems are broadcast (a name each, so some tens of megabytes at most).
+BROADCAST_STEMS = 200_000
 #: Stems up to this length occur in many different runs; they are spread over ``SPREAD`` shuffle keys.
 SHORT = 4
 SPREAD = 16
@@ -41,12 +43,9 @@ def _bucket() -> Column:
     return F.pmod(F.xxhash64("repo"), F.lit(BUCKETS)).cast("int")
 
 
-def _word_only(base: Column) -> Column:
-    return base.rlike(f"^{_WORD}+$")
-
-
-def _unusual(base: Column) -> Column:
-    return (base != "") & ~_word_only(base)
+def _kind(base: Column) -> Column:
+    """``word``, ``unusual`` or ``empty``; a column of its own, so that no join key carries the pattern."""
+    return F.when(base == "", "empty").when(base.rlike(f"^{_WORD}+$"), "word").otherwise("unusual")
 
 
 def _int_array(values: list[int]) -> Column:
@@ -76,11 +75,22 @@ def _substrings(text: Column, lengths: list[int]) -> Column:
     return F.array_distinct(F.flatten(F.transform(fitting, of_length)))
 
 
-def _salts(is_spread: Column) -> Column:
-    return F.explode(F.when(is_spread, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0))))
+def _with_stems(pieces: DataFrame, stems: DataFrame, n_files: int, is_spread: Column, spread_by: str) -> DataFrame:
+    """Join substrings with distinct stems on ``(repo, base)``.
+
+    Few stems go to every task and the substrings stay where they are.  Otherwise both sides are shuffled,
+    never broadcast: the exploded side is far larger than its estimate.  Stems that may occur in a large
+    share of the texts are then spread by a salt.
+    """
+    if n_files <= BROADCAST_STEMS:
+        return pieces.join(F.broadcast(stems), ["repo", "base"])
+    salt = F.when(is_spread, F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)).cast("int")).otherwise(0)
+    salts = F.when(is_spread, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+    salted = pieces.withColumn("_salt", salt).hint("merge")
+    return salted.join(stems.withColumn("_salt", F.explode(salts)), ["repo", "base", "_salt"]).drop("_salt")
 
 
-def _word_hits(files: DataFrame, lengths: list[int]) -> DataFrame:
+def _word_hits(files: DataFrame, lengths: list[int], n_files: int) -> DataFrame:
     """``repo, base, path`` for stems of word characters, with repeats."""
     overlap = max(lengths) - 1
     # Short runs pass as they are; flattening is skipped where no run is long.
@@ -96,30 +106,25 @@ def _word_hits(files: DataFrame, lengths: list[int]) -> DataFrame:
     per_file = files.select("repo", "path", F.explode(cut).alias("run"))
     vocabulary = durable(per_file.groupBy("repo", "run").agg(F.count(F.lit(1)).alias("files")), "vocabulary")
 
-    # Which stems are in which run: equality on (repo, substring), short stems spread.
-    is_short = F.char_length("base") <= SHORT
-    pieces = vocabulary.select("repo", "run", F.explode(_substrings(F.col("run"), lengths)).alias("base")).withColumn(
-        "_salt", F.when(is_short, F.pmod(F.xxhash64("run"), F.lit(SPREAD)).cast("int")).otherwise(0)
-    )
-    words = files.where(_word_only(F.col("base"))).select("repo", "base").distinct().withColumn("_salt", _salts(is_short))
-    found = pieces.join(words, ["repo", "base", "_salt"]).select("repo", "run", "base")
+    # Which stems are in which run.
+    pieces = vocabulary.select("repo", "run", F.explode(_substrings(F.col("run"), lengths)).alias("base"))
+    words = files.where(F.col("kind") == "word").select("repo", "base").distinct()
+    found = _with_stems(pieces, words, n_files, F.char_length("base") <= SHORT, "run").select("repo", "run", "base")
 
     # Back to the files; runs such as keywords are in a large share of them.
     hot = hot_keys(vocabulary, ["repo", "run"], "files")
     return salted_join(per_file, found, ["repo", "run"], ["path"], hot=hot).select("repo", "base", "path")
 
 
-def _unusual_hits(texts: DataFrame, files: DataFrame, lengths: list[int], buckets: list[int]) -> DataFrame:
+def _unusual_hits(
+    texts: DataFrame, files: DataFrame, lengths: list[int], buckets: list[int], n_files: int
+) -> DataFrame:
     """``repo, base, path`` for stems with other characters, with repeats."""
     some = texts.where(F.array_contains(_int_array(buckets), _bucket()))
     windows = some.select("repo", "path", F.explode(_windows(F.col("text"), max(lengths) - 1)).alias("window"))
-    pieces = windows.select("repo", "path", F.explode(_substrings(F.col("window"), lengths)).alias("base")).withColumn(
-        "_salt", F.pmod(F.xxhash64("path"), F.lit(SPREAD)).cast("int")
-    )
-    stems = files.where(_unusual(F.col("base"))).select("repo", "base").distinct()
-    return pieces.join(stems.withColumn("_salt", _salts(F.lit(True))), ["repo", "base", "_salt"]).select(
-        "repo", "base", "path"
-    )
+    pieces = windows.select("repo", "path", F.explode(_substrings(F.col("window"), lengths)).alias("base"))
+    stems = files.where(F.col("kind") == "unusual").select("repo", "base").distinct()
+    return _with_stems(pieces, stems, n_files, F.lit(True), "path").select("repo", "base", "path")
 
 
 def add_imported_by(rows: DataFrame) -> DataFrame:
@@ -133,29 +138,33 @@ def add_imported_by(rows: DataFrame) -> DataFrame:
         rows.select(
             *kept,
             base.alias("base"),
+            _kind(base).alias("kind"),
             F.contains("text", base).cast("int").alias("_own"),
             F.array_distinct(F.regexp_extract_all("text", F.lit(f"{_WORD}+"), F.lit(0))).alias("runs"),
         ),
         "file-runs",
     )
     # One small row: the lengths that stems have (file systems bound a name) and at most BUCKETS numbers.
-    size = F.char_length("base")
+    size, word, unusual = F.char_length("base"), F.col("kind") == "word", F.col("kind") == "unusual"
     names = files.agg(
-        F.collect_set(F.when(_word_only(F.col("base")), size)).alias("words"),
-        F.collect_set(F.when(_unusual(F.col("base")), size)).alias("unusual"),
-        F.collect_set(F.when(_unusual(F.col("base")), _bucket())).alias("buckets"),
+        F.collect_set(F.when(word, size)).alias("words"),
+        F.collect_set(F.when(unusual, size)).alias("unusual"),
+        F.collect_set(F.when(unusual, _bucket())).alias("buckets"),
+        F.count_if(word).alias("n_words"),
+        F.count_if(unusual).alias("n_unusual"),
     ).first()
 
     counts = files.groupBy("repo").agg(F.count(F.lit(1)).alias("n")).select("repo", F.lit("").alias("base"), "n")
     hits = []
     if names["words"]:
-        hits.append(_word_hits(files, sorted(names["words"])))
+        hits.append(_word_hits(files, sorted(names["words"]), names["n_words"]))
     if names["unusual"]:
-        hits.append(_unusual_hits(rows.select("repo", "path", "text"), files, sorted(names["unusual"]), names["buckets"]))
+        texts = rows.select("repo", "path", "text")
+        hits.append(_unusual_hits(texts, files, sorted(names["unusual"]), names["buckets"], names["n_unusual"]))
     for h in hits:
         counts = counts.unionByName(h.groupBy("repo", "base").agg(F.count_distinct("path").alias("n")))
 
-    joined = salted_join(files.drop("runs"), counts, ["repo", "base"], ["path"], how="left")
+    joined = salted_join(files.drop("runs", "kind"), counts, ["repo", "base"], ["path"], how="left")
     return joined.withColumn("imported_by", F.coalesce(F.col("n") - F.col("_own"), F.lit(0)).cast("long")).drop(
         "base", "_own", "n"
     )

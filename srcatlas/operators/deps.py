@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from srcatlas.functions.arrays import items
 from srcatlas.functions.text import lines_of, trim_space
 
 # Manifest paths and the texts of the report.
 GO_MANIFEST, NODE_MANIFEST, PYTHON_MANIFEST = "go.mod", "package.json", "requirements.txt"
-ECOSYSTEMS = ("go", "node", "python")
+MANIFESTS = (GO_MANIFEST, NODE_MANIFEST, PYTHON_MANIFEST)
 HEADINGS = {
     ("go", "runtime"): "Go Dependencies:",
     ("node", "runtime"): "Node.js Dependencies:",
@@ -37,77 +38,76 @@ def _node_entries(text: Column, key: str) -> Column:
     return F.filter(F.transform(F.split(body, ",", -1), trim_space), lambda x: x != "")
 
 
-def _rows(manifests: DataFrame, ecosystem: str, scope: str, specs: Column) -> DataFrame:
-    return manifests.select(
-        "repo",
-        F.lit(ecosystem).alias("ecosystem"),
-        F.lit(scope).alias("scope"),
-        F.posexplode(specs).alias("pos", "spec"),
+def _go_specs(chunks: Column) -> Column:
+    return F.filter(
+        _lines(chunks), lambda x: ~F.startswith(x, F.lit("module ")) & ~F.startswith(x, F.lit("go "))
     )
 
 
-def deps_go(by_file: DataFrame) -> DataFrame:
-    def kept(line: Column) -> Column:
-        return ~F.startswith(line, F.lit("module ")) & ~F.startswith(line, F.lit("go "))
+def _python_specs(chunks: Column) -> Column:
+    return F.filter(_lines(chunks), lambda x: ~F.startswith(x, F.lit("#")))
 
-    found = by_file.where(F.col("path") == GO_MANIFEST)
-    return _rows(found, "go", "runtime", F.filter(_lines(F.col("chunks")), kept))
 
+def _lists(by_file: DataFrame) -> DataFrame:
+    """``repo, block, ecosystem, scope, title, specs``: the lists of each manifest, present or empty.
 
-def deps_node(by_file: DataFrame) -> DataFrame:
-    text = F.array_join("chunks", "")
-    found = by_file.where(F.col("path") == NODE_MANIFEST).select("repo", text.alias("text"))
-    runtime = _node_entries(F.col("text"), "dependencies")
-    dev = _node_entries(F.col("text"), "devDependencies")
-    return _rows(found, "node", "runtime", runtime).unionByName(_rows(found, "node", "dev", dev))
+    One pass over the manifests.  ``block`` numbers the lists of a repository in report order.  A manifest
+    is one file, so an array holds all of a list.
+    """
+    chunks, text = F.col("chunks"), F.array_join("chunks", "")
+    path = F.col("path")
+
+    def listing(block: int, key: tuple[str, str], present: Column, specs: Column) -> Column:
+        return F.when(
+            present,
+            F.struct(
+                F.lit(block).alias("block"), F.lit(key[0]).alias("ecosystem"), F.lit(key[1]).alias("scope"),
+                F.lit(HEADINGS[key]).alias("title"), specs.alias("specs"),
+            ),
+        )
+
+    is_node = path == NODE_MANIFEST
+    is_dev = is_node & text.rlike(_block_pattern("devDependencies"))
+    found = [
+        listing(0, ("go", "runtime"), path == GO_MANIFEST, _go_specs(chunks)),
+        listing(1, ("node", "runtime"), is_node, _node_entries(text, "dependencies")),
+        listing(2, ("node", "dev"), is_dev, _node_entries(text, "devDependencies")),
+        listing(3, ("python", "runtime"), path == PYTHON_MANIFEST, _python_specs(chunks)),
+    ]
+    manifests = by_file.where(path.isin(*MANIFESTS))
+    return manifests.select("repo", F.inline(F.filter(F.array(*found), lambda x: x.isNotNull())))
 
 
-def deps_python(by_file: DataFrame) -> DataFrame:
-    found = by_file.where(F.col("path") == PYTHON_MANIFEST)
-    specs = F.filter(_lines(F.col("chunks")), lambda line: ~F.startswith(line, F.lit("#")))
-    return _rows(found, "python", "runtime", specs)
+def dependencies(by_file: DataFrame) -> DataFrame:
+    """``repo, ecosystem, scope, pos, spec`` of all three kinds, ``pos`` counting from 0 per list."""
+    return _lists(by_file).select("repo", "ecosystem", "scope", F.posexplode(items("specs")).alias("pos", "spec"))
 
 
-def dependencies(by_file: DataFrame) -> DataFrame:
-    """``repo, ecosystem, scope, pos, spec`` of all three kinds."""
-    return deps_go(by_file).unionByName(deps_node(by_file)).unionByName(deps_python(by_file))
+def deps_go(by_file: DataFrame) -> DataFrame:
+    return dependencies(by_file.where(F.col("path") == GO_MANIFEST))
+
+
+def deps_node(by_file: DataFrame) -> DataFrame:
+    return dependencies(by_file.where(F.col("path") == NODE_MANIFEST))
+
+
+def deps_python(by_file: DataFrame) -> DataFrame:
+    return dependencies(by_file.where(F.col("path") == PYTHON_MANIFEST))
 
 
 def deps_report(by_file: DataFrame) -> DataFrame:
     """The dependency section as rows: ``repo, block, pos, line``, to be read in that order.
 
-    ``block`` numbers the headed lists, ``pos`` is -1 for a heading.  A manifest without entries still
-    has its heading; the dev list has one only where its object exists.
+    ``pos`` is -1 for a heading.  A manifest without entries still has its heading; the dev list has one
+    only where its object exists.
     """
-    blocks = {key: i for i, key in enumerate(HEADINGS)}
-    block = F.create_map(*[F.lit(x) for (e, s), i in blocks.items() for x in (f"{e}/{s}", i)])
-
-    is_dev = F.array_join("chunks", "").rlike(_block_pattern("devDependencies"))
-    present = F.filter(
-        F.array(
-            F.when(F.col("path") == GO_MANIFEST, "go/runtime"),
-            F.when(F.col("path") == NODE_MANIFEST, "node/runtime"),
-            F.when((F.col("path") == NODE_MANIFEST) & is_dev, "node/dev"),
-            F.when(F.col("path") == PYTHON_MANIFEST, "python/runtime"),
-        ),
-        lambda x: x.isNotNull(),
-    )
-    titles = F.create_map(*[F.lit(x) for (e, s), t in HEADINGS.items() for x in (f"{e}/{s}", t)])
-    manifests = by_file.where(F.col("path").isin(GO_MANIFEST, NODE_MANIFEST, PYTHON_MANIFEST))
-    heads = manifests.select("repo", F.explode(present).alias("key")).select(
-        "repo",
-        F.element_at(block, F.col("key")).alias("block"),
-        F.lit(-1).alias("pos"),
-        F.element_at(titles, F.col("key")).alias("line"),
-    )
-    entries = dependencies(by_file).select(
-        "repo",
-        F.element_at(block, F.concat("ecosystem", F.lit("/"), "scope")).alias("block"),
-        "pos",
-        F.concat(F.lit("- "), "spec").alias("line"),
+    entries = F.transform("specs", lambda s: F.concat(F.lit("- "), s))
+    lines = F.posexplode(F.concat(F.array("title"), entries)).alias("_n", "line")
+    listed = _lists(by_file).select("repo", "block", lines).select(
+        "repo", "block", (F.col("_n") - 1).alias("pos"), "line"
     )
-    has_any = F.max(F.col("path").isin(GO_MANIFEST, NODE_MANIFEST, PYTHON_MANIFEST))
+    has_any = F.max(F.col("path").isin(*MANIFESTS))
     none = by_file.groupBy("repo").agg(has_any.alias("_any")).where(~F.col("_any")).select(
         "repo", F.lit(0).alias("block"), F.lit(-1).alias("pos"), F.lit(NOTHING_FOUND).alias("line")
     )
-    return heads.unionByName(entries).unionByName(none)
+    return listed.unionByName(none)

@@ -18,7 +18,6 @@ from srcatlas.session import durable
 
 ORDER = ("repo", "section", "block", "item", "line_no")
 INSTRUCTION, CONTEXT, APPROACH, STRUCTURE, DEPENDENCIES, KEY_FILES, EXAMPLE, FORMAT, REVIEW = range(1, 10)
-FACTS = (CONTEXT, STRUCTURE, DEPENDENCIES, KEY_FILES)
 
 _INSTRUCTION = (
     "Summarise the code base described below for a developer who has not seen it. Be precise: name the "
@@ -103,11 +102,6 @@ def key_file_excerpt(key_files: DataFrame, by_file: DataFrame, detail: str = "st
     )
 
 
-def _lines(repos: DataFrame, section: int, texts: list[str]) -> DataFrame:
-    numbered = F.posexplode(F.array(*map(F.lit, texts))).alias("line_no", "text")
-    return repos.select("repo", F.lit(section).alias("section"), F.lit("").alias("block"), F.lit("").alias("item"), numbered)
-
-
 def _rows(df: DataFrame, section: int, block: Column, item: Column, line_no: Column, text: Column) -> DataFrame:
     return df.select(
         "repo",
@@ -119,55 +113,56 @@ def _rows(df: DataFrame, section: int, block: Column, item: Column, line_no: Col
     )
 
 
-def report_facts(structure: DataFrame, by_file: DataFrame, excerpts: DataFrame) -> DataFrame:
-    """The parts of a report that come from the data."""
+def _prose(detail: str, metrics: bool) -> list[tuple[int, list[str]]]:
+    return [
+        (INSTRUCTION, [_INSTRUCTION, _DETAIL.get(detail, _DETAIL_OTHERWISE)]),
+        (APPROACH, _APPROACH),
+        (EXAMPLE, [] if detail == "brief" else _EXAMPLE),
+        (FORMAT, _FORMAT + ([_FORMAT_METRICS] if metrics else [])),
+        (REVIEW, _REVIEW),
+    ]
+
+
+def _frame(overview: DataFrame, prose: list[tuple[int, list[str]]]) -> DataFrame:
+    """Lines that every repository has once: context, headings and, for a prompt, the fixed prose."""
+    context = [
+        F.lit("Codebase Context:"),
+        F.concat(F.lit("- Primary Languages: "), "languages"),
+        F.concat(F.lit("- Total Files: "), F.col("files").cast("string")),
+        F.concat(F.lit("- Total Lines of Code: "), F.col("loc").cast("string")),
+    ]
+    headings = [
+        (STRUCTURE, ["Codebase structure:"]), (DEPENDENCIES, ["Project Dependencies:"]), (KEY_FILES, ["Key files content:"]),
+    ]
+    cells = [(CONTEXT, i, text) for i, text in enumerate(context)]
+    cells += [(section, i, F.lit(t)) for section, texts in [*headings, *prose] for i, t in enumerate(texts)]
+    table = F.array(*[
+        F.struct(F.lit(s).alias("section"), F.lit(i).alias("line_no"), text.alias("text")) for s, i, text in cells
+    ])
     empty = F.lit("")
-    overview = repo_overview(structure)
-    repos = overview.select("repo")
-    context = F.posexplode(
-        F.array(
-            F.lit("Codebase Context:"),
-            F.concat(F.lit("- Primary Languages: "), "languages"),
-            F.concat(F.lit("- Total Files: "), F.col("files").cast("string")),
-            F.concat(F.lit("- Total Lines of Code: "), F.col("loc").cast("string")),
-        )
-    ).alias("line_no", "text")
-    first = overview.select(
-        "repo", F.lit(CONTEXT).alias("section"), empty.alias("block"), empty.alias("item"), context
+    return overview.select("repo", F.inline(table)).select(
+        "repo", "section", empty.alias("block"), empty.alias("item"), "line_no", "text"
     )
+
+
+def report(
+    structure: DataFrame,
+    by_file: DataFrame,
+    excerpts: DataFrame,
+    prompt_for: tuple[str, bool] | None = None,
+) -> DataFrame:
+    """All lines of a report; with ``prompt_for=(detail, metrics)`` also the fixed prose of a prompt."""
+    frame = _frame(repo_overview(structure), _prose(*prompt_for) if prompt_for else [])
     listing = _rows(dir_listing(structure), STRUCTURE, F.col("dir"), F.col("path"), F.lit(0), F.col("line"))
     deps = _rows(
-        deps_report(by_file), DEPENDENCIES, F.col("block").cast("string"), empty, F.col("pos"), F.col("line")
+        deps_report(by_file), DEPENDENCIES, F.col("block").cast("string"), F.lit(""), F.col("pos"), F.col("line")
     )
     rank = F.lpad(F.col("rank").cast("string"), 3, "0")
     body = F.posexplode(F.array("header", "excerpt")).alias("line_no", "text")
     files = excerpts.select(
         "repo", F.lit(KEY_FILES).alias("section"), rank.alias("block"), F.col("path").alias("item"), body
     )
-    heads = (
-        _lines(repos, STRUCTURE, ["Codebase structure:"])
-        .unionByName(_lines(repos, DEPENDENCIES, ["Project Dependencies:"]))
-        .unionByName(_lines(repos, KEY_FILES, ["Key files content:"]))
-    )
-    return first.unionByName(heads).unionByName(listing).unionByName(deps).unionByName(files)
-
-
-def prompt_frame(repos: DataFrame, detail: str, metrics: bool) -> DataFrame:
-    """The fixed parts of a prompt, one set per repository."""
-    parts = [
-        (INSTRUCTION, [_INSTRUCTION, _DETAIL.get(detail, _DETAIL_OTHERWISE)]),
-        (APPROACH, _APPROACH),
-        (EXAMPLE, [] if detail == "brief" else _EXAMPLE),
-        (FORMAT, _FORMAT + ([_FORMAT_METRICS] if metrics else [])),
-        (REVIEW, _REVIEW),
-    ]
-    rows = [(section, i, text) for section, texts in parts for i, text in enumerate(texts)]
-    table = F.array(*[
-        F.struct(F.lit(s).alias("section"), F.lit(i).alias("line_no"), F.lit(t).alias("text")) for s, i, t in rows
-    ])
-    return repos.select("repo", F.inline(table)).select(
-        "repo", "section", F.lit("").alias("block"), F.lit("").alias("item"), "line_no", "text"
-    )
+    return frame.unionByName(listing).unionByName(deps).unionByName(files)
 
 
 def prompt_parts(lines: DataFrame, max_bytes: int = 1 << 20) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srcatlas.functions.tables import CHUNK_BYTES, TOP_LANGUAGES, UNKNOWN_LANGUAGE
@@ -60,25 +60,34 @@ def language_loc(structure: DataFrame) -> DataFrame:
     return known.groupBy("repo", "language").agg(F.sum("loc").alias("loc"))
 
 
-def main_languages(structure: DataFrame, top: int = TOP_LANGUAGES) -> DataFrame:
-    """Per repository the ``top`` languages by lines, name ascending on ties, as one string.
+def _top_languages(by_language: str, top: int) -> Column:
+    """First names of an array of ``(-loc, language)``.  There are no more entries than known languages."""
+    ordered = F.slice(F.sort_array(by_language), 1, top)
+    return F.array_join(F.transform(ordered, lambda x: x["language"]), ", ")
 
-    A repository has at most as many rows here as there are known languages.
-    """
-    by_size = Window.partitionBy("repo").orderBy(F.desc("loc"), "language")
-    ranked = language_loc(structure).withColumn("rank", F.row_number().over(by_size)).where(F.col("rank") <= top)
-    names = F.sort_array(F.collect_list(F.struct("rank", "language")))
-    return ranked.groupBy("repo").agg(F.array_join(names["language"], ", ").alias("languages"))
+
+def main_languages(structure: DataFrame, top: int = TOP_LANGUAGES) -> DataFrame:
+    """Per repository the ``top`` languages by lines, name ascending on ties, as one string."""
+    sizes = language_loc(structure).select("repo", F.struct((-F.col("loc")).alias("size"), "language").alias("_l"))
+    return sizes.groupBy("repo").agg(F.collect_list("_l").alias("_l")).select(
+        "repo", _top_languages("_l", top).alias("languages")
+    )
 
 
 def repo_totals(structure: DataFrame) -> DataFrame:
     return structure.groupBy("repo").agg(F.count(F.lit(1)).alias("files"), F.sum("loc").alias("loc"))
 
 
-def repo_overview(structure: DataFrame) -> DataFrame:
+def repo_overview(structure: DataFrame, top: int = TOP_LANGUAGES) -> DataFrame:
     """Totals with the main languages (empty where every language is unknown)."""
-    joined = repo_totals(structure).join(main_languages(structure), "repo", "left")
-    return joined.select("repo", F.coalesce("languages", F.lit("")).alias("languages"), "files", "loc")
+    parts = structure.groupBy("repo", "language").agg(F.count(F.lit(1)).alias("files"), F.sum("loc").alias("loc"))
+    known = F.when(F.col("language") != UNKNOWN_LANGUAGE, F.struct((-F.col("loc")).alias("size"), "language"))
+    return (
+        parts.withColumn("_l", known)
+        .groupBy("repo")
+        .agg(F.collect_list("_l").alias("_l"), F.sum("files").alias("files"), F.sum("loc").alias("loc"))
+        .select("repo", _top_languages("_l", top).alias("languages"), "files", "loc")
+    )
 
 
 def dir_listing(structure: DataFrame) -> DataFrame:

@@ -7,10 +7,8 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 from srcatlas.operators.importance import importance, key_files
-from srcatlas.operators.report import FACTS, key_file_excerpt, prompt_frame, prompt_parts, report_facts
+from srcatlas.operators.report import key_file_excerpt, prompt_parts, report
 from srcatlas.operators.structure import chunks_by_file, file_text, with_structure
 from srcatlas.session import durable
 
@@ -31,24 +29,28 @@ class SummaryOptions:
     metrics: bool = True
 
 
-def prompt_lines(by_file: DataFrame, options: SummaryOptions = SummaryOptions()) -> DataFrame:
-    """All lines of each repository's prompt (see ``operators.report`` for the columns and their order).
-
-    ``by_file`` is read by several branches, so it is written once to the shared folder together with
-    language and line count; branches then read only the columns they need.
-    """
+def _report(by_file: DataFrame, options: SummaryOptions, as_prompt: bool) -> DataFrame:
+    """``by_file`` is read by several branches, so it is written once to the shared folder together with
+    language and line count; branches then read only the columns they need."""
     table = durable(with_structure(by_file), "by-file")
-    structure = table.select("repo", "path", "language", "loc")
     ranked = key_files(importance(file_text(table)), options.detail, options.focus)
-    excerpts = key_file_excerpt(ranked, table, options.detail)
-    facts = report_facts(structure, table, excerpts)
-    repos = structure.select("repo").distinct()
-    return facts.unionByName(prompt_frame(repos, options.detail, options.metrics))
+    return report(
+        table.select("repo", "path", "language", "loc"),
+        table,
+        key_file_excerpt(ranked, table, options.detail),
+        (options.detail, options.metrics) if as_prompt else None,
+    )
 
 
 def report_lines(by_file: DataFrame, options: SummaryOptions = SummaryOptions()) -> DataFrame:
-    """The factual lines only: what a report holds without a text generator."""
-    return prompt_lines(by_file, options).where(F.col("section").isin(*FACTS))
+    """The lines that come from the data: what a report holds without a text generator.  See
+    ``operators.report`` for the columns and their order."""
+    return _report(by_file, options, as_prompt=False)
+
+
+def prompt_lines(by_file: DataFrame, options: SummaryOptions = SummaryOptions()) -> DataFrame:
+    """All lines of each repository's prompt: the report and the fixed prose around it."""
+    return _report(by_file, options, as_prompt=True)
 
 
 def summarize(

@@ -44,54 +44,38 @@ PATH_SCORES = [
 ]
 
 
-def _ends(path: Column, suffixes: tuple[str, ...]) -> Column:
-    test = F.endswith(path, F.lit(suffixes[0]))
-    for s in suffixes[1:]:
-        test = test | F.endswith(path, F.lit(s))
-    return test
-
-
-def _by_suffix(path: Column, values: dict[tuple[str, ...], Column], default: Column) -> Column:
-    """One ``CASE`` over the suffix, so a text only meets the patterns of its own language."""
-    cases = list(values.items())
-    out = F.when(_ends(path, cases[0][0]), cases[0][1])
-    for suffixes, value in cases[1:]:
-        out = out.when(_ends(path, suffixes), value)
-    return out.otherwise(default)
+def _by_suffix(values: dict[tuple[str, ...], str], default: str) -> Column:
+    """One ``CASE`` over the suffix of ``path``, so a text only meets the patterns of its own language."""
+    cases = " ".join(
+        f"when {' or '.join(f'endswith(path, {s!r})' for s in suffixes)} then {value}"
+        for suffixes, value in values.items()
+    )
+    return F.expr(f"case {cases} else {default} end")
 
 
-def _total(terms: list[Column]) -> Column:
-    out = terms[0]
-    for t in terms[1:]:
-        out = out + t
-    return out
+def _count(pattern: str) -> str:
+    """Number of matches in ``text``, as SQL; the single quote is written as a character code there."""
+    return "regexp_count(text, r'" + pattern.replace("'", r"\x27") + "')"
 
 
-def import_count(path: Column, text: Column) -> Column:
-    counts = {
-        suffixes: _total([F.regexp_count(text, F.lit(p)) for p in patterns])
-        for suffixes, patterns in IMPORT_PATTERNS.items()
-    }
-    return _by_suffix(path, counts, F.lit(0)).cast("long")
+def import_count() -> Column:
+    counts = {suffixes: " + ".join(map(_count, patterns)) for suffixes, patterns in IMPORT_PATTERNS.items()}
+    return _by_suffix(counts, "0").cast("long")
 
 
-def pattern_score(path: Column, text: Column) -> Column:
+def pattern_score() -> Column:
     scores = {
-        suffixes: _total([F.lit(0.0)] + [F.regexp_count(text, F.lit(p)) * F.lit(w) for p, w in weighted])
-        for suffixes, weighted in SCORE_PATTERNS.items()
+        suffixes: " + ".join(f"{_count(p)} * {w}D" for p, w in weighted) for suffixes, weighted in SCORE_PATTERNS.items()
     }
-    return _by_suffix(path, scores, F.lit(0.0))
+    return _by_suffix(scores, "0.0D")
 
 
-def path_score(path: Column) -> Column:
-    lowered = F.lower(path)
-    terms = []
-    for words, score in PATH_SCORES:
-        hit = F.contains(lowered, F.lit(words[0]))
-        for w in words[1:]:
-            hit = hit | F.contains(lowered, F.lit(w))
-        terms.append(F.when(hit, F.lit(score)).otherwise(F.lit(0.0)))
-    return _total([F.lit(0.0)] + terms)
+def path_score() -> Column:
+    terms = [
+        f"case when {' or '.join(f'contains(lower(path), {w!r})' for w in words)} then {score}D else 0.0D end"
+        for words, score in PATH_SCORES
+    ]
+    return F.expr(" + ".join(terms))
 
 
 def loc_factor(loc: Column) -> Column:
@@ -100,16 +84,16 @@ def loc_factor(loc: Column) -> Column:
 
 def file_features(texts: DataFrame, keep_text: bool = False) -> DataFrame:
     """Everything about a file that its own row tells: no shuffle."""
-    path, text = F.col("path"), F.col("text")
+    loc = line_count(F.col("text"))
     return texts.select(
         "repo",
         "path",
-        import_count(path, text).alias("imports"),
-        pattern_score(path, text).alias("patterns"),
-        path_score(path).alias("path_score"),
-        depth(path).alias("depth"),
-        line_count(text).alias("loc"),
-        loc_factor(line_count(text)).alias("loc_factor"),
+        import_count().alias("imports"),
+        pattern_score().alias("patterns"),
+        path_score().alias("path_score"),
+        depth(F.col("path")).alias("depth"),
+        loc.alias("loc"),
+        loc_factor(loc).alias("loc_factor"),
         *(["text"] if keep_text else []),
     )
 

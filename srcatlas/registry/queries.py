@@ -29,7 +29,8 @@ LONG_CHUNK_BYTES = 40000
 
 
 def query(fn: Query) -> Query:
-    REGISTRY[fn.__name__] = fn
+    """Register under the function's name; a trailing underscore keeps clear of a module of that name."""
+    REGISTRY[fn.__name__.rstrip("_")] = fn
     return fn
 
 
@@ -118,7 +119,7 @@ def code_files_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query
-def token_estimates(spark: SparkSession, sf: str) -> DataFrame:
+def token_estimate_(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("repo", "path", token_estimate(F.col("content")).alias("tokens"))
 
 
@@ -321,7 +322,7 @@ def imported_by(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query
-def importance_scores(spark: SparkSession, sf: str) -> DataFrame:
+def importance_(spark: SparkSession, sf: str) -> DataFrame:
     scored = importance.importance(_code_texts(spark, sf))
     rounded = [_r6(c) for c in ("patterns", "path_score", "loc_factor", "score")]
     return scored.select("repo", "path", "imports", "imported_by", "depth", *rounded)

@@ -24,12 +24,16 @@ from pyspark.sql.types import StructType
 from srcatlas.functions.tables import CODE_EXTENSIONS, SKIPPED_DIRS
 from srcatlas.functions.text import extension
 from srcatlas.schemas import FILES, SCANNED_FILES
+from srcatlas.session import durable
 
 # Workers get this module's reader by value, so they need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Files are handed over in batches of about this many characters; a larger file is its own batch.
 READ_BATCH_CHARS = 4 << 20
+#: Bytes a reading task gets on average, and the most tasks a read is split into.
+READ_TASK_BYTES = 128 << 20
+MAX_READ_TASKS = 200_000
 LISTING = "repo string, path string, location string, mtime timestamp, size bigint, _error string"
 
 
@@ -149,25 +153,36 @@ def _read_batches(fail_fast: bool):
     return rows
 
 
-def scan_code_files(
-    spark: SparkSession, roots: str | list[str], mode: str = "PERMISSIVE", partitions: int | None = None
-) -> DataFrame:
-    """``repo, path, ext, mtime, size, content[, _error]`` of the code files below ``roots``.
+def list_code_files(spark: SparkSession, roots: str | list[str], mode: str = "PERMISSIVE") -> DataFrame:
+    """``repo, path, location, mtime, size, _error`` of the code files below ``roots``, without contents."""
+    roots = [roots] if isinstance(roots, str) else list(roots)
+    spark.dataSource.register(CodeTreeSource)
+    subtrees = spark.sparkContext.defaultParallelism * 2
+    reader = spark.read.format("codetree").option("path", ",".join(roots)).option("mode", mode)
+    return reader.option("numpartitions", subtrees).load()
 
-    ``repo`` is a root's own name and ``path`` is relative to it.  ``mode``: PERMISSIVE keeps a file that
-    cannot be read with its error; FAILFAST ends the job.  Roots must be readable on every executor.
+
+def read_files(listing: DataFrame, mode: str = "PERMISSIVE", task_bytes: int = READ_TASK_BYTES) -> DataFrame:
+    """``repo, path, ext, mtime, size, content[, _error]`` for a listing (any table with its columns).
+
+    The listing is written to the shared folder, so that directories are walked once, and its total size
+    decides how many tasks read.
     """
-    roots = [roots] if isinstance(roots, str) else list(roots)
-    n = partitions or spark.sparkContext.defaultParallelism * 2
+    spark = listing.sparkSession
+    listing = durable(listing, "listing")
+    total = listing.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    tasks = min(max(total // task_bytes + 1, spark.sparkContext.defaultParallelism), MAX_READ_TASKS)
     fail_fast = mode.upper() == "FAILFAST"
-    spark.dataSource.register(CodeTreeSource)
-    listing = (
-        spark.read.format("codetree")
-        .option("path", ",".join(roots)).option("numpartitions", n).option("mode", mode)
-        .load()
-        .repartition(n, "location")
-    )
     out = "repo string, path string, mtime timestamp, size bigint, content string, _error string"
-    read = listing.mapInArrow(_read_batches(fail_fast), out)
+    read = listing.repartition(tasks, "location").mapInArrow(_read_batches(fail_fast), out)
     names = FILES.names if fail_fast else SCANNED_FILES.names
     return read.withColumn("ext", extension(F.col("path"))).select(*names)
+
+
+def scan_code_files(spark: SparkSession, roots: str | list[str], mode: str = "PERMISSIVE") -> DataFrame:
+    """List and read the code files below ``roots``.
+
+    ``repo`` is a root's own name and ``path`` is relative to it.  ``mode``: PERMISSIVE keeps a file that
+    cannot be read with its error; FAILFAST ends the job.  Roots must be readable on every executor.
+    """
+    return read_files(list_code_files(spark, roots, mode), mode)

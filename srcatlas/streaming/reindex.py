@@ -21,10 +21,11 @@ _VERSIONS = "repo string, file string, mtime timestamp, deleted boolean, batch b
 _CHUNKS = T.StructType([*CHUNKS.fields, T.StructField("batch", T.LongType())])
 
 
-def _newest(versions: DataFrame) -> DataFrame:
-    """One row per file: latest ``mtime``, then latest batch.  A partial aggregate, safe with many versions."""
-    last = F.max_by(F.struct("mtime", "deleted", "batch"), F.struct("mtime", "batch"))
-    return versions.groupBy("repo", "file").agg(last.alias("_v")).select("repo", "file", "_v.*")
+def _superseded(versions: DataFrame) -> DataFrame:
+    """``repo, file, batch`` of versions that a later one replaced: later ``mtime``, then later batch."""
+    last = versions.groupBy("repo", "file").agg(F.max(F.struct("mtime", "batch")).alias("_last"))
+    old = versions.join(last, ["repo", "file"]).where(F.struct("mtime", "batch") < F.col("_last"))
+    return old.select("repo", "file", "batch")
 
 
 def index_batch(files: DataFrame, batch: int, target: str, embedder: Embedder | None, max_bytes: int) -> None:
@@ -62,11 +63,14 @@ def start_reindex(
 
 
 def current_index(spark: SparkSession, target: str) -> DataFrame:
-    """The index as it stands: chunks of the newest version of every file that is not deleted."""
+    """The index as it stands: chunks of the newest version of every file.
+
+    A deletion is a version without chunks.  Only the keys of replaced versions are joined, which are few
+    after ``compact``.
+    """
     versions = spark.read.schema(_VERSIONS).parquet(f"{target}/versions")
     chunks = spark.read.schema(_CHUNKS).parquet(f"{target}/chunks")
-    live = _newest(versions).where(~F.col("deleted")).select("repo", "file", "batch")
-    return chunks.join(live, ["repo", "file", "batch"], "left_semi").drop("batch")
+    return chunks.join(_superseded(versions), ["repo", "file", "batch"], "left_anti").drop("batch")
 
 
 def compact(spark: SparkSession, target: str, out: str) -> None:

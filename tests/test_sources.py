@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from srcatlas.operators.incremental import changed_files
 from srcatlas.plans.indexing import file_errors, index_files
 from srcatlas.session import new_shared_path
-from srcatlas.sources.code_tree import scan_code_files
+from srcatlas.sources.code_tree import list_code_files, read_files, scan_code_files
 from srcatlas.sources.index_store import load_or_build, read_index, read_index_json, write_index, write_index_json
 from srcatlas.streaming.reindex import compact, current_index, start_reindex
 
@@ -44,8 +44,8 @@ def test_scan(spark, tree):
         ("dist", "z.rs"): "yes",
     }
     roots = [f"{tree}/one", f"{tree}/dist/"]
-    for n in (1, 50):
-        rows = scan_code_files(spark, roots, partitions=n).collect()
+    for task_bytes in (1, 1 << 30):
+        rows = read_files(list_code_files(spark, roots), task_bytes=task_bytes).collect()
         assert {(r.repo, r.path): r.content for r in rows} == want
         assert all(r._error is None for r in rows)
     row = next(r for r in rows if r.path == "src/a.py")

@@ -49,11 +49,11 @@ _LITERALS = r"\x22(?:\\.|[^\x22\\])*\x22|\x27(?:\\.|[^\x27\\])*\x27|\x60[^\x60]*
 
 
 def _name(pattern: str) -> str:
-    return f"regexp_extract(x, r'{pattern}', 1)"
+    return f"regexp_extract(l.x, r'{pattern}', 1)"
 
 
 def _heads(*candidates: tuple[str, str, str, str]) -> str:
-    """Headers found on line ``x``, in the order given: condition, kind, name, whether one line is all."""
+    """Headers found on line ``l.x``, in the order given: condition, kind, name, whether one line is all."""
     cases = ", ".join(
         f"case when {cond} then named_struct('kind', '{kind}', 'name', {name}, 'oneline', {oneline}) end"
         for cond, kind, name, oneline in candidates
@@ -72,27 +72,29 @@ _PY_STACK = "array<struct<kind:string,name:string,s:int,indent:int>>"
 # header over several lines, so it closes only what is deeper than itself.
 _PY_LINE = f"""
 named_struct(
-  'skip', btrim(x, {WHITESPACE_SQL}) = '' or startswith(btrim(x, {WHITESPACE_SQL}), '#'),
-  'indent', char_length(replace(regexp_extract(x, r'^[ \\t]*', 0), '\\t', '        ')),
-  'level', char_length(replace(regexp_extract(x, r'^[ \\t]*', 0), '\\t', '        '))
-    + case when left(btrim(x, {WHITESPACE_SQL}), 1) in (')', ']', '}}') then 1 else 0 end,
+  'skip', l.t = '' or startswith(l.t, '#'),
+  'indent', l.w,
+  'level', l.w + case when left(l.t, 1) in (')', ']', '}}') then 1 else 0 end,
   'heads', {_heads(
-      (f"x rlike r'{_PY_DEF}'", "function", _name(_PY_DEF), "false"),
-      (f"x rlike r'{_PY_CLASS}'", "class", _name(_PY_CLASS), "false"))})"""
+      (f"l.x rlike r'{_PY_DEF}'", "function", _name(_PY_DEF), "false"),
+      (f"l.x rlike r'{_PY_CLASS}'", "class", _name(_PY_CLASS), "false"))})"""
 _PY_SPANS = f"""
 aggregate(
-  transform(_lines, x -> {_PY_LINE}),
+  transform(
+    transform(_lines, x -> named_struct('x', x, 't', btrim(x, {WHITESPACE_SQL}),
+      'w', char_length(replace(regexp_extract(x, r'^[ \\t]*', 0), '\\t', '        ')))),
+    l -> {_PY_LINE}),
   named_struct('stack', cast(array() as {_PY_STACK}), 'out', cast(array() as {_DEFS}), 'last', 0, 'i', 0),
   (a, x) -> case
     when x.skip then named_struct('stack', a.stack, 'out', a.out, 'last', a.last, 'i', a.i + 1)
+    when size(x.heads) = 0 and not exists(a.stack, d -> d.indent >= x.level)
+      then named_struct('stack', a.stack, 'out', a.out, 'last', a.i + 1, 'i', a.i + 1)
     else named_struct(
       'stack', cast(concat(
         filter(a.stack, d -> d.indent < x.level),
         transform(x.heads, h -> named_struct('kind', h.kind, 'name', h.name, 's', a.i + 1, 'indent', x.indent))
       ) as {_PY_STACK}),
-      'out', case when exists(a.stack, d -> d.indent >= x.level)
-        then cast(concat(a.out, {_closed("filter(a.stack, d -> d.indent >= x.level)", "a.last")}) as {_DEFS})
-        else a.out end,
+      'out', cast(concat(a.out, {_closed("filter(a.stack, d -> d.indent >= x.level)", "a.last")}) as {_DEFS}),
       'last', a.i + 1,
       'i', a.i + 1) end,
   a -> cast(concat(a.out, {_closed("a.stack", "a.last")}) as {_DEFS}))"""
@@ -100,79 +102,94 @@ aggregate(
 # --- Braces: a definition ends on the line that brings the depth back to where it began. ---------------------
 
 
-def _brace_line(code: str, heads: str, group: str) -> str:
-    """``leading``: closing braces before anything else on the line, which belong to the line before."""
-    lead = rf"regexp_extract({code}, r'^[\s)\];,}}]*', 0)"
+def _brace_line(heads: str, group: str) -> str:
+    """``l.x`` is a line, ``l.c`` the line without literals and comments, ``l.p`` its leading closers.
+
+    ``leading``: closing braces before anything else on the line, which belong to the line before.
+    """
     return f"""
 named_struct(
-  'opens', char_length({code}) - char_length(replace({code}, '{{', '')),
-  'closes', char_length({code}) - char_length(replace({code}, '}}', '')),
-  'leading', char_length({lead}) - char_length(replace({lead}, '}}', '')),
+  'opens', char_length(l.c) - char_length(replace(l.c, '{{', '')),
+  'closes', char_length(l.c) - char_length(replace(l.c, '}}', '')),
+  'leading', char_length(l.p) - char_length(replace(l.p, '}}', '')),
   'heads', {heads},
   'group', {group})"""
 
 
-_CODE = f"regexp_replace(x, r'{_LITERALS}', '')"
 # group: 1 where a list of types opens, -1 where it ends; "grouped" structs count only inside such a list.
 _GO_LINE = _brace_line(
-    _CODE,
     _heads(
-        (f"x rlike r'{_GO_FUNC}'", "function", _name(_GO_FUNC), "false"),
-        (f"x rlike r'{_GO_METHOD}'", "function", _name(_GO_METHOD), "false"),
-        (f"x rlike r'{_GO_STRUCT}'", "class", _name(_GO_STRUCT), "false"),
-        (f"x rlike r'{_GO_GROUPED_STRUCT}' and not x rlike r'{_GO_STRUCT}'", "grouped", _name(_GO_GROUPED_STRUCT), "false"),
+        (f"l.x rlike r'{_GO_FUNC}'", "function", _name(_GO_FUNC), "false"),
+        (f"l.x rlike r'{_GO_METHOD}'", "function", _name(_GO_METHOD), "false"),
+        (f"l.x rlike r'{_GO_STRUCT}'", "class", _name(_GO_STRUCT), "false"),
+        (
+            f"l.x rlike r'{_GO_GROUPED_STRUCT}' and not l.x rlike r'{_GO_STRUCT}'",
+            "grouped", _name(_GO_GROUPED_STRUCT), "false",
+        ),
     ),
-    f"case when x rlike r'{_GO_TYPE_GROUP}' then 1 when startswith(x, ')') then -1 else 0 end",
+    f"case when l.x rlike r'{_GO_TYPE_GROUP}' then 1 when startswith(l.x, ')') then -1 else 0 end",
 )
-_JS_EXPR = f"(not x rlike r'{_JS_FUNC}' and {_CODE} rlike r'{_JS_FUNC_EXPR}')"
+_JS_EXPR = f"(contains(l.c, 'function') and not l.x rlike r'{_JS_FUNC}' and l.c rlike r'{_JS_FUNC_EXPR}')"
 _JS_LINE = _brace_line(
-    _CODE,
     _heads(
-        (f"x rlike r'{_JS_FUNC}'", "function", _name(_JS_FUNC), "false"),
-        (f"contains({_CODE}, '=>')", "function", "cast(null as string)", f"not contains({_CODE}, '{{')"),
+        (f"l.x rlike r'{_JS_FUNC}'", "function", _name(_JS_FUNC), "false"),
+        ("contains(l.c, '=>')", "function", "cast(null as string)", "not contains(l.c, '{')"),
         (_JS_EXPR, "function", "cast(null as string)", "false"),
-        (f"x rlike r'{_JS_CLASS}'", "class", _name(_JS_CLASS), "false"),
+        (f"l.x rlike r'{_JS_CLASS}'", "class", _name(_JS_CLASS), "false"),
         (
-            f"x rlike r'{_JS_METHOD}' and not x rlike r'{_JS_FUNC}' and not x rlike r'{_JS_CLASS}' and not {_JS_EXPR}",
+            f"l.x rlike r'{_JS_METHOD}' and not l.x rlike r'{_JS_FUNC}' and not l.x rlike r'{_JS_CLASS}'"
+            f" and not {_JS_EXPR}",
             "function", _name(_JS_METHOD), "false",
         ),
-        (f"x rlike r'{_JS_VAR}'", "function", _name(_JS_VAR), f"contains({_CODE}, '=>') and not contains({_CODE}, '{{')"),
+        (
+            f"l.x rlike r'{_JS_VAR}'",
+            "function", _name(_JS_VAR), "contains(l.c, '=>') and not contains(l.c, '{')",
+        ),
     ),
     "0",
 )
 _BRACE_STACK = "array<struct<kind:string,name:string,s:int,depth:int,open:boolean,done:boolean>>"
-_HEADS_HERE = "filter(x.heads, h -> h.kind <> 'grouped' or (a.grouped and a.depth = 0))"
-# Open definitions after this line's headers.  A header that meets the next one before its body has none;
-# without a body, a definition ends on its own line.
-_LIVE = f"""
+# Open definitions after this line's headers ``hs``.  A header that meets the next one before its body has
+# none; without a body, a definition ends on its own line.
+_LIVE = """
 concat(
   transform(a.stack, d -> named_struct(
     'kind', d.kind, 'name', d.name, 's', d.s, 'depth', d.depth,
-    'open', d.open or (x.opens > 0 and size({_HEADS_HERE}) = 0),
-    'done', not d.open and size({_HEADS_HERE}) > 0)),
-  transform({_HEADS_HERE}, h -> named_struct(
+    'open', d.open or (x.opens > 0 and size(hs) = 0),
+    'done', not d.open and size(hs) > 0)),
+  transform(hs, h -> named_struct(
     'kind', case h.kind when 'grouped' then 'class' else h.kind end, 'name', h.name, 's', a.i + 1,
     'depth', a.depth - x.leading, 'open', x.opens > 0, 'done', h.oneline)))"""
 _OVER = "(d.done or (d.open and a.depth + x.opens - x.closes <= d.depth))"
 _GROUPED = "case x.group when 1 then true when -1 then false else a.grouped end"
+# One-element arrays bind a value to a name: the headers that count, and the open definitions.
+_BUSY = f"""
+transform(array(filter(x.heads, h -> h.kind <> 'grouped' or (a.grouped and a.depth = 0))), hs ->
+  transform(array({_LIVE}), live -> named_struct(
+    'stack', cast(filter(live, d -> not {_OVER}) as {_BRACE_STACK}),
+    'out', cast(concat(a.out, {_closed(f"filter(live, d -> {_OVER})", "case when d.open then a.i + 1 else d.s end")})
+      as {_DEFS}),
+    'depth', a.depth + x.opens - x.closes,
+    'i', a.i + 1,
+    'grouped', {_GROUPED}))[0])[0]"""
 
 
 def _brace_spans(line: str) -> str:
+    """Lines without headers and braces change nothing but the line number."""
     return f"""
 aggregate(
-  transform(_lines, x -> {line}),
+  transform(
+    transform(
+      transform(_lines, x -> named_struct('x', x, 'c', regexp_replace(x, r'{_LITERALS}', ''))),
+      l -> named_struct('x', l.x, 'c', l.c, 'p', regexp_extract(l.c, r'^[\\s)\\];,}}]*', 0))),
+    l -> {line}),
   named_struct('stack', cast(array() as {_BRACE_STACK}), 'out', cast(array() as {_DEFS}), 'depth', 0, 'i', 0,
     'grouped', false),
   (a, x) -> case
-    when size(a.stack) = 0 and size(x.heads) = 0 then named_struct('stack', a.stack, 'out', a.out,
-      'depth', a.depth + x.opens - x.closes, 'i', a.i + 1, 'grouped', {_GROUPED})
-    else named_struct(
-      'stack', cast(filter({_LIVE}, d -> not {_OVER}) as {_BRACE_STACK}),
-      'out', cast(concat(a.out, {_closed(f"filter({_LIVE}, d -> {_OVER})", "case when d.open then a.i + 1 else d.s end")})
-        as {_DEFS}),
-      'depth', a.depth + x.opens - x.closes,
-      'i', a.i + 1,
-      'grouped', {_GROUPED}) end,
+    when size(x.heads) = 0 and (size(a.stack) = 0 or (x.opens = 0 and x.closes = 0))
+      then named_struct('stack', a.stack, 'out', a.out, 'depth', a.depth + x.opens - x.closes, 'i', a.i + 1,
+        'grouped', {_GROUPED})
+    else {_BUSY} end,
   a -> cast(concat(a.out, {_closed("a.stack", "case when d.open then a.i else d.s end")}) as {_DEFS}))"""
 
 

@@ -69,15 +69,20 @@ def embed_texts(texts: DataFrame, embedder: Embedder | None = None) -> DataFrame
     return prepared.mapInPandas(embedder, VECTORS).where(F.size("embedding") > 0)
 
 
-def attach_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+def attach_vectors(chunks: DataFrame, vectors: DataFrame, copies: DataFrame | None = None) -> DataFrame:
     """Give every chunk the vector of its text; chunks without one are dropped.
 
     Copies of one text may be a large share of all chunks, so the join salts hot texts.  They are found
-    by an 8-byte hash; the text itself is compared in the join.
+    by an 8-byte hash; the text itself is compared in the join.  ``copies`` (``text, copies``) tells how often
+    each text occurs where that is known; otherwise the chunks are counted.
     """
     left = chunks.drop("embedding").withColumn("_h", F.xxhash64("content"))
     right = vectors.withColumnRenamed("text", "content").withColumn("_h", F.xxhash64("content"))
-    hot = hot_keys(left.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")), ["_h"], "_n")
+    if copies is None:
+        counts = left.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
+    else:
+        counts = copies.groupBy(F.xxhash64("text").alias("_h")).agg(F.sum("copies").alias("_n"))
+    hot = hot_keys(counts, ["_h"], "_n")
     salt_by = [c for c in chunks.columns if c in ("repo", "file", "chunk_idx", "start_line")]
     return salted_join(left, right, ["_h", "content"], salt_by, hot=hot, hot_on=["_h"]).drop("_h")
 

@@ -16,6 +16,8 @@ from srcatlas.operators.deps import deps_report
 from srcatlas.operators.structure import DISPLAY_GLUE, dir_listing, repo_overview
 from srcatlas.session import durable
 
+#: Rows of three short columns each, so a broadcast stays within some hundred megabytes.
+BROADCAST_KEY_FILES = 1_000_000
 ORDER = ("repo", "section", "block", "item", "line_no")
 INSTRUCTION, CONTEXT, APPROACH, STRUCTURE, DEPENDENCIES, KEY_FILES, EXAMPLE, FORMAT, REVIEW = range(1, 10)
 
@@ -80,24 +82,32 @@ def excerpt(text: Column, detail: str) -> Column:
     """A long text of many lines is cut to its first and last lines, unless all detail is wanted."""
     if detail == "comprehensive":
         return text
-    lines = lines_of(text)
-    cut = F.concat(
-        F.array_join(F.slice(lines, 1, EXCERPT_HALF), "\n"),
-        F.lit(f"\n{EXCERPT_MARK}\n"),
-        F.array_join(F.slice(lines, -EXCERPT_HALF, EXCERPT_HALF), "\n"),
-    )
-    return F.when((byte_len(text) > EXCERPT_BYTES) & (F.size(lines) > EXCERPT_LINES), cut).otherwise(text)
+
+    def cut(lines: Column) -> Column:
+        ends = F.concat(
+            F.array_join(F.slice(lines, 1, EXCERPT_HALF), "\n"),
+            F.lit(f"\n{EXCERPT_MARK}\n"),
+            F.array_join(F.slice(lines, -EXCERPT_HALF, EXCERPT_HALF), "\n"),
+        )
+        return F.when(F.size(lines) > EXCERPT_LINES, ends)
+
+    # The lines are bound by a lambda, so a text is split once, and only if it is large.
+    shortened = F.transform(F.array(lines_of(text)), cut)[0]
+    return F.when(byte_len(text) > EXCERPT_BYTES, F.coalesce(shortened, text)).otherwise(text)
 
 
 def key_file_excerpt(key_files: DataFrame, by_file: DataFrame, detail: str = "standard") -> DataFrame:
     """``repo, rank, path, score, header, excerpt``.
 
-    Key files are few per repository; Spark broadcasts them when they are small and else filters the
-    texts by them before the join.
+    The key files are written out and counted.  Up to ``BROADCAST_KEY_FILES`` of them go to every task, and
+    the texts are filtered where they are; beyond that both sides are shuffled by file.
     """
+    chosen = durable(key_files, "key-files")
+    if chosen.count() <= BROADCAST_KEY_FILES:
+        chosen = F.broadcast(chosen)
     text = F.array_join("chunks", DISPLAY_GLUE)
     header = F.concat(F.lit("--- "), "path", F.lit(" (Importance: "), fixed2(F.col("score")), F.lit(") ---"))
-    return key_files.join(by_file.select("repo", "path", "chunks"), ["repo", "path"]).select(
+    return by_file.select("repo", "path", "chunks").join(chosen, ["repo", "path"]).select(
         "repo", "rank", "path", "score", header.alias("header"), excerpt(text, detail).alias("excerpt")
     )
 

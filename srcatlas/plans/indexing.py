@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srcatlas.functions.hashed_bag import hashed_bag
@@ -11,24 +11,54 @@ from srcatlas.functions.text import embeddable, normalize
 from srcatlas.operators.chunk import paragraph_chunks, with_paragraph_chunks
 from srcatlas.operators.definitions import semantic_chunks
 from srcatlas.operators.embed import Embedder, attach_vectors, distinct_texts, embed_texts
+from srcatlas.session import durable
 
 NO_VALID_TEXT = "no valid texts to embed"
 
 
-def index_files(files: DataFrame, embedder: Embedder | None = None, max_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """``repo, file, chunk_idx, content, embedding`` for every chunk that got a vector.
+def with_vectors(chunks: DataFrame, embedder: Embedder | None = None) -> DataFrame:
+    """Chunks with ``embedding``; those that get none are dropped.
 
-    With the built-in embedder the whole job is one pass without a shuffle: the vector is a function of
-    the row.  A user's embedder is assumed to be costly, so it sees each distinct text once and its
-    vectors are joined back.
+    The built-in embedder is a function of the row: no shuffle.  A user's embedder is assumed to be costly,
+    so it sees each distinct text once, and its vectors are written to the shared folder before they are
+    joined back: a lost executor does not make it run again for what is done.
     """
-    chunks = paragraph_chunks(files, max_bytes)
     if embedder is None:
-        return chunks.where(embeddable(F.col("content"))).withColumn(
-            "embedding", hashed_bag(normalize(F.col("content")))
-        )
-    vectors = embed_texts(distinct_texts(chunks), embedder)
-    return attach_vectors(chunks, vectors).select("repo", "file", "chunk_idx", "content", "embedding")
+        valid = chunks.where(embeddable(F.col("content")))
+        return valid.withColumn("embedding", hashed_bag(normalize(F.col("content"))))
+    texts = durable(distinct_texts(chunks), "texts")
+    vectors = durable(embed_texts(texts, embedder), "vectors")
+    return attach_vectors(chunks, vectors, texts)
+
+
+def index_files(files: DataFrame, embedder: Embedder | None = None, max_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """``repo, file, chunk_idx, content, embedding`` for every chunk that got a vector."""
+    chunks = with_vectors(paragraph_chunks(files, max_bytes), embedder)
+    return chunks.select("repo", "file", "chunk_idx", "content", "embedding")
+
+
+def refresh_index(
+    index: DataFrame,
+    files: DataFrame,
+    changes: DataFrame,
+    embedder: Embedder | None = None,
+    max_bytes: int = CHUNK_BYTES,
+) -> DataFrame:
+    """An index brought up to date: chunks of changed and deleted files go, changed files are indexed.
+
+    ``changes`` comes from ``changed_files``; only its keys meet the stored chunks and the files.
+    """
+    gone = changes.select("repo", F.col("path").alias("file"))
+    again = files.join(changes.where(F.col("status") != "deleted").select("repo", "path"), ["repo", "path"], "left_semi")
+    kept = index.join(gone, ["repo", "file"], "left_anti")
+    return kept.unionByName(index_files(again, embedder, max_bytes))
+
+
+def refresh_state(state: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
+    """``repo, path, mtime, indexed_at`` after a refresh: changed files stamped, deleted ones removed."""
+    kept = state.join(changes.select("repo", "path"), ["repo", "path"], "left_anti")
+    stamped = changes.where(F.col("status") != "deleted").select("repo", "path", "mtime", now.alias("indexed_at"))
+    return kept.select("repo", "path", "mtime", "indexed_at").unionByName(stamped)
 
 
 def file_errors(files: DataFrame, max_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -39,11 +69,9 @@ def file_errors(files: DataFrame, max_bytes: int = CHUNK_BYTES) -> DataFrame:
     read_error = F.col("_error") if "_error" in files.columns else F.lit(None).cast("string")
     unfit = (F.size("chunks") > 0) & ~F.exists("chunks", embeddable)
     error = F.coalesce(read_error, F.when(unfit, NO_VALID_TEXT))
-    return (
-        with_paragraph_chunks(files, max_bytes)
-        .select("repo", F.col("path").alias("file"), error.alias("error"))
-        .where(F.col("error").isNotNull())
-    )
+    # No row or one per file, by a generator: a filter on the column would compute the chunks again.
+    found = F.explode(F.filter(F.array(error), lambda e: e.isNotNull())).alias("error")
+    return with_paragraph_chunks(files, max_bytes).select("repo", F.col("path").alias("file"), found)
 
 
 def error_report(errors: DataFrame, shown: int = ERRORS_SHOWN) -> DataFrame:
@@ -53,14 +81,14 @@ def error_report(errors: DataFrame, shown: int = ERRORS_SHOWN) -> DataFrame:
         errors.orderBy("repo", "file")
         .limit(shown)
         .withColumn("total", total)
-        .withColumn("not_shown", F.greatest(total - shown, F.lit(0).cast("long")))
+        .withColumn("not_shown", F.greatest(F.col("total") - shown, F.lit(0).cast("long")))
     )
 
 
 def index_stats(files: DataFrame, max_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Per repository: files found and chunks saved."""
     chunked = with_paragraph_chunks(files, max_bytes)
-    saved = F.size(F.filter("chunks", embeddable)).cast("long")
+    saved = F.coalesce(F.size(F.filter("chunks", embeddable)), F.lit(0)).cast("long")
     return (
         chunked.select("repo", saved.alias("n"))
         .groupBy("repo")
@@ -71,12 +99,6 @@ def index_stats(files: DataFrame, max_bytes: int = CHUNK_BYTES) -> DataFrame:
 def code_embeddings(files: DataFrame, embedder: Embedder | None = None) -> DataFrame:
     """``repo, file, embedding, metadata<filename, function, class, start_line, end_line, content>`` of every
     definition (or block, where a file has none) that got a vector."""
-    chunks = semantic_chunks(files)
-    if embedder is None:
-        embedded = chunks.where(embeddable(F.col("content"))).withColumn(
-            "embedding", hashed_bag(normalize(F.col("content")))
-        )
-    else:
-        embedded = attach_vectors(chunks, embed_texts(distinct_texts(chunks), embedder))
+    embedded = with_vectors(semantic_chunks(files), embedder)
     metadata = F.struct("filename", "function", "class", "start_line", "end_line", "content")
     return embedded.select("repo", "file", "embedding", metadata.alias("metadata"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from srcatlas.functions.arrays import items
 from srcatlas.functions.text import normalize, token_estimate
 from srcatlas.operators import chunk, deps, embed, importance, report, select, structure
 from srcatlas.operators.crossref import imported_by as count_references
@@ -177,7 +178,7 @@ def semantic_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _weights(df: DataFrame, *keys: str) -> DataFrame:
-    cells = df.select(*keys, F.posexplode("embedding").alias("dim", "w")).where(F.col("w") != 0)
+    cells = df.select(*keys, F.posexplode(items("embedding")).alias("dim", "w")).where(F.col("w") != 0)
     return cells.select(*keys, "dim", F.round(F.col("w").cast("double"), 5).alias("weight"))
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from srcatlas.operators.incremental import changed_files
-from srcatlas.plans.indexing import file_errors, index_files
+from srcatlas.plans.indexing import file_errors, index_files, refresh_index, refresh_state
 from srcatlas.session import new_shared_path
 from srcatlas.sources.code_tree import list_code_files, read_files, scan_code_files
 from srcatlas.sources.index_store import load_or_build, read_index, read_index_json, write_index, write_index_json
@@ -116,6 +116,21 @@ def test_changed_files(spark):
     }
 
 
+def test_refresh_equals_rebuild(spark, files):
+    at = lambda h: dt.datetime(2024, 1, 1, h)
+    old = spark.createDataFrame([("r", "a", "1\n\n2", at(1)), ("r", "b", "b", at(1)), ("r", "c", "c", at(1))],
+                                "repo string, path string, content string, mtime timestamp")
+    new = spark.createDataFrame([("r", "a", "3", at(2)), ("r", "b", "b", at(1)), ("s", "c", "x", at(2))],
+                                "repo string, path string, content string, mtime timestamp")
+    state = old.select("repo", "path", "mtime", F.lit(at(3)).alias("indexed_at"))
+    now = F.lit(at(4))
+    changes = changed_files(new, state, now, F.expr("interval 5 hours"))
+    got = refresh_index(index_files(old, max_bytes=1), new, changes, max_bytes=1)
+    assert rows(got) == rows(index_files(new, max_bytes=1))
+    after = {(r.repo, r.path): (r.mtime, r.indexed_at) for r in refresh_state(state, changes, now).collect()}
+    assert after == {("r", "a"): (at(2), at(4)), ("r", "b"): (at(1), at(3)), ("s", "c"): (at(2), at(4))}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     at = lambda m: dt.datetime(2024, 1, 1, 0, m)
     schema = "repo string, path string, mtime timestamp, content string"

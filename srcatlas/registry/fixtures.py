@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from srcatlas.session import spread
+from srcatlas.sources.fs import write_bytes
 
 # Documents as files: line feeds doubled, so each line is a paragraph.
 DOCS_SQL = """
@@ -119,10 +119,7 @@ def write_as_files(files: DataFrame, folder: str) -> None:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                where = os.path.join(folder, row["repo"], row["path"])
-                os.makedirs(os.path.dirname(where), exist_ok=True)
-                with open(where, "w", encoding="utf-8", newline="") as f:
-                    f.write(row["content"])
+                write_bytes(f"{folder}/{row['repo']}/{row['path']}", row["content"].encode())
             yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]}, schema=pa.schema([("n", pa.int64())]))
 
     files.select("repo", "path", "content").mapInArrow(write, "n bigint").write.format("noop").mode("overwrite").save()

@@ -72,7 +72,7 @@ def _turns(spark, sf):
 
 @query
 def scan_code_files(spark: SparkSession, sf: str) -> DataFrame:
-    folder = new_shared_path(spark, "code-tree").removeprefix("file:")
+    folder = new_shared_path(spark, "code-tree")
     fx.write_as_files(_code(spark, sf), folder)
     return scan(spark, [f"{folder}/r{i}" for i in range(4)]).select("repo", "path", "ext", "size", "content")
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import codecs
 import datetime as dt
-import os
 import sys
 from collections.abc import Iterator
 
@@ -25,6 +24,7 @@ from srcatlas.functions.tables import CODE_EXTENSIONS, SKIPPED_DIRS
 from srcatlas.functions.text import extension
 from srcatlas.schemas import FILES, SCANNED_FILES
 from srcatlas.session import durable
+from srcatlas.sources.fs import entries, read_bytes
 
 # Workers get this module's reader by value, so they need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -37,15 +37,6 @@ MAX_READ_TASKS = 200_000
 LISTING = "repo string, path string, location string, mtime timestamp, size bigint, _error string"
 
 
-def _entries(folder: str) -> Iterator[tuple[str, bool, float, int]]:
-    """``name, is_dir, mtime, size`` of a directory's entries.  A link counts as a file, never as a directory."""
-    with os.scandir(folder) as it:
-        for e in it:
-            is_dir = e.is_dir(follow_symlinks=False)
-            info = None if is_dir else e.stat()
-            yield e.name, is_dir, info.st_mtime if info else 0.0, info.st_size if info else 0
-
-
 def _is_code(name: str) -> bool:
     return "." in name and "." + name.rsplit(".", 1)[1] in CODE_EXTENSIONS
 
@@ -62,7 +53,7 @@ class CodeTreeReader(DataSourceReader):
         roots = [r for r in options.get("path", "").split(",") if r]
         if not roots:
             raise ValueError("option 'path' names the directories to scan, separated by commas")
-        self.roots = [r.rstrip("/") or "/" for r in roots]
+        self.roots = [r.rstrip("/") for r in roots]
         self.wanted = int(options.get("numpartitions", "64"))
         self.fail_fast = options.get("mode", "PERMISSIVE").upper() == "FAILFAST"
 
@@ -74,10 +65,10 @@ class CodeTreeReader(DataSourceReader):
             for root, folder in level:
                 done.append(Subtree(root, folder, recurse=False))
                 try:
-                    names = [n for n, is_dir, _, _ in _entries(folder) if is_dir and n not in SKIPPED_DIRS]
+                    names = [n for n, is_dir, _, _ in entries(folder) if is_dir and n not in SKIPPED_DIRS]
                 except OSError:
                     names = []  # reported by the task that lists the directory
-                below += [(root, os.path.join(folder, n)) for n in names]
+                below += [(root, f"{folder}/{n}") for n in names]
             level = below
         return done + [Subtree(root, folder, recurse=True) for root, folder in level]
 
@@ -86,12 +77,12 @@ class CodeTreeReader(DataSourceReader):
         while pending:
             folder = pending.pop()
             try:
-                for name, is_dir, mtime, size in _entries(folder):
+                for name, is_dir, mtime, size in entries(folder):
                     if is_dir:
                         if part.recurse and name not in SKIPPED_DIRS:
-                            pending.append(os.path.join(folder, name))
+                            pending.append(f"{folder}/{name}")
                     elif _is_code(name):
-                        where = os.path.join(folder, name)
+                        where = f"{folder}/{name}"
                         yield self._row(part.root, where, dt.datetime.fromtimestamp(mtime), size, None)
             except OSError as e:
                 if self.fail_fast:
@@ -100,7 +91,7 @@ class CodeTreeReader(DataSourceReader):
 
     @staticmethod
     def _row(root, where, mtime, size, error):
-        return os.path.basename(root), os.path.relpath(where, root), where, mtime, size, error
+        return root.rsplit("/", 1)[-1], where[len(root) + 1:], where, mtime, size, error
 
 
 class CodeTreeSource(DataSource):
@@ -135,8 +126,7 @@ def _read_batches(fail_fast: bool):
                 text, error = None, row["_error"]
                 if error is None:
                     try:
-                        with open(row["location"], "rb") as f:
-                            text = f.read().decode("utf-8", "srcatlas_byte")
+                        text = read_bytes(row["location"]).decode("utf-8", "srcatlas_byte")
                     except OSError as e:
                         if fail_fast:
                             raise
@@ -183,6 +173,7 @@ def scan_code_files(spark: SparkSession, roots: str | list[str], mode: str = "PE
     """List and read the code files below ``roots``.
 
     ``repo`` is a root's own name and ``path`` is relative to it.  ``mode``: PERMISSIVE keeps a file that
-    cannot be read with its error; FAILFAST ends the job.  Roots must be readable on every executor.
+    cannot be read with its error; FAILFAST ends the job.  Roots are plain paths that every executor can open,
+    or addresses such as ``hdfs://`` and ``s3://`` that Arrow's file systems know.
     """
     return read_files(list_code_files(spark, roots, mode), mode)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from srcatlas.operators.incremental import changed_files
 from srcatlas.plans.indexing import file_errors, index_files, refresh_index, refresh_state
 from srcatlas.session import new_shared_path
+from srcatlas.sources import fs
 from srcatlas.sources.code_tree import list_code_files, read_files, scan_code_files
 from srcatlas.sources.index_store import load_or_build, read_index, read_index_json, write_index, write_index_json
 from srcatlas.streaming.reindex import compact, current_index, start_reindex
@@ -61,10 +62,22 @@ def test_unreadable_files(spark, tree):
     assert len(bad) == 1 and "gone.py" in bad[0]._error and bad[0].content is None
     assert [r.file for r in file_errors(df).collect()] == [bad[0].path]
     assert df.where("path like 'linked%'").count() == 0
+    assert df.where("_error is null").count() == 6
     with pytest.raises(Exception, match="gone.py"):
         scan_code_files(spark, f"{tree}/one", mode="FAILFAST").collect()
 
 
+def test_other_file_systems(tmp_path):
+    where = f"file://{tmp_path}/d/e/x.py"
+    fs.write_bytes(where, b"text")
+    assert fs.read_bytes(where) == b"text"
+    os.mkdir(tmp_path / "d" / "sub")
+    for listed in (fs.remote_entries(f"file://{tmp_path}/d"), fs.entries(f"{tmp_path}/d"), fs.entries(f"file:{tmp_path}/d")):
+        assert sorted((name, is_dir) for name, is_dir, _, _ in listed) == [("e", True), ("sub", True)]
+    (name, is_dir, mtime, size), = fs.remote_entries(f"file://{tmp_path}/d/e")
+    assert (name, is_dir, size) == ("x.py", False, 4) and mtime > 0
+
+
 def rows(df):
     return sorted((r.repo, r.file, r.chunk_idx, r.content, tuple(r.embedding)) for r in df.collect())
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,11 +55,16 @@ def read_index_json(spark: SparkSession, path: str, repo: str | None = None, arr
 
 
 def index_exists(spark: SparkSession, path: str) -> bool:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(jpath)
+    try:
+        read_index(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
 
 
-def load_or_build(spark: SparkSession, path: str, build) -> DataFrame:
+def load_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Read the index at ``path``; where there is none, write what ``build()`` returns first."""
     if not index_exists(spark, path):
         write_index(build(), path)

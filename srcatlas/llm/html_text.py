@@ -1,7 +1,8 @@
 """Main text of web pages by consensus of a host's pages on where its articles stand.
 
 Every page is read once into a tree of block elements.  A container's score is its text outside links times the square of
-that text's share in everything below it, so the smallest container that holds the article and little else comes first.
+that text's share in everything below it, weighed by its tag, so the container that holds the article and little else comes
+first.
 Pages vote for the generalised paths of their good containers (tags with classes, digits masked); votes are added up per
 host in Spark, and every page is read again with its host's winning path.  A page where that path is missing, or holds far
 less than the page's own best container, uses its own best.
@@ -36,7 +37,8 @@ NOISE_WORDS = set(
     " comment comments reply replies respond disqus share sharing social related recommended breadcrumb breadcrumbs pagination pager widget form search toolbar".split()
 )
 NOISE_ROLES = set("navigation banner contentinfo complementary search menu dialog alert form".split())
-WEIGHT = {"article": 1.2, "main": 1.1}
+#: A page as a whole is the article only if no part of it is.
+WEIGHT = {"article": 1.2, "main": 1.1, "body": 0.6, "html": 0.5}
 
 VOTE_SHARE = 0.5
 OWN_BEST_SHARE = 0.3
@@ -115,7 +117,7 @@ def read_page(source: str) -> Page:
         if parts:
             text = " ".join("".join(parts).split())
             parts.clear()
-            if text and stack:
+            if text:
                 node = page.nodes[stack[-1]]
                 page.blocks.append((text, node.noise))
                 own = 0 if node.noise else max(0, len(text) - linked)
@@ -127,8 +129,6 @@ def read_page(source: str) -> Page:
         nonlocal linked
         if not text:
             return
-        if not stack:
-            open_node("html", {})
         if "&" in text:
             text = entities.unescape(text)
         if noisy_inline:
@@ -138,6 +138,7 @@ def read_page(source: str) -> Page:
         if links:
             linked += len(text.strip())
 
+    open_node("html", {})
     at = 0
     while True:
         m = _TOKEN.search(source, at)

@@ -5,16 +5,19 @@ Comparing every file with every other one is quadratic in a repository, so the t
 equality joins that give the same numbers:
 
 * A stem made of word characters can only occur inside one run of word characters.  Runs are reduced to
-  the distinct ones per repository, whose substrings *of the lengths that stems have* meet the distinct
-  stems by equality; the hits go back to the files by equality on the run.
-* A stem with other characters (``a.test``, ``my file``) is met by the substrings of whole texts, again of
-  stem lengths only, and only in repositories that may have such stems.
+  the distinct ones per repository, whose substrings of the lengths that the repository's own stems have meet
+  the distinct stems by equality; the hits go back to the files by equality on the run.
+* Any other stem has a first character that is no word character: its anchor (``-`` in ``user-service``).  It is
+  met only at the anchors of that kind: the word characters before the anchor and the text after it give one
+  candidate for each place and length that the repository's stems with this anchor have.  Without white space in
+  the stem, distinct runs of non-blank characters are enough; with it, whole texts are read, once.
 * The empty stem (a file named ``.py``) occurs in every file: a row count.
 
-Then ``imported_by = files holding the stem - 1 if the file holds its own``.  No pair of files is formed.
+Then ``imported_by = files holding the stem - 1 if the file holds its own``.  No pair of files is formed, and a
+repository with unusual names costs the others nothing.
 
-Texts are read once: the runs of every file, and then the distinct runs of every repository, are written
-to the shared folder, and the later steps read these.
+Small tables (stems, lengths, anchors) are written to the shared folder, so the planner knows their size and
+sends them to every task only if they are small.
 """
 
 from __future__ import annotations
@@ -28,42 +31,29 @@ from srcatlas.session import durable
 
 # Word characters: ASCII letters, digits, underscore and everything beyond ASCII.
 _WORD = r"[A-Za-z0-9_\x{80}-\x{10FFFF}]"
-#: Longer texts are cut into windows of this many characters, overlapping by the longest stem.
+#: Longer runs are cut into windows of this many characters, overlapping by the longest stem.
 WINDOW = 256
-#: Repositories with unusual stems are recognised by a hash into this many buckets.
-BUCKETS = 4096
-#: Up to this many files the stems are broadcast (a name each, so some tens of megabytes at most).
-BROADCAST_STEMS = 200_000
-#: Stems up to this length occur in many different runs; they are spread over ``SPREAD`` shuffle keys.
-SHORT = 4
-SPREAD = 16
-
-
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64("repo"), F.lit(BUCKETS)).cast("int")
 
 
 def _kind(base: Column) -> Column:
-    """``word``, ``unusual`` or ``empty``; a column of its own, so that no join key carries the pattern."""
-    return F.when(base == "", "empty").when(base.rlike(f"^{_WORD}+$"), "word").otherwise("unusual")
-
-
-def _int_array(values: list[int]) -> Column:
-    return F.array(*map(F.lit, values)).cast("array<int>")
+    """``word``, ``mixed`` (no white space), ``spaced`` or ``empty``; a column of its own, so no join key carries the pattern."""
+    return (
+        F.when(base == "", "empty").when(base.rlike(f"^{_WORD}+$"), "word").when(base.rlike(r"\s"), "spaced").otherwise("mixed")
+    )
 
 
-def _windows(text: Column, overlap: int) -> Column:
+def _windows(text: Column, overlap: Column) -> Column:
     """``text`` cut into windows: every substring of up to ``overlap + 1`` characters starts in one window
     and lies within it.  Two linear passes of a pattern."""
     body = f"(?s).{{1,{WINDOW}}}"
     return F.zip_with(
         F.regexp_extract_all(text, F.lit(body), F.lit(0)),
-        F.regexp_extract_all(text, F.lit(f"{body}(?=(.{{0,{overlap}}}))"), F.lit(1)),
+        F.regexp_extract_all(text, F.concat(F.lit(f"{body}(?=(.{{0,"), overlap.cast("string"), F.lit("}))")), F.lit(1)),
         lambda head, tail: F.concat(head, tail),
     )
 
 
-def _substrings(text: Column, lengths: list[int]) -> Column:
+def _substrings(text: Column, lengths: Column) -> Column:
     """Distinct substrings of the given lengths."""
     size = F.char_length(text)
 
@@ -71,60 +61,70 @@ def _substrings(text: Column, lengths: list[int]) -> Column:
         starts = F.sequence(F.lit(1), size - n + 1)
         return F.transform(starts, lambda p: F.substring(text, p, n))
 
-    fitting = F.filter(_int_array(lengths), lambda n: n <= size)
+    fitting = F.filter(lengths, lambda n: n <= size)
     return F.array_distinct(F.flatten(F.transform(fitting, of_length)))
 
 
-def _with_stems(pieces: DataFrame, stems: DataFrame, n_files: int, is_spread: Column, spread_by: str) -> DataFrame:
-    """Join substrings with distinct stems on ``(repo, base)``.
+def _word_hits(files: DataFrame, stems: DataFrame) -> DataFrame:
+    """``repo, base, path`` for stems of word characters, with repeats."""
+    sizes = F.sort_array(F.collect_set(F.char_length("base")))  # a file system bounds the length of a name
+    lengths = durable(stems.groupBy("repo").agg(sizes.alias("lengths")), "stem-lengths")
+    per_file = files.select("repo", "path", F.explode("runs").alias("run"))
+    vocabulary = durable(per_file.groupBy("repo", "run").agg(F.count(F.lit(1)).alias("files")), "vocabulary")
+    with_lengths = vocabulary.select("repo", "run").join(lengths, "repo")
+    long_run = F.char_length("run") > WINDOW
+    cut = F.when(long_run, _windows(F.col("run"), F.array_max("lengths"))).otherwise(F.array("run"))
+    windows = with_lengths.select("repo", "run", "lengths", F.explode(cut).alias("window"))
+    pieces = windows.select("repo", "run", F.explode(_substrings(F.col("window"), F.col("lengths"))).alias("base"))
+    found = pieces.join(stems, ["repo", "base"]).select("repo", "run", "base").distinct()
+    # Back to the files; runs such as keywords are in a large share of them.
+    return salted_join(per_file, found, ["repo", "run"], ["path"], hot=hot_keys(vocabulary, ["repo", "run"], "files")).select(
+        "repo", "base", "path"
+    )
 
-    Few stems go to every task and the substrings stay where they are.  Otherwise both sides are shuffled,
-    never broadcast: the exploded side is far larger than its estimate.  Stems that may occur in a large
-    share of the texts are then spread by a salt.
-    """
-    if n_files <= BROADCAST_STEMS:
-        return pieces.join(F.broadcast(stems), ["repo", "base"])
-    salt = F.when(is_spread, F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)).cast("int")).otherwise(0)
-    salts = F.when(is_spread, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
-    salted = pieces.withColumn("_salt", salt).hint("merge")
-    return salted.join(stems.withColumn("_salt", F.explode(salts)), ["repo", "base", "_salt"]).drop("_salt")
 
+def _anchored(stems: DataFrame) -> DataFrame:
+    """``repo, anchor, tail, places``: the places and lengths of a repository's stems with this anchor, written."""
+    before = F.regexp_extract("base", f"^({_WORD}*)", 1)
+    cells = stems.select(
+        "repo", F.char_length(before).alias("o"), F.substring("base", F.char_length(before) + 1, F.lit(1)).alias("anchor"), F.char_length("base").alias("n")
+    )
+    after = F.max(F.col("n") - F.col("o") - 1).alias("tail")
+    return durable(cells.groupBy("repo", "anchor").agg(after, F.collect_set(F.struct("o", "n")).alias("places")), "anchors")
 
-def _word_hits(files: DataFrame, lengths: list[int], n_files: int) -> DataFrame:
-    """``repo, base, path`` for stems of word characters, with repeats."""
-    overlap = max(lengths) - 1
-    # Short runs pass as they are; flattening is skipped where no run is long.
-    long_runs = F.exists("runs", lambda r: F.char_length(r) > WINDOW)
-    cut = F.when(
-        long_runs,
-        F.array_distinct(
-            F.flatten(
-                F.transform("runs", lambda r: F.when(F.char_length(r) > WINDOW, _windows(r, overlap)).otherwise(F.array(r)))
-            )
-        ),
-    ).otherwise(F.col("runs"))
-    per_file = files.select("repo", "path", F.explode(cut).alias("run"))
-    vocabulary = durable(per_file.groupBy("repo", "run").agg(F.count(F.lit(1)).alias("files")), "vocabulary")
 
-    # Which stems are in which run.
-    pieces = vocabulary.select("repo", "run", F.explode(_substrings(F.col("run"), lengths)).alias("base"))
-    words = files.where(F.col("kind") == "word").select("repo", "base").distinct()
-    found = _with_stems(pieces, words, n_files, F.char_length("base") <= SHORT, "run").select("repo", "run", "base")
+def _candidates(text: Column) -> Column:
+    """Distinct substrings of ``text`` around its anchors: columns ``anchor``, ``tail`` and ``places`` say which."""
+    mark = F.concat(F.lit("\\Q"), "anchor", F.lit("\\E"))
+    heads = F.regexp_extract_all(text, F.concat(F.lit(f"(?<!{_WORD})({_WORD}*+)"), mark), F.lit(1))
+    rest = F.concat(F.lit("(?s)"), mark, F.lit("(?=(.{0,"), F.col("tail").cast("string"), F.lit("}))"))
+    tails = F.regexp_extract_all(text, rest, F.lit(1))
 
-    # Back to the files; runs such as keywords are in a large share of them.
-    hot = hot_keys(vocabulary, ["repo", "run"], "files")
-    return salted_join(per_file, found, ["repo", "run"], ["path"], hot=hot).select("repo", "base", "path")
+    def around(head: Column, tail: Column) -> Column:
+        fits = F.filter("places", lambda s: (s["o"] <= F.char_length(head)) & (s["n"] - s["o"] - 1 <= F.char_length(tail)))
+        return F.transform(fits, lambda s: F.concat(F.right(head, s["o"]), "anchor", F.left(tail, s["n"] - s["o"] - 1)))
 
+    return F.array_distinct(F.flatten(F.zip_with(heads, tails, around)))
 
-def _unusual_hits(
-    texts: DataFrame, files: DataFrame, lengths: list[int], buckets: list[int], n_files: int
-) -> DataFrame:
-    """``repo, base, path`` for stems with other characters, with repeats."""
-    some = texts.where(F.array_contains(_int_array(buckets), _bucket()))
-    windows = some.select("repo", "path", F.explode(_windows(F.col("text"), max(lengths) - 1)).alias("window"))
-    pieces = windows.select("repo", "path", F.explode(_substrings(F.col("window"), lengths)).alias("base"))
-    stems = files.where(F.col("kind") == "unusual").select("repo", "base").distinct()
-    return _with_stems(pieces, stems, n_files, F.lit(True), "path").select("repo", "base", "path")
+
+def _mixed_hits(texts: DataFrame, stems: DataFrame) -> DataFrame:
+    """``repo, base, path`` for stems with other characters but no white space, with repeats."""
+    marks = _anchored(stems)
+    runs = F.filter(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), lambda r: F.contains(r, F.col("anchor")))
+    per_file = texts.join(marks.select("repo", "anchor"), "repo").where(F.contains("text", F.col("anchor")))
+    per_file = durable(per_file.select("repo", "path", "anchor", F.explode(F.array_distinct(runs)).alias("run")), "anchored-runs")
+    vocabulary = durable(per_file.groupBy("repo", "anchor", "run").agg(F.count(F.lit(1)).alias("files")), "vocabulary")
+    pieces = vocabulary.join(marks, ["repo", "anchor"]).select("repo", "anchor", "run", F.explode(_candidates(F.col("run"))).alias("base"))
+    found = pieces.join(stems, ["repo", "base"])
+    key = ["repo", "anchor", "run"]
+    return salted_join(per_file, found, key, ["path"], hot=hot_keys(vocabulary, key, "files")).select("repo", "base", "path")
+
+
+def _spaced_hits(texts: DataFrame, stems: DataFrame) -> DataFrame:
+    """``repo, base, path`` for stems with white space."""
+    marked = texts.join(_anchored(stems), "repo").where(F.contains("text", F.col("anchor")))
+    pieces = marked.select("repo", "path", F.explode(_candidates(F.col("text"))).alias("base"))
+    return pieces.join(stems, ["repo", "base"]).select("repo", "base", "path")
 
 
 def add_imported_by(rows: DataFrame) -> DataFrame:
@@ -144,25 +144,14 @@ def add_imported_by(rows: DataFrame) -> DataFrame:
         ),
         "file-runs",
     )
-    # One small row: the lengths that stems have (file systems bound a name) and at most BUCKETS numbers.
-    size, word, unusual = F.char_length("base"), F.col("kind") == "word", F.col("kind") == "unusual"
-    names = files.agg(
-        F.collect_set(F.when(word, size)).alias("words"),
-        F.collect_set(F.when(unusual, size)).alias("unusual"),
-        F.collect_set(F.when(unusual, _bucket())).alias("buckets"),
-        F.count_if(word).alias("n_words"),
-        F.count_if(unusual).alias("n_unusual"),
-    ).first()
-
+    kinds = {r.kind for r in files.select("kind").distinct().collect()}  # at most four rows
+    texts = rows.select("repo", "path", "text")
     counts = files.groupBy("repo").agg(F.count(F.lit(1)).alias("n")).select("repo", F.lit("").alias("base"), "n")
-    hits = []
-    if names["words"]:
-        hits.append(_word_hits(files, sorted(names["words"]), names["n_words"]))
-    if names["unusual"]:
-        texts = rows.select("repo", "path", "text")
-        hits.append(_unusual_hits(texts, files, sorted(names["unusual"]), names["buckets"], names["n_unusual"]))
-    for h in hits:
-        counts = counts.unionByName(h.groupBy("repo", "base").agg(F.count_distinct("path").alias("n")))
+    for kind, hits in (("word", _word_hits), ("mixed", _mixed_hits), ("spaced", _spaced_hits)):
+        if kind in kinds:
+            stems = durable(files.where(F.col("kind") == kind).select("repo", "base").distinct(), "stems")
+            found = hits(files if kind == "word" else texts, stems)
+            counts = counts.unionByName(found.groupBy("repo", "base").agg(F.count_distinct("path").alias("n")))
 
     joined = salted_join(files.drop("runs", "kind"), counts, ["repo", "base"], ["path"], how="left")
     return joined.withColumn("imported_by", F.coalesce(F.col("n") - F.col("_own"), F.lit(0)).cast("long")).drop(

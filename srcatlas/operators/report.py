@@ -7,6 +7,8 @@ its first five columns.  It is never gathered per repository, so one repository
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,47 +18,29 @@ from srcatlas.operators.deps import deps_report
 from srcatlas.operators.structure import DISPLAY_GLUE, dir_listing, repo_overview
 from srcatlas.session import durable
 
-#: Rows of three short columns each, so a broadcast stays within some hundred megabytes.
-BROADCAST_KEY_FILES = 1_000_000
 ORDER = ("repo", "section", "block", "item", "line_no")
-INSTRUCTION, CONTEXT, APPROACH, STRUCTURE, DEPENDENCIES, KEY_FILES, EXAMPLE, FORMAT, REVIEW = range(1, 10)
-
-_INSTRUCTION = (
-    "Summarise the code base described below for a developer who has not seen it. Be precise: name the "
-    "architecture, the main abstractions and any well-known pattern or framework in use."
-)
-_DETAIL = {
-    "comprehensive": "Explain functions, design decisions and technical subtleties at length, with what future work should mind.",
-    "brief": "Be short: the essential components only, the overall picture before any detail.",
-}
-_DETAIL_OTHERWISE = "Balance the overall architecture with the implementation details that matter."
-_APPROACH = [
-    "How to proceed:",
-    "1. Read the structure and decide what architecture it shows",
-    "2. Read the key files and work out the core functions",
-    "3. Relate the components to each other",
-    "4. Write one coherent summary",
-]
-_EXAMPLE = [
-    "A good summary reads like this:",
-    '"The project is a job scheduler with a layered design. Rules live in one package without I/O; adapters '
-    'for storage and messaging implement its interfaces and are wired together at start-up..."',
-]
-_FORMAT = [
-    "Write these sections:",
-    "1. Overview - purpose of the project",
-    "2. Architecture - components and how they fit together",
-    "3. Key Features - what the project can do",
-    "4. Implementation Details - patterns and techniques worth noting",
-]
-_FORMAT_METRICS = "5. Code Quality - structure, organisation and ease of maintenance"
-_REVIEW = [
-    "Then check your summary:",
-    "- Are the technical terms right?",
-    "- Are all major parts covered?",
-    "- Would a developer understand the project from it?",
-    "- Does it say more than the file names do?",
-]
+OPENING, CONTEXT, STRUCTURE, DEPENDENCIES, KEY_FILES, CLOSING = range(1, 7)
+
+# Headings and labels of a report.
+CONTEXT_HEADING = "Codebase Context:"
+CONTEXT_LABELS = ["- Primary Languages: ", "- Total Files: ", "- Total Lines of Code: "]
+HEADINGS = {STRUCTURE: "Codebase structure:", DEPENDENCIES: "Project Dependencies:", KEY_FILES: "Key files content:"}
+
+
+@dataclass(frozen=True)
+class PromptTemplate:
+    """Lines put before and after a report to make a prompt of it; ``{detail}`` stands for the wanted detail.
+
+    ``metrics`` lines follow only if metrics are wanted.  Callers with a model of their own bring their own lines.
+    """
+
+    opening: tuple[str, ...] = ("Task: describe this repository from the report that follows. Detail: {detail}.",)
+    closing: tuple[str, ...] = ("End of the report. Name files by their paths, and say so where the report leaves a question open.",)
+    metrics: tuple[str, ...] = ("Also comment on the line counts and importance values given above.",)
+
+    def lines(self, detail: str, metrics: bool) -> list[tuple[int, list[str]]]:
+        filled = [t.replace("{detail}", detail) for t in self.opening], [*self.closing, *(self.metrics if metrics else ())]
+        return [(OPENING, filled[0]), (CLOSING, [t.replace("{detail}", detail) for t in filled[1]])]
 
 
 def fixed2(x: Column) -> Column:
@@ -99,12 +83,10 @@ def excerpt(text: Column, detail: str) -> Column:
 def key_file_excerpt(key_files: DataFrame, by_file: DataFrame, detail: str = "standard") -> DataFrame:
     """``repo, rank, path, score, header, excerpt``.
 
-    The key files are written out and counted.  Up to ``BROADCAST_KEY_FILES`` of them go to every task, and
-    the texts are filtered where they are; beyond that both sides are shuffled by file.
+    The key files are written out, so their size is known when the join is planned: a small table goes to every
+    task and the texts are filtered where they are, a large one is joined by file.
     """
     chosen = durable(key_files, "key-files")
-    if chosen.count() <= BROADCAST_KEY_FILES:
-        chosen = F.broadcast(chosen)
     text = F.array_join("chunks", DISPLAY_GLUE)
     header = F.concat(F.lit("--- "), "path", F.lit(" (Importance: "), fixed2(F.col("score")), F.lit(") ---"))
     return by_file.select("repo", "path", "chunks").join(chosen, ["repo", "path"]).select(
@@ -123,27 +105,13 @@ def _rows(df: DataFrame, section: int, block: Column, item: Column, line_no: Col
     )
 
 
-def _prose(detail: str, metrics: bool) -> list[tuple[int, list[str]]]:
-    return [
-        (INSTRUCTION, [_INSTRUCTION, _DETAIL.get(detail, _DETAIL_OTHERWISE)]),
-        (APPROACH, _APPROACH),
-        (EXAMPLE, [] if detail == "brief" else _EXAMPLE),
-        (FORMAT, _FORMAT + ([_FORMAT_METRICS] if metrics else [])),
-        (REVIEW, _REVIEW),
-    ]
-
-
 def _frame(overview: DataFrame, prose: list[tuple[int, list[str]]]) -> DataFrame:
-    """Lines that every repository has once: context, headings and, for a prompt, the fixed prose."""
+    """Lines that every repository has once: context, headings and, for a prompt, its opening and closing."""
     context = [
-        F.lit("Codebase Context:"),
-        F.concat(F.lit("- Primary Languages: "), "languages"),
-        F.concat(F.lit("- Total Files: "), F.col("files").cast("string")),
-        F.concat(F.lit("- Total Lines of Code: "), F.col("loc").cast("string")),
-    ]
-    headings = [
-        (STRUCTURE, ["Codebase structure:"]), (DEPENDENCIES, ["Project Dependencies:"]), (KEY_FILES, ["Key files content:"]),
+        F.lit(CONTEXT_HEADING),
+        *[F.concat(F.lit(label), F.col(c).cast("string")) for label, c in zip(CONTEXT_LABELS, ("languages", "files", "loc"))],
     ]
+    headings = [(section, [text]) for section, text in HEADINGS.items()]
     cells = [(CONTEXT, i, text) for i, text in enumerate(context)]
     cells += [(section, i, F.lit(t)) for section, texts in [*headings, *prose] for i, t in enumerate(texts)]
     table = F.array(*[
@@ -159,10 +127,10 @@ def report(
     structure: DataFrame,
     by_file: DataFrame,
     excerpts: DataFrame,
-    prompt_for: tuple[str, bool] | None = None,
+    around: list[tuple[int, list[str]]] = (),
 ) -> DataFrame:
-    """All lines of a report; with ``prompt_for=(detail, metrics)`` also the fixed prose of a prompt."""
-    frame = _frame(repo_overview(structure), _prose(*prompt_for) if prompt_for else [])
+    """All lines of a report; with ``around`` (``PromptTemplate.lines``) also what makes a prompt of it."""
+    frame = _frame(repo_overview(structure), list(around))
     listing = _rows(dir_listing(structure), STRUCTURE, F.col("dir"), F.col("path"), F.lit(0), F.col("line"))
     deps = _rows(
         deps_report(by_file), DEPENDENCIES, F.col("block").cast("string"), F.lit(""), F.col("pos"), F.col("line")

@@ -7,19 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A key is hot when it holds more than this share of all rows ...
-HOT_SHARE = 1 / 1000
-#: ... and its rows are then spread over this many shuffle keys.
-FANOUT = 64
+#: A key with more rows than one task should get is hot, and is dealt over as many shuffle keys as that takes.
+ROWS_PER_TASK = 1_000_000
+#: No more keys than this can be hot: beyond ROWS_PER_TASK times as many rows, tasks get more rows each.
+MAX_HOT_KEYS = 100_000
 
 
-def hot_keys(counts: DataFrame, keys: Sequence[str], n: str, share: float = HOT_SHARE) -> DataFrame:
-    """Keys holding more than ``share`` of all rows, from a table of counts per key.
+def hot_keys(counts: DataFrame, keys: Sequence[str], n: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """``keys`` and ``_fan`` (shuffle keys to use) of the keys with more than ``rows_per_task`` rows, from a table of
+    counts per key.
 
-    At most ``1 / share`` rows can qualify, whatever the data, so the result may be broadcast.
+    At most ``MAX_HOT_KEYS`` rows can qualify, whatever the data, so the result may be broadcast.
     """
-    total = counts.agg(F.sum(n))
-    return counts.where(F.col(n) > total.scalar() * F.lit(share)).select(*keys)
+    limit = F.greatest(F.lit(float(rows_per_task)), counts.agg(F.sum(n)).scalar() / F.lit(float(MAX_HOT_KEYS)))
+    return counts.where(F.col(n) > limit).select(*keys, F.ceil(F.col(n) / limit).cast("int").alias("_fan"))
 
 
 def salted_join(
@@ -30,21 +31,21 @@ def salted_join(
     how: str = "inner",
     hot: DataFrame | None = None,
     hot_on: Sequence[str] | None = None,
-    fanout: int = FANOUT,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Equi-join whose hot keys are split by a salt.
 
     ``left`` may be skewed on ``on``; ``right`` has few rows per key.  Rows of ``left`` with a hot key
     get a salt from ``salt_by`` (a value of the row, so a rerun task gives the same salt) and only the
-    hot rows of ``right`` are repeated.  ``hot_on`` names a short key to find hot rows by when ``on``
-    holds long texts.
+    hot rows of ``right`` are repeated, each as often as its key has salts.  ``hot_on`` names a short key to
+    find hot rows by when ``on`` holds long texts.
     """
     keys, hot_on = list(on), list(hot_on or on)
     if hot is None:
-        hot = hot_keys(left.groupBy(*hot_on).agg(F.count(F.lit(1)).alias("_n")), hot_on, "_n")
-    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    spread = F.pmod(F.xxhash64(*salt_by), F.lit(fanout)).cast("int")
-    salted = left.join(hot, hot_on, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0))
-    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(fanout - 1))).otherwise(F.array(F.lit(0)))
+        hot = hot_keys(left.groupBy(*hot_on).agg(F.count(F.lit(1)).alias("_n")), hot_on, "_n", rows_per_task)
+    hot = F.broadcast(hot)
+    spread = F.pmod(F.xxhash64(*salt_by), F.coalesce("_fan", F.lit(1))).cast("int")
+    salted = left.join(hot, hot_on, "left").withColumn("_salt", spread)
+    every = F.sequence(F.lit(0), F.coalesce("_fan", F.lit(1)) - 1)
     repeated = right.join(hot, hot_on, "left").withColumn("_salt", F.explode(every))
-    return salted.drop("_hot").join(repeated.drop("_hot"), [*keys, "_salt"], how).drop("_salt")
+    return salted.drop("_fan").join(repeated.drop("_fan"), [*keys, "_salt"], how).drop("_salt")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+
 from srcatlas.operators.importance import importance, key_files
-from srcatlas.operators.report import key_file_excerpt, prompt_parts, report
+from srcatlas.operators.report import PromptTemplate, key_file_excerpt, prompt_parts, report
 from srcatlas.operators.structure import chunks_by_file, file_text, with_structure
 from srcatlas.session import durable
 
@@ -20,13 +21,14 @@ Generator = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 class SummaryOptions:
     """``detail``: brief, standard or comprehensive (anything else counts as standard).
 
-    ``focus``: keep only key files whose path starts with this text.  ``metrics``: ask for a section on
-    code quality.
+    ``focus``: keep only key files whose path starts with this text.  ``metrics``: ask for a word on
+    the measures.  ``template``: the lines around a report in a prompt.
     """
 
     detail: str = "standard"
     focus: str = ""
     metrics: bool = True
+    template: PromptTemplate = field(default_factory=PromptTemplate)
 
 
 def _report(by_file: DataFrame, options: SummaryOptions, as_prompt: bool) -> DataFrame:
@@ -38,7 +40,7 @@ def _report(by_file: DataFrame, options: SummaryOptions, as_prompt: bool) -> Dat
         table.select("repo", "path", "language", "loc"),
         table,
         key_file_excerpt(ranked, table, options.detail),
-        (options.detail, options.metrics) if as_prompt else None,
+        options.template.lines(options.detail, options.metrics) if as_prompt else [],
     )
 
 
@@ -49,7 +51,7 @@ def report_lines(by_file: DataFrame, options: SummaryOptions = SummaryOptions())
 
 
 def prompt_lines(by_file: DataFrame, options: SummaryOptions = SummaryOptions()) -> DataFrame:
-    """All lines of each repository's prompt: the report and the fixed prose around it."""
+    """All lines of each repository's prompt: the report and the template's lines around it."""
     return _report(by_file, options, as_prompt=True)
 
 

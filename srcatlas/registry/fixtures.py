@@ -57,6 +57,26 @@ select 'r' || cast(k % 4 as varchar(20)) as repo,
 from b
 """
 
+# Files whose names hold hyphens, dots and blanks, or nothing before the extension, with references between them.
+NAMES_SQL = """
+with b as (
+  select p_partkey as k, p_name as nm, cast(p_partkey as varchar(20)) as me,
+         cast((p_partkey * 13 + 4) % 200 as varchar(20)) as other, cast(p_partkey % 50 as varchar(20)) as near, chr(10) as nl
+  from part)
+select 'n' || cast(k % 3 as varchar(20)) as repo,
+  case k % 6 when 0 then 'web/user-m' || me || '.ts' when 1 then 'm' || me || '.test.js' when 2 then 'doc/my m' || me || '.md'
+    when 3 then 'm' || me || '.go' when 4 then 'a.b-c_' || me || '.d.ts' else 'd' || me || '/.py' end as path,
+  'import "./user-m' || other || '"; m' || near || '.test, my m' || other || nl || 'a.b-c_' || near || '.d (m' || other || ') ' || nm as content
+from b
+"""
+
+# Documents under names with a word of their own and a hyphen, an en dash or a blank.
+NAMED_DOCS_SQL = """
+select source as repo, lang || '/' || left(text, 2) || case doc_id % 3 when 0 then ' ' when 1 then '-' else '–' end
+  || substring(text, 4, 1) || '/' || left(text, 3) || '.' || cast(doc_id as varchar(20)) as path, text as content
+from documents
+"""
+
 # Manifests: four parts make a repository with one of each kind and a program; in every fifth repository
 # they lie in a subdirectory, where they do not count.
 MANIFESTS_SQL = """

@@ -193,18 +193,20 @@ def embed_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return _weights(vectors.withColumn("text_md5", F.md5("text")), "text_md5")
 
 
-def _given_vectors(spark: SparkSession, sf: str, chunks: DataFrame) -> DataFrame:
-    """A vector of the ``embeddings`` table for most texts: vector ``hash % 400``, none where ``hash % 5 = 0``."""
+def _given_vectors(spark: SparkSession, sf: str, chunks: DataFrame, every: bool) -> DataFrame:
+    """A vector of the ``embeddings`` table for each text, by a hash over all of them; unless ``every``, none where
+    the hash divides by five."""
     h = F.conv(F.left(F.md5("text"), F.lit(8)), 16, 10).cast("long")
-    texts = embed.distinct_texts(chunks).select("text", h.alias("h")).where(F.col("h") % 5 != 0)
+    texts = embed.distinct_texts(chunks).select("text", h.alias("h"))
     given = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
-    return texts.withColumn("vec_id", F.col("h") % 400).join(given, "vec_id").select("text", "embedding")
+    chosen = texts if every else texts.where(F.col("h") % 5 != 0)
+    return chosen.withColumn("vec_id", F.col("h") % given.agg(F.count(F.lit(1))).scalar()).join(given, "vec_id").select("text", "embedding")
 
 
 @query
 def embed_reattach(spark: SparkSession, sf: str) -> DataFrame:
     chunks = chunk.paragraph_chunks(_docs(spark, sf))
-    attached = embed.attach_vectors(chunks, _given_vectors(spark, sf, chunks))
+    attached = embed.attach_vectors(chunks, _given_vectors(spark, sf, chunks, every=True))
     first = F.round(F.col("embedding")[0].cast("double"), 6).alias("first_value")
     return attached.select("repo", "file", "chunk_idx", F.md5("content").alias("content_md5"), first)
 
@@ -212,7 +214,7 @@ def embed_reattach(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def embed_coverage(spark: SparkSession, sf: str) -> DataFrame:
     chunks = chunk.paragraph_chunks(_docs(spark, sf))
-    attached = embed.attach_vectors(chunks, _given_vectors(spark, sf, chunks))
+    attached = embed.attach_vectors(chunks, _given_vectors(spark, sf, chunks, every=False))
     return embed.embed_coverage(chunks, attached)
 
 
@@ -322,6 +324,13 @@ def imported_by(spark: SparkSession, sf: str) -> DataFrame:
     return count_references(_code_texts(spark, sf))
 
 
+@query
+def imported_by_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Names with hyphens, dots and blanks, and one that is empty, over parts and documents."""
+    named = fx.view(spark, sf, fx.NAMES_SQL).unionByName(fx.view(spark, sf, fx.NAMED_DOCS_SQL))
+    return count_references(named.withColumnRenamed("content", "text"))
+
+
 @query
 def importance_(spark: SparkSession, sf: str) -> DataFrame:
     scored = importance.importance(_code_texts(spark, sf))

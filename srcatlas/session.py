@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset (a local run, a test) a
-    temporary folder is made and set on the session, so later calls share it.
+    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset in a local run (a test) a
+    temporary folder is made and set on the session, so later calls share it; on a cluster that would scatter
+    tables over machines, so it is an error.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="srcatlas-"))
         folder = context.getCheckpointDir()
     return folder

@@ -1,208 +1,40 @@
 """Definitions in source files: functions, methods, classes and structs with their line spans.
 
-This is a lexical reading, not a syntax tree.  Headers are found by a pattern per line; a span ends by
-indentation (Python) or by brace depth (Go, JavaScript and TypeScript).  String literals and line comments
-are removed before braces are counted, but block comments, template strings and strings over several lines
-are not recognised, so braces or keywords inside them may shift a span.  An unnamed function expression is
-found when its line holds ``=>`` or ``function``; one row per kind and line.
-
-A file is one row and is folded line by line with a stack of open definitions: no shuffle.  The folds are
-SQL text, which Spark parses in one go.
+This is a lexical reading, not a syntax tree, but one that knows literals and comments over several lines and pairs
+brackets (``functions.source_spans``).  Python spans end by indentation, those of Go, JavaScript and TypeScript by
+their closing brace.  An unnamed function expression is found by ``=>`` or ``function``; one row per kind and line.
+A template string that holds another one inside ``${}`` is read as two.
+
+A file is one row and is read once, in time linear in its size, over Arrow batches: no shuffle.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from srcatlas.functions.arrays import items
-from srcatlas.functions.text import WHITESPACE_SQL, base_name, extension, lines_of
+from srcatlas.functions.source_spans import EXTENSIONS, definition_spans
+from srcatlas.functions.text import base_name, extension, lines_of
 from srcatlas.operators.chunk import block_spans
 
-_JS = (".js", ".ts", ".jsx", ".tsx")
-_DEFS = "array<struct<kind:string,name:string,s:int,e:int>>"
-_HEADS = "array<struct<kind:string,name:string,oneline:boolean>>"
-_NAME = "[A-Za-z_$][A-Za-z0-9_$]*"
-
-# Header patterns; group 1 is the name.
-_PY_DEF = r"^[ \t]*(?:async[ \t]+)?def[ \t]+(\w+)"
-_PY_CLASS = r"^[ \t]*class[ \t]+(\w+)"
-_GO_FUNC = r"^func[ \t]+(\w+)"
-_GO_METHOD = r"^func[ \t]*\([^)]*\)[ \t]*(\w+)"
-_GO_STRUCT = r"^[ \t]*type[ \t]+(\w+)[ \t]*(?:\[[^\]]*\])?[ \t]*struct\b"
-_GO_GROUPED_STRUCT = r"^[ \t]+(\w+)[ \t]*(?:\[[^\]]*\])?[ \t]+struct\b"
-_GO_TYPE_GROUP = r"^type[ \t]*\([ \t]*$"
-_JS_EXPORT = r"^[ \t]*(?:export[ \t]+)?(?:default[ \t]+)?"
-_JS_FUNC = rf"{_JS_EXPORT}(?:async[ \t]+)?function[ \t]+({_NAME})"
-_JS_CLASS = rf"{_JS_EXPORT}(?:abstract[ \t]+)?class[ \t]+({_NAME})"
-_JS_VAR = (
-    rf"^[ \t]*(?:export[ \t]+)?(?:const|let|var)[ \t]+({_NAME})[ \t]*=[ \t]*(?:async[ \t]+)?"
-    rf"(?:function\b|\([^)]*\)[ \t]*=>|{_NAME}[ \t]*=>)"
-)
-_JS_METHOD = (
-    rf"^[ \t]*(?:static[ \t]+)?(?:async[ \t]+)?(?:(?:get|set)[ \t]+)?"
-    rf"(?!(?:if|for|while|switch|catch|function|return|with)\b)({_NAME})[ \t]*\([^)]*\)[ \t]*\{{"
-)
-_JS_FUNC_EXPR = rf"\bfunction\b[ \t]*(?:{_NAME}[ \t]*)?\("
-# String literals and line comments; \x22, \x27 and \x60 are the three quotes.
-_LITERALS = r"\x22(?:\\.|[^\x22\\])*\x22|\x27(?:\\.|[^\x27\\])*\x27|\x60[^\x60]*\x60|//[^\n]*"
-
-
-def _name(pattern: str) -> str:
-    return f"regexp_extract(l.x, r'{pattern}', 1)"
-
-
-def _heads(*candidates: tuple[str, str, str, str]) -> str:
-    """Headers found on line ``l.x``, in the order given: condition, kind, name, whether one line is all."""
-    cases = ", ".join(
-        f"case when {cond} then named_struct('kind', '{kind}', 'name', {name}, 'oneline', {oneline}) end"
-        for cond, kind, name, oneline in candidates
-    )
-    return f"cast(filter(array({cases}), h -> h is not null) as {_HEADS})"
-
-
-def _closed(entries: str, end: str) -> str:
-    return f"transform({entries}, d -> named_struct('kind', d.kind, 'name', d.name, 's', d.s, 'e', {end}))"
-
-
-# --- Python: a definition ends before the next line that is not indented deeper than its header. -------------
-
-_PY_STACK = "array<struct<kind:string,name:string,s:int,indent:int>>"
-# skip: blank or comment.  level: indentation that closes; a line starting with a closing bracket continues a
-# header over several lines, so it closes only what is deeper than itself.
-_PY_LINE = f"""
-named_struct(
-  'skip', l.t = '' or startswith(l.t, '#'),
-  'indent', l.w,
-  'level', l.w + case when left(l.t, 1) in (')', ']', '}}') then 1 else 0 end,
-  'heads', {_heads(
-      (f"l.x rlike r'{_PY_DEF}'", "function", _name(_PY_DEF), "false"),
-      (f"l.x rlike r'{_PY_CLASS}'", "class", _name(_PY_CLASS), "false"))})"""
-_PY_SPANS = f"""
-aggregate(
-  transform(
-    transform(_lines, x -> named_struct('x', x, 't', btrim(x, {WHITESPACE_SQL}),
-      'w', char_length(replace(regexp_extract(x, r'^[ \\t]*', 0), '\\t', '        ')))),
-    l -> {_PY_LINE}),
-  named_struct('stack', cast(array() as {_PY_STACK}), 'out', cast(array() as {_DEFS}), 'last', 0, 'i', 0),
-  (a, x) -> case
-    when x.skip then named_struct('stack', a.stack, 'out', a.out, 'last', a.last, 'i', a.i + 1)
-    when size(x.heads) = 0 and not exists(a.stack, d -> d.indent >= x.level)
-      then named_struct('stack', a.stack, 'out', a.out, 'last', a.i + 1, 'i', a.i + 1)
-    else named_struct(
-      'stack', cast(concat(
-        filter(a.stack, d -> d.indent < x.level),
-        transform(x.heads, h -> named_struct('kind', h.kind, 'name', h.name, 's', a.i + 1, 'indent', x.indent))
-      ) as {_PY_STACK}),
-      'out', cast(concat(a.out, {_closed("filter(a.stack, d -> d.indent >= x.level)", "a.last")}) as {_DEFS}),
-      'last', a.i + 1,
-      'i', a.i + 1) end,
-  a -> cast(concat(a.out, {_closed("a.stack", "a.last")}) as {_DEFS}))"""
-
-# --- Braces: a definition ends on the line that brings the depth back to where it began. ---------------------
-
-
-def _brace_line(heads: str, group: str) -> str:
-    """``l.x`` is a line, ``l.c`` the line without literals and comments, ``l.p`` its leading closers.
-
-    ``leading``: closing braces before anything else on the line, which belong to the line before.
-    """
-    return f"""
-named_struct(
-  'opens', char_length(l.c) - char_length(replace(l.c, '{{', '')),
-  'closes', char_length(l.c) - char_length(replace(l.c, '}}', '')),
-  'leading', char_length(l.p) - char_length(replace(l.p, '}}', '')),
-  'heads', {heads},
-  'group', {group})"""
-
-
-# group: 1 where a list of types opens, -1 where it ends; "grouped" structs count only inside such a list.
-_GO_LINE = _brace_line(
-    _heads(
-        (f"l.x rlike r'{_GO_FUNC}'", "function", _name(_GO_FUNC), "false"),
-        (f"l.x rlike r'{_GO_METHOD}'", "function", _name(_GO_METHOD), "false"),
-        (f"l.x rlike r'{_GO_STRUCT}'", "class", _name(_GO_STRUCT), "false"),
-        (
-            f"l.x rlike r'{_GO_GROUPED_STRUCT}' and not l.x rlike r'{_GO_STRUCT}'",
-            "grouped", _name(_GO_GROUPED_STRUCT), "false",
-        ),
-    ),
-    f"case when l.x rlike r'{_GO_TYPE_GROUP}' then 1 when startswith(l.x, ')') then -1 else 0 end",
-)
-_JS_EXPR = f"(contains(l.c, 'function') and not l.x rlike r'{_JS_FUNC}' and l.c rlike r'{_JS_FUNC_EXPR}')"
-_JS_LINE = _brace_line(
-    _heads(
-        (f"l.x rlike r'{_JS_FUNC}'", "function", _name(_JS_FUNC), "false"),
-        ("contains(l.c, '=>')", "function", "cast(null as string)", "not contains(l.c, '{')"),
-        (_JS_EXPR, "function", "cast(null as string)", "false"),
-        (f"l.x rlike r'{_JS_CLASS}'", "class", _name(_JS_CLASS), "false"),
-        (
-            f"l.x rlike r'{_JS_METHOD}' and not l.x rlike r'{_JS_FUNC}' and not l.x rlike r'{_JS_CLASS}'"
-            f" and not {_JS_EXPR}",
-            "function", _name(_JS_METHOD), "false",
-        ),
-        (
-            f"l.x rlike r'{_JS_VAR}'",
-            "function", _name(_JS_VAR), "contains(l.c, '=>') and not contains(l.c, '{')",
-        ),
-    ),
-    "0",
-)
-_BRACE_STACK = "array<struct<kind:string,name:string,s:int,depth:int,open:boolean,done:boolean>>"
-# Open definitions after this line's headers ``hs``.  A header that meets the next one before its body has
-# none; without a body, a definition ends on its own line.
-_LIVE = """
-concat(
-  transform(a.stack, d -> named_struct(
-    'kind', d.kind, 'name', d.name, 's', d.s, 'depth', d.depth,
-    'open', d.open or (x.opens > 0 and size(hs) = 0),
-    'done', not d.open and size(hs) > 0)),
-  transform(hs, h -> named_struct(
-    'kind', case h.kind when 'grouped' then 'class' else h.kind end, 'name', h.name, 's', a.i + 1,
-    'depth', a.depth - x.leading, 'open', x.opens > 0, 'done', h.oneline)))"""
-_OVER = "(d.done or (d.open and a.depth + x.opens - x.closes <= d.depth))"
-_GROUPED = "case x.group when 1 then true when -1 then false else a.grouped end"
-# One-element arrays bind a value to a name: the headers that count, and the open definitions.
-_BUSY = f"""
-transform(array(filter(x.heads, h -> h.kind <> 'grouped' or (a.grouped and a.depth = 0))), hs ->
-  transform(array({_LIVE}), live -> named_struct(
-    'stack', cast(filter(live, d -> not {_OVER}) as {_BRACE_STACK}),
-    'out', cast(concat(a.out, {_closed(f"filter(live, d -> {_OVER})", "case when d.open then a.i + 1 else d.s end")})
-      as {_DEFS}),
-    'depth', a.depth + x.opens - x.closes,
-    'i', a.i + 1,
-    'grouped', {_GROUPED}))[0])[0]"""
-
-
-def _brace_spans(line: str) -> str:
-    """Lines without headers and braces change nothing but the line number."""
-    return f"""
-aggregate(
-  transform(
-    transform(
-      transform(_lines, x -> named_struct('x', x, 'c', regexp_replace(x, r'{_LITERALS}', ''))),
-      l -> named_struct('x', l.x, 'c', l.c, 'p', regexp_extract(l.c, r'^[\\s)\\];,}}]*', 0))),
-    l -> {line}),
-  named_struct('stack', cast(array() as {_BRACE_STACK}), 'out', cast(array() as {_DEFS}), 'depth', 0, 'i', 0,
-    'grouped', false),
-  (a, x) -> case
-    when size(x.heads) = 0 and (size(a.stack) = 0 or (x.opens = 0 and x.closes = 0))
-      then named_struct('stack', a.stack, 'out', a.out, 'depth', a.depth + x.opens - x.closes, 'i', a.i + 1,
-        'grouped', {_GROUPED})
-    else {_BUSY} end,
-  a -> cast(concat(a.out, {_closed("a.stack", "case when d.open then a.i else d.s end")}) as {_DEFS}))"""
+_FIELDS = [("kind", T.StringType()), ("name", T.StringType()), ("s", T.IntegerType()), ("e", T.IntegerType())]
+_DEFS = T.ArrayType(T.StructType([T.StructField(name, kind) for name, kind in _FIELDS]))
+
+
+@F.pandas_udf(_DEFS)
+def _spans(extensions: pd.Series, texts: pd.Series) -> pd.Series:
+    return pd.Series([definition_spans(e, t or "") for e, t in zip(extensions, texts)], dtype=object)
 
 
 def with_definitions(files: DataFrame) -> DataFrame:
     """Add ``_lines`` and ``_defs array<struct<kind,name,s,e>>``; no definitions for other languages."""
     ext = F.lower(extension(F.col("path")))
-    spans = (
-        F.when(ext == ".py", F.expr(_PY_SPANS))
-        .when(ext == ".go", F.expr(_brace_spans(_GO_LINE)))
-        .when(ext.isin(*_JS), F.expr(_brace_spans(_JS_LINE)))
-        .otherwise(F.expr(f"cast(array() as {_DEFS})"))
-    )
-    return files.withColumn("_lines", lines_of(F.col("content"))).withColumn("_defs", spans)
+    # only texts that can have definitions go to the Python workers; the others as an empty text
+    text = F.when(ext.isin(*EXTENSIONS), F.col("content")).otherwise("")
+    return files.withColumn("_lines", lines_of(F.col("content"))).withColumn("_defs", _spans(ext, text))
 
 
 def _emit(spans: DataFrame) -> DataFrame:

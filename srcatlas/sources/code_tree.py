@@ -10,11 +10,9 @@ from __future__ import annotations
 
 import codecs
 import datetime as dt
-import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -26,9 +24,6 @@ from srcatlas.schemas import FILES, SCANNED_FILES
 from srcatlas.session import durable
 from srcatlas.sources.fs import entries, read_bytes
 
-# Workers get this module's reader by value, so they need not have the package installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 #: Files are handed over in batches of about this many characters; a larger file is its own batch.
 READ_BATCH_CHARS = 4 << 20
 #: Bytes a reading task gets on average, and the most tasks a read is split into.

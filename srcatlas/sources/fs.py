@@ -3,14 +3,8 @@
 from __future__ import annotations
 
 import os
-import sys
 from collections.abc import Iterator
 
-from pyspark import cloudpickle
-
-# Workers get these functions by value, so they need not have the package installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 
 def local_path(address: str) -> str | None:
     """The path behind a plain path or ``file:`` address, None for other file systems."""

@@ -126,3 +126,103 @@ def test_no_definitions(files):
 def test_header_without_end(files):
     assert found(files, "a.go", "func f() {\n  x") == [(1, 2, "f", "")]
     assert found(files, "a.py", "class A:\n  def f(self):") == [(1, 2, "", "A"), (2, 2, "f", "")]
+
+
+def test_javascript_headers_over_several_lines(files):
+    text = """class A {
+  foo(
+    a,
+    b
+  ) {
+    return a
+  }
+  bar(x = g(), { y } = {}) {
+    return /[{"]/.test(x) ? `{
+      ${x}` : '{'
+  }
+}
+/* function no() {
+} */
+const f = (
+  a,
+  b
+) => {
+  return b
+}
+const g = (x: number): number => x + 1
+foo(function () {
+  go()
+})
+export const h = async (q) => (
+  q
+)
+function typed(a: { b: number }): { c: string } {
+  return a
+}
+"""
+    assert found(files, "a.ts", text) == [
+        (1, 12, "", "A"), (2, 7, "foo", ""), (8, 11, "bar", ""), (15, 20, "", ""), (15, 20, "f", ""), (21, 21, "", ""), (21, 21, "g", ""),
+        (22, 24, "", ""), (25, 27, "", ""), (25, 27, "h", ""), (28, 30, "typed", ""),
+    ]
+
+
+def test_python_texts_over_several_lines(files):
+    text = '''def f(a="(",
+      b=[
+1]):
+    """Text
+at the left
+def not_one(): pass
+"""
+    return "\\
+x"
+
+class B:
+    x = (
+1,
+    )
+    def g(self): return {
+    }
+'''
+    assert found(files, "a.py", text) == [(1, 9, "f", ""), (11, 16, "", "B"), (15, 16, "g", "")]
+
+
+def test_go_raw_strings_and_types_with_braces(files):
+    text = """package x
+func a() interface{} {
+	s := `{{ {
+	`
+	return '{'
+}
+func b(m map[string]struct{}) map[string]struct{} {
+	/* } */
+	return m
+}
+func (t *T[K]) c(
+	f func(x int) error,
+) error {
+	return nil
+}
+type E struct{}
+"""
+    assert found(files, "a.go", text) == [(2, 6, "a", ""), (7, 10, "b", ""), (11, 15, "c", ""), (16, 16, "", "E")]
+
+
+def test_time_is_linear():
+    import time
+
+    from srcatlas.functions.source_spans import definition_spans
+
+    def seconds(n):
+        py = "".join(f"def f{i}(a,\n  b):\n    return {{1: [2]}}\n\n" for i in range(n))
+        go = "".join(f"func f{i}(a int) {{\n\tif a {{ }}\n}}\n" for i in range(n))
+        js = "".join(f"const f{i} = (a) => {{\n  return x.map(v => v)\n}}\n" for i in range(n))
+        start = time.perf_counter()
+        assert [len(definition_spans(e, t)) for e, t in ((".py", py), (".go", go), (".js", js))] == [n, n, 3 * n]
+        return time.perf_counter() - start
+
+    seconds(500)
+    assert seconds(16_000) < 4 * seconds(8_000) + 0.2
+    for text in ("(" * 200_000, "`" * 200_001, "x=>" * 20_000, "{" * 200_000 + ")" * 200_000, "foo(" * 100_000, '"' * 200_001, "/" * 200_000):
+        for ext in (".py", ".go", ".js"):
+            definition_spans(ext, text)

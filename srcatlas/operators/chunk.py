@@ -17,11 +17,16 @@ from srcatlas.functions.text import WHITESPACE_SQL, lines_of, trim_space
 _SPANS = "array<struct<s:int,e:int>>"
 
 
+#: A step of a fold copies what it has put out so far; blocks of this many pieces keep that short.
+_BLOCK = 512
+
+
 def _pack(sizes: str, limit: int, separator: int, slack: int, flush_full: bool) -> Column:
     """Greedy packing of consecutive pieces: spans of piece numbers (1-based, inclusive).
 
     State: ``s`` first piece of the open span, ``cur`` its bytes so far (0: none open), ``i`` pieces seen.
-    ``z`` is the next piece's size.
+    ``z`` is the next piece's size.  Pieces are taken block by block, and a block's spans are joined to the
+    others at its end, so a file of a million lines takes seconds.
     """
     over = f"(a.cur > 0 and a.cur + z + {slack} > {limit})"
     fresh = f"(a.cur = 0 or {over})"
@@ -32,10 +37,18 @@ def _pack(sizes: str, limit: int, separator: int, slack: int, flush_full: bool)
         full = f"({cur} >= {limit})"
         out = f"case when {full} then array_append({out}, named_struct('s', {start}, 'e', a.i + 1)) else {out} end"
         cur = f"case when {full} then 0 else {cur} end"
+    none = f"cast(array() as {_SPANS})"
+    inner = f"""
+      aggregate(slice(all_sizes, block * {_BLOCK} + 1, {_BLOCK}), named_struct('s', o.s, 'cur', o.cur, 'i', o.i, 'out', {none}),
+        (a, z) -> named_struct('s', {start}, 'cur', {cur}, 'i', a.i + 1, 'out', cast({out} as {_SPANS})))"""
+    joined = f"""
+      transform(array({inner}), n -> named_struct('s', n.s, 'cur', n.cur, 'i', n.i,
+        'out', cast(case when size(n.out) = 0 then o.out else concat(o.out, n.out) end as {_SPANS})))[0]"""
     return F.expr(f"""
-      aggregate({sizes}, named_struct('s', 0, 'cur', 0, 'i', 0, 'out', cast(array() as {_SPANS})),
-        (a, z) -> named_struct('s', {start}, 'cur', {cur}, 'i', a.i + 1, 'out', cast({out} as {_SPANS})),
-        a -> case when a.cur > 0 then array_append(a.out, named_struct('s', a.s, 'e', a.i)) else a.out end)""")
+      transform(array({sizes}), all_sizes ->
+        aggregate(sequence(0, cast(floor(size(all_sizes) / {_BLOCK}) as int)), named_struct('s', 0, 'cur', 0, 'i', 0, 'out', {none}),
+          (o, block) -> {joined},
+          o -> case when o.cur > 0 then array_append(o.out, named_struct('s', o.s, 'e', o.i)) else o.out end))[0]""")
 
 
 def _cut(pieces: str, spans: str, glue: str) -> Column:

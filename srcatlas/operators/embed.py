@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srcatlas.functions.hashed_bag import hashed_bag
@@ -69,22 +69,27 @@ def embed_texts(texts: DataFrame, embedder: Embedder | None = None) -> DataFrame
     return prepared.mapInPandas(embedder, VECTORS).where(F.size("embedding") > 0)
 
 
+def digest(text: Column) -> Column:
+    """What texts are joined by: 32 bytes in place of the text."""
+    return F.unhex(F.sha2(text, 256))
+
+
 def attach_vectors(chunks: DataFrame, vectors: DataFrame, copies: DataFrame | None = None) -> DataFrame:
     """Give every chunk the vector of its text; chunks without one are dropped.
 
-    Copies of one text may be a large share of all chunks, so the join salts hot texts.  They are found
-    by an 8-byte hash; the text itself is compared in the join.  ``copies`` (``text, copies``) tells how often
-    each text occurs where that is known; otherwise the chunks are counted.
+    ``vectors`` holds ``text`` or its ``digest``, with ``embedding``.  The join is by digest, so a text moves once,
+    with its chunk.  Copies of one text may be a large share of all chunks, so hot digests are salted; ``copies``
+    (``text, copies``) tells how often each text occurs where that is known, otherwise the chunks are counted.
     """
-    left = chunks.drop("embedding").withColumn("_h", F.xxhash64("content"))
-    right = vectors.withColumnRenamed("text", "content").withColumn("_h", F.xxhash64("content"))
+    left = chunks.drop("embedding").withColumn("_d", digest(F.col("content")))
+    key = F.col("digest") if "digest" in vectors.columns else digest(F.col("text"))
+    right = vectors.select(key.alias("_d"), "embedding")
     if copies is None:
-        counts = left.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
+        counts = left.groupBy("_d").agg(F.count(F.lit(1)).alias("_n"))
     else:
-        counts = copies.groupBy(F.xxhash64("text").alias("_h")).agg(F.sum("copies").alias("_n"))
-    hot = hot_keys(counts, ["_h"], "_n")
+        counts = copies.select(digest(F.col("text")).alias("_d"), F.col("copies").alias("_n"))
     salt_by = [c for c in chunks.columns if c in ("repo", "file", "chunk_idx", "start_line")]
-    return salted_join(left, right, ["_h", "content"], salt_by, hot=hot, hot_on=["_h"]).drop("_h")
+    return salted_join(left, right, ["_d"], salt_by, hot=hot_keys(counts, ["_d"], "_n")).drop("_d")
 
 
 def embed_coverage(chunks: DataFrame, embedded: DataFrame) -> DataFrame:

@@ -10,24 +10,26 @@ from srcatlas.functions.tables import CHUNK_BYTES, ERRORS_SHOWN
 from srcatlas.functions.text import embeddable, normalize
 from srcatlas.operators.chunk import paragraph_chunks, with_paragraph_chunks
 from srcatlas.operators.definitions import semantic_chunks
-from srcatlas.operators.embed import Embedder, attach_vectors, distinct_texts, embed_texts
+from srcatlas.operators.embed import Embedder, attach_vectors, digest, distinct_texts, embed_texts
 from srcatlas.session import durable
 
 NO_VALID_TEXT = "no valid texts to embed"
+NOT_EMBEDDED = "failed to get embeddings"
 
 
 def with_vectors(chunks: DataFrame, embedder: Embedder | None = None) -> DataFrame:
     """Chunks with ``embedding``; those that get none are dropped.
 
     The built-in embedder is a function of the row: no shuffle.  A user's embedder is assumed to be costly,
-    so it sees each distinct text once, and its vectors are written to the shared folder before they are
-    joined back: a lost executor does not make it run again for what is done.
+    so it sees each distinct text once.  Chunks, texts and vectors are written to the shared folder: chunking runs
+    once, and a lost executor does not make the embedder run again for what is done.
     """
     if embedder is None:
         valid = chunks.where(embeddable(F.col("content")))
         return valid.withColumn("embedding", hashed_bag(normalize(F.col("content"))))
+    chunks = durable(chunks, "chunks")
     texts = durable(distinct_texts(chunks), "texts")
-    vectors = durable(embed_texts(texts, embedder), "vectors")
+    vectors = durable(embed_texts(texts, embedder).select(digest(F.col("text")).alias("digest"), "embedding"), "vectors")
     return attach_vectors(chunks, vectors, texts)
 
 
@@ -61,21 +63,30 @@ def refresh_state(state: DataFrame, changes: DataFrame, now: Column) -> DataFram
     return kept.select("repo", "path", "mtime", "indexed_at").unionByName(stamped)
 
 
-def file_errors(files: DataFrame, max_bytes: int = CHUNK_BYTES) -> DataFrame:
+def file_errors(files: DataFrame, max_bytes: int = CHUNK_BYTES, index: DataFrame | None = None) -> DataFrame:
     """``repo, file, error``: files that could not be read, or whose chunks are all unfit to embed.
 
-    A blank file has no chunks and is no error.
+    A blank file has no chunks and is no error.  Given the ``index`` made of the files, those that have fit chunks but
+    none in it are errors too: the embedder failed on all of them.
     """
     read_error = F.col("_error") if "_error" in files.columns else F.lit(None).cast("string")
-    unfit = (F.size("chunks") > 0) & ~F.exists("chunks", embeddable)
-    error = F.coalesce(read_error, F.when(unfit, NO_VALID_TEXT))
+    fit = F.exists("chunks", embeddable)
+    error = F.coalesce(read_error, F.when((F.size("chunks") > 0) & ~fit, NO_VALID_TEXT))
+    if index is not None:
+        error = F.coalesce(error, F.when(fit, NOT_EMBEDDED))
     # No row or one per file, by a generator: a filter on the column would compute the chunks again.
     found = F.explode(F.filter(F.array(error), lambda e: e.isNotNull())).alias("error")
-    return with_paragraph_chunks(files, max_bytes).select("repo", F.col("path").alias("file"), found)
+    rows = with_paragraph_chunks(files, max_bytes).select("repo", F.col("path").alias("file"), found)
+    if index is None:
+        return rows
+    embedded = index.select("repo", "file").distinct()
+    failed = rows.where(F.col("error") == NOT_EMBEDDED).join(embedded, ["repo", "file"], "left_anti")
+    return rows.where(F.col("error") != NOT_EMBEDDED).unionByName(failed)
 
 
 def error_report(errors: DataFrame, shown: int = ERRORS_SHOWN) -> DataFrame:
     """The first ``shown`` errors by repository and file, with the total and how many are not shown."""
+    errors = durable(errors, "errors")  # a row per failed file, read twice
     total = errors.agg(F.count(F.lit(1)).alias("n")).scalar()
     return (
         errors.orderBy("repo", "file")
@@ -85,15 +96,21 @@ def error_report(errors: DataFrame, shown: int = ERRORS_SHOWN) -> DataFrame:
     )
 
 
-def index_stats(files: DataFrame, max_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Per repository: files found and chunks saved."""
-    chunked = with_paragraph_chunks(files, max_bytes)
-    saved = F.coalesce(F.size(F.filter("chunks", embeddable)), F.lit(0)).cast("long")
-    return (
-        chunked.select("repo", saved.alias("n"))
-        .groupBy("repo")
-        .agg(F.count(F.lit(1)).alias("files_found"), F.sum("n").alias("chunks_saved"))
-    )
+def index_stats(files: DataFrame, max_bytes: int = CHUNK_BYTES, index: DataFrame | None = None) -> DataFrame:
+    """Per repository: files found and chunks saved.
+
+    Rows that stand for a directory (an ``_error`` and no ``size``) are not files.  Given the ``index`` made of the
+    files, its rows are what was saved; otherwise every fit chunk is.
+    """
+    if {"_error", "size"} <= set(files.columns):
+        files = files.where(F.col("_error").isNull() | F.col("size").isNotNull())
+    if index is None:
+        saved = F.coalesce(F.size(F.filter("chunks", embeddable)), F.lit(0)).cast("long")
+        rows = with_paragraph_chunks(files, max_bytes).select("repo", F.lit(1).alias("f"), saved.alias("n"))
+    else:
+        one = lambda df, f, n: df.select("repo", F.lit(f).alias("f"), F.lit(n).cast("long").alias("n"))
+        rows = one(files, 1, 0).unionByName(one(index, 0, 1))
+    return rows.groupBy("repo").agg(F.sum("f").alias("files_found"), F.sum("n").alias("chunks_saved"))
 
 
 def code_embeddings(files: DataFrame, embedder: Embedder | None = None) -> DataFrame:

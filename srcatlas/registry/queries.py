@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +18,9 @@ from srcatlas.operators.incremental import changed_files as find_changed_files
 from srcatlas.plans import indexing, summarize
 from srcatlas.registry import fixtures as fx
 from srcatlas.session import new_shared_path
+from srcatlas.sources.code_tree import list_code_files, stream_line_chunks
 from srcatlas.sources.code_tree import scan_code_files as scan
-from srcatlas.sources.index_store import read_index, write_index
+from srcatlas.sources.index_store import load_or_build, read_index, read_index_json, write_index, write_index_json
 from srcatlas.streaming import reindex
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,6 +110,87 @@ def stream_reindex(spark: SparkSession, sf: str) -> DataFrame:
     return reindex.current_index(spark, target).select("repo", "file", "chunk_idx", "content")
 
 
+@query
+def line_chunks_streamed(spark: SparkSession, sf: str) -> DataFrame:
+    """Line chunks of written files, cut while they are read."""
+    folder = new_shared_path(spark, "code-tree")
+    fx.write_as_files(_code(spark, sf), folder)
+    listing = list_code_files(spark, [f"{folder}/r{i}" for i in range(4)])
+    return stream_line_chunks(listing, LINE_CHUNK_BYTES).select("repo", "file", "chunk_idx", "content")
+
+
+@query
+def scan_report(spark: SparkSession, sf: str) -> DataFrame:
+    """From written files to dependency lines."""
+    folder = new_shared_path(spark, "packages")
+    packages = fx.view(spark, sf, fx.MANIFESTS_SQL)
+    fx.write_as_files(packages, folder)
+    last = packages.agg(F.max(F.regexp_extract("repo", "[0-9]+", 0).cast("int"))).first()[0]
+    roots = {f"pkg{i}": f"{folder}/pkg{i}" for i in range(last + 1)}
+    files = scan(spark, roots, names=["go.mod", "package.json", "requirements.txt"])
+    return deps.deps_report(structure.chunks_of_files(files.where("_error is null")))
+
+
+def _some_vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """An embedder of its own: length and first code point; nothing for texts whose length divides by three."""
+    for batch in batches:
+        size = batch["prepared"].str.len()
+        kept = batch[size % 3 != 0]
+        vectors = [[float(len(t)), float(ord(t[0]))] for t in kept["prepared"]]
+        yield pd.DataFrame({"text": kept["text"], "embedding": pd.Series(vectors, index=kept.index, dtype=object)})
+
+
+@query
+def index_custom_embedder(spark: SparkSession, sf: str) -> DataFrame:
+    index = indexing.index_files(_docs(spark, sf), _some_vectors)
+    values = [F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(("size", "first_code"))]
+    return index.select("repo", "file", "chunk_idx", "content", *values)
+
+
+@query
+def index_custom_stats(spark: SparkSession, sf: str) -> DataFrame:
+    files = _docs(spark, sf)
+    return indexing.index_stats(files, index=indexing.index_files(files, _some_vectors))
+
+
+@query
+def index_custom_errors(spark: SparkSession, sf: str) -> DataFrame:
+    files = _docs(spark, sf)
+    return indexing.error_report(indexing.file_errors(files, index=indexing.index_files(files, _some_vectors)))
+
+
+@query
+def refresh_with_failures(spark: SparkSession, sf: str) -> DataFrame:
+    """Index and changes where the directories ``de`` could not be listed: their files stay, others may go."""
+    known = _docs(spark, sf).withColumn("mtime", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    number = F.regexp_extract("path", "_([0-9]+)", 1).cast("long")
+    listed = known.where(~F.col("path").startswith("de/") & (number % 5 != 0))
+    newer = F.when(number % 7 == 0, F.lit("2024-01-02 00:00:00").cast("timestamp")).otherwise(F.col("mtime"))
+    listed = listed.withColumn("mtime", newer).withColumn("content", F.when(number % 7 == 0, "changed").otherwise(F.col("content")))
+    failed = known.select("repo").distinct().select(
+        "repo", F.lit("de").alias("path"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("timestamp").alias("mtime"),
+        F.lit("failed to list").alias("_error"),
+    )
+    files = listed.withColumn("_error", F.lit(None).cast("string")).unionByName(failed)
+    state = known.select("repo", "path", "mtime", F.col("mtime").alias("indexed_at"))
+    now = F.lit("2024-01-03 00:00:00").cast("timestamp")
+    changes = find_changed_files(files, state, now, F.expr("interval 20 days"))
+    index = indexing.refresh_index(indexing.index_files(known), files, changes)
+    return index.select("repo", "file", "chunk_idx", "content")
+
+
+@query
+def index_json(spark: SparkSession, sf: str) -> DataFrame:
+    """An index exported as JSON lines, read back, built where it is missing, read again."""
+    exported, stored = new_shared_path(spark, "index-json"), new_shared_path(spark, "index-stored")
+    write_index_json(indexing.index_files(_docs(spark, sf)), exported)
+    for _ in range(2):
+        index = load_or_build(spark, stored, lambda: read_index_json(spark, exported, array=False))
+    peak = F.round(F.array_max("embedding").cast("double"), 5).alias("peak")
+    filled = F.size(F.filter("embedding", lambda x: x != 0)).alias("filled")
+    return index.select("repo", "file", "chunk_idx", "content", filled, peak)
+
+
 # Filters and scalar functions.
 
 
@@ -405,6 +488,19 @@ def repo_prompt(spark: SparkSession, sf: str) -> DataFrame:
     return summarize.prompt_lines(_code_by_file(spark, sf), options)
 
 
+def _count_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A generator of its own: the number of bytes of a prompt part."""
+    for batch in batches:
+        sizes = batch["prompt"].map(lambda p: f"{len(p.encode())} bytes")
+        yield pd.DataFrame({"repo": batch["repo"], "part": batch["part"], "summary": sizes})
+
+
+@query
+def summary_generated(spark: SparkSession, sf: str) -> DataFrame:
+    index = indexing.index_files(_code(spark, sf))
+    return summarize.summarize(index, summarize.SummaryOptions(detail="brief", focus="cmd/", metrics=False), _count_lines, 1 << 40)
+
+
 @query
 def prompt_parts(spark: SparkSession, sf: str) -> DataFrame:
     """The listing of the code corpus as prompt lines, in parts of 4,000 bytes."""

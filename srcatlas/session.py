@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,10 +39,32 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     may compute differently (such as partition numbers after a range shuffle).
     """
     path = new_shared_path(df.sparkSession, label)
-    df.write.mode("overwrite").parquet(path)
+    for held in _scratch:
+        held.append(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that ``durable`` writes inside the block, at its end.
+
+    For a job that ends with a write: ``with scratch(spark): write_index(index_files(files, embedder), path)``.
+    A DataFrame that is still to be read later must not come out of the block.
+    """
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for path in _scratch.pop():
+            place = hadoop.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread a table that comes in fewer splits than there are cores; leave any other where it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -1,8 +1,8 @@
 """Source of code files: directory trees in, one row per file out.
 
 Spark's own file sources skip names that start with ``_`` or ``.`` (``__init__.py``), so listing and
-reading are done by executors here.  The driver lists only the upper levels of a tree, as many as are
-needed to give every task a subtree.  The listing itself is a table of paths without contents, which is
+reading are done by executors here.  The driver opens only as many upper directories as
+are needed to deal subtrees to all tasks.  The listing itself is a table of paths without contents, which is
 spread evenly before any file is opened; so a large repository or directory does not hold up one task.
 """
 
@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import codecs
 import datetime as dt
-from collections.abc import Iterator
+import json
+from collections import deque
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,75 +24,75 @@ from srcatlas.functions.tables import CODE_EXTENSIONS, SKIPPED_DIRS
 from srcatlas.functions.text import extension
 from srcatlas.schemas import FILES, SCANNED_FILES
 from srcatlas.session import durable
-from srcatlas.sources.fs import entries, read_bytes
+from srcatlas.sources.fs import entries, read_blocks, read_bytes
 
 #: Files are handed over in batches of about this many characters; a larger file is its own batch.
 READ_BATCH_CHARS = 4 << 20
-#: Bytes a reading task gets on average, and the most tasks a read is split into.
+#: Bytes a reading task gets on average.
 READ_TASK_BYTES = 128 << 20
-MAX_READ_TASKS = 200_000
+#: Bytes of a file that are held at a time where it is cut into chunks while it is read.
+STREAM_BYTES = 1 << 20
 LISTING = "repo string, path string, location string, mtime timestamp, size bigint, _error string"
 
 
-def _is_code(name: str) -> bool:
-    return "." in name and "." + name.rsplit(".", 1)[1] in CODE_EXTENSIONS
+class Subtrees(InputPartition):
+    """Directories of one task, each with its repository, the repository's root, and whether to go below it."""
 
-
-class Subtree(InputPartition):
-    """A directory to list: only its own files, or everything below it."""
-
-    def __init__(self, root: str, folder: str, recurse: bool):
-        self.root, self.folder, self.recurse = root, folder, recurse
+    def __init__(self, items: list[tuple[str, str, str, bool]]):
+        self.items = items
 
 
 class CodeTreeReader(DataSourceReader):
     def __init__(self, options: dict):
-        roots = [r for r in options.get("path", "").split(",") if r]
+        roots = json.loads(options.get("roots", "[]"))
         if not roots:
-            raise ValueError("option 'path' names the directories to scan, separated by commas")
-        self.roots = [r.rstrip("/") for r in roots]
+            raise ValueError("option 'roots' holds a JSON list of [repository, directory]")
+        self.roots = [(name, root.rstrip("/")) for name, root in roots]
+        self.names = frozenset(json.loads(options.get("names", "[]")))
         self.wanted = int(options.get("numpartitions", "64"))
         self.fail_fast = options.get("mode", "PERMISSIVE").upper() == "FAILFAST"
 
+    def _is_code(self, name: str) -> bool:
+        return name in self.names or ("." in name and "." + name.rsplit(".", 1)[1] in CODE_EXTENSIONS)
+
     def partitions(self):
-        """Open directories level by level until there are enough subtrees to share out."""
-        done, level = [], [(root, root) for root in self.roots]
-        while level and len(done) + len(level) < self.wanted:
-            below = []
-            for root, folder in level:
-                done.append(Subtree(root, folder, recurse=False))
-                try:
-                    names = [n for n, is_dir, _, _ in entries(folder) if is_dir and n not in SKIPPED_DIRS]
-                except OSError:
-                    names = []  # reported by the task that lists the directory
-                below += [(root, f"{folder}/{n}") for n in names]
-            level = below
-        return done + [Subtree(root, folder, recurse=True) for root, folder in level]
-
-    def read(self, part: Subtree):
-        pending = [part.folder]
-        while pending:
-            folder = pending.pop()
+        """Open directories, upper ones first, until there are some subtrees for every task; then deal them out."""
+        opened, waiting = [], deque((name, root, root) for name, root in self.roots)
+        while waiting and len(opened) + len(waiting) < 4 * self.wanted:
+            name, root, folder = waiting.popleft()
+            opened.append((name, root, folder, False))
             try:
-                for name, is_dir, mtime, size in entries(folder):
-                    if is_dir:
-                        if part.recurse and name not in SKIPPED_DIRS:
-                            pending.append(f"{folder}/{name}")
-                    elif _is_code(name):
-                        where = f"{folder}/{name}"
-                        yield self._row(part.root, where, dt.datetime.fromtimestamp(mtime), size, None)
-            except OSError as e:
-                if self.fail_fast:
-                    raise
-                yield self._row(part.root, folder, None, None, f"failed to list: {e}")
+                below = [n for n, is_dir, _, _ in entries(folder) if is_dir and n not in SKIPPED_DIRS]
+            except OSError:
+                below = []  # reported by the task that lists the directory
+            waiting += [(name, root, f"{folder}/{n}") for n in below]
+        items = opened + [(*w, True) for w in waiting]
+        return [Subtrees(items[i :: self.wanted]) for i in range(min(self.wanted, len(items)))]
+
+    def read(self, part: Subtrees):
+        for repo, root, start, recurse in part.items:
+            pending = [start]
+            while pending:
+                folder = pending.pop()
+                try:
+                    for name, is_dir, mtime, size in entries(folder):
+                        if is_dir:
+                            if recurse and name not in SKIPPED_DIRS:
+                                pending.append(f"{folder}/{name}")
+                        elif self._is_code(name):
+                            yield self._row(repo, root, f"{folder}/{name}", dt.datetime.fromtimestamp(mtime), size, None)
+                except OSError as e:
+                    if self.fail_fast:
+                        raise
+                    yield self._row(repo, root, folder, None, None, f"failed to list: {e}")
 
     @staticmethod
-    def _row(root, where, mtime, size, error):
-        return root.rsplit("/", 1)[-1], where[len(root) + 1:], where, mtime, size, error
+    def _row(repo, root, where, mtime, size, error):
+        return repo, where[len(root) + 1:], where, mtime, size, error
 
 
 class CodeTreeSource(DataSource):
-    """``spark.read.format("codetree").option("path", "/repos/a,/repos/b")``: the listing, no contents."""
+    """``spark.read.format("codetree").option("roots", '[["a", "/repos/a"], ["b", "/repos/b"]]')``: the listing, no contents."""
 
     @classmethod
     def name(cls) -> str:
@@ -138,13 +140,31 @@ def _read_batches(fail_fast: bool):
     return rows
 
 
-def list_code_files(spark: SparkSession, roots: str | list[str], mode: str = "PERMISSIVE") -> DataFrame:
-    """``repo, path, location, mtime, size, _error`` of the code files below ``roots``, without contents."""
+def named_roots(roots: str | list[str] | dict[str, str]) -> dict[str, str]:
+    """Repository -> root.  A plain list names each root by its last part; two roots of one name are refused."""
+    if isinstance(roots, dict):
+        return roots
     roots = [roots] if isinstance(roots, str) else list(roots)
+    named: dict[str, str] = {}
+    for root in roots:
+        name = root.rstrip("/").rsplit("/", 1)[-1]
+        if name in named:
+            raise ValueError(f"{named[name]} and {root} are both named {name}: give a dictionary of repository and root")
+        named[name] = root
+    return named
+
+
+def list_code_files(
+    spark: SparkSession, roots: str | list[str] | dict[str, str], mode: str = "PERMISSIVE", names: Sequence[str] = (), tasks: int | None = None
+) -> DataFrame:
+    """``repo, path, location, mtime, size, _error`` of the code files below ``roots``, without contents.
+
+    ``names``: file names taken besides those with an extension of code, such as manifests.  At most ``tasks`` tasks
+    list (twice the cores if not given).
+    """
     spark.dataSource.register(CodeTreeSource)
-    subtrees = spark.sparkContext.defaultParallelism * 2
-    reader = spark.read.format("codetree").option("path", ",".join(roots)).option("mode", mode)
-    return reader.option("numpartitions", subtrees).load()
+    reader = spark.read.format("codetree").option("roots", json.dumps(list(named_roots(roots).items()))).option("names", json.dumps(list(names)))
+    return reader.option("mode", mode).option("numpartitions", tasks or spark.sparkContext.defaultParallelism * 2).load()
 
 
 def read_files(listing: DataFrame, mode: str = "PERMISSIVE", task_bytes: int = READ_TASK_BYTES) -> DataFrame:
@@ -156,7 +176,7 @@ def read_files(listing: DataFrame, mode: str = "PERMISSIVE", task_bytes: int = R
     spark = listing.sparkSession
     listing = durable(listing, "listing")
     total = listing.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    tasks = min(max(total // task_bytes + 1, spark.sparkContext.defaultParallelism), MAX_READ_TASKS)
+    tasks = max(total // task_bytes + 1, spark.sparkContext.defaultParallelism)
     fail_fast = mode.upper() == "FAILFAST"
     out = "repo string, path string, mtime timestamp, size bigint, content string, _error string"
     read = listing.repartition(tasks, "location").mapInArrow(_read_batches(fail_fast), out)
@@ -164,11 +184,83 @@ def read_files(listing: DataFrame, mode: str = "PERMISSIVE", task_bytes: int = R
     return read.withColumn("ext", extension(F.col("path"))).select(*names)
 
 
-def scan_code_files(spark: SparkSession, roots: str | list[str], mode: str = "PERMISSIVE") -> DataFrame:
+def _lines(location: str) -> Iterator[str]:
+    """Lines of a file of any size, a block at a time; one carriage return before a line's end goes."""
+    decoder = codecs.getincrementaldecoder("utf-8")("srcatlas_byte")
+    rest = ""
+    for block in read_blocks(location, STREAM_BYTES):
+        *lines, rest = (rest + decoder.decode(block)).split("\n")
+        yield from (x.removesuffix("\r") for x in lines)
+    rest += decoder.decode(b"", True)
+    if rest:
+        yield rest.removesuffix("\r")
+
+
+def _packed(lines: Iterator[str], max_bytes: int) -> Iterator[str]:
+    held: list[str] = []
+    used = 0
+    for line in lines:
+        size = len(line.encode())
+        if used and used + size + 1 > max_bytes:
+            yield "\n".join(held)
+            used = 0
+        if used:
+            held.append(line)
+            used += 1 + size
+        else:
+            held, used = [line], size
+    if used:
+        yield "\n".join(held)
+
+
+def stream_line_chunks(listing: DataFrame, max_bytes: int, mode: str = "PERMISSIVE") -> DataFrame:
+    """``repo, file, chunk_idx, content, _error``: line chunks of the files of a listing, cut while they are read.
+
+    The same chunks as ``line_chunks`` gives, but no file is ever held whole.  A file that cannot be read to its end
+    has the chunks so far and a row with the error; FAILFAST ends the job.
+    """
+    fail_fast = mode.upper() == "FAILFAST"
+    fields = [("repo", pa.string()), ("file", pa.string()), ("chunk_idx", pa.int32()), ("content", pa.string()), ("_error", pa.string())]
+    schema = pa.schema(fields)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codecs.register_error("srcatlas_byte", _replace_byte)
+        out, held = [], 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                number, error = -1, row["_error"]
+                chunks = _packed(_lines(row["location"]), max_bytes) if error is None else iter(())
+                while True:
+                    try:
+                        content = next(chunks, None)
+                    except OSError as e:
+                        if fail_fast:
+                            raise
+                        content, error = None, f"failed to read file: {e}"
+                    if content is None and error is None:
+                        break
+                    number += 1
+                    out.append({"repo": row["repo"], "file": row["path"], "chunk_idx": None if error else number, "content": content, "_error": error})
+                    held += len(content or "")
+                    if held > READ_BATCH_CHARS:
+                        yield pa.RecordBatch.from_pylist(out, schema=schema)
+                        out, held = [], 0
+                    if error is not None:
+                        break
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return listing.mapInArrow(cut, "repo string, file string, chunk_idx int, content string, _error string")
+
+
+def scan_code_files(
+    spark: SparkSession, roots: str | list[str] | dict[str, str], mode: str = "PERMISSIVE", names: Sequence[str] = ()
+) -> DataFrame:
     """List and read the code files below ``roots``.
 
-    ``repo`` is a root's own name and ``path`` is relative to it.  ``mode``: PERMISSIVE keeps a file that
-    cannot be read with its error; FAILFAST ends the job.  Roots are plain paths that every executor can open,
-    or addresses such as ``hdfs://`` and ``s3://`` that Arrow's file systems know.
+    ``repo`` is a root's own name, or its key in a dictionary, and ``path`` is relative to it.  ``mode``: PERMISSIVE
+    keeps a file that cannot be read with its error; FAILFAST ends the job.  ``names``: files taken besides code
+    (``["go.mod", "package.json", "requirements.txt"]`` brings dependencies into a report).  Roots are plain paths
+    that every executor can open, or addresses such as ``hdfs://`` and ``s3://`` that Arrow's file systems know.
     """
-    return read_files(list_code_files(spark, roots, mode), mode)
+    return read_files(list_code_files(spark, roots, mode, names), mode)

@@ -13,10 +13,23 @@ def local_path(address: str) -> str | None:
     return None if "://" in address else address
 
 
-def _remote(address: str):
+#: One client per scheme and authority in a task, and the path its root has there.
+_clients: dict[str, tuple] = {}
+
+
+def _client(root: str) -> tuple:
     from pyarrow.fs import FileSystem
 
-    return FileSystem.from_uri(address)
+    if root not in _clients:
+        _clients[root] = FileSystem.from_uri(root)
+    return _clients[root]
+
+
+def _remote(address: str) -> tuple:
+    scheme, _, rest = address.partition("://")
+    authority, _, path = rest.partition("/")
+    system, base = _client(f"{scheme}://{authority}/")
+    return system, f"{base.rstrip('/')}/{path}"
 
 
 def entries(folder: str) -> Iterator[tuple[str, bool, float, int]]:
@@ -54,6 +67,20 @@ def read_bytes(location: str) -> bytes:
         return f.read()
 
 
+def read_blocks(location: str, size: int) -> Iterator[bytes]:
+    """A file's bytes, ``size`` at a time."""
+    path = local_path(location)
+    if path is not None:
+        with open(path, "rb") as f:
+            while block := f.read(size):
+                yield block
+        return
+    system, path = _remote(location)
+    with system.open_input_stream(path) as f:
+        while block := f.read(size):
+            yield block
+
+
 def write_bytes(location: str, data: bytes) -> None:
     path = local_path(location)
     if path is not None:

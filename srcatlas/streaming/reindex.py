@@ -7,7 +7,7 @@ the newest version of every file; ``compact`` does so for good.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -16,29 +16,32 @@ from srcatlas.functions.tables import CHUNK_BYTES
 from srcatlas.operators.embed import Embedder
 from srcatlas.plans.indexing import index_files
 from srcatlas.schemas import CHUNKS
+from srcatlas.session import durable, scratch
 
 _VERSIONS = "repo string, file string, mtime timestamp, deleted boolean, batch bigint"
 _CHUNKS = T.StructType([*CHUNKS.fields, T.StructField("batch", T.LongType())])
 
 
-def _superseded(versions: DataFrame) -> DataFrame:
-    """``repo, file, batch`` of versions that a later one replaced: later ``mtime``, then later batch."""
-    last = versions.groupBy("repo", "file").agg(F.max(F.struct("mtime", "batch")).alias("_last"))
-    old = versions.join(last, ["repo", "file"]).where(F.struct("mtime", "batch") < F.col("_last"))
-    return old.select("repo", "file", "batch")
+def _newest(versions: DataFrame) -> DataFrame:
+    """``repo, file, batch`` of the newest version of every file that is not deleted: latest ``mtime``, then batch."""
+    last = versions.groupBy("repo", "file").agg(F.max(F.struct("mtime", "batch", "deleted")).alias("_last"))
+    return last.where(~F.col("_last.deleted")).select("repo", "file", F.col("_last.batch").alias("batch"))
 
 
 def index_batch(files: DataFrame, batch: int, target: str, embedder: Embedder | None, max_bytes: int) -> None:
-    """Index the newest version of each file in a batch.  A row without content marks a deleted file."""
-    newest = F.max_by(F.struct("mtime", "content"), "mtime")
-    rows = files.groupBy("repo", "path").agg(newest.alias("_v")).select("repo", "path", "_v.*").persist()
-    versions = rows.select(
-        "repo", F.col("path").alias("file"), "mtime", F.col("content").isNull().alias("deleted")
-    )
-    chunks = index_files(rows.where(F.col("content").isNotNull()), embedder, max_bytes)
-    chunks.write.mode("overwrite").parquet(f"{target}/chunks/batch={batch}")
-    versions.write.mode("overwrite").parquet(f"{target}/versions/batch={batch}")
-    rows.unpersist()
+    """Index the newest version of each file in a batch.  A row without content marks a deleted file.
+
+    Of versions with the same ``mtime`` a deletion comes last, then the greatest content.  The batch's contents are
+    written to the shared folder while it runs; chunks come before versions, and a chunk counts once its version does.
+    """
+    spark = files.sparkSession
+    newest = F.max(F.struct("mtime", F.col("content").isNull().alias("deleted"), "content"))
+    with scratch(spark):
+        rows = durable(files.groupBy("repo", "path").agg(newest.alias("_v")).select("repo", "path", "_v.*"), "batch")
+        chunks = index_files(rows.where(~F.col("deleted")).drop("deleted"), embedder, max_bytes)
+        chunks.write.mode("overwrite").parquet(f"{target}/chunks/batch={batch}")
+        versions = rows.select("repo", F.col("path").alias("file"), "mtime", "deleted")
+        versions.write.mode("overwrite").parquet(f"{target}/versions/batch={batch}")
 
 
 def start_reindex(
@@ -62,17 +65,17 @@ def start_reindex(
     )
 
 
-def current_index(spark: SparkSession, target: str) -> DataFrame:
-    """The index as it stands: chunks of the newest version of every file.
+def current_index(spark: SparkSession, target: str, since: Column | None = None) -> DataFrame:
+    """The index as it stands: chunks of the newest version of every file, of versions that are written to the end.
 
-    A deletion is a version without chunks.  Only the keys of replaced versions are joined, which are few
-    after ``compact``.
+    ``since``: versions with an earlier ``mtime`` have expired and are left out.
     """
     versions = spark.read.schema(_VERSIONS).parquet(f"{target}/versions")
+    newest = _newest(versions if since is None else versions.where(F.col("mtime") >= since))
     chunks = spark.read.schema(_CHUNKS).parquet(f"{target}/chunks")
-    return chunks.join(_superseded(versions), ["repo", "file", "batch"], "left_anti").drop("batch")
+    return chunks.join(newest, ["repo", "file", "batch"], "left_semi").drop("batch")
 
 
-def compact(spark: SparkSession, target: str, out: str) -> None:
-    """Write the index as it stands to a new place, without superseded versions."""
-    current_index(spark, target).write.mode("overwrite").parquet(out)
+def compact(spark: SparkSession, target: str, out: str, since: Column | None = None) -> None:
+    """Write the index as it stands to a new place, without superseded or expired versions."""
+    current_index(spark, target, since).write.mode("overwrite").parquet(out)

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from srcatlas.operators.incremental import changed_files
 from srcatlas.plans.indexing import file_errors, index_files, refresh_index, refresh_state
-from srcatlas.session import new_shared_path
-from srcatlas.sources import fs
+from srcatlas.operators.chunk import line_chunks
+from srcatlas.session import durable, new_shared_path, scratch
+from srcatlas.sources import code_tree, fs
 from srcatlas.sources.code_tree import list_code_files, read_files, scan_code_files
 from srcatlas.sources.index_store import load_or_build, read_index, read_index_json, write_index, write_index_json
-from srcatlas.streaming.reindex import compact, current_index, start_reindex
+from srcatlas.streaming.reindex import compact, current_index, index_batch, start_reindex
 
 
 @pytest.fixture
@@ -162,3 +163,68 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == rows(index_files(newest, max_bytes=3))
     compact(spark, target, f"{tmp_path}/compact")
     assert rows(read_index(spark, f"{tmp_path}/compact")) == got
+
+
+def test_names_of_roots_and_extra_files(spark, tree):
+    os.makedirs(tree / "other" / "one")
+    (tree / "other" / "one" / "go.mod").write_bytes(b"module x")
+    with pytest.raises(ValueError, match="both named one"):
+        list_code_files(spark, [f"{tree}/one", f"{tree}/other/one"])
+    named = {"first": f"{tree}/one", "second, too": f"{tree}/other/one"}
+    got = {(r.repo, r.path) for r in scan_code_files(spark, named, names=["go.mod"]).collect()}
+    assert ("first", "build.py") in got and ("second, too", "go.mod") in got and len(got) == 7
+
+
+def test_many_directories_few_tasks(spark, tmp_path):
+    for i in range(3000):
+        (tmp_path / "root" / f"d{i // 100}" / f"e{i}").mkdir(parents=True)
+    (tmp_path / "root" / "d7" / "e700" / "a.py").write_text("x")
+    listing = list_code_files(spark, f"{tmp_path}/root", tasks=16)
+    assert listing.rdd.getNumPartitions() <= 16 and [r.path for r in listing.collect()] == ["d7/e700/a.py"]
+
+
+@pytest.mark.parametrize("limit", [1, 7, 50])
+def test_line_chunks_of_files_that_are_not_held(spark, files, tmp_path, monkeypatch, limit):
+    texts = ["", "\n", "a", "a\n", "a\r\n\r\nb\r", "\n\n", "x" * 40 + "\ny", "é\n" * 30, "one\n\ntwo  \n\n\nthree", "\r"]
+    (tmp_path / "r").mkdir()
+    for i, text in enumerate(texts):
+        (tmp_path / "r" / f"f{i}.py").write_bytes(text.encode())
+    monkeypatch.setattr(code_tree, "STREAM_BYTES", 3)
+    got = code_tree.stream_line_chunks(list_code_files(spark, f"{tmp_path}/r"), limit).collect()
+    want = line_chunks(files([("r", f"f{i}.py", t) for i, t in enumerate(texts)]), limit).collect()
+    assert sorted((r.file, r.chunk_idx, r.content) for r in got) == sorted((r.file, r.chunk_idx, r.content) for r in want)
+
+
+def test_what_could_not_be_listed_is_not_deleted(spark):
+    at = dt.datetime(2024, 1, 1)
+    state = spark.createDataFrame([(r, p, at, at) for r, p in (("r", "d/a"), ("r", "d/e/b"), ("r", "dd"), ("q", "d/a"), ("s", "x/y"), ("r", "bad.py"))],
+                                  "repo string, path string, mtime timestamp, indexed_at timestamp")
+    files = spark.createDataFrame([("r", "d", None, "no list"), ("s", "", None, "no root"), ("r", "bad.py", at, "no read"), ("r", "new", at, None)],
+                                  "repo string, path string, mtime timestamp, _error string")
+    got = changed_files(files, state, F.lit(at), F.expr("interval 2 hours")).collect()
+    assert {(r.repo, r.path): r.status for r in got} == {("r", "dd"): "deleted", ("q", "d/a"): "deleted", ("r", "new"): "new"}
+
+
+def test_stream_readers_see_written_versions_only(spark):
+    target = new_shared_path(spark, "target")
+    at = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    batch = lambda rows: spark.createDataFrame(rows, "repo string, path string, mtime timestamp, content string")
+    index_batch(batch([("r", "a", at(1), "old"), ("r", "b", at(1), "b"), ("r", "b", at(1), None)]), 0, target, None, 100)
+    before = rows(current_index(spark, target))
+    assert [r[3] for r in before] == ["old"]
+    # a batch that has written its chunks, not yet its versions
+    index_batch(batch([("r", "a", at(2), "new")]), 1, target, None, 100)
+    hidden = f"{target}/versions/batch=1"
+    os.rename(hidden.removeprefix("file:"), f"{target.removeprefix('file:')}/held")
+    assert rows(current_index(spark, target)) == before
+    os.rename(f"{target.removeprefix('file:')}/held", hidden.removeprefix("file:"))
+    assert [r[3] for r in rows(current_index(spark, target))] == ["new"]
+    assert current_index(spark, target, since=F.lit(at(3))).count() == 0
+
+
+def test_scratch_tables_go(spark):
+    with scratch(spark):
+        kept = durable(spark.range(3), "x")
+        assert kept.count() == 3
+        place = kept.inputFiles()[0]
+    assert not os.path.exists(place.removeprefix("file://"))

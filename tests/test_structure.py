@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from srcatlas.functions import text as tx
 from srcatlas.operators import deps, report, structure
 from srcatlas.operators.select import code_files
-from srcatlas.operators.skew import salted_join
+from srcatlas.operators.skew import hot_keys, salted_join
 from srcatlas.plans.indexing import index_files
 from srcatlas.plans.summarize import SummaryOptions, prompt_lines, summarize
 
@@ -137,3 +137,15 @@ def test_salted_join_is_a_join(spark):
     for how in ("inner", "left"):
         got = sorted(map(tuple, salted_join(left, right, ["k"], ["v"], how=how).select("k", "v", "w").collect()), key=str)
         assert got == sorted(map(tuple, left.join(right, "k", how).select("k", "v", "w").collect()), key=str)
+
+
+@pytest.mark.parametrize("share", [0.0005, 0.01, 0.5])
+def test_hot_keys_are_dealt_by_rows_per_task(spark, share):
+    n = 20_000
+    hot_rows = int(n * share)
+    left = spark.range(n).select(F.when(F.col("id") < hot_rows, -1).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    right = left.select("k").distinct().withColumn("w", F.col("k") * 2)
+    hot = hot_keys(left.groupBy("k").count(), ["k"], "count", rows_per_task=100)
+    assert [(r.k, r._fan) for r in hot.collect()] == ([(-1, -(-hot_rows // 100))] if hot_rows > 100 else [])
+    joined = salted_join(left, right, ["k"], ["v"], rows_per_task=100)
+    assert joined.count() == n and joined.where("w <> k * 2").count() == 0

@@ -23,6 +23,11 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def with_uid(df: DataFrame) -> DataFrame:
     """A number unique to each row, repeated rows included.  Stable only once the result is written (``durable``)."""
     return df.withColumn(UID, F.monotonically_increasing_id())

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from srcatlas.llm.common import UID, whole_text, with_uid
+from srcatlas.llm.common import UID, columns_of, whole_text, with_uid
 from srcatlas.session import durable
 
 PREFIX_CHARS = 256
@@ -56,8 +56,8 @@ def _refined(docs: DataFrame, keep: list[Column]) -> DataFrame:
     rows = _with_mark(rows, [LENGTH], by_length, "__sa_by_length")
     rows = _with_mark(rows, [LENGTH, PREFIX], by_prefix, "__sa_by_prefix")
     full = F.when(F.col("__sa_by_length") & F.col("__sa_by_prefix"), F.sha2("__sa_text", 256)).alias(DIGEST)
-    names = [c for c in rows.columns if not c.startswith("__sa_")]
-    return durable(with_uid(rows.select(*[f"`{c}`" for c in names], LENGTH, full)), "refined")
+    kept = [c for c, name in zip(columns_of(rows), rows.columns) if not name.startswith("__sa_")]
+    return durable(with_uid(rows.select(*kept, LENGTH, full)), "refined")
 
 
 def _classes(rows: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ def exact_duplicates(docs: DataFrame, *carry: Column) -> DataFrame:
     since they are one document (``drop_exact_duplicates`` leaves one).  An empty table gives no rows.
     """
     rows = _refined(docs, ["doc_id", *carry])
-    names = [c for c in rows.columns if not c.startswith("__sa_") and c != "doc_id"]
+    names = [c for c in rows.columns if not c.startswith("__sa_") and c != "doc_id"]  # the carried columns
     alone = rows.where(F.col(DIGEST).isNull()).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), *names
     )
@@ -97,8 +97,8 @@ def exact_duplicates(docs: DataFrame, *carry: Column) -> DataFrame:
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts: one with the largest ``doc_id`` (of repeated rows, just one)."""
-    rows = _refined(docs, [F.col(f"`{c}`") for c in docs.columns])
+    rows = _refined(docs, columns_of(docs))
     last = _classes(rows).select(LENGTH, DIGEST, F.col(f"__sa_last.{UID}").alias("__sa_keeper"))
-    alone = rows.where(F.col(DIGEST).isNull()).select(*docs.columns)
+    alone = rows.where(F.col(DIGEST).isNull()).select(*columns_of(docs))
     chosen = rows.where(F.col(DIGEST).isNotNull()).join(last, [LENGTH, DIGEST]).where(F.col(UID) == F.col("__sa_keeper"))
-    return alone.union(chosen.select(*docs.columns))
+    return alone.union(chosen.select(*columns_of(docs)))

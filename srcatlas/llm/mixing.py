@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from srcatlas.llm.common import numbered, whole_text
+from srcatlas.llm.common import columns_of, numbered, whole_text
 from srcatlas.session import durable
 
 MAX_REPEAT = 3
@@ -75,13 +75,15 @@ def rates(sized: DataFrame) -> DataFrame:
     return durable(goal2.select("__sa_of", "source_size", "target", "__sa_whole", "__sa_part", best["seed"].alias("__sa_seed")), "rates")
 
 
-def with_copies(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` of each row of ``docs`` with ``SIZE``, ``source_size``, ``target`` and ``__sa_copies``."""
+def with_copies(docs: DataFrame, whole: bool) -> DataFrame:
+    """Rows of ``docs`` (``whole``, or ``doc_id`` alone) with ``SIZE`` and ``__sa_copies``; without ``whole``, ``source_size`` and ``target`` too."""
     key = F.xxhash64("doc_id", whole_text())
     sized = lambda cols: docs.select(*cols, word_count(whole_text()).alias(SIZE), F.col("source").alias(SOURCE), key.alias("__sa_key"))
     narrow = durable(sized(["doc_id"]), "sizes")
     rate = rates(narrow)
-    rows = narrow if keep == ["doc_id"] else sized([F.col(f"`{c}`") for c in keep])
+    rows = sized(columns_of(docs)) if whole else narrow
+    if whole:  # nothing that a column of docs may be called
+        rate = rate.drop("source_size", "target")
     copies = (F.col("__sa_whole") + F.when(_draw(F.col("__sa_seed")) < F.col("__sa_part"), 1).otherwise(0)).cast("int")
     return rows.join(rate, F.col(SOURCE).eqNullSafe(F.col("__sa_of"))).withColumn("__sa_copies", copies)
 
@@ -92,13 +94,12 @@ def mixture(docs: DataFrame) -> DataFrame:
     A null text has size 0; a source without words has target 0.  Repeated rows are drawn alike.  Reruns agree: draws
     depend on ``doc_id`` and text alone.  An empty table gives no rows.
     """
-    return with_copies(docs, ["doc_id"]).select(
+    return with_copies(docs, whole=False).select(
         "doc_id", F.col(SIZE).alias("size"), "source_size", "target", (F.col(SIZE) * F.col("__sa_copies")).alias("taken")
     )
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """``docs`` with each row as often as the mix takes it: not at all, or up to MAX_REPEAT times."""
-    rows = with_copies(docs, docs.columns).where("__sa_copies > 0")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return rows.select(*columns, F.explode(F.sequence(F.lit(1), "__sa_copies")).alias("__sa_copy")).drop("__sa_copy")
+    rows = with_copies(docs, whole=True).where("__sa_copies > 0")
+    return rows.select(*columns_of(docs), F.explode(F.sequence(F.lit(1), "__sa_copies")).alias("__sa_copy")).drop("__sa_copy")

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from srcatlas.llm.common import whole_text
+from srcatlas.llm.common import columns_of, whole_text
 from srcatlas.session import durable
 
 # Fixed values of the base rule.
@@ -162,4 +162,4 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that the rules reject."""
     rows = durable(docs.withColumn(F_, features(whole_text())), "documents")
-    return judged(rows).where("__sa_kept").select(*docs.columns)
+    return judged(rows).where("__sa_kept").select(*columns_of(docs))

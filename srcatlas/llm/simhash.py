@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcatlas.llm.common import UID, whole_text, with_uid
+from srcatlas.llm.common import UID, columns_of, whole_text, with_uid
 from srcatlas.llm.components import components
 from srcatlas.session import durable
 
@@ -137,4 +137,4 @@ def drop_near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     """``docs`` with one row of each group: one that carries the smallest ``doc_id`` (of repeated rows, just one)."""
     rows = durable(with_uid(with_fingerprint(docs, words)), "documents")
     keepers = near_groups(rows.select("doc_id", UID, FP)).select(F.col("__sa_keeper").alias(UID)).distinct()
-    return rows.join(keepers, UID, "left_semi").select(*docs.columns)
+    return rows.join(keepers, UID, "left_semi").select(*columns_of(docs))

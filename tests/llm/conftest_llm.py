@@ -1,6 +1,6 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, kept string, component_id string, length string, a string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, kept string, component_id string, length string, `a` string, `x.y z` string, target string, fp long"
 
 
 @pytest.fixture
@@ -8,7 +8,7 @@ def make_docs(spark):
     """Documents from (doc_id, text[, source[, lang]]), with extra columns whose names clash with those of results."""
 
     def make(rows, partitions=3):
-        full = [(r[0], r[1], *(list(r[3:4]) or ["en"]), *(list(r[2:3]) or ["s"]), -1, 7, "x", "y", "z", None) for r in rows]
+        full = [(r[0], r[1], *(list(r[3:4]) or ["en"]), *(list(r[2:3]) or ["s"]), -1, 7, "x", "y", "z", None, "dot", "t", 5) for r in rows]
         return spark.createDataFrame(full, SCHEMA).repartition(partitions)
 
     return make

@@ -61,12 +61,17 @@ def _refined(docs: DataFrame, keep: list[Column]) -> DataFrame:
 
 
 def _classes(rows: DataFrame) -> DataFrame:
-    """One row per group of equal texts with a digest: its size and the row that stays (largest doc_id, then UID)."""
-    return (
+    """One row per group of equal texts with a digest: its size and the row that stays (largest doc_id, then UID).
+
+    Written, so that the join back to the rows sends a small table to every task, and otherwise has shuffles of its own
+    on both sides, which adaptive execution splits where a group is large.
+    """
+    groups = (
         rows.where(F.col(DIGEST).isNotNull())
         .groupBy(LENGTH, DIGEST)
         .agg(F.count("*").alias("__sa_n"), F.max(F.struct("doc_id", UID)).alias("__sa_last"))
     )
+    return durable(groups, "groups")
 
 
 def exact_duplicates(docs: DataFrame, *carry: Column) -> DataFrame:

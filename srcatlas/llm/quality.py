@@ -134,8 +134,12 @@ def thresholds(rows: DataFrame) -> DataFrame:
     lang = bounds(by_lang, ["lang"], "l_").withColumnRenamed("lang", "l_lang")
     everything = bounds(merged(by_lang, []), [], "a_").first()  # a number per feature
     joined = pair.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")), "left")
-    pick = lambda k: F.when(F.col("s_rows") >= MIN_GROUP, F.col(f"s_{k}")).when(F.col("l_rows") >= MIN_GROUP, F.col(f"l_{k}")).otherwise(F.lit(everything[f"a_{k}"]))
-    return durable(joined.select(F.col("lang").alias("__sa_lang"), F.col("source").alias("__sa_source"), *[pick(k).alias(f"__sa_{k}") for k in FLOORS]), "bounds")
+
+    def pick(k: str) -> Column:
+        own_or_lang = F.when(F.col("s_rows") >= MIN_GROUP, F.col(f"s_{k}")).when(F.col("l_rows") >= MIN_GROUP, F.col(f"l_{k}"))
+        return own_or_lang.otherwise(F.lit(everything[f"a_{k}"])).alias(f"__sa_{k}")
+
+    return durable(joined.select(F.col("lang").alias("__sa_lang"), F.col("source").alias("__sa_source"), *map(pick, FLOORS)), "bounds")
 
 
 def judged(rows: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcatlas.llm.common import UID, running_total, whole_text, with_uid
+from srcatlas.llm.common import running_total, whole_text, with_uid
 from srcatlas.session import durable
 
 SEQUENCE = 1024

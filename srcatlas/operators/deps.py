@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srcatlas.functions.arrays import items
-from srcatlas.functions.text import lines_of, trim_space
+from srcatlas.functions.text import base_name, lines_of, trim_space
 
 # Manifest paths and the texts of the report.
 GO_MANIFEST, NODE_MANIFEST, PYTHON_MANIFEST = "go.mod", "package.json", "requirements.txt"
@@ -48,14 +48,14 @@ def _python_specs(chunks: Column) -> Column:
     return F.filter(_lines(chunks), lambda x: ~F.startswith(x, F.lit("#")))
 
 
-def _lists(by_file: DataFrame) -> DataFrame:
-    """``repo, block, ecosystem, scope, title, specs``: the lists of each manifest, present or empty.
+def _lists(by_file: DataFrame, anywhere: bool = False) -> DataFrame:
+    """``repo, path, block, ecosystem, scope, title, specs``: the lists of each manifest, present or empty.
 
     One pass over the manifests.  ``block`` numbers the lists of a repository in report order.  A manifest
     is one file, so an array holds all of a list.
     """
     chunks, text = F.col("chunks"), F.array_join("chunks", "")
-    path = F.col("path")
+    path = base_name(F.col("path")) if anywhere else F.col("path")
 
     def listing(block: int, key: tuple[str, str], present: Column, specs: Column) -> Column:
         return F.when(
@@ -75,12 +75,16 @@ def _lists(by_file: DataFrame) -> DataFrame:
         listing(3, ("python", "runtime"), path == PYTHON_MANIFEST, _python_specs(chunks)),
     ]
     manifests = by_file.where(path.isin(*MANIFESTS))
-    return manifests.select("repo", F.inline(F.filter(F.array(*found), lambda x: x.isNotNull())))
+    return manifests.select("repo", "path", F.inline(F.filter(F.array(*found), lambda x: x.isNotNull())))
 
 
-def dependencies(by_file: DataFrame) -> DataFrame:
-    """``repo, ecosystem, scope, pos, spec`` of all three kinds, ``pos`` counting from 0 per list."""
-    return _lists(by_file).select("repo", "ecosystem", "scope", F.posexplode(items("specs")).alias("pos", "spec"))
+def dependencies(by_file: DataFrame, anywhere: bool = False) -> DataFrame:
+    """``repo, ecosystem, scope, pos, spec`` of all three kinds, ``pos`` counting from 0 per list.
+
+    ``anywhere``: manifests in subdirectories count as well, and ``path`` tells them apart.
+    """
+    entries = F.posexplode(items("specs")).alias("pos", "spec")
+    return _lists(by_file, anywhere).select("repo", *(["path"] if anywhere else []), "ecosystem", "scope", entries)
 
 
 def deps_go(by_file: DataFrame) -> DataFrame:

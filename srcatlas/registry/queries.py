@@ -468,6 +468,11 @@ def deps_python(spark: SparkSession, sf: str) -> DataFrame:
     return deps.deps_python(_manifests(spark, sf))
 
 
+@query
+def deps_anywhere(spark: SparkSession, sf: str) -> DataFrame:
+    return deps.dependencies(_manifests(spark, sf), anywhere=True)
+
+
 @query
 def deps_report(spark: SparkSession, sf: str) -> DataFrame:
     return deps.deps_report(_manifests(spark, sf))

@@ -2,7 +2,7 @@
 
 Each micro-batch appends its own folder of chunks and of file versions; nothing is rewritten.  A folder is
 named by the batch id and overwritten as a whole, so a batch that runs twice leaves one copy.  Readers keep
-the newest version of every file; ``compact`` does so for good.
+the newest version of every file; ``compact`` does so for good, in place or elsewhere.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from srcatlas.functions.tables import CHUNK_BYTES
 from srcatlas.operators.embed import Embedder
 from srcatlas.plans.indexing import index_files
 from srcatlas.schemas import CHUNKS
-from srcatlas.session import durable, scratch
+from srcatlas.session import durable, remove, scratch
 
 _VERSIONS = "repo string, file string, mtime timestamp, deleted boolean, batch bigint"
 _CHUNKS = T.StructType([*CHUNKS.fields, T.StructField("batch", T.LongType())])
@@ -76,6 +76,27 @@ def current_index(spark: SparkSession, target: str, since: Column | None = None)
     return chunks.join(newest, ["repo", "file", "batch"], "left_semi").drop("batch")
 
 
-def compact(spark: SparkSession, target: str, out: str, since: Column | None = None) -> None:
-    """Write the index as it stands to a new place, without superseded or expired versions."""
-    current_index(spark, target, since).write.mode("overwrite").parquet(out)
+def compact(spark: SparkSession, target: str, out: str | None = None, since: Column | None = None) -> None:
+    """Keep the newest versions only (and with ``since`` no expired ones): as an index at ``out``, or in place.
+
+    In place, they are written as one batch of their own with a number below all others, deletions included; then the
+    batches it replaces are removed, versions first.  At every moment a reader finds each file's newest version either
+    in its old batch or in the new one, and batches that a running stream adds meanwhile are not touched.
+    """
+    if out is not None:
+        current_index(spark, target, since).write.mode("overwrite").parquet(out)
+        return
+    versions = spark.read.schema(_VERSIONS).parquet(f"{target}/versions")
+    batches = sorted(r.batch for r in versions.select("batch").distinct().collect())  # a number per micro-batch
+    merged = min([0, *batches]) - 1
+    old = versions.where(F.col("batch").isin(batches))
+    kept = old if since is None else old.where(F.col("mtime") >= since)
+    last = kept.groupBy("repo", "file").agg(F.max(F.struct("mtime", "batch", "deleted")).alias("_v"))
+    last = durable(last.select("repo", "file", "_v.*"), "newest")
+    chunks = spark.read.schema(_CHUNKS).parquet(f"{target}/chunks").where(F.col("batch").isin(batches))
+    chunks = chunks.join(last.where(~F.col("deleted")), ["repo", "file", "batch"], "left_semi").drop("batch")
+    chunks.write.mode("overwrite").parquet(f"{target}/chunks/batch={merged}")
+    last.drop("batch").write.mode("overwrite").parquet(f"{target}/versions/batch={merged}")
+    for kind in ("versions", "chunks"):
+        for batch in batches:
+            remove(spark, f"{target}/{kind}/batch={batch}")

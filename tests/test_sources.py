@@ -163,6 +163,15 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == rows(index_files(newest, max_bytes=3))
     compact(spark, target, f"{tmp_path}/compact")
     assert rows(read_index(spark, f"{tmp_path}/compact")) == got
+    for _ in range(2):
+        compact(spark, target)
+        assert rows(current_index(spark, target)) == got
+    assert [x for x in os.listdir(f"{target.removeprefix('file:')}/chunks") if x.startswith("batch")] == ["batch=-2"]
+    more = [("r", "b", at(9), "back"), ("r", "c", at(1), "older"), ("s", "a", at(9), None)]
+    spark.createDataFrame(more, schema).coalesce(1).write.mode("append").parquet(source)
+    start_reindex(spark.readStream.schema(schema).parquet(source), target, log, max_bytes=3).awaitTermination()
+    newest = spark.createDataFrame([("r", "a", "new"), ("r", "b", "back"), ("r", "c", " \n")], "repo string, path string, content string")
+    assert rows(current_index(spark, target)) == rows(index_files(newest, max_bytes=3))
 
 
 def test_names_of_roots_and_extra_files(spark, tree):

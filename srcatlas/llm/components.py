@@ -1,7 +1,7 @@
 """Connected components of an undirected graph by alternating large and small stars, over tables only.
 
 Kiveris et al., "Connected Components in MapReduce and Beyond" (2014).  Every round is two aggregates and two equality
-joins; it is written to the shared folder, so lost executors cost one round at most.
+joins, written to the shared folder, so lost executors cost one step at most.
 """
 
 from __future__ import annotations
@@ -13,11 +13,15 @@ from srcatlas.session import durable
 
 
 def _star(edges: DataFrame) -> DataFrame:
-    """One large star, then one small star, of edges (``a`` > ``b``, distinct)."""
+    """One large star, then one small star, of edges (``a`` > ``b``, distinct).
+
+    The smallest neighbours are written, so that a hub's edges can be split where they are joined to them.
+    """
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    low = durable(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "lowest")
     large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-    floor = large.groupBy("a").agg(F.min("b").alias("m"))
+    large = durable(large, "large-star")
+    floor = durable(large.groupBy("a").agg(F.min("b").alias("m")), "lowest")
     joined = large.join(floor, "a")
     small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(floor.select("a", F.col("m").alias("b")))
     return small.distinct()

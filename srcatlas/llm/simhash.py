@@ -91,7 +91,8 @@ def links(prints: DataFrame) -> DataFrame:
     """Distinct fingerprints ``fp`` -> edges (``a``, ``b``) whose components are those of all links."""
     kept = F.array(*[F.struct(F.lit(v).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for v, m in enumerate(masks())])
     cells = prints.select("fp", F.inline(kept))
-    shared = cells.groupBy("t", "k").count().where("count > 1").select("t", "k")
+    # written, so that the join has shuffles of its own on both sides and a bucket of any size can be split
+    shared = durable(cells.groupBy("t", "k").count().where("count > 1").select("t", "k"), "buckets")
     flips = F.array(
         *[F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)) for i in range(BITS) if not m >> i & 1]) for m in masks()]
     )
@@ -117,7 +118,7 @@ def near_groups(rows: DataFrame) -> DataFrame:
     prints = durable(rows.groupBy(F.col(FP).alias("fp")).agg(first), "prints")
     roots = components(links(prints.select("fp")))
     joined = prints.join(roots, prints.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    lowest = joined.groupBy("root").agg(F.min("first").alias("lowest"))
+    lowest = durable(joined.groupBy("root").agg(F.min("first").alias("lowest")), "lowest")
     classes = joined.join(lowest, "root").select(
         F.col("fp").alias(FP), F.col("lowest.doc_id").alias("component_id"), F.col(f"lowest.{UID}").alias("__sa_keeper")
     )

@@ -132,7 +132,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     rows = linked.withColumn("status", status).withColumn("turn", F.coalesce("turn", "result_turn"))
     order = [F.col("conv_id"), F.col("level").asc_nulls_last(), F.col("turn").asc_nulls_last(), F.col("call_id")]
     ranked = durable(numbered(rows, order, "__sa_rank"), "ranked")
-    first = ranked.groupBy("conv_id").agg(F.min("__sa_rank").alias("__sa_first"))
+    first = durable(ranked.groupBy("conv_id").agg(F.min("__sa_rank").alias("__sa_first")), "first")
     ready = ranked.join(first, "conv_id").withColumn("position", F.col("__sa_rank") - F.col("__sa_first"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,8 +1,9 @@
 """Main text of web pages by consensus of a host's pages on where its articles stand.
 
 Every page is read once into a tree of block elements.  A container's score is its text outside links times the square of
-that text's share in everything below it, weighed by its tag, so the container that holds the article and little else comes
-first.
+that text's share in text and links below it, weighed by its tag, so the container that holds the article and little else
+comes first.  Text that is left out (comments, adverts) has no say.  A container that adds text of its own (a title, an
+introduction) to the best container in it scores at least as much as both, if it adds little else.
 Pages vote for the generalised paths of their good containers (tags with classes, digits masked); votes are added up per
 host in Spark, and every page is read again with its host's winning path.  A page where that path is missing, or holds far
 less than the page's own best container, uses its own best.
@@ -41,7 +42,8 @@ NOISE_ROLES = set("navigation banner contentinfo complementary search menu dialo
 WEIGHT = {"article": 1.2, "main": 1.1, "body": 0.6, "html": 0.5}
 
 VOTE_SHARE = 0.5
-OWN_BEST_SHARE = 0.3
+#: What a page may hold on its host's path at least, as a share of its own best: a container that would not be voted for is not used.
+OWN_BEST_SHARE = VOTE_SHARE
 
 _TOKEN = re.compile(
     r"<!--(?:.*?--!?>|.*\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/<>]*)(?P<attrs>(?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+|[^<>]*)>|<[!?/][^<>]*>", re.S
@@ -57,7 +59,8 @@ class _Node:
     parent: int
     noise: bool
     text: int = 0  # characters outside links and noise, here and below
-    other: int = 0  # characters in links and noise, here and below
+    other: int = 0  # characters in links outside noise, here and below
+    own: int = 0  # characters outside links and noise, not in a container below
     blocks: tuple[int, int] = (0, 0)
 
 
@@ -111,6 +114,8 @@ def read_page(source: str) -> Page:
         if node.parent >= 0:
             page.nodes[node.parent].text += node.text
             page.nodes[node.parent].other += node.other
+            if node.tag not in CONTAINERS:
+                page.nodes[node.parent].own += node.own
 
     def flush() -> None:
         nonlocal linked
@@ -120,9 +125,11 @@ def read_page(source: str) -> Page:
             if text:
                 node = page.nodes[stack[-1]]
                 page.blocks.append((text, node.noise))
-                own = 0 if node.noise else max(0, len(text) - linked)
-                node.text += own
-                node.other += len(text) - own
+                if not node.noise:
+                    own = max(0, len(text) - linked)
+                    node.text += own
+                    node.own += own
+                    node.other += len(text) - own
         linked = 0
 
     def add(text: str) -> None:
@@ -132,7 +139,6 @@ def read_page(source: str) -> Page:
         if "&" in text:
             text = entities.unescape(text)
         if noisy_inline:
-            page.nodes[stack[-1]].other += len(text.strip())
             return
         parts.append(text)
         if links:
@@ -199,20 +205,32 @@ def read_page(source: str) -> Page:
 
 def _scored(page: Page) -> list[tuple[float, int]]:
     """(score, node) of every container with text, best first; of equal scores, the deeper one."""
-    found = []
-    for i, n in enumerate(page.nodes):
+    found, below = [], [(0.0, -1)] * len(page.nodes)  # best score in each node and where it stands
+    for i in range(len(page.nodes) - 1, -1, -1):
+        n, inside = page.nodes[i], below[i]
         if n.tag in CONTAINERS and not n.noise and n.text:
-            found.append((n.text * (n.text / (n.text + n.other)) ** 2 * WEIGHT.get(n.tag, 1.0), i))
+            score = n.text * (n.text / (n.text + n.other)) ** 2 * WEIGHT.get(n.tag, 1.0)
+            if inside[1] >= 0 and n.tag not in ("html", "body"):
+                held = page.nodes[inside[1]]
+                if n.own >= n.text + n.other - held.text - held.other - n.own and n.own:
+                    score = max(score, inside[0] + n.own)
+            found.append((score, i))
+            inside = max(inside, (score, i))
+        if n.parent >= 0:
+            below[n.parent] = max(below[n.parent], inside)
     return sorted(found, key=lambda s: (-s[0], -s[1]))
 
 
 def votes(source: str) -> list[tuple[str, float]]:
-    """(path, share of the best score) of a page's good containers, one per path."""
+    """(path, share of the best score) of a page's good containers, one per path.
+
+    A page as a whole has a vote only if it is the best: it would gather those of all templates of a host.
+    """
     page = read_page(source)
     scored, out = _scored(page), {}
     for score, i in scored:
         share = score / scored[0][0]
-        if share >= VOTE_SHARE:
+        if share >= VOTE_SHARE and (i == scored[0][1] or page.nodes[i].tag not in ("html", "body")):
             out.setdefault(page.nodes[i].path, share)
     return list(out.items())
 

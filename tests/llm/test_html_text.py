@@ -49,3 +49,30 @@ def test_rows(spark):
     got = extracted(pages).collect()
     assert sorted((r.page_id or 0, r.text) for r in got) == [(0, ""), (1, WANT), (1, WANT), (2, WANT), (3, "")]
     assert extracted(pages.limit(0)).count() == 0
+
+
+def test_text_left_out_has_no_say_in_the_score():
+    parts = ("<h1>" + "t" * 20 + "</h1>", "<p>" + "i" * 300 + "</p>", "<div class='content'><p>" + "c" * 700 + "</p></div>")
+    want = "\n".join(["t" * 20, "i" * 300, "c" * 700])
+    for n in (0, 350, 3000, 30_000):
+        for tag in ("article", "div class='story'"):
+            page = f"<body><{tag}>{''.join(parts)}<div class='comments'><p>{'x' * n}</p></div><p>e<span class='ad'>{'y' * n}</span></p></{tag.split()[0]}></body>"
+            path = votes(page)[0][0]
+            assert path.startswith(f"html>body>{tag.split()[0]}") and path.count(">") == 2
+            assert main_text(page, path) == main_text(page, None) == want + "\ne"
+
+
+def test_a_title_and_introduction_beside_links_belong_to_the_article():
+    links = "<div class='more'>" + "<a href='#'>" + "l" * 300 + "</a></div>"
+    page = f"<body><div class='story'><h1>{'t' * 20}</h1><p>{'i' * 300}</p><div class='content'><p>{'c' * 700}</p></div>{links}</div></body>"
+    assert main_text(page, None).startswith("t" * 20 + "\n" + "i" * 300 + "\n" + "c" * 700)
+
+
+def test_comments_do_not_bar_the_hosts_path_and_two_templates_share_a_host(spark):
+    one = "<body><div class='story'><p>{text}</p><div class='comments'><p>{noise}</p></div></div></body>"
+    two = "<body><div class='story'><p>{teaser}</p></div><div class='longread'><p>{text}</p></div></body>"
+    rows = [(i, f"http://h.org/{i}", one.format(text="story text " * 30, noise="said " * 500 * (i % 2))) for i in range(12)]
+    rows += [(100 + i, f"http://h.org/b{i}", two.format(teaser="teaser " * 20, text="long read " * 35)) for i in range(6)]
+    got = {r.page_id: r.text for r in extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == ("story text " * 30).strip() for i in range(12))
+    assert all(got[100 + i] == ("long read " * 35).strip() for i in range(6))

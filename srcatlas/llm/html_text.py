@@ -25,6 +25,8 @@ from srcatlas.session import durable
 # Elements by what they mean for the text.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template iframe object svg math canvas textarea title".split())
+#: Raw elements whose content runs to the end of the page where the end tag is missing; the others are passed over as tags.
+TO_THE_END = set("script style textarea title".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 LEFT_OUT = set("nav header footer aside form menu dialog button select fieldset head".split())
 CLOSES_P = set("address article aside blockquote body center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -46,7 +48,7 @@ VOTE_SHARE = 0.5
 OWN_BEST_SHARE = VOTE_SHARE
 
 _TOKEN = re.compile(
-    r"<!--(?:.*?--!?>|.*\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/<>]*)(?P<attrs>(?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+|[^<>]*)>|<[!?/][^<>]*>", re.S
+    r"<!--(?:-?>|.*?--!?>|.*\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/<>]*)(?P<attrs>(?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+|[^<>]*)>|<[!?/][^<>]*>", re.S
 )
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -101,6 +103,7 @@ def read_page(source: str) -> Page:
     links = 0
     noisy_inline: list[str] = []
     linked = 0
+    unclosed: dict[str, int] = {}  # from where on a raw element has no end tag
 
     def open_node(tag: str, attrs: dict[str, str]) -> None:
         up = page.nodes[stack[-1]] if stack else None
@@ -156,8 +159,17 @@ def read_page(source: str) -> Page:
             continue
         tag, ends = m["tag"].lower(), bool(m["end"])
         if tag in RAW and not ends:
+            if tag in ("svg", "math") and m[0].endswith("/>"):
+                continue
+            if at > unclosed.get(tag, len(source)):
+                continue
             close = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
-            at = close.end() if close else len(source)
+            if close:
+                at = close.end()
+            elif tag in TO_THE_END:
+                at = len(source)
+            else:
+                unclosed[tag] = at
             continue
         if tag in ("br", "wbr"):
             add(" " if tag == "br" else "")

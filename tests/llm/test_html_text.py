@@ -76,3 +76,13 @@ def test_comments_do_not_bar_the_hosts_path_and_two_templates_share_a_host(spark
     got = {r.page_id: r.text for r in extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == ("story text " * 30).strip() for i in range(12))
     assert all(got[100 + i] == ("long read " * 35).strip() for i in range(6))
+
+
+@pytest.mark.parametrize("before", ["<svg viewBox='0 0 1 1'/>", "<math display=inline />", "<!-->", "<!--->", "<svg><path d='x'>", "<noscript><object data=x>", "<iframe src=x>", "<canvas>"])
+def test_icons_empty_comments_and_open_elements_before_an_article(before):
+    page = f"<body><p>start</p>{before}<article><p>{'word ' * 40}</p><svg><text>no</text></svg><p>end</p></article></body>"
+    assert "start" in [t for t, _ in read_page(page).blocks]
+    if not before.startswith("<svg>"):
+        assert main_text(page, None) == ("word " * 40).strip() + "\nend"
+    assert main_text(page.replace("<svg><text>no</text></svg>", ""), None) == ("word " * 40).strip() + "\nend"
+    read_page(before * 50_000)

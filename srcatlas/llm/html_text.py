@@ -39,6 +39,17 @@ NOISE_WORDS = set(
     " promo promotion cookie cookies consent notice notices notification alert popup modal overlay newsletter subscribe subscription signup login"
     " comment comments reply replies respond disqus share sharing social related recommended breadcrumb breadcrumbs pagination pager widget form search toolbar".split()
 )
+#: Words of what readers and advertisers add, which may be longer than the article.
+ADDED_WORDS = set(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent notification alert popup newsletter"
+    " subscribe subscription signup login comment comments reply replies respond disqus share sharing social related recommended".split()
+)
+#: Words after one of these in a class or id say what a page has or lacks, not what the element is.
+MODIFIERS = set("has no with without".split())
+#: How a node is marked: not at all, by a word or as a form (a page's wrapper may be), by words of ADDED_WORDS, by its tag, role or hidden.
+CLEAN, SOFT, ADDED, HARD = range(4)
+#: A marked element that holds so many times the text of what is not marked is the page's wrapper.
+WRAPS = 9
 NOISE_ROLES = set("navigation banner contentinfo complementary search menu dialog alert form".split())
 #: A page as a whole is the article only if no part of it is.
 WEIGHT = {"article": 1.2, "main": 1.1, "body": 0.6, "html": 0.5}
@@ -59,7 +70,9 @@ class _Node:
     tag: str
     path: str
     parent: int
-    noise: bool
+    mark: int = CLEAN
+    article: bool = False  # an article or main element, and not one of a reader's or advertiser's
+    noise: bool = False
     text: int = 0  # characters outside links and noise, here and below
     other: int = 0  # characters in links outside noise, here and below
     own: int = 0  # characters outside links and noise, not in a container below
@@ -72,22 +85,33 @@ class Page:
 
     nodes: list[_Node] = field(default_factory=list)
     blocks: list[tuple[str, bool]] = field(default_factory=list)
+    places: list[tuple[int, int]] = field(default_factory=list)  # node and characters outside links of each block
 
 
 def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(source)} if source.strip() else {}
 
 
-def _is_noise(tag: str, attrs: dict[str, str]) -> bool:
+def _noise_words(attrs: dict[str, str]) -> set[str]:
+    """Words of ``NOISE_WORDS`` in classes and id, each up to a modifier (``has-sidebar`` has none)."""
+    found: set[str] = set()
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        words = [w.lower() for w in _PART.findall(name)]
+        stop = next((i for i, w in enumerate(words) if w in MODIFIERS), len(words))
+        found |= NOISE_WORDS.intersection(words[:stop])
+    return found
+
+
+def _mark(tag: str, attrs: dict[str, str]) -> int:
     if tag in LEFT_OUT:
-        return True
+        return SOFT if tag in ("form", "fieldset") else HARD
     if tag in ROOTS or not attrs:
-        return False
+        return CLEAN
     style = attrs.get("style", "").replace(" ", "").lower()
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in style or attrs.get("role", "").lower() in NOISE_ROLES:
-        return True
-    words = _PART.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")
-    return any(w.lower() in NOISE_WORDS for w in words)
+        return HARD
+    words = _noise_words(attrs)
+    return CLEAN if not words else ADDED if words & ADDED_WORDS else SOFT
 
 
 def _path_step(tag: str, attrs: dict[str, str]) -> str:
@@ -108,17 +132,13 @@ def read_page(source: str) -> Page:
     def open_node(tag: str, attrs: dict[str, str]) -> None:
         up = page.nodes[stack[-1]] if stack else None
         path = f"{up.path}>{_path_step(tag, attrs)}" if up else _path_step(tag, attrs)
-        page.nodes.append(_Node(tag, path, stack[-1] if stack else -1, bool(up and up.noise) or _is_noise(tag, attrs), blocks=(len(page.blocks), -1)))
+        article = tag == "main" or tag == "article" and not _noise_words(attrs) & ADDED_WORDS
+        page.nodes.append(_Node(tag, path, stack[-1] if stack else -1, _mark(tag, attrs), article, blocks=(len(page.blocks), -1)))
         stack.append(len(page.nodes) - 1)
 
     def close_top() -> None:
         node = page.nodes[stack.pop()]
         node.blocks = (node.blocks[0], len(page.blocks))
-        if node.parent >= 0:
-            page.nodes[node.parent].text += node.text
-            page.nodes[node.parent].other += node.other
-            if node.tag not in CONTAINERS:
-                page.nodes[node.parent].own += node.own
 
     def flush() -> None:
         nonlocal linked
@@ -126,13 +146,8 @@ def read_page(source: str) -> Page:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                node = page.nodes[stack[-1]]
-                page.blocks.append((text, node.noise))
-                if not node.noise:
-                    own = max(0, len(text) - linked)
-                    node.text += own
-                    node.own += own
-                    node.other += len(text) - own
+                page.blocks.append((text, False))
+                page.places.append((stack[-1], max(0, len(text) - linked)))
         linked = 0
 
     def add(text: str) -> None:
@@ -183,7 +198,7 @@ def read_page(source: str) -> Page:
                     noisy_inline.pop()
             elif noisy_inline:
                 noisy_inline += [tag] if tag == noisy_inline[0] else []
-            elif "=" in m["attrs"] and _is_noise(tag, _attributes(m["attrs"])):
+            elif "=" in m["attrs"] and _mark(tag, _attributes(m["attrs"])):
                 noisy_inline.append(tag)
             continue
         flush()
@@ -212,9 +227,71 @@ def read_page(source: str) -> Page:
     flush()
     while stack:
         close_top()
+    _settle(page)
     return page
 
 
+def _wrappers(page: Page) -> set[int]:
+    """Marked nodes that are the page's wrapper and not noise, decided by what they hold and what stands outside marked nodes.
+
+    The largest go first, those of readers and advertisers last.  Where nothing but marked nodes has text, all that are not
+    ``HARD`` are read.
+    """
+    nodes = page.nodes
+    if not any(n.mark in (SOFT, ADDED) for n in nodes):
+        return set()
+    text, articles = [0] * len(nodes), [int(n.article) for n in nodes]  # here and below, outside HARD nodes
+    for at, own in page.places:
+        text[at] += own
+    clean, clean_articles = text[:], articles[:]  # outside all marked nodes below
+    for i in range(len(nodes) - 1, 0, -1):
+        up = nodes[i].parent
+        if nodes[i].mark != HARD:
+            text[up] += text[i]
+            articles[up] += articles[i]
+        if nodes[i].mark == CLEAN:
+            clean[up] += clean[i]
+            clean_articles[up] += clean_articles[i]
+    found: set[int] = set()
+    outside, articles_outside = clean[0], clean_articles[0]
+    large = sorted((i for i, n in enumerate(nodes) if n.mark in (SOFT, ADDED) and text[i] > outside), key=lambda i: (-text[i], i))
+    if not large:
+        return found
+    above = [-1] * len(nodes)  # the nearest marked ancestor
+    for i, n in enumerate(nodes[1:], 1):
+        above[i] = n.parent if nodes[n.parent].mark else above[n.parent]
+    for kinds in ((SOFT,), (SOFT, ADDED)):
+        for i in large:
+            n = nodes[i]
+            if n.mark not in kinds or i in found or above[i] >= 0 and above[i] not in found or articles_outside or text[i] <= outside:
+                continue
+            much = text[i] > WRAPS * outside
+            if (articles[i] and much) if n.mark == ADDED else (articles[i] or n.tag == "form" or much):
+                found.add(i)
+                outside += clean[i]
+                articles_outside += clean_articles[i]
+    return found if outside else {i for i, n in enumerate(nodes) if n.mark in (SOFT, ADDED)}
+
+
+def _settle(page: Page) -> None:
+    """Decide which nodes and blocks are noise, and add up the text of the others."""
+    nodes, wrappers = page.nodes, _wrappers(page)
+    for i, n in enumerate(nodes):
+        n.noise = n.parent >= 0 and nodes[n.parent].noise or n.mark != CLEAN and i not in wrappers
+    page.blocks = [(text, nodes[at].noise) for (text, _), (at, _) in zip(page.blocks, page.places)]
+    for (text, noise), (at, own) in zip(page.blocks, page.places):
+        if not noise:
+            nodes[at].text += own
+            nodes[at].own += own
+            nodes[at].other += len(text) - own
+    for n in reversed(nodes[1:]):
+        up = nodes[n.parent]
+        up.text += n.text
+        up.other += n.other
+        if n.tag not in CONTAINERS:
+            up.own += n.own
+
+
 def _scored(page: Page) -> list[tuple[float, int]]:
     """(score, node) of every container with text, best first; of equal scores, the deeper one."""
     found, below = [], [(0.0, -1)] * len(page.nodes)  # best score in each node and where it stands

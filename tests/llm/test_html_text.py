@@ -86,3 +86,36 @@ def test_icons_empty_comments_and_open_elements_before_an_article(before):
         assert main_text(page, None) == ("word " * 40).strip() + "\nend"
     assert main_text(page.replace("<svg><text>no</text></svg>", ""), None) == ("word " * 40).strip() + "\nend"
     read_page(before * 50_000)
+
+
+BODY = f"<h1>Title</h1><p>{'word ' * 60}</p>"
+SAID = f"<div class='comments'><div class='comment'><p>{'said ' * 300}</p></div></div>"
+
+
+@pytest.mark.parametrize(
+    "start,end",
+    [
+        ("<div class='container has-sidebar'>", "</div>"),
+        ("<div id='page' class='no-header'>", "</div>"),
+        ("<div class='page-with-comments'>", "</div>"),
+        ("<div class='widget-area content'><article>", "</article></div>"),
+        ("<div class='widget-area content'>", "</div>"),
+        ("<form id='main-form'>", "</form>"),
+        ("<form><div class='widget-area'><main>", "</main></div></form>"),
+        ("<div class='share-page'><article>", "</article></div>"),
+        ("<div class='share-page'>", "</div>"),
+    ],
+)
+def test_a_wrapper_with_a_noise_word_is_not_noise(start, end):
+    for skip in ("", "<p>Skip</p>") if "share-page'>" not in start or "article" in start else ("",):
+        for extra in ("", "<div class='header'><h1>Site</h1></div>", SAID if "share" not in start else ""):
+            got = main_text(f"<body>{skip}{start}{extra}{BODY}{end}<footer>foot</footer></body>", None)
+            assert "Title\n" + ("word " * 60).strip() in got and "foot" not in got
+            assert ("said" not in got and "Site" not in got) or start == "<div class='share-page'>"
+
+
+def test_readers_texts_stay_noise():
+    teaser = f"<article><p>{'teaser ' * 200}</p></article>"
+    for extra in (SAID, f"<div class='related'>{teaser}</div>", f"<div class='sidebar'>{'aside ' * 80}</div>", f"<ol class='comments'><article class='comment'>{'said ' * 900}</article></ol>"):
+        for tag in ("article", "div"):
+            assert main_text(f"<body><{tag}>{BODY}</{tag}>{extra}</body>", None) == "Title\n" + ("word " * 60).strip()

@@ -3,8 +3,9 @@
 Features are expressions on one row.  Each feature's distribution is held in a log-linear sketch: a value falls in a
 bucket named by its leading six bits, and counts per (language, source, feature, bucket) are added up.  Such sketches merge
 by addition in any order with the same result, and a quantile is within 1/32 of the exact one.  A group's upper bound for a
-feature is its median plus FENCE times the distance from the lower quartile to it, never under a floor (the upper half
-may be junk, so it has no say); groups with few rows use the merged sketch of their language, and that of all rows if the
+feature is the upper edge of its median's bucket plus FENCE times the distance from the lower quartile to the median (a bucket's
+width at least, so that equal texts do not exclude each other), never under a floor (the upper half may be junk, so it has no
+say); groups with few rows use the merged sketch of their language, and that of all rows if the
 language is rare as well.  The bounds are joined back to the rows by language and source.
 
 Only DataFrame functions are used.
@@ -119,7 +120,8 @@ def bounds(parts: DataFrame, keys: list[str], prefix: str) -> DataFrame:
         F.min(F.when(F.col("upto") * 2 >= F.col("total"), F.col("bucket"))).alias("mid"),
         F.max("total").alias("total"),
     )
-    bound = F.col("mid") + (F.col("mid") - F.col("low")) * FENCE
+    width = F.expr(f"shiftleft(1L, greatest(length(bin(mid)) - {LEADING_BITS}, 0))")
+    bound = F.col("mid") + width - 1 + F.greatest(F.col("mid") - F.col("low"), width) * FENCE
     return quartiles.groupBy(*keys).agg(
         F.max("total").alias(f"{prefix}rows"),
         *[F.greatest(F.lit(floor).cast("long"), F.max(F.when(F.col("feature") == k, bound))).alias(f"{prefix}{k}") for k, floor in FLOORS.items()],

@@ -60,6 +60,35 @@ def test_bounds_follow_a_source_and_small_sources_use_their_language(make_docs):
     assert not got[5000] and not got[5001] and got[5002]
 
 
+def test_a_tight_source_above_each_floor_stays(make_docs):
+    rng = random.Random(7)
+
+    def words(lengths):
+        return ["".join(rng.choices("abcdefghijklmnop", k=n)) for n in lengths]
+
+    def symbols(_):  # some 11 symbols in 100 characters, nearly the same in all rows
+        return " ".join(words([5] * 200)) + " " + "#" * 124 + "|" * rng.randint(0, 2)
+
+    def long_words(_):
+        return " ".join(words([15] * 200 + [14, 16] * rng.randint(0, 3) + [15] * rng.randint(0, 2)))
+
+    def lines(_):  # 10 of 20 lines are copies
+        return "\n".join([*(" ".join(words([4, 5, 6, 4, 5])) for _ in range(10)), *["ab"] * 11])
+
+    def repeats(_):  # 45 of 100 words stand in repeated windows
+        part = words([5] * 22)
+        return " ".join([*part, *words([6] * 55), *part, words([7])[0]])
+
+    made = {"symbol": symbols, "long": long_words, "lines": lines, "repeats": repeats}
+    rows = [(1000 * k + i, f(i), name) for k, (name, f) in enumerate(made.items()) for i in range(300)]
+    got = {r.doc_id: r for r in quality_rules(make_docs(rows)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    for k, name in enumerate(made):
+        assert sum(got[1000 * k + i].kept for i in range(300)) == 300, name
+    odd = make_docs([*rows, (9000, symbols(0) + "#" * 300, "symbol"), (9001, " ".join(words([40] * 200)), "long")])
+    assert not any(r.kept for r in quality_rules(odd).where("doc_id >= 9000").collect())
+
+
 def test_messy_rows(messy, empty):
     got = quality_rules(messy).collect()
     assert sorted((tuple(r)[1:6] for r in got)) == sorted(slow_counts(r[1]) for r in MESSY)

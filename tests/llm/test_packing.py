@@ -28,6 +28,17 @@ def test_ids_are_those_of_the_reference_tokenizer(reference):
         assert np.frombuffer(ids, "<u4").tolist() == reference(text), repr(text)
 
 
+def test_added_tokens_have_the_ids_of_the_reference_tokenizer(reference):
+    rng = random.Random(4)
+    end = "<|endoftext|>"
+    assert reference(f"a {end} b") == [64, 220, 50256, 275]
+    bits = [" ", "  ", "\n", "a", "Ab", "1", "é", "'s", ".", "日本", "\r", "<|", "|>", "endoftext", "<|endoftext|", "<|ENDOFTEXT|>", end, end]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 14))) for _ in range(8000)]
+    texts += [end, end * 3, f"{end} ", f" {end}", f"a {end} b", f"\n\n{end}\n\n", "word " * 20_000 + end, f"x{end}" * 5000]
+    for text, ids in zip(texts, ByteBpe(PATH).texts(pa.array(texts))):
+        assert np.frombuffer(ids, "<u4").tolist() == reference(text), repr(text)
+
+
 def slow_best(counts, opener, capacity):
     reach = {opener}
     for length, n in enumerate(counts):

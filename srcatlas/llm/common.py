@@ -23,6 +23,14 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def free_name(df: DataFrame, label: str) -> str:
+    """A name for a working column that no column of ``df`` has, in any letter case."""
+    taken, name = {c.lower() for c in df.columns}, f"__sa_{label}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def columns_of(df: DataFrame) -> list[Column]:
     """All columns of ``df``, whatever characters their names hold."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]

@@ -61,5 +61,47 @@ WITH words AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND coalesce({" AND ".join(f"r.{k} <= wide.{k}" for k in FLOORS)}, true) AS kept
 FROM r LEFT JOIN wide ON r.lang IS NOT DISTINCT FROM wide.lang AND r.source IS NOT DISTINCT FROM wide.source
+""",
+    "op12_resampling": r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256)) AS i)
+), texts AS (
+  SELECT 'd' AS kind, doc_id AS id, row_number() OVER () AS uid, text FROM documents
+  UNION ALL SELECT 'b', item_id, -row_number() OVER (), text FROM benchmark
+), words AS (
+  SELECT kind, id, uid, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM texts
+), places AS (
+  SELECT kind, uid, w, unnest(range(1, len(w) + 1)) AS p FROM words
+), grams AS (
+  SELECT kind, uid, w[p] AS g FROM places
+  UNION ALL SELECT kind, uid, w[p] || ' ' || w[p + 1] FROM places WHERE p + 1 <= len(w)
+  UNION ALL SELECT kind, uid, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] FROM places WHERE p + 2 <= len(w)
+), distinct_grams AS (
+  SELECT g, hex(encode(g)) AS x FROM (SELECT DISTINCT g FROM grams)
+), hashed AS (
+  SELECT g, xor(list_reduce([4294967295] || list_transform(range(0, len(x) // 2), lambda i: CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT)),
+         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM distinct_grams, crc_table
+), counted AS (
+  SELECT kind, uid, bucket, count(*) AS n FROM grams JOIN hashed USING (g) GROUP BY ALL
+), sums AS (
+  SELECT bucket, coalesce(sum(n) FILTER (kind = 'd'), 0) AS s, coalesce(sum(n) FILTER (kind = 'b'), 0) AS t FROM counted GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * ((SELECT sum(s) FROM sums) + 10000)::DOUBLE) / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM sums) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM sums
+), weights AS (
+  SELECT uid, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM counted JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY uid
+), scored AS (
+  SELECT id AS doc_id, uid, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || sha256('42:' || coalesce(id::VARCHAR, ''))[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM words LEFT JOIN weights USING (uid) WHERE kind = 'd'
+), places_of AS (
+  SELECT uid, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, uid) AS r, count(*) OVER () AS n FROM scored WHERE n_words >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 5 * n // 100 THEN r END AS rank
+FROM scored LEFT JOIN places_of USING (uid)
 """,
 }

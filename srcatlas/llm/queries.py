@@ -16,6 +16,7 @@ from srcatlas.llm.mixing import mixture
 from srcatlas.llm.packing import packed
 from srcatlas.llm.pii import personal_data
 from srcatlas.llm.quality import quality_rules
+from srcatlas.llm.resampling import importance_ranks
 from srcatlas.llm.sharding import bounded_shards
 from srcatlas.llm.simhash import near_duplicates
 from srcatlas.llm.tool_calls import link_tool_calls
@@ -96,9 +97,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_ranks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash, op2_exact_dedup, op3_pii, op4_sharding, op5_quality, op6_tool_calls, op7_html_text, op8_packing, op9_mixing, op10_language,
+        op12_resampling,
     )
 }

@@ -103,5 +103,46 @@ WITH RECURSIVE crc_table AS (
 )
 SELECT doc_id, n_features, weight, score, CASE WHEN r <= 5 * n // 100 THEN r END AS rank
 FROM scored LEFT JOIN places_of USING (uid)
+""",
+    "op13_prefix_trie": r"""
+WITH crc_table AS (
+  SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256)) AS i)
+), turns AS (
+  SELECT conv_id, turn, strlen(coalesce(text, '')) AS bytes, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS tid
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, tid) - 1 AS pos, count(*) OVER (PARTITION BY conv_id) AS n, tid, bytes FROM turns
+), numbers AS (
+  SELECT DISTINCT conv_id, n, conv_id - conv_id % 5 AS base, hex(encode(conv_id::VARCHAR)) AS x FROM own
+), families AS (
+  SELECT conv_id, n, base, xor(list_reduce([4294967295] || list_transform(range(0, len(x) // 2), lambda i: CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT)),
+         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 9 AS h
+  FROM numbers, crc_table
+), sized AS (
+  SELECT f.conv_id, f.base, f.h, least(f.h, coalesce(b.n, 0)) AS kept, least(f.h, coalesce(b.n, 0)) + greatest(f.n - f.h, 0) AS n
+  FROM families f LEFT JOIN families b ON f.base = b.conv_id
+), made AS (
+  SELECT s.conv_id, pos - h + kept AS pos, tid, bytes FROM sized s JOIN own o ON s.conv_id = o.conv_id WHERE pos >= h
+  UNION ALL SELECT s.conv_id, pos, tid, bytes FROM sized s JOIN own o ON s.base = o.conv_id WHERE pos < h
+), prefixes AS (
+  SELECT conv_id, pos + 1 AS depth, md5(string_agg(tid, '' ORDER BY pos) OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING)) AS k, bytes FROM made
+  UNION ALL SELECT conv_id, 0, '', 0 FROM sized
+), steps AS (
+  SELECT *, lag(k) OVER (PARTITION BY conv_id ORDER BY depth) AS up FROM prefixes
+), nodes AS (
+  SELECT depth, k, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(up) AS up, any_value(bytes) AS bytes FROM steps GROUP BY depth, k
+), children AS (
+  SELECT depth - 1 AS depth, up AS k, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL
+), below AS (
+  SELECT p.depth, p.k, count(*) FILTER (c.n IS NULL) AS n_leaves, sum((m.n_convs - 1) * m.bytes) AS saved
+  FROM nodes m LEFT JOIN children c ON c.depth = m.depth AND c.k = m.k JOIN prefixes p ON p.conv_id = m.conv_id AND p.depth <= m.depth GROUP BY ALL
+), ends AS (
+  SELECT p.depth, p.k, sha256(string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id)) AS digest FROM prefixes p JOIN sized s ON s.conv_id = p.conv_id AND s.n = p.depth GROUP BY ALL
+)
+SELECT m.conv_id, m.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, m.n_convs, coalesce(c.n, 0) AS n_children, b.n_leaves, b.saved::BIGINT AS saved_tokens,
+       coalesce(e.digest, sha256('')) AS ends_sha256
+FROM nodes m JOIN below b ON b.depth = m.depth AND b.k = m.k LEFT JOIN nodes u ON u.depth = m.depth - 1 AND u.k = m.up
+LEFT JOIN children c ON c.depth = m.depth AND c.k = m.k LEFT JOIN ends e ON e.depth = m.depth AND e.k = m.k
 """,
 }

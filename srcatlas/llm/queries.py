@@ -15,6 +15,7 @@ from srcatlas.llm.language import page_languages
 from srcatlas.llm.mixing import mixture
 from srcatlas.llm.packing import packed
 from srcatlas.llm.pii import personal_data
+from srcatlas.llm.prefix_trie import prefix_trie
 from srcatlas.llm.quality import quality_rules
 from srcatlas.llm.resampling import importance_ranks
 from srcatlas.llm.sharding import bounded_shards
@@ -101,10 +102,14 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_ranks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash, op2_exact_dedup, op3_pii, op4_sharding, op5_quality, op6_tool_calls, op7_html_text, op8_packing, op9_mixing, op10_language,
-        op12_resampling,
+        op12_resampling, op13_prefix_trie,
     )
 }

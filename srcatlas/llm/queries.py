@@ -18,6 +18,7 @@ from srcatlas.llm.pii import personal_data
 from srcatlas.llm.prefix_trie import prefix_trie
 from srcatlas.llm.quality import quality_rules
 from srcatlas.llm.resampling import importance_ranks
+from srcatlas.llm.secrets import secret_scan
 from srcatlas.llm.sharding import bounded_shards
 from srcatlas.llm.simhash import near_duplicates
 from srcatlas.llm.tool_calls import link_tool_calls
@@ -98,6 +99,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_ranks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -110,6 +115,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash, op2_exact_dedup, op3_pii, op4_sharding, op5_quality, op6_tool_calls, op7_html_text, op8_packing, op9_mixing, op10_language,
-        op12_resampling, op13_prefix_trie,
+        op11_secrets, op12_resampling, op13_prefix_trie,
     )
 }

@@ -14,6 +14,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from srcatlas.llm.common import whole_text
 
 # Kinds in order, patterns and bounds of the base spans.
 BASE_KINDS = ["email", "ip", "card", "phone"]
@@ -135,28 +138,27 @@ def find_spans(text: str) -> list[tuple[str, int, int, float]]:
     return spans
 
 
-RESULT = (
-    "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores string"
-)
+FOUND = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores string"
+
+
+def _row(text: str) -> tuple:
+    spans = find_spans(text)
+    named = [f"{k}:{a}:{b}" for k, a, b, _ in spans]
+    base = ",".join(n for n, s in zip(named, spans) if s[0] in BASE_KINDS)
+    counts = [sum(s[0] == k for s in spans) for k in BASE_KINDS]
+    return *counts, hashlib.sha256(base.encode()).hexdigest(), ",".join(named), ",".join(f"{s[3]:.1f}" for s in spans)
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: counts of the base kinds, ``spans`` as kind:start:end and their ``scores``.
+    """One row per row of ``docs``: ``doc_id``, counts of the base kinds, ``spans`` as kind:start:end and their ``scores``.
 
-    A null or empty text has no spans: counts 0, empty strings.  Repeated rows give repeated rows; no row is shuffled.
+    A null or empty text has no spans: counts 0, empty strings.  Repeated rows give repeated rows; no row is shuffled, and
+    texts alone go to the Python workers.
     """
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                spans = find_spans(text or "")
-                named = [f"{k}:{a}:{b}" for k, a, b, _ in spans]
-                base = [n for n, s in zip(named, spans) if s[0] in BASE_KINDS]
-                counts = [sum(s[0] == k for s in spans) for k in BASE_KINDS]
-                digest = hashlib.sha256(",".join(base).encode()).hexdigest()
-                rows.append((doc_id, *counts, digest, ",".join(named), ",".join(f"{s[3]:.1f}" for s in spans)))
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
-            yield out.astype({"doc_id": "Int64"})
-
-    return docs.select("doc_id", "text").mapInPandas(find, RESULT)
+    @F.pandas_udf(FOUND)
+    def find(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            yield pd.DataFrame([_row(t) for t in batch], columns=[c.split()[0] for c in FOUND.split(", ")])
+
+    return docs.select("doc_id", find(whole_text()).alias("found")).select("doc_id", "found.*")

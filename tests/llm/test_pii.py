@@ -76,3 +76,9 @@ def test_rows(messy, make_docs, empty):
     base = ",".join(f"{k}:{a}:{b}" for k, a, b in slow_base(text))
     assert (row.n_email, row.n_ip, row.n_card, row.n_phone) == (1, 1, 1, 0)
     assert row.spans == base and row.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+
+
+def test_large_numbers_of_documents_are_kept_beside_null_ones(spark):
+    ids = [9007199254740993, None, 9007199254740995, -(2**63), 2**63 - 1]
+    rows = spark.createDataFrame([(i, "a@b.de") for i in ids], "doc_id long, text string").coalesce(1)
+    assert sorted((r.doc_id for r in personal_data(rows).collect()), key=lambda i: (i is None, i or 0)) == sorted(ids, key=lambda i: (i is None, i or 0))

@@ -11,6 +11,7 @@ less than the page's own best container, uses its own best.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -44,6 +45,8 @@ ADDED_WORDS = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent notification alert popup newsletter"
     " subscribe subscription signup login comment comments reply replies respond disqus share sharing social related recommended".split()
 )
+#: Classes that make an inline element an advert.
+ADVERT_CLASSES = set("ad ads advert adverts advertisement advertising sponsored".split())
 #: Words after one of these in a class or id say what a page has or lacks, not what the element is.
 MODIFIERS = set("has no with without".split())
 #: How a node is marked: not at all, by a word or as a form (a page's wrapper may be), by words of ADDED_WORDS, by its tag, role or hidden.
@@ -58,6 +61,9 @@ VOTE_SHARE = 0.5
 #: What a page may hold on its host's path at least, as a share of its own best: a container that would not be voted for is not used.
 OWN_BEST_SHARE = VOTE_SHARE
 
+#: A path with more characters is told by its digest.
+PATH_CHARS = 512
+
 _TOKEN = re.compile(
     r"<!--(?:-?>|.*?--!?>|.*\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/<>]*)(?P<attrs>(?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+|[^<>]*)>|<[!?/][^<>]*>", re.S
 )
@@ -102,27 +108,39 @@ def _noise_words(attrs: dict[str, str]) -> set[str]:
     return found
 
 
+def _hidden(attrs: dict[str, str]) -> bool:
+    return "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+
+
+def _left_out_inline(attrs: dict[str, str]) -> bool:
+    """Hidden, or an advert by a class of just that name: other classes of inline elements say how words look (``hljs-comment``)."""
+    return _hidden(attrs) or not ADVERT_CLASSES.isdisjoint(attrs.get("class", "").lower().split())
+
+
 def _mark(tag: str, attrs: dict[str, str]) -> int:
     if tag in LEFT_OUT:
         return SOFT if tag in ("form", "fieldset") else HARD
     if tag in ROOTS or not attrs:
         return CLEAN
-    style = attrs.get("style", "").replace(" ", "").lower()
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in style or attrs.get("role", "").lower() in NOISE_ROLES:
+    if _hidden(attrs) or attrs.get("role", "").lower() in NOISE_ROLES:
         return HARD
     words = _noise_words(attrs)
     return CLEAN if not words else ADDED if words & ADDED_WORDS else SOFT
 
 
-def _path_step(tag: str, attrs: dict[str, str]) -> str:
+def _path(above: str, tag: str, attrs: dict[str, str]) -> str:
+    """The generalised path of an element below the path ``above``; a long one is a digest, so paths do not grow with the depth."""
     classes = sorted({re.sub(r"\d+", "0", c.lower()) for c in attrs.get("class", "").split()})
-    return ".".join([tag, *classes])
+    step = ".".join([tag, *classes])
+    path = f"{above}>{step}" if above else step
+    return path if len(path) <= PATH_CHARS else "#" + hashlib.blake2b(path.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
 def read_page(source: str) -> Page:
     """Read a page of any size in one pass; never fails on broken markup: unmatched end tags are ignored."""
     page = Page()
     stack: list[int] = []
+    spots: dict[str, list[int]] = {}  # where in the stack each tag is open
     parts: list[str] = []
     links = 0
     noisy_inline: list[str] = []
@@ -131,13 +149,15 @@ def read_page(source: str) -> Page:
 
     def open_node(tag: str, attrs: dict[str, str]) -> None:
         up = page.nodes[stack[-1]] if stack else None
-        path = f"{up.path}>{_path_step(tag, attrs)}" if up else _path_step(tag, attrs)
+        path = _path(up.path if up else "", tag, attrs)
         article = tag == "main" or tag == "article" and not _noise_words(attrs) & ADDED_WORDS
         page.nodes.append(_Node(tag, path, stack[-1] if stack else -1, _mark(tag, attrs), article, blocks=(len(page.blocks), -1)))
+        spots.setdefault(tag, []).append(len(stack))
         stack.append(len(page.nodes) - 1)
 
     def close_top() -> None:
         node = page.nodes[stack.pop()]
+        spots[node.tag].pop()
         node.blocks = (node.blocks[0], len(page.blocks))
 
     def flush() -> None:
@@ -198,7 +218,7 @@ def read_page(source: str) -> Page:
                     noisy_inline.pop()
             elif noisy_inline:
                 noisy_inline += [tag] if tag == noisy_inline[0] else []
-            elif "=" in m["attrs"] and _mark(tag, _attributes(m["attrs"])):
+            elif m["attrs"] and _left_out_inline(_attributes(m["attrs"])):
                 noisy_inline.append(tag)
             continue
         flush()
@@ -206,22 +226,19 @@ def read_page(source: str) -> Page:
         if tag in VOID:
             continue
         if ends:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if page.nodes[stack[i]].tag == tag), None)
-            if depth is not None and tag not in ("html", "body"):
+            if spots.get(tag) and tag not in ("html", "body"):
+                depth = spots[tag][-1]
                 while len(stack) > depth:
                     close_top()
             continue
         if tag in CLOSES_P and stack and page.nodes[stack[-1]].tag == "p":
             close_top()
-        for i in range(len(stack) - 1, -1, -1) if tag in SAME_LEVEL else ():
-            above = page.nodes[stack[i]].tag
-            if above in SCOPE[tag]:
-                break
-            if above in SAME_LEVEL[tag]:
-                while len(stack) > i:
+        if tag in SAME_LEVEL:
+            depth = max((spots[t][-1] for t in SAME_LEVEL[tag] if spots.get(t)), default=-1)
+            if depth > max((spots[t][-1] for t in SCOPE[tag] if spots.get(t)), default=-1):
+                while len(stack) > depth:
                     close_top()
-                break
-        if tag in ("html", "body") and any(page.nodes[i].tag == tag for i in stack):
+        if tag in ("html", "body") and spots.get(tag):
             continue
         open_node(tag, _attributes(m["attrs"]))
     flush()

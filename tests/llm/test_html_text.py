@@ -1,6 +1,10 @@
+import random
+import re
+import time
+
 import pytest
 
-from srcatlas.llm.html_text import extracted, main_text, read_page, votes
+from srcatlas.llm.html_text import CLOSES_P, SAME_LEVEL, SCOPE, extracted, main_text, read_page, votes
 
 ARTICLE = "<article><h1>Title &amp; more</h1><p><b>Bold  start<br><p>Second\n block with <a href='#'>a link</a>.</p><ul><li>one<li>two</ul></article>"
 PAGE = f"""<!DOCTYPE html><html lang="en"><head><title>No</title><style>p{{}}</style><script>var t="</p>";</script></head><body class="has-sidebar">
@@ -119,3 +123,57 @@ def test_readers_texts_stay_noise():
     for extra in (SAID, f"<div class='related'>{teaser}</div>", f"<div class='sidebar'>{'aside ' * 80}</div>", f"<ol class='comments'><article class='comment'>{'said ' * 900}</article></ol>"):
         for tag in ("article", "div"):
             assert main_text(f"<body><{tag}>{BODY}</{tag}>{extra}</body>", None) == "Title\n" + ("word " * 60).strip()
+
+
+@pytest.mark.parametrize(
+    "inline", ["<span class='hljs-comment'># keep me</span>", "<span class='search-term'>kept word</span>", "<label class='form-label'>this term</label>", "<em class='widget-x'>that</em>", "<a class='share-link' href='#'>here</a>"]
+)
+def test_inline_words_of_the_article_stay_whatever_their_class(inline):
+    words = inline.split(">")[1].split("<")[0]
+    assert main_text(f"<article><p>{'word ' * 30}</p><pre>x {inline} y</pre></article>", None).endswith(f"x {words} y")
+    for hidden in ("hidden", "aria-hidden='true'", "style='color:red; display: none'"):
+        assert main_text(f"<article><p>{'word ' * 30}</p><p>x <span {hidden}>no</span>y</p></article>", None).endswith("x y")
+
+
+@pytest.mark.parametrize(
+    "source",
+    ["<div class='a b'>" * 20_000 + "deep", "<div>" * 20_000 + "</section>" * 20_000, "<ul><li>" + "<div>" * 20_000 + "<ul><li>x</li></ul>" * 20_000, "<li><div>" * 20_000,
+     "<table>" * 10_000 + "<td>x</td>" * 10_000, "<body>" * 20_000 + "<html>" * 20_000],
+)
+def test_deep_pages_take_linear_time_and_memory(source):
+    start = time.perf_counter()
+    page = read_page(source)
+    votes(source)
+    assert time.perf_counter() - start < 6 and sum(len(n.path) for n in page.nodes) < 600 * len(page.nodes)
+
+
+def slow_tree(source):
+    """(tag, parent) of every element of simple markup, with the stack searched from its top each time."""
+    out, stack = [("html", -1)], [0]
+    for end, tag in re.findall(r"<(/?)(\w+)>", source):
+        if end:
+            depth = next((i for i in range(len(stack) - 1, 0, -1) if out[stack[i]][0] == tag), None)
+            stack = stack[:depth] if depth is not None and tag != "body" else stack
+            continue
+        if tag in CLOSES_P and out[stack[-1]][0] == "p":
+            stack.pop()
+        for i in range(len(stack) - 1, -1, -1) if tag in SAME_LEVEL else ():
+            above = out[stack[i]][0]
+            if above in SCOPE[tag]:
+                break
+            if above in SAME_LEVEL[tag]:
+                stack = stack[:i]
+                break
+        if tag == "body" and any(out[i][0] == "body" for i in stack):
+            continue
+        out.append((tag, stack[-1]))
+        stack.append(len(out) - 1)
+    return out
+
+
+def test_the_tree_matches_a_slow_reading():
+    rng = random.Random(3)
+    tags = ["div", "p", "ul", "li", "table", "tr", "td", "th", "dl", "dt", "dd", "section", "body"]
+    for _ in range(3000):
+        source = "".join(f"<{'/' * (rng.random() < 0.4)}{rng.choice(tags)}>" for _ in range(rng.randint(0, 25)))
+        assert [(n.tag, n.parent) for n in read_page(source).nodes] == slow_tree(source), source

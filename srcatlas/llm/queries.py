@@ -25,23 +25,15 @@ from srcatlas.llm.tool_calls import link_tool_calls
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
-#: Long prompts go to one tool, short ones to another; both want a prompt and its place.
-LONG_PROMPT = 200
+#: What the tools of the conversations take: a prompt of some length and its place.
 _PLACE = {"turn": {"type": "integer", "minimum": 0}}
-SCHEMAS = {
-    "answer": {
-        "type": "object",
-        "properties": {"prompt": {"type": "string", "minLength": LONG_PROMPT}, **_PLACE},
-        "required": ["prompt", "turn"],
-        "additionalProperties": False,
-    },
-    "lookup": {
-        "type": "object",
-        "properties": {"prompt": {"type": "string", "minLength": 1, "maxLength": LONG_PROMPT}, **_PLACE},
-        "required": ["prompt", "turn"],
-        "additionalProperties": False,
-    },
-}
+
+
+def _takes(**prompt) -> dict:
+    return {"type": "object", "properties": {"prompt": {"type": "string", **prompt}, **_PLACE}, "required": ["prompt", "turn"], "additionalProperties": False}
+
+
+SCHEMAS = {"answer": _takes(minLength=100), "lookup": _takes(minLength=1, maxLength=400), "setup": _takes(minLength=1)}
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,23 +56,28 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-def calls_and_results(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A user turn is a call with its text as arguments, an assistant turn the result of the call one turn before it.
+def calls_and_results(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every turn that is not an assistant's is a call with its text as arguments; an assistant's turn is the result of the call
+    one turn before it.
 
-    A call waits for the user turn two turns before.  Longer prompts call ``answer``, others ``lookup``.
+    System turns call ``setup``; the others call ``answer`` in every second conversation and turn, and else ``lookup``, whatever
+    their text.  A call waits for the turn two before and for the first of the conversation.
     """
-    spot = lambda back: F.concat_ws("-", "conv_id", (F.col("turn") - back).cast("string"))
-    name = F.when(F.length(whole_text()) >= LONG_PROMPT, "answer").otherwise("lookup")
+    spot = lambda turn: F.concat_ws("-", "conv_id", turn.cast("string"))
+    role, turn = F.coalesce("role", F.lit("")), F.col("turn")
+    name = F.when(role == "system", "setup").when((F.col("conv_id") + F.floor(turn / 2)) % 2 == 0, "answer").otherwise("lookup")
     arguments = F.to_json(F.struct(F.col("text").alias("prompt"), "turn"))
-    calls = turns.where("role = 'user'").select(
-        "conv_id", spot(0).alias("call_id"), "turn", name.alias("name"), arguments.alias("arguments"), spot(2).alias("after")
-    )
-    results = turns.where("role = 'assistant'").select("conv_id", spot(1).alias("call_id"), "turn", F.col("text").alias("content"))
-    return calls, results
+    asked = turns.where(role != "assistant")
+    calls = asked.select("conv_id", spot(turn).alias("call_id"), "turn", name.alias("name"), arguments.alias("arguments"))
+    before = F.array(spot(turn - 2), spot(F.lit(0)))
+    waits = asked.where("turn > 0").select("conv_id", spot(turn).alias("call_id"), F.explode(before).alias("after"))
+    results = turns.where(role == "assistant").select("conv_id", spot(turn - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    return calls, results, waits
 
 
 def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_tool_calls(*calls_and_results(table(spark, sf_dir, "conversations")), SCHEMAS)
+    calls, results, waits = calls_and_results(table(spark, sf_dir, "conversations"))
+    return link_tool_calls(calls, results, SCHEMAS, waits)
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,9 @@ from srcatlas.llm.common import UID, numbered, with_uid
 from srcatlas.session import durable
 
 #: Turns of a container's members below its head, over which it bursts.
-CONTAINER_ROWS = 4096
+CONTAINER_ROWS = 256
+#: Nodes handed over at a time.
+BATCH_NODES = 4096
 #: Member numbers in one piece of a list that is hashed.
 PIECE_IDS = 4096
 #: Turns of a chain whose sizes are added up in one group.
@@ -199,7 +201,7 @@ def sweep_containers(rows: DataFrame) -> DataFrame:
                     if held:
                         out += done()
                     now, held = (head, depth), []
-                    if len(out) > CONTAINER_ROWS:
+                    if len(out) > BATCH_NODES:
                         yield pa.RecordBatch.from_pylist(out, schema=schema)
                         out = []
                 if not held or held[-1][0] != rep:

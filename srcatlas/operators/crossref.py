@@ -4,9 +4,10 @@ The rule is a substring test (``main`` is found in ``domain``), case-sensitive,
 Comparing every file with every other one is quadratic in a repository, so the test is turned into
 equality joins that give the same numbers:
 
-* A stem made of word characters can only occur inside one run of word characters.  Runs are reduced to
-  the distinct ones per repository, whose substrings of the lengths that the repository's own stems have meet
-  the distinct stems by equality; the hits go back to the files by equality on the run.
+* A stem made of word characters can only occur inside one run of word characters.  Runs are reduced to the distinct ones
+  per repository.  Every place in a run gives its first few characters once per class of stem lengths (PREFIXES), which meet
+  the prefixes of the repository's stems by equality; the rest of a longer stem is compared at the places that are left,
+  and the hits go back to the files by equality on the run.
 * Any other stem has a first character that is no word character: its anchor (``-`` in ``user-service``).  It is
   met only at the anchors of that kind: the word characters before the anchor and the text after it give one
   candidate for each place and length that the repository's stems with this anchor have.  Without white space in
@@ -22,6 +23,8 @@ sends them to every task only if they are small.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +36,10 @@ from srcatlas.session import durable
 _WORD = r"[A-Za-z0-9_\x{80}-\x{10FFFF}]"
 #: Longer runs are cut into windows of this many characters, overlapping by the longest stem.
 WINDOW = 256
+#: Stems are looked up by so many first characters: the largest of these that they have.
+PREFIXES = (1, 2, 3, 4, 8)
+#: Shuffle keys for each prefix of one or two characters.
+SALTS = 32
 
 
 def _kind(base: Column) -> Column:
@@ -53,30 +60,60 @@ def _windows(text: Column, overlap: Column) -> Column:
     )
 
 
-def _substrings(text: Column, lengths: Column) -> Column:
-    """Distinct substrings of the given lengths."""
-    size = F.char_length(text)
+def _heads(window: Column, starts: Column, classes: Column) -> Column:
+    """What stems are looked up by: ``(q, at, prefix)`` of the first ``q`` characters from each start, for every class ``q``.
+
+    A class that holds whole stems only needs each prefix once in a window; the others need every place.
+    """
+    size = F.char_length(window)
+
+    def places(q: Column) -> Column:
+        return F.sequence(F.lit(1), F.least(starts, size - q + 1))
+
+    def whole(q: Column) -> Column:
+        distinct = F.array_distinct(F.transform(places(q), lambda p: F.substring(window, p, q)))
+        return F.transform(distinct, lambda x: F.struct(q.alias("q"), F.lit(0).alias("at"), x.alias("prefix")))
+
+    def placed(q: Column) -> Column:
+        return F.transform(places(q), lambda p: F.struct(q.alias("q"), p.alias("at"), F.substring(window, p, q).alias("prefix")))
+
+    fitting = F.filter(classes, lambda q: q <= size)
+    short = F.transform(F.filter(fitting, lambda q: q < PREFIXES[3]), whole)
+    return F.flatten(F.concat(short, F.transform(F.filter(fitting, lambda q: q >= PREFIXES[3]), placed)))
 
-    def of_length(n: Column) -> Column:
-        starts = F.sequence(F.lit(1), size - n + 1)
-        return F.transform(starts, lambda p: F.substring(text, p, n))
 
-    fitting = F.filter(lengths, lambda n: n <= size)
-    return F.array_distinct(F.flatten(F.transform(fitting, of_length)))
+def prefix_rows(windows: DataFrame, anchors: DataFrame) -> DataFrame:
+    """``repo, wid, run_id, q, at, prefix`` of the windows (``repo, wid, run_id, window, starts``): at most one row for each start and
+    class of lengths that the repository's stems have, whatever the number of lengths."""
+    classes = durable(anchors.groupBy("repo").agg(F.collect_set("q").alias("classes")), "prefix-classes")
+    cells = F.inline(_heads(F.col("window"), F.col("starts"), F.col("classes")))
+    return windows.join(classes, "repo").select("repo", "wid", "run_id", cells)
 
 
 def _word_hits(files: DataFrame, stems: DataFrame) -> DataFrame:
     """``repo, base, path`` for stems of word characters, with repeats."""
-    sizes = F.sort_array(F.collect_set(F.char_length("base")))  # a file system bounds the length of a name
-    lengths = durable(stems.groupBy("repo").agg(sizes.alias("lengths")), "stem-lengths")
+    n = F.char_length("base")
+    q = reduce(lambda rest, c: F.when(n >= c, c).otherwise(rest), PREFIXES[1:], F.lit(PREFIXES[0]))
+    anchors = stems.select("repo", "base", q.alias("q"), F.substring("base", F.lit(1), q).alias("prefix"), n.alias("n"))
+    anchors = durable(anchors, "prefix-anchors")
     per_file = files.select("repo", "path", F.explode("runs").alias("run"))
-    vocabulary = durable(per_file.groupBy("repo", "run").agg(F.count(F.lit(1)).alias("files")), "vocabulary")
-    with_lengths = vocabulary.select("repo", "run").join(lengths, "repo")
-    long_run = F.char_length("run") > WINDOW
-    cut = F.when(long_run, _windows(F.col("run"), F.array_max("lengths"))).otherwise(F.array("run"))
-    windows = with_lengths.select("repo", "run", "lengths", F.explode(cut).alias("window"))
-    pieces = windows.select("repo", "run", F.explode(_substrings(F.col("window"), F.col("lengths"))).alias("base"))
-    found = pieces.join(stems, ["repo", "base"]).select("repo", "run", "base").distinct()
+    vocabulary = per_file.groupBy("repo", "run").agg(F.count(F.lit(1)).alias("files"))
+    vocabulary = durable(vocabulary.withColumn("run_id", F.monotonically_increasing_id()), "vocabulary")
+    longest = durable(anchors.groupBy("repo").agg(F.max("n").alias("longest")), "stem-lengths")  # a file system bounds the length of a name
+    whole = F.array(F.struct(F.col("run").alias("window"), F.char_length("run").alias("starts")))
+    cut = F.transform(_windows(F.col("run"), F.col("longest")), lambda w: F.struct(w.alias("window"), F.least(F.lit(WINDOW), F.char_length(w)).alias("starts")))
+    windows = vocabulary.join(longest, "repo").select("repo", "run_id", F.inline(F.when(F.char_length("run") > WINDOW, cut).otherwise(whole)))
+    windows = durable(windows.withColumn("wid", F.monotonically_increasing_id()), "windows")
+
+    # prefixes of one or two characters meet most windows of a repository; there are few of them, so they are repeated per salt
+    salted = F.when(F.col("q") <= 2, SALTS).otherwise(1)
+    rows = prefix_rows(windows, anchors).withColumn("salt", F.pmod("wid", salted).cast("int"))
+    keys = anchors.withColumn("salt", F.explode(F.sequence(F.lit(0), salted - 1)))
+    met = durable(rows.join(keys, ["repo", "q", "prefix", "salt"]).select("wid", "run_id", "at", "base", "q", "n"), "prefix-hits")
+    # a stem longer than its prefix is compared at that place only
+    longer = met.where("n > q").join(windows.select("wid", "window"), "wid").where(F.substring("window", F.col("at"), F.col("n")) == F.col("base"))
+    hits = met.where("n = q").select("run_id", "base").union(longer.select("run_id", "base")).distinct()
+    found = vocabulary.select("repo", "run", "run_id").join(hits, "run_id").drop("run_id")
     # Back to the files; runs such as keywords are in a large share of them.
     return salted_join(per_file, found, ["repo", "run"], ["path"], hot=hot_keys(vocabulary, ["repo", "run"], "files")).select(
         "repo", "base", "path"

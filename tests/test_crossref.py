@@ -1,8 +1,11 @@
 """Cross-references against brute force, with unusual names, skew and long runs."""
 
+import base64
 import random
 
-from srcatlas.operators.crossref import imported_by
+from pyspark.sql import functions as F
+
+from srcatlas.operators.crossref import PREFIXES, WINDOW, imported_by, prefix_rows
 from srcatlas.operators.importance import importance, key_files
 
 
@@ -73,3 +76,31 @@ def test_score_and_top_files(spark):
     assert top == ["cmd/f7.go", "cmd/f6.go", "cmd/f5.go"]
     assert key_files(scored, "anything").count() == 5
     assert key_files(scored, "brief", focus="z/").count() == 0
+
+
+def test_a_window_gives_a_row_per_place_and_class_at_most(spark):
+    """Stems of 43 lengths: the rows do not follow the number of lengths, nor do they hold the text after a place."""
+    rng = random.Random(5)
+    window = base64.b64encode(rng.randbytes(300)).decode().replace("+", "_").replace("/", "_")[:WINDOW]
+    stems = [("r", window[i : i + n], n) for n in range(1, 44) for i in (3, 90)]
+    q = lambda n: max(c for c in PREFIXES if c <= n)
+    anchors = spark.createDataFrame([(r, b, q(n), b[: q(n)], n) for r, b, n in stems], "repo string, base string, q int, prefix string, n int")
+    windows = spark.createDataFrame([("r", 1, 7, window, WINDOW)], "repo string, wid long, run_id long, window string, starts int")
+    rows = prefix_rows(windows, anchors)
+    counts = {r.q: r["count"] for r in rows.groupBy("q").count().collect()}
+    assert set(counts) == set(PREFIXES) and max(counts.values()) <= WINDOW and counts[1] <= 64
+    assert rows.agg(F.max(F.char_length("prefix"))).first()[0] == max(PREFIXES)
+
+
+def test_noise_with_names_of_many_lengths(spark):
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    noise = "".join(rng.choices(letters, k=60_000))
+    names = {noise[i : i + n] for n in range(1, 44) for i in rng.sample(range(60_000 - n), 3)} | {"".join(rng.choices(letters, k=n)) for n in range(2, 44)}
+    rows = [("r", f"d/{n}.py", rng.choice(["x", noise[:300], " ".join(rng.sample(sorted(names), 4))])) for n in sorted(names)] + [("r", "noise.txt", noise)]
+    assert spark_counts(spark, rows) == brute(rows)
+
+
+def test_a_hot_stem_of_one_character(spark):
+    rows = [("r", f"f{i}/name{i}.py", f"aeiou{i} eee xyz{i % 7}") for i in range(400)] + [("r", "e.js", "none"), ("r", "ou.js", "e"), ("q", "e.js", "no")]
+    assert spark_counts(spark, rows) == brute(rows)

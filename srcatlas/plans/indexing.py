@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,9 @@ from srcatlas.functions.text import embeddable, normalize
 from srcatlas.operators.chunk import paragraph_chunks, with_paragraph_chunks
 from srcatlas.operators.definitions import semantic_chunks
 from srcatlas.operators.embed import Embedder, attach_vectors, digest, distinct_texts, embed_texts
+from srcatlas.operators.incremental import changed_files
 from srcatlas.session import durable
+from srcatlas.sources.index_table import IndexTable
 
 NO_VALID_TEXT = "no valid texts to embed"
 NOT_EMBEDDED = "failed to get embeddings"
@@ -56,6 +60,32 @@ def refresh_index(
     return kept.unionByName(index_files(again, embedder, max_bytes))
 
 
+def refresh_table(
+    table: IndexTable,
+    files: DataFrame,
+    now: Column,
+    ttl: Column,
+    embedder: Embedder | None = None,
+    max_bytes: int = CHUNK_BYTES,
+    read: Callable[[DataFrame], DataFrame] | None = None,
+) -> int:
+    """Bring an index with snapshots up to date with ``files``; only the buckets of changed files are read and written.
+
+    ``files`` has contents, or is a listing and ``read`` fetches the contents of a part of it (``read_files``); a file that
+    cannot be read then stays as it is indexed.  The first call makes the table.  Returns the snapshot's number.
+    """
+    changes = durable(changed_files(files, table.state(), now, ttl), "changes")
+    again = files.join(changes.where(F.col("status") != "deleted").select("repo", "path"), ["repo", "path"], "left_semi")
+    if read is not None:
+        again = durable(read(again), "contents")
+        failed = again.where(F.col("_error").isNotNull()).select("repo", "path")
+        again, changes = again.where(F.col("_error").isNull()), changes.join(failed, ["repo", "path"], "left_anti")
+    fresh = index_files(again, embedder, max_bytes)
+    if not table.version():
+        return table.write(fresh, changes.select("repo", "path", "mtime", now.alias("indexed_at")))
+    return table.refresh(changes, fresh, now)
+
+
 def refresh_state(state: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
     """``repo, path, mtime, indexed_at`` after a refresh: changed files stamped, deleted ones removed."""
     kept = state.join(changes.select("repo", "path"), ["repo", "path"], "left_anti")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ from srcatlas.session import new_shared_path
 from srcatlas.sources.code_tree import list_code_files, stream_line_chunks
 from srcatlas.sources.code_tree import scan_code_files as scan
 from srcatlas.sources.index_store import load_or_build, read_index, read_index_json, write_index, write_index_json
+from srcatlas.sources.index_table import IndexTable
 from srcatlas.streaming import reindex
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -179,6 +181,56 @@ def refresh_with_failures(spark: SparkSession, sf: str) -> DataFrame:
     return index.select("repo", "file", "chunk_idx", "content")
 
 
+def _numbered_docs(spark, sf):
+    stamp = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    number = F.regexp_extract("path", "_([0-9]+)", 1).cast("long")
+    return _docs(spark, sf).withColumn("mtime", stamp).withColumn("number", number)
+
+
+def _later(known: DataFrame) -> DataFrame:
+    """Every 89th document changed, every 97th gone."""
+    changed = F.col("number") % 89 == 0
+    stamp = F.when(changed, F.lit("2024-01-02 00:00:00").cast("timestamp")).otherwise(F.col("mtime"))
+    return known.where("number % 97 <> 0").withColumn("mtime", stamp).withColumn("content", F.when(changed, "changed").otherwise(F.col("content")))
+
+
+@query
+def index_refresh_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    """An index with snapshots after a refresh, and whether a chunk's bucket was written again."""
+    table = IndexTable(spark, new_shared_path(spark, "index-table"), buckets=32)
+    known, now, ttl = _numbered_docs(spark, sf), F.lit("2024-01-03 00:00:00").cast("timestamp"), F.expr("interval 20 days")
+    indexing.refresh_table(table, known.drop("number"), now, ttl)
+    before = table.manifest()
+    indexing.refresh_table(table, _later(known).drop("number"), now, ttl)
+    after = table.manifest()
+    again = [b for (kind, b), build in after.items() if kind == "chunks" and before.get((kind, b)) != build]  # at most one per bucket
+    rows = table.bucketed("chunks", table.read())
+    return rows.select("repo", "file", "chunk_idx", "content", "bucket", F.col("bucket").isin(again).alias("rewritten"))
+
+
+def _dies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """An embedder that is lost after its first batch."""
+    for batch in batches:
+        yield pd.DataFrame({"text": batch["text"], "embedding": [[1.0]] * len(batch)})
+        raise RuntimeError("lost")
+
+
+@query
+def index_crashed_build(spark: SparkSession, sf: str) -> DataFrame:
+    """Indexes whose first build died, as a plain folder and as a table with snapshots: both are built again."""
+    docs, plain = _docs(spark, sf), new_shared_path(spark, "index-plain")
+    table = IndexTable(spark, new_shared_path(spark, "index-table"))
+    for load in (lambda build: load_or_build(spark, plain, build), table.load_or_build):
+        try:
+            load(lambda: indexing.index_files(docs, _dies))
+        except PySparkException as e:
+            if "lost" not in str(e):
+                raise
+    built = [load_or_build(spark, plain, lambda: indexing.index_files(docs)), table.load_or_build(lambda: indexing.index_files(docs))]
+    both = built[0].withColumn("kind", F.lit("plain")).unionByName(built[1].withColumn("kind", F.lit("table")))
+    return both.select("kind", "repo", "file", "chunk_idx", "content")
+
+
 @query
 def index_json(spark: SparkSession, sf: str) -> DataFrame:
     """An index exported as JSON lines, read back, built where it is missing, read again."""

@@ -22,6 +22,14 @@ CHUNKS = T.StructType([
     T.StructField("embedding", T.ArrayType(T.FloatType())),
 ])
 
+#: What is known of an indexed file.
+INDEX_STATE = T.StructType([
+    T.StructField("repo", T.StringType()),
+    T.StructField("path", T.StringType()),
+    T.StructField("mtime", T.TimestampType()),
+    T.StructField("indexed_at", T.TimestampType()),
+])
+
 #: The exchange form of an index: one JSON array, no repository and no chunk number.
 INDEX_JSON = T.StructType([
     T.StructField("file", T.StringType()),

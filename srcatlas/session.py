@@ -63,10 +63,32 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Remove a file or folder on any file system that Spark knows."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    system, place = _place(spark, path)
+    system.delete(place, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, place = _place(spark, path)
+    return system.exists(place)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of a folder's entries; none where it does not exist."""
+    system, place = _place(spark, path)
+    return sorted(entry.getPath().getName() for entry in system.listStatus(place)) if system.exists(place) else []
+
+
+def move(spark: SparkSession, path: str, to: str) -> bool:
+    """Move a folder to a name that nobody has, at once; False where the file system refuses."""
+    system, place = _place(spark, path)
+    return not exists(spark, to) and system.rename(place, _place(spark, to)[1])
 
 
 def spread(df: DataFrame) -> DataFrame:

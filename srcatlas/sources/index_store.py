@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from srcatlas.schemas import CHUNKS, INDEX_JSON
+from srcatlas.session import exists
 
 
 def write_index(index: DataFrame, path: str, partition_by: Sequence[str] = (), clustered: bool = False) -> None:
@@ -55,17 +55,12 @@ def read_index_json(spark: SparkSession, path: str, repo: str | None = None, arr
 
 
 def index_exists(spark: SparkSession, path: str) -> bool:
-    try:
-        read_index(spark, path)
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
-    return True
+    """Whether an index was written to its end: a job that died leaves no ``_SUCCESS``."""
+    return exists(spark, f"{path.rstrip('/')}/_SUCCESS")
 
 
 def load_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Read the index at ``path``; where there is none, write what ``build()`` returns first."""
+    """Read the index at ``path``; where there is none, or only what a build that died has left, write what ``build()`` returns first."""
     if not index_exists(spark, path):
         write_index(build(), path)
     return read_index(spark, path)

@@ -11,13 +11,28 @@ from __future__ import annotations
 import codecs
 import datetime as dt
 import json
+import time
 from collections import deque
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    DataSourceStreamReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    LessThan,
+    LessThanOrEqual,
+    StringEndsWith,
+    StringStartsWith,
+)
 from pyspark.sql.types import StructType
 
 from srcatlas.functions.tables import CODE_EXTENSIONS, SKIPPED_DIRS
@@ -32,6 +47,8 @@ READ_BATCH_CHARS = 4 << 20
 READ_TASK_BYTES = 128 << 20
 #: Bytes of a file that are held at a time where it is cut into chunks while it is read.
 STREAM_BYTES = 1 << 20
+#: Rows of a listing that are handed over at a time.
+LISTED_AT_ONCE = 4096
 LISTING = "repo string, path string, location string, mtime timestamp, size bigint, _error string"
 
 
@@ -42,7 +59,58 @@ class Subtrees(InputPartition):
         self.items = items
 
 
-class CodeTreeReader(DataSourceReader):
+class Wanted:
+    """What a query asks of a listing: tests on ``repo``, ``path`` and ``size`` that rows must pass, and directories that can hold none."""
+
+    def __init__(self):
+        self.repos: frozenset | None = None
+        self.paths: frozenset | None = None
+        self.prefixes: list[str] = []
+        self.suffixes: list[str] = []
+        self.least, self.most = None, None
+
+    def take(self, test: Filter) -> bool:
+        """Remember a filter; False if it is of a kind that Spark has to test."""
+        column, value = test.__dict__.get("attribute"), test.__dict__.get("value")
+        if column in (("repo",), ("path",)) and isinstance(test, (EqualTo, In)):
+            name = f"{column[0]}s"
+            values = frozenset([value] if isinstance(test, EqualTo) else value)
+            held = getattr(self, name)
+            setattr(self, name, values if held is None else held & values)
+        elif column == ("path",) and isinstance(test, StringStartsWith):
+            self.prefixes.append(value)
+        elif column == ("path",) and isinstance(test, StringEndsWith):
+            self.suffixes.append(value)
+        elif column == ("size",) and isinstance(test, (GreaterThan, GreaterThanOrEqual)):
+            least = value + isinstance(test, GreaterThan)
+            self.least = least if self.least is None else max(self.least, least)
+        elif column == ("size",) and isinstance(test, (LessThan, LessThanOrEqual)):
+            most = value - isinstance(test, LessThan)
+            self.most = most if self.most is None else min(self.most, most)
+        else:
+            return False
+        return True
+
+    def repo(self, name: str) -> bool:
+        return self.repos is None or name in self.repos
+
+    def file(self, path: str, size: int | None) -> bool:
+        """Whether a row with this path and size passes; a row without size (an error) fails any test of sizes, as in SQL."""
+        if self.least is not None or self.most is not None:
+            if size is None or (self.least is not None and size < self.least) or (self.most is not None and size > self.most):
+                return False
+        return (self.paths is None or path in self.paths) and all(map(path.startswith, self.prefixes)) and all(map(path.endswith, self.suffixes))
+
+    def folder(self, path: str) -> bool:
+        """Whether a directory (``""``: the root) is, holds or lies below something that passes."""
+        below = f"{path}/" if path else ""
+        near = all(below.startswith(p) or p.startswith(below) or path.startswith(p) for p in self.prefixes)
+        return near and (self.paths is None or any(p.startswith(below) or p == path for p in self.paths))
+
+
+class Listing:
+    """How a tree is walked: which names are files of interest, which directories are opened, what is done about errors."""
+
     def __init__(self, options: dict):
         roots = json.loads(options.get("roots", "[]"))
         if not roots:
@@ -51,48 +119,95 @@ class CodeTreeReader(DataSourceReader):
         self.names = frozenset(json.loads(options.get("names", "[]")))
         self.wanted = int(options.get("numpartitions", "64"))
         self.fail_fast = options.get("mode", "PERMISSIVE").upper() == "FAILFAST"
+        self.asked = Wanted()
 
     def _is_code(self, name: str) -> bool:
         return name in self.names or ("." in name and "." + name.rsplit(".", 1)[1] in CODE_EXTENSIONS)
 
-    def partitions(self):
+    def _opens(self, root: str, folder: str, name: str) -> bool:
+        return name not in SKIPPED_DIRS and self.asked.folder(f"{folder}/{name}"[len(root) + 1 :])
+
+    def subtrees(self) -> list[Subtrees]:
         """Open directories, upper ones first, until there are some subtrees for every task; then deal them out."""
-        opened, waiting = [], deque((name, root, root) for name, root in self.roots)
+        opened, waiting = [], deque((name, root, root) for name, root in self.roots if self.asked.repo(name))
         while waiting and len(opened) + len(waiting) < 4 * self.wanted:
             name, root, folder = waiting.popleft()
             opened.append((name, root, folder, False))
             try:
-                below = [n for n, is_dir, _, _ in entries(folder) if is_dir and n not in SKIPPED_DIRS]
+                below = [n for n, is_dir, _, _ in entries(folder) if is_dir and self._opens(root, folder, n)]
             except OSError:
                 below = []  # reported by the task that lists the directory
             waiting += [(name, root, f"{folder}/{n}") for n in below]
         items = opened + [(*w, True) for w in waiting]
         return [Subtrees(items[i :: self.wanted]) for i in range(min(self.wanted, len(items)))]
 
-    def read(self, part: Subtrees):
-        for repo, root, start, recurse in part.items:
+    def folder(self, repo: str, root: str, folder: str) -> Iterator[tuple[bool, tuple]]:
+        """One directory: (True, row) of its files of interest, (False, place) of the directories to open in it."""
+        try:
+            for name, is_dir, mtime, size in entries(folder):
+                if is_dir:
+                    if self._opens(root, folder, name):
+                        yield False, (repo, root, f"{folder}/{name}")
+                elif self._is_code(name) and self.asked.file(f"{folder}/{name}"[len(root) + 1 :], size):
+                    yield True, self._row(repo, root, f"{folder}/{name}", dt.datetime.fromtimestamp(mtime), size, None)
+        except OSError as e:
+            if self.fail_fast:
+                raise
+            if self.asked.file(folder[len(root) + 1 :], None):
+                yield True, self._row(repo, root, folder, None, None, f"failed to list: {e}")
+
+    def rows(self, part: Subtrees | None) -> Iterator[tuple]:
+        """Rows of a task's directories; where there is nothing to list, Spark asks once without any."""
+        for repo, root, start, recurse in part.items if part else ():
             pending = [start]
             while pending:
-                folder = pending.pop()
-                try:
-                    for name, is_dir, mtime, size in entries(folder):
-                        if is_dir:
-                            if recurse and name not in SKIPPED_DIRS:
-                                pending.append(f"{folder}/{name}")
-                        elif self._is_code(name):
-                            yield self._row(repo, root, f"{folder}/{name}", dt.datetime.fromtimestamp(mtime), size, None)
-                except OSError as e:
-                    if self.fail_fast:
-                        raise
-                    yield self._row(repo, root, folder, None, None, f"failed to list: {e}")
+                for is_row, found in self.folder(repo, root, pending.pop()):
+                    if is_row:
+                        yield found
+                    elif recurse:
+                        pending.append(found[2])
 
     @staticmethod
     def _row(repo, root, where, mtime, size, error):
         return repo, where[len(root) + 1:], where, mtime, size, error
 
 
+class CodeTreeReader(Listing, DataSourceReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Filters on repository, path (equal, prefix, suffix) and size are tested here; directories outside them are not opened."""
+        return (f for f in filters if not self.asked.take(f))
+
+    def partitions(self):
+        return self.subtrees()
+
+    def read(self, part: Subtrees):
+        return self.rows(part)
+
+
+class CodeTreeStreamReader(Listing, DataSourceStreamReader):
+    """A listing of the whole tree per micro-batch; the offset is the time at which it was asked for."""
+
+    def initialOffset(self) -> dict:
+        return {"asked": 0}
+
+    def latestOffset(self) -> dict:
+        return {"asked": time.time_ns() // 1_000_000}
+
+    def partitions(self, start: dict, end: dict):
+        return self.subtrees() if start != end else []
+
+    def read(self, part: Subtrees):
+        return self.rows(part)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
 class CodeTreeSource(DataSource):
-    """``spark.read.format("codetree").option("roots", '[["a", "/repos/a"], ["b", "/repos/b"]]')``: the listing, no contents."""
+    """``spark.read.format("codetree").option("roots", '[["a", "/repos/a"], ["b", "/repos/b"]]')``: the listing, no contents.
+
+    As a stream (``readStream``) every micro-batch is the whole listing at its time.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -104,6 +219,9 @@ class CodeTreeSource(DataSource):
     def reader(self, schema: StructType) -> CodeTreeReader:
         return CodeTreeReader(self.options)
 
+    def streamReader(self, schema: StructType) -> CodeTreeStreamReader:
+        return CodeTreeStreamReader(self.options)
+
 
 def _replace_byte(err: UnicodeError):
     """One replacement character per undecodable byte."""
@@ -154,17 +272,71 @@ def named_roots(roots: str | list[str] | dict[str, str]) -> dict[str, str]:
     return named
 
 
+Roots = str | list[str] | dict[str, str]
+
+
+def _options(roots: Roots, mode: str, names: Sequence[str], tasks: int) -> dict[str, str]:
+    return {"roots": json.dumps(list(named_roots(roots).items())), "names": json.dumps(list(names)), "mode": mode, "numpartitions": str(tasks)}
+
+
 def list_code_files(
-    spark: SparkSession, roots: str | list[str] | dict[str, str], mode: str = "PERMISSIVE", names: Sequence[str] = (), tasks: int | None = None
+    spark: SparkSession, roots: Roots, mode: str = "PERMISSIVE", names: Sequence[str] = (), tasks: int | None = None
 ) -> DataFrame:
     """``repo, path, location, mtime, size, _error`` of the code files below ``roots``, without contents.
 
     ``names``: file names taken besides those with an extension of code, such as manifests.  At most ``tasks`` tasks
-    list (twice the cores if not given).
+    list (twice the cores if not given).  Filters on ``repo``, ``path`` (equal, prefix, suffix) and ``size`` reach the
+    source: directories that they rule out are not opened.
     """
     spark.dataSource.register(CodeTreeSource)
-    reader = spark.read.format("codetree").option("roots", json.dumps(list(named_roots(roots).items()))).option("names", json.dumps(list(names)))
-    return reader.option("mode", mode).option("numpartitions", tasks or spark.sparkContext.defaultParallelism * 2).load()
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    options = _options(roots, mode, names, tasks or spark.sparkContext.defaultParallelism * 2)
+    return spark.read.format("codetree").options(**options).load()
+
+
+def stream_code_files(spark: SparkSession, roots: Roots, names: Sequence[str] = (), tasks: int | None = None) -> DataFrame:
+    """A stream of listings: every micro-batch has a row for each code file there is at that time."""
+    spark.dataSource.register(CodeTreeSource)
+    options = _options(roots, "PERMISSIVE", names, tasks or spark.sparkContext.defaultParallelism * 2)
+    return spark.readStream.format("codetree").options(**options).load()
+
+
+def list_by_levels(spark: SparkSession, roots: Roots, mode: str = "PERMISSIVE", names: Sequence[str] = (), tasks: int | None = None) -> DataFrame:
+    """The listing of ``list_code_files``, walked level by level: the directories of a level are a table, dealt evenly to all tasks.
+
+    For trees where one subtree holds most directories.  A round per level of depth; the directories still to be opened are
+    never on the driver.
+    """
+    tasks = tasks or spark.sparkContext.defaultParallelism * 2
+    walk = Listing(_options(roots, mode, names, tasks))
+    out = LISTING + ", folder string, root string"
+    names_of = [c.split()[0] for c in out.split(", ")]
+
+    def open_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.string()] * 3 + [pa.timestamp("us", tz="UTC"), pa.int64()] + [pa.string()] * 3
+        schema, held = pa.schema(list(zip(names_of, types))), []
+        for batch in batches:
+            for place in batch.to_pylist():
+                for is_row, found in walk.folder(place["repo"], place["root"], place["folder"]):
+                    if is_row:
+                        repo, path, location, mtime, size, error = found
+                        stamp = mtime.astimezone(dt.timezone.utc) if mtime else None
+                        held.append(dict(zip(names_of, (repo, path, location, stamp, size, error, None, None))))
+                    else:
+                        held.append(dict(zip(names_of, (found[0], None, None, None, None, None, found[2], found[1]))))
+                    if len(held) >= LISTED_AT_ONCE:
+                        yield pa.RecordBatch.from_pylist(held, schema=schema)
+                        held = []
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+    frontier, files = spark.createDataFrame([(n, r, r) for n, r in walk.roots], "repo string, root string, folder string"), None
+    while frontier.limit(1).count():
+        level = durable(frontier.repartition(tasks).mapInArrow(open_folders, out), "level")
+        frontier = level.where(F.col("folder").isNotNull()).select("repo", "root", "folder")
+        found = level.where(F.col("folder").isNull()).drop("folder", "root")
+        files = found if files is None else files.union(found)
+    return files
 
 
 def read_files(listing: DataFrame, mode: str = "PERMISSIVE", task_bytes: int = READ_TASK_BYTES) -> DataFrame:
@@ -185,13 +357,18 @@ def read_files(listing: DataFrame, mode: str = "PERMISSIVE", task_bytes: int = R
 
 
 def _lines(location: str) -> Iterator[str]:
-    """Lines of a file of any size, a block at a time; one carriage return before a line's end goes."""
+    """Lines of a file of any size, a block at a time; one carriage return before a line's end goes.  One line is held."""
     decoder = codecs.getincrementaldecoder("utf-8")("srcatlas_byte")
-    rest = ""
+    held: list[str] = []  # parts of the line that is being read
     for block in read_blocks(location, STREAM_BYTES):
-        *lines, rest = (rest + decoder.decode(block)).split("\n")
-        yield from (x.removesuffix("\r") for x in lines)
-    rest += decoder.decode(b"", True)
+        part, *more = decoder.decode(block).split("\n")
+        held.append(part)
+        if more:
+            yield "".join(held).removesuffix("\r")
+            yield from (x.removesuffix("\r") for x in more[:-1])
+            held = more[-1:]
+    held.append(decoder.decode(b"", True))
+    rest = "".join(held)
     if rest:
         yield rest.removesuffix("\r")
 
@@ -216,7 +393,7 @@ def _packed(lines: Iterator[str], max_bytes: int) -> Iterator[str]:
 def stream_line_chunks(listing: DataFrame, max_bytes: int, mode: str = "PERMISSIVE") -> DataFrame:
     """``repo, file, chunk_idx, content, _error``: line chunks of the files of a listing, cut while they are read.
 
-    The same chunks as ``line_chunks`` gives, but no file is ever held whole.  A file that cannot be read to its end
+    The same chunks as ``line_chunks`` gives, but what is held of a file is a block, a chunk and the line that is read.  A file that cannot be read to its end
     has the chunks so far and a row with the error; FAILFAST ends the job.
     """
     fail_fast = mode.upper() == "FAILFAST"
@@ -254,13 +431,16 @@ def stream_line_chunks(listing: DataFrame, max_bytes: int, mode: str = "PERMISSI
 
 
 def scan_code_files(
-    spark: SparkSession, roots: str | list[str] | dict[str, str], mode: str = "PERMISSIVE", names: Sequence[str] = ()
+    spark: SparkSession, roots: Roots, mode: str = "PERMISSIVE", names: Sequence[str] = (), where: str | None = None, by_levels: bool = False
 ) -> DataFrame:
     """List and read the code files below ``roots``.
 
     ``repo`` is a root's own name, or its key in a dictionary, and ``path`` is relative to it.  ``mode``: PERMISSIVE
     keeps a file that cannot be read with its error; FAILFAST ends the job.  ``names``: files taken besides code
-    (``["go.mod", "package.json", "requirements.txt"]`` brings dependencies into a report).  Roots are plain paths
-    that every executor can open, or addresses such as ``hdfs://`` and ``s3://`` that Arrow's file systems know.
+    (``["go.mod", "package.json", "requirements.txt"]`` brings dependencies into a report).  ``where``: SQL over the listing,
+    such as ``path like 'cmd/%'``, which the source tests before it opens directories.  ``by_levels``: see ``list_by_levels``.
+    Roots are plain paths that every executor can open, or addresses such as ``hdfs://`` and ``s3://`` that Arrow's file
+    systems know.
     """
-    return read_files(list_code_files(spark, roots, mode, names), mode)
+    listing = (list_by_levels if by_levels else list_code_files)(spark, roots, mode, names)
+    return read_files(listing if where is None else listing.where(where), mode)

@@ -7,6 +7,9 @@ the newest version of every file; ``compact`` does so for good, in place or else
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,9 +17,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from srcatlas.functions.tables import CHUNK_BYTES
 from srcatlas.operators.embed import Embedder
-from srcatlas.plans.indexing import index_files
+from srcatlas.plans.indexing import index_files, refresh_table
 from srcatlas.schemas import CHUNKS
 from srcatlas.session import durable, remove, scratch
+from srcatlas.sources.code_tree import Roots, read_files, stream_code_files
+from srcatlas.sources.index_table import IndexTable
 
 _VERSIONS = "repo string, file string, mtime timestamp, deleted boolean, batch bigint"
 _CHUNKS = T.StructType([*CHUNKS.fields, T.StructField("batch", T.LongType())])
@@ -100,3 +105,34 @@ def compact(spark: SparkSession, target: str, out: str | None = None, since: Col
     for kind in ("versions", "chunks"):
         for batch in batches:
             remove(spark, f"{target}/{kind}/batch={batch}")
+
+
+def watch_tree(
+    spark: SparkSession,
+    roots: Roots,
+    table: IndexTable,
+    checkpoint: str,
+    ttl: Column,
+    embedder: Embedder | None = None,
+    max_bytes: int = CHUNK_BYTES,
+    names: Sequence[str] = (),
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Keep an index with snapshots up to date with directory trees: files added, changed and removed between two triggers.
+
+    Every micro-batch lists the trees, compares the listing with the table's state and reads changed files only; a batch that
+    runs again finds what it had done already.  Directories that cannot be listed keep their files.
+    """
+
+    def each(listing: DataFrame, batch: int) -> None:
+        with scratch(spark):
+            now = F.lit(dt.datetime.now(dt.timezone.utc))
+            refresh_table(table, durable(listing, "listing"), now, ttl, embedder, max_bytes, read_files)
+
+    return (
+        stream_code_files(spark, roots, names)
+        .writeStream.foreachBatch(each)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from srcatlas.session import spread
-from srcatlas.sources.fs import write_bytes
+from srcatlas.sources.fs import remove_file, write_bytes
 
 # Documents as files: line feeds doubled, so each line is a paragraph.
 DOCS_SQL = """
@@ -143,3 +143,15 @@ def write_as_files(files: DataFrame, folder: str) -> None:
             yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]}, schema=pa.schema([("n", pa.int64())]))
 
     files.select("repo", "path", "content").mapInArrow(write, "n bigint").write.format("noop").mode("overwrite").save()
+
+
+def remove_files(files: DataFrame, folder: str) -> None:
+    """Remove files that ``write_as_files`` wrote, from the executors."""
+
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                remove_file(f"{folder}/{row['repo']}/{row['path']}")
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]}, schema=pa.schema([("n", pa.int64())]))
+
+    files.select("repo", "path").mapInArrow(drop, "n bigint").write.format("noop").mode("overwrite").save()

@@ -24,6 +24,7 @@ from srcatlas.sources.code_tree import scan_code_files as scan
 from srcatlas.sources.index_store import load_or_build, read_index, read_index_json, write_index, write_index_json
 from srcatlas.sources.index_table import IndexTable
 from srcatlas.streaming import reindex
+from srcatlas.streaming.versions import start_stateful_reindex
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -121,6 +122,63 @@ def line_chunks_streamed(spark: SparkSession, sf: str) -> DataFrame:
     return stream_line_chunks(listing, LINE_CHUNK_BYTES).select("repo", "file", "chunk_idx", "content")
 
 
+def _written_code(spark, sf) -> tuple[str, dict[str, str]]:
+    folder = new_shared_path(spark, "code-tree")
+    fx.write_as_files(_code(spark, sf), folder)
+    return folder, {f"r{i}": f"{folder}/r{i}" for i in range(4)}
+
+
+@query
+def scan_pushed(spark: SparkSession, sf: str) -> DataFrame:
+    """A scan of a part: the source gets the filters and leaves other directories closed."""
+    files = scan(spark, _written_code(spark, sf)[1], where="repo in ('r0', 'r2') and path like 'internal/%' and size > 150")
+    return files.select("repo", "path", "ext", "size", "content")
+
+
+@query
+def scan_by_levels(spark: SparkSession, sf: str) -> DataFrame:
+    return scan(spark, _written_code(spark, sf)[1], by_levels=True).select("repo", "path", "ext", "size", "content")
+
+
+@query
+def scan_failing(spark: SparkSession, sf: str) -> DataFrame:
+    """A scan with a root that is missing: files and errors per repository, and how the scan that fails with it ends."""
+    roots = {**_written_code(spark, sf)[1], "missing": new_shared_path(spark, "missing")}
+    found = scan(spark, roots).groupBy("repo").agg(F.count("content").alias("files"), F.count("_error").alias("errors"))
+    try:
+        left = scan(spark, roots, mode="FAILFAST").count()
+    except PySparkException:
+        left = None
+    ended = spark.range(1).select(F.lit("all or nothing").alias("repo"), F.lit(left).cast("long").alias("files"), F.lit(int(left is None)).cast("long").alias("errors"))
+    return found.unionByName(ended)
+
+
+@query
+def tree_watched(spark: SparkSession, sf: str) -> DataFrame:
+    """An index that follows a tree: every fifth file changed and every seventh removed between two triggers."""
+    folder, roots = _written_code(spark, sf)
+    table, log = IndexTable(spark, new_shared_path(spark, "index-table"), buckets=16), new_shared_path(spark, "stream-log")
+    watch = lambda: reindex.watch_tree(spark, roots, table, log, F.expr("interval 20 days")).awaitTermination()
+    watch()
+    number = F.regexp_extract("path", "m([0-9]+)[.]", 1).cast("long")
+    fx.write_as_files(_code(spark, sf).where(number % 5 == 0).withColumn("content", F.concat("content", F.lit("# changed"))), folder)
+    fx.remove_files(_code(spark, sf).where(number % 7 == 0), folder)
+    watch()
+    return table.read().select("repo", "file", "chunk_idx", "content")
+
+
+@query
+def stream_stateful(spark: SparkSession, sf: str) -> DataFrame:
+    """Re-indexing with state per file: versions in any order, repeated ones, and files that expire 500 minutes after the last."""
+    incoming, target, log = (new_shared_path(spark, x) for x in ("versions", "live-index", "stream-log"))
+    mtime = F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(mins=F.col("version").cast("int"))
+    versions = fx.view(spark, sf, fx.DOC_VERSIONS_SQL).withColumn("mtime", mtime)
+    versions.union(versions.where("version % 3 = 0")).repartition(4, "version").write.parquet(incoming)
+    stream = spark.readStream.schema(versions.schema).option("maxFilesPerTrigger", 2).parquet(incoming)
+    start_stateful_reindex(stream, target, log, "500 minutes").awaitTermination()
+    return reindex.current_index(spark, target).select("repo", "file", "chunk_idx", "content")
+
+
 @query
 def scan_report(spark: SparkSession, sf: str) -> DataFrame:
     """From written files to dependency lines."""

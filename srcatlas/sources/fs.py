@@ -92,3 +92,17 @@ def write_bytes(location: str, data: bytes) -> None:
     system.create_dir(path.rsplit("/", 1)[0], recursive=True)
     with system.open_output_stream(path) as f:
         f.write(data)
+
+
+def remove_file(location: str) -> None:
+    """Remove a file; one that is not there is no error."""
+    path = local_path(location)
+    if path is not None:
+        if os.path.exists(path):
+            os.remove(path)
+        return
+    from pyarrow.fs import FileType
+
+    system, path = _remote(location)
+    if system.get_file_info(path).type == FileType.File:
+        system.delete_file(path)

@@ -7,7 +7,7 @@ its first five columns.  It is never gathered per repository, so one repository
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +20,10 @@ from srcatlas.session import durable
 
 ORDER = ("repo", "section", "block", "item", "line_no")
 OPENING, CONTEXT, STRUCTURE, DEPENDENCIES, KEY_FILES, CLOSING = range(1, 7)
+#: Bytes of one part of a prompt.
+PART_BYTES = 1 << 16
+#: Block of the lines that follow the context.
+APPROACH = "approach"
 
 # Headings and labels of a report.
 CONTEXT_HEADING = "Codebase Context:"
@@ -27,20 +31,63 @@ CONTEXT_LABELS = ["- Primary Languages: ", "- Total Files: ", "- Total Lines of
 HEADINGS = {STRUCTURE: "Codebase structure:", DEPENDENCIES: "Project Dependencies:", KEY_FILES: "Key files content:"}
 
 
+#: Lines of a prompt: section, block within it, texts.
+Prose = list[tuple[int, str, list[str]]]
+
+
 @dataclass(frozen=True)
 class PromptTemplate:
-    """Lines put before and after a report to make a prompt of it; ``{detail}`` stands for the wanted detail.
+    """Lines around a report that make a prompt of it.  Callers with a model of their own bring their own lines.
 
-    ``metrics`` lines follow only if metrics are wanted.  Callers with a model of their own bring their own lines.
+    ``opening`` says what is wanted for each detail (an unknown one counts as standard), ``approach`` how to read the report,
+    ``example`` shows an answer unless the detail is brief, ``sections`` lists an answer's parts, with ``metrics`` as one more if
+    measures are wanted, and ``review`` is what to check at the end.
     """
 
-    opening: tuple[str, ...] = ("Task: describe this repository from the report that follows. Detail: {detail}.",)
-    closing: tuple[str, ...] = ("End of the report. Name files by their paths, and say so where the report leaves a question open.",)
-    metrics: tuple[str, ...] = ("Also comment on the line counts and importance values given above.",)
+    opening: dict[str, tuple[str, ...]] = field(
+        default_factory=lambda: {
+            "brief": ("Task: say in at most two paragraphs what this repository is for and how it is laid out.",),
+            "standard": (
+                "Task: describe this repository for an engineer who is about to work on it.",
+                "Cover its purpose, its parts and how they meet, in about a page.",
+            ),
+            "comprehensive": (
+                "Task: write a full description of this repository for the people who will maintain it.",
+                "Go through every part that the report shows, with its duties, its interfaces and what it depends on.",
+            ),
+        }
+    )
+    approach: tuple[str, ...] = (
+        "How to read the report:",
+        "- Take the directory listing for the outline, then the key files for the detail; the importance value orders them.",
+        "- Take names of libraries from the dependencies only.",
+        "- Where an excerpt was cut, say what can be told from its two ends and no more.",
+    )
+    example: tuple[str, ...] = (
+        "Example of the style (another repository):",
+        "  Purpose: `relay` copies orders from a queue into a ledger, at least once each.",
+        "  Parts: `cmd/relay.go` starts the workers; `internal/ledger` owns the tables and is the only writer.",
+    )
+    sections: tuple[str, ...] = (
+        "Sections of the answer:",
+        "1. Purpose and users",
+        "2. Parts and their duties, by path",
+        "3. How data and calls pass between the parts",
+        "4. Dependencies and what each is used for",
+    )
+    metrics: tuple[str, ...] = ("5. Size and weight: what the line counts and importance values above say about where the work lies",)
+    review: tuple[str, ...] = (
+        "Before you answer, check:",
+        "- every path you name stands in the report",
+        "- nothing is claimed that the report leaves open",
+        "- the answer is as long as was asked for",
+    )
 
-    def lines(self, detail: str, metrics: bool) -> list[tuple[int, list[str]]]:
-        filled = [t.replace("{detail}", detail) for t in self.opening], [*self.closing, *(self.metrics if metrics else ())]
-        return [(OPENING, filled[0]), (CLOSING, [t.replace("{detail}", detail) for t in filled[1]])]
+    def lines(self, detail: str, metrics: bool) -> Prose:
+        opening = self.opening.get(detail, self.opening["standard"])
+        closing = [("1", () if detail == "brief" else self.example), ("2", (*self.sections, *(self.metrics if metrics else ()))), ("3", self.review)]
+        found = [(OPENING, "", opening), (CONTEXT, APPROACH, self.approach), *((CLOSING, block, texts) for block, texts in closing)]
+        return [(section, block, list(texts)) for section, block, texts in found if texts]
 
 
 def fixed2(x: Column) -> Column:
@@ -105,29 +152,26 @@ def _rows(df: DataFrame, section: int, block: Column, item: Column, line_no: Col
     )
 
 
-def _frame(overview: DataFrame, prose: list[tuple[int, list[str]]]) -> DataFrame:
+def _frame(overview: DataFrame, prose: Prose) -> DataFrame:
     """Lines that every repository has once: context, headings and, for a prompt, its opening and closing."""
     context = [
         F.lit(CONTEXT_HEADING),
         *[F.concat(F.lit(label), F.col(c).cast("string")) for label, c in zip(CONTEXT_LABELS, ("languages", "files", "loc"))],
     ]
-    headings = [(section, [text]) for section, text in HEADINGS.items()]
-    cells = [(CONTEXT, i, text) for i, text in enumerate(context)]
-    cells += [(section, i, F.lit(t)) for section, texts in [*headings, *prose] for i, t in enumerate(texts)]
+    headings = [(section, "", [text]) for section, text in HEADINGS.items()]
+    cells = [(CONTEXT, "", i, text) for i, text in enumerate(context)]
+    cells += [(section, block, i, F.lit(t)) for section, block, texts in [*headings, *prose] for i, t in enumerate(texts)]
     table = F.array(*[
-        F.struct(F.lit(s).alias("section"), F.lit(i).alias("line_no"), text.alias("text")) for s, i, text in cells
+        F.struct(F.lit(s).alias("section"), F.lit(block).alias("block"), F.lit(i).alias("line_no"), text.alias("text")) for s, block, i, text in cells
     ])
-    empty = F.lit("")
-    return overview.select("repo", F.inline(table)).select(
-        "repo", "section", empty.alias("block"), empty.alias("item"), "line_no", "text"
-    )
+    return overview.select("repo", F.inline(table)).select("repo", "section", "block", F.lit("").alias("item"), "line_no", "text")
 
 
 def report(
     structure: DataFrame,
     by_file: DataFrame,
     excerpts: DataFrame,
-    around: list[tuple[int, list[str]]] = (),
+    around: Prose = (),
 ) -> DataFrame:
     """All lines of a report; with ``around`` (``PromptTemplate.lines``) also what makes a prompt of it."""
     frame = _frame(repo_overview(structure), list(around))
@@ -143,7 +187,7 @@ def report(
     return frame.unionByName(listing).unionByName(deps).unionByName(files)
 
 
-def prompt_parts(lines: DataFrame, max_bytes: int = 1 << 20) -> DataFrame:
+def prompt_parts(lines: DataFrame, max_bytes: int = PART_BYTES) -> DataFrame:
     """``repo, part, prompt``: each repository's lines in order, joined into texts of bounded size.
 
     A part takes the lines that start within its ``max_bytes`` of the whole, so joining the parts gives

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from srcatlas.operators.importance import importance, key_files
-from srcatlas.operators.report import PromptTemplate, key_file_excerpt, prompt_parts, report
+from srcatlas.operators.report import PART_BYTES, PromptTemplate, key_file_excerpt, prompt_parts, report
 from srcatlas.operators.structure import chunks_by_file, file_text, with_structure
 from srcatlas.session import durable
 
@@ -59,7 +59,7 @@ def summarize(
     index: DataFrame,
     options: SummaryOptions = SummaryOptions(),
     generator: Generator | None = None,
-    max_prompt_bytes: int = 1 << 20,
+    max_prompt_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """Report lines of an index or, given a generator, its answer per repository and prompt part."""
     by_file = chunks_by_file(index)

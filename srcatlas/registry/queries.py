@@ -603,6 +603,13 @@ def repo_prompt(spark: SparkSession, sf: str) -> DataFrame:
     return summarize.prompt_lines(_code_by_file(spark, sf), options)
 
 
+@query
+def repo_prompt_full(spark: SparkSession, sf: str) -> DataFrame:
+    """The longest form: every part of the template, whole key files, code and manifests."""
+    files = _code(spark, sf).unionByName(fx.view(spark, sf, fx.MANIFESTS_SQL))
+    return summarize.prompt_lines(structure.chunks_of_files(files), summarize.SummaryOptions(detail="comprehensive"))
+
+
 def _count_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A generator of its own: the number of bytes of a prompt part."""
     for batch in batches:
@@ -613,7 +620,7 @@ def _count_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 @query
 def summary_generated(spark: SparkSession, sf: str) -> DataFrame:
     index = indexing.index_files(_code(spark, sf))
-    return summarize.summarize(index, summarize.SummaryOptions(detail="brief", focus="cmd/", metrics=False), _count_lines, 1 << 40)
+    return summarize.summarize(index, summarize.SummaryOptions(detail="brief", focus="cmd/", metrics=False), _count_lines, 4000)
 
 
 @query

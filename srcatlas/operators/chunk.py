@@ -21,8 +21,8 @@ _SPANS = "array<struct<s:int,e:int>>"
 _BLOCK = 512
 
 
-def _pack(sizes: str, limit: int, separator: int, slack: int, flush_full: bool) -> Column:
-    """Greedy packing of consecutive pieces: spans of piece numbers (1-based, inclusive).
+def pack_sql(sizes: str, limit: int | str, separator: int, slack: int, flush_full: bool) -> str:
+    """SQL of greedy packing of consecutive pieces: spans of piece numbers (1-based, inclusive).
 
     State: ``s`` first piece of the open span, ``cur`` its bytes so far (0: none open), ``i`` pieces seen.
     ``z`` is the next piece's size.  Pieces are taken block by block, and a block's spans are joined to the
@@ -44,11 +44,15 @@ def _pack(sizes: str, limit: int, separator: int, slack: int, flush_full: bool)
     joined = f"""
       transform(array({inner}), n -> named_struct('s', n.s, 'cur', n.cur, 'i', n.i,
         'out', cast(case when size(n.out) = 0 then o.out else concat(o.out, n.out) end as {_SPANS})))[0]"""
-    return F.expr(f"""
+    return f"""
       transform(array({sizes}), all_sizes ->
         aggregate(sequence(0, cast(floor(size(all_sizes) / {_BLOCK}) as int)), named_struct('s', 0, 'cur', 0, 'i', 0, 'out', {none}),
           (o, block) -> {joined},
-          o -> case when o.cur > 0 then array_append(o.out, named_struct('s', o.s, 'e', o.i)) else o.out end))[0]""")
+          o -> case when o.cur > 0 then array_append(o.out, named_struct('s', o.s, 'e', o.i)) else o.out end))[0]"""
+
+
+def _pack(sizes: str, limit: int, separator: int, slack: int, flush_full: bool) -> Column:
+    return F.expr(pack_sql(sizes, limit, separator, slack, flush_full))
 
 
 def _cut(pieces: str, spans: str, glue: str) -> Column:
@@ -104,14 +108,18 @@ def line_chunks(files: DataFrame, max_bytes: int) -> DataFrame:
     return explode_chunks(with_line_chunks(files, max_bytes))
 
 
-def block_spans(lines: str) -> Column:
-    """Spans (1-based line numbers) of maximal runs of non-blank lines in an array column."""
+def block_spans_sql(lines: str) -> str:
+    """SQL of the spans (1-based line numbers) of maximal runs of non-blank lines in an array column."""
     blank = f"transform({lines}, x -> trim(leading {WHITESPACE_SQL} from x) = '')"
     inside = "not get(b, i - 1)"
     starts = f"filter(sequence(1, size(b)), i -> {inside} and (i = 1 or get(b, i - 2)))"
     ends = f"filter(sequence(1, size(b)), i -> {inside} and (i = size(b) or get(b, i)))"
     edges = f"zip_with({starts}, {ends}, (s, e) -> named_struct('s', s, 'e', e))"
-    return F.expr(f"transform(array({blank}), b -> {edges})[0]")
+    return f"transform(array({blank}), b -> {edges})[0]"
+
+
+def block_spans(lines: str) -> Column:
+    return F.expr(block_spans_sql(lines))
 
 
 def paragraph_blocks(files: DataFrame) -> DataFrame:

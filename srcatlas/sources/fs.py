@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 from collections.abc import Iterator
 
 
@@ -106,3 +107,49 @@ def remove_file(location: str) -> None:
     system, path = _remote(location)
     if system.get_file_info(path).type == FileType.File:
         system.delete_file(path)
+
+
+def read_range(location: str, start: int, size: int) -> bytes:
+    """At most ``size`` bytes of a file from ``start`` on."""
+    path = local_path(location)
+    if path is not None:
+        with open(path, "rb") as f:
+            f.seek(start)
+            return f.read(size)
+    system, path = _remote(location)
+    with system.open_input_file(path) as f:
+        f.seek(start)
+        return f.read(size)
+
+
+def add_file(location: str, data: bytes) -> None:
+    """Write a file that appears as a whole: under a hidden name first, then moved."""
+    folder, _, name = location.rpartition("/")
+    write_bytes(f"{folder}/.{name}", data)
+    move_file(f"{folder}/.{name}", location)
+
+
+def move_file(location: str, to: str) -> None:
+    path = local_path(location)
+    if path is not None:
+        target = local_path(to)
+        os.makedirs(os.path.dirname(target), exist_ok=True)
+        os.replace(path, target)
+        return
+    system, path = _remote(location)
+    target = _remote(to)[1]
+    system.create_dir(target.rsplit("/", 1)[0], recursive=True)
+    system.move(path, target)
+
+
+def remove_tree(location: str) -> None:
+    """Remove a folder with all files in it; one that is not there is no error."""
+    path = local_path(location)
+    if path is not None:
+        shutil.rmtree(path, ignore_errors=True)
+        return
+    from pyarrow.fs import FileType
+
+    system, path = _remote(location)
+    if system.get_file_info(path).type == FileType.Directory:
+        system.delete_dir(path)

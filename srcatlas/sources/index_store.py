@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from srcatlas.schemas import CHUNKS, INDEX_JSON
 from srcatlas.session import exists
+from srcatlas.sources.fs import add_file
+from srcatlas.sources.json_array import RANGE_BYTES, array_objects
 
 
 def write_index(index: DataFrame, path: str, partition_by: Sequence[str] = (), clustered: bool = False) -> None:
@@ -33,25 +37,34 @@ def write_index_json(index: DataFrame, path: str) -> None:
     index.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def read_index_json(spark: SparkSession, path: str, repo: str | None = None, array: bool = True) -> DataFrame:
+def read_index_json(spark: SparkSession, path: str, repo: str | None = None, array: bool = True, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Import a JSON index.
 
     ``array``: each file is one JSON array of ``file, content, embedding`` (no repository: ``repo`` names
-    it, else the file's own path does; chunks keep their order per file).  Otherwise JSON lines with all
-    index columns.
+    it, else the file's own path does; chunks keep their order per file), read by a task per ``range_bytes``.  Otherwise JSON
+    lines with all index columns.
     """
     if not array:
         return spark.read.schema(CHUNKS).json(path)
-    rows = spark.read.schema(INDEX_JSON).option("multiLine", True).json(path)
-    name = F.lit(repo) if repo is not None else F.input_file_name()
-    # A JSON array is one task's input, in order, so the id rises with the position in its file.
-    numbered = rows.select(name.alias("repo"), "file", F.monotonically_increasing_id().alias("_id"), "content", "embedding")
-    first = numbered.groupBy("repo", "file").agg(
-        F.sort_array(F.collect_list(F.struct("_id", "content", "embedding"))).alias("_c")
-    )
-    return first.select("repo", "file", F.posexplode("_c").alias("chunk_idx", "_x")).select(
-        "repo", "file", "chunk_idx", F.col("_x.content").alias("content"), F.col("_x.embedding").alias("embedding")
-    )
+    found = array_objects(spark, path, range_bytes)
+    rows = found.select(F.col("path") if repo is None else F.lit(repo).alias("path"), "at", F.col("path").alias("source"), F.from_json("json", INDEX_JSON).alias("o"))
+    rows = rows.select(F.col("path").alias("repo"), "source", "at", "o.*")
+    place = F.row_number().over(Window.partitionBy("repo", "file").orderBy("source", "at")) - 1
+    return rows.select("repo", "file", place.cast("int").alias("chunk_idx"), "content", "embedding")
+
+
+def write_index_array(index: DataFrame, path: str) -> None:
+    """Export as one JSON array per part, in the exchange form (no repository, no number): a file is a text of its own."""
+    rows = index.select("repo", "file", "chunk_idx", F.to_json(F.struct("file", "content", "embedding")).alias("json"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [line for batch in batches for line in batch["json"].to_pylist()]
+        if parts:
+            add_file(f"{path.rstrip('/')}/{uuid.uuid4().hex}.json", ("[\n  " + ",\n  ".join(parts) + "\n]\n").encode())
+        yield pa.RecordBatch.from_pydict({"n": [len(parts)]}, schema=pa.schema([("n", pa.int64())]))
+
+    ordered = rows.repartitionByRange("repo", "file").sortWithinPartitions("repo", "file", "chunk_idx")
+    ordered.select("json").mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()
 
 
 def index_exists(spark: SparkSession, path: str) -> bool:

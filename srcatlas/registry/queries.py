@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from srcatlas.functions.arrays import items
+from srcatlas.functions.sql_chunkers import register_chunkers
 from srcatlas.functions.text import normalize, token_estimate
 from srcatlas.operators import chunk, deps, embed, importance, report, select, structure
 from srcatlas.operators.crossref import imported_by as count_references
@@ -18,11 +19,13 @@ from srcatlas.operators.definitions import semantic_chunks as find_semantic_chun
 from srcatlas.operators.incremental import changed_files as find_changed_files
 from srcatlas.plans import indexing, summarize
 from srcatlas.registry import fixtures as fx
-from srcatlas.session import new_shared_path
+from srcatlas.session import names_in, new_shared_path
 from srcatlas.sources.code_tree import list_code_files, stream_line_chunks
 from srcatlas.sources.code_tree import scan_code_files as scan
-from srcatlas.sources.index_store import load_or_build, read_index, read_index_json, write_index, write_index_json
+from srcatlas.sources.consumer import consume
+from srcatlas.sources.index_store import load_or_build, read_index, read_index_json, write_index, write_index_array, write_index_json
 from srcatlas.sources.index_table import IndexTable
+from srcatlas.sources.vector_store import VectorStore
 from srcatlas.streaming import reindex
 from srcatlas.streaming.versions import start_stateful_reindex
 
@@ -301,6 +304,66 @@ def index_json(spark: SparkSession, sf: str) -> DataFrame:
     return index.select("repo", "file", "chunk_idx", "content", filled, peak)
 
 
+@query
+def index_json_array(spark: SparkSession, sf: str) -> DataFrame:
+    """An index exported as JSON arrays and read back, each file by several tasks."""
+    exported = new_shared_path(spark, "index-array")
+    write_index_array(indexing.index_files(_docs(spark, sf)), exported)
+    index = read_index_json(spark, exported, repo="all", range_bytes=100_000)
+    peak = F.round(F.array_max("embedding").cast("double"), 5).alias("peak")
+    return index.select("repo", "file", "chunk_idx", "content", F.size("embedding").alias("dims"), peak)
+
+
+def _lengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """An embedder of its own: the length."""
+    for batch in batches:
+        yield pd.DataFrame({"text": batch["text"], "embedding": [[float(len(t))] for t in batch["prepared"]]})
+
+
+@query
+def embed_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors kept across two runs: the first embeds the code, the second code and documents, and sends the new texts only."""
+    store = VectorStore(spark, new_shared_path(spark, "vector-store"))
+    code = chunk.paragraph_chunks(_code(spark, sf))
+    both = chunk.paragraph_chunks(_code(spark, sf).unionByName(_docs(spark, sf)))
+    added = [store.fill(embed.distinct_texts(chunks), _lengths) for chunks in (code, both)]
+    attached = store.attach(both, _lengths).select("repo", "file", "chunk_idx", F.md5("content").alias("content_md5"), F.col("embedding")[0].cast("double").alias("size"))
+    return attached.withColumn("first_run", F.lit(added[0])).withColumn("second_run", F.lit(added[1]))
+
+
+@query
+def chunks_by_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """Line chunks by a lateral join with a table function."""
+    register_chunkers(spark)
+    files = _code(spark, sf).unionByName(fx.view(spark, sf, fx.PAGES_SQL))
+    call = f"select f.repo, f.path as file, c.chunk_idx, c.content from {{files}} f, lateral line_chunks(f.content, {LINE_CHUNK_BYTES}) c"
+    return spark.sql(call, files=files)
+
+
+def _path_and_size(rows: Iterator[Row]) -> Iterator[str]:
+    return (f"{r.repo}/{r.path} {r.size}" for r in rows)
+
+
+def _first_error(rows: Iterator[Row]) -> Iterator[str]:
+    for r in rows:
+        yield r.path
+        raise ValueError("first error wins")
+
+
+@query
+def paths_consumed(spark: SparkSession, sf: str) -> DataFrame:
+    """What a consumer of paths gives for a listing, and how many files a consumer that fails leaves behind."""
+    listing = list_code_files(spark, _written_code(spark, sf)[1])
+    done, failed = new_shared_path(spark, "consumed"), new_shared_path(spark, "failed")
+    consume(listing, _path_and_size, done)
+    try:
+        consume(listing, _first_error, failed)
+    except PySparkException as e:
+        if "first error wins" not in str(e):
+            raise
+    return spark.read.schema("result string").json(done).withColumn("left_by_failure", F.lit(len(names_in(spark, failed))))
+
+
 # Filters and scalar functions.
 
 

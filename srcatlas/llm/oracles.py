@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from srcatlas.llm.quality import FENCE, FLOORS, LEADING_BITS, MAX_REPEAT_PERCENT, MIN_GROUP, MIN_WORDS
+from srcatlas.llm.quality import FENCE, GUARDS, LEADING_BITS, MAX_REPEAT_PERCENT, MIN_GROUP, MIN_WORDS, STEPS
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -43,23 +43,33 @@ WITH words AS (
   SELECT 's' AS level, lang, source, feature, bucket FROM flat
   UNION ALL SELECT 'l', lang, NULL, feature, bucket FROM flat
   UNION ALL SELECT 'a', NULL, NULL, feature, bucket FROM flat
+), counted AS (
+  SELECT level, lang, source, feature, bucket, count(*) AS n, 1 << greatest(length(bin(bucket)) - {LEADING_BITS}, 0) AS width FROM levels GROUP BY ALL
 ), ranked AS (
-  SELECT level, lang, source, feature, bucket, count(*) OVER (g ORDER BY bucket RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, count(*) OVER (g) AS total
-  FROM levels WINDOW g AS (PARTITION BY level, lang, source, feature)
-), bounds AS (
-  SELECT level, lang, source, feature, max(total) AS n,
-         greatest(CASE feature {" ".join(f"WHEN '{k}' THEN {v}" for k, v in FLOORS.items())} END,
-                  min(bucket) FILTER (upto * 2 >= total) + {FENCE} * (min(bucket) FILTER (upto * 2 >= total) - min(bucket) FILTER (upto * 4 >= total))) AS bound
+  SELECT *, sum(n) OVER (g ORDER BY bucket) AS upto, sum(n) OVER g AS total, lead(bucket) OVER (g ORDER BY bucket) AS next
+  FROM counted WINDOW g AS (PARTITION BY level, lang, source, feature)
+), quartiles AS (
+  SELECT level, lang, source, feature, max(total) AS n, min(bucket) FILTER (upto * 4 >= total) AS low, min(bucket) FILTER (upto * 4 >= total * 2) AS mid
   FROM ranked GROUP BY level, lang, source, feature
+), reached AS (
+  SELECT q.*, {FENCE} * greatest(mid - low, width, CASE q.feature {" ".join(f"WHEN '{k}' THEN {v}" for k, v in STEPS.items())} END) AS reach
+  FROM quartiles q JOIN ranked r ON r.level = q.level AND r.lang IS NOT DISTINCT FROM q.lang AND r.source IS NOT DISTINCT FROM q.source
+    AND r.feature = q.feature AND r.bucket = q.mid
+), bounds AS (
+  SELECT q.level, q.lang, q.source, q.feature, max(q.n) AS n,
+         greatest(CASE q.feature {" ".join(f"WHEN '{k}' THEN {v}" for k, v in GUARDS.items())} END,
+                  min(bucket + width - 1) FILTER (bucket >= mid AND (next IS NULL OR next - (bucket + width - 1) > reach))) AS bound
+  FROM reached q JOIN ranked r ON r.level = q.level AND r.lang IS NOT DISTINCT FROM q.lang AND r.source IS NOT DISTINCT FROM q.source AND r.feature = q.feature
+  GROUP BY q.level, q.lang, q.source, q.feature
 ), chosen AS (
   SELECT s.lang, s.source, s.feature, CASE WHEN s.n >= {MIN_GROUP} THEN s.bound WHEN l.n >= {MIN_GROUP} THEN l.bound ELSE a.bound END AS bound
   FROM bounds s JOIN bounds l ON l.level = 'l' AND l.lang IS NOT DISTINCT FROM s.lang AND l.feature = s.feature
   JOIN bounds a ON a.level = 'a' AND a.feature = s.feature WHERE s.level = 's'
 ), wide AS (
-  SELECT lang, source, {", ".join(f"max(bound) FILTER (feature = '{k}') AS {k}" for k in FLOORS)} FROM chosen GROUP BY lang, source
+  SELECT lang, source, {", ".join(f"max(bound) FILTER (feature = '{k}') AS {k}" for k in GUARDS)} FROM chosen GROUP BY lang, source
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce({" AND ".join(f"r.{k} <= wide.{k}" for k in FLOORS)}, true) AS kept
+       NOT base_failed AND coalesce({" AND ".join(f"r.{k} <= wide.{k}" for k in GUARDS)}, true) AS kept
 FROM r LEFT JOIN wide ON r.lang IS NOT DISTINCT FROM wide.lang AND r.source IS NOT DISTINCT FROM wide.source
 """,
     "op12_resampling": r"""

@@ -3,10 +3,12 @@
 Features are expressions on one row.  Each feature's distribution is held in a log-linear sketch: a value falls in a
 bucket named by its leading six bits, and counts per (language, source, feature, bucket) are added up.  Such sketches merge
 by addition in any order with the same result, and a quantile is within 1/32 of the exact one.  A group's upper bound for a
-feature is the upper edge of its median's bucket plus FENCE times the distance from the lower quartile to the median (a bucket's
-width at least, so that equal texts do not exclude each other), never under a floor (the upper half may be junk, so it has no
-say); groups with few rows use the merged sketch of their language, and that of all rows if the
-language is rare as well.  The bounds are joined back to the rows by language and source.
+feature is found by a gap test above its median (the upper half may be junk): the bound goes up from bucket to bucket as long as the
+next one that has a row is within reach, which is FENCE times the distance from the lower quartile to the median (a bucket's width
+and the feature's STEPS at least).  So what stands apart from the upper end of a group is rejected, and a group whose values are
+alike, whatever they are (a source of tables, of long words), loses nothing.  Below GUARDS, far under what is usual for noise, nothing is rejected.
+Groups with few rows use the merged sketch of their language, and that of all rows if the language is rare as well.  The bounds
+are joined back to the rows by language and source.
 
 Only DataFrame functions are used.
 """
@@ -25,8 +27,10 @@ from srcatlas.session import durable
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
-#: Rates in parts per 10,000 (word_length: 10,000 times the mean) that are judged, and the floor of their bounds.
-FLOORS = {"symbol_rate": 200, "dup_line_rate": 4000, "repeat_rate": 4000, "word_length": 90_000}
+#: Rates in parts per 10,000 (word_length: 10,000 times the mean) that are judged: below these no row is rejected.
+GUARDS = {"symbol_rate": 50, "dup_line_rate": 1000, "repeat_rate": 1000, "word_length": 55_000}
+#: The least distance from the lower quartile to the median that counts for each.
+STEPS = {"symbol_rate": 10, "dup_line_rate": 500, "repeat_rate": 300, "word_length": 1000}
 FENCE = 6
 MIN_GROUP = 200
 LEADING_BITS = 6
@@ -112,19 +116,21 @@ def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
 def bounds(parts: DataFrame, keys: list[str], prefix: str) -> DataFrame:
     """One row per group: ``{prefix}rows`` and a bound for each feature.  A group has at most 2^6 buckets per magnitude."""
     group = Window.partitionBy(*keys, "feature")
+    ordered = group.orderBy("bucket")
     ranked = parts.select(
-        *keys, "feature", "bucket", F.sum("n").over(group.orderBy("bucket")).alias("upto"), F.sum("n").over(group).alias("total")
+        *keys, "feature", "bucket", F.sum("n").over(ordered).alias("upto"), F.sum("n").over(group).alias("total"), F.lead("bucket").over(ordered).alias("next")
     )
-    quartiles = ranked.groupBy(*keys, "feature").agg(
-        F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("bucket"))).alias("low"),
-        F.min(F.when(F.col("upto") * 2 >= F.col("total"), F.col("bucket"))).alias("mid"),
-        F.max("total").alias("total"),
-    )
-    width = F.expr(f"shiftleft(1L, greatest(length(bin(mid)) - {LEADING_BITS}, 0))")
-    bound = F.col("mid") + width - 1 + F.greatest(F.col("mid") - F.col("low"), width) * FENCE
-    return quartiles.groupBy(*keys).agg(
+    width = F.expr(f"shiftleft(1L, greatest(length(bin(bucket)) - {LEADING_BITS}, 0))")
+    least = reduce(lambda rest, k: F.when(F.col("feature") == k, STEPS[k]).otherwise(rest), STEPS, F.lit(0)).cast("long")
+    quartile = lambda part: F.min(F.when(F.col("upto") * 4 >= F.col("total") * part, F.col("bucket"))).over(group)
+    spread = ranked.withColumn("low", quartile(1)).withColumn("mid", quartile(2)).withColumn("edge", F.col("bucket") + width - 1)
+    wide = F.max(F.when(F.col("bucket") == F.col("mid"), width)).over(group)
+    spread = spread.withColumn("reach", F.greatest(F.col("mid") - F.col("low"), wide, least) * FENCE)
+    apart = (F.col("bucket") >= F.col("mid")) & (F.col("next").isNull() | (F.col("next") - F.col("edge") > F.col("reach")))
+    found = spread.groupBy(*keys, "feature").agg(F.min(F.when(apart, F.col("edge"))).alias("bound"), F.max("total").alias("total"))
+    return found.groupBy(*keys).agg(
         F.max("total").alias(f"{prefix}rows"),
-        *[F.greatest(F.lit(floor).cast("long"), F.max(F.when(F.col("feature") == k, bound))).alias(f"{prefix}{k}") for k, floor in FLOORS.items()],
+        *[F.greatest(F.lit(guard).cast("long"), F.max(F.when(F.col("feature") == k, F.col("bound")))).alias(f"{prefix}{k}") for k, guard in GUARDS.items()],
     )
 
 
@@ -141,7 +147,7 @@ def thresholds(rows: DataFrame) -> DataFrame:
         own_or_lang = F.when(F.col("s_rows") >= MIN_GROUP, F.col(f"s_{k}")).when(F.col("l_rows") >= MIN_GROUP, F.col(f"l_{k}"))
         return own_or_lang.otherwise(F.lit(everything[f"a_{k}"])).alias(f"__sa_{k}")
 
-    return durable(joined.select(F.col("lang").alias("__sa_lang"), F.col("source").alias("__sa_source"), *map(pick, FLOORS)), "bounds")
+    return durable(joined.select(F.col("lang").alias("__sa_lang"), F.col("source").alias("__sa_source"), *map(pick, GUARDS)), "bounds")
 
 
 def judged(rows: DataFrame) -> DataFrame:

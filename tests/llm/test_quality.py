@@ -2,10 +2,12 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 from conftest_llm import MESSY
 from pyspark.sql import functions as F
 
-from srcatlas.llm.quality import COUNTS, features, keep_good, quality_rules
+from srcatlas.llm.oracles import ORACLES
+from srcatlas.llm.quality import COUNTS, GUARDS, features, keep_good, quality_rules
 
 
 def slow_counts(text):
@@ -99,3 +101,39 @@ def test_messy_rows(messy, empty):
 def test_no_python_in_the_plan(messy):
     plan = quality_rules(messy)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def assert_sql_agrees(docs):
+    """The checking SQL over the same rows."""
+    documents = docs.select("doc_id", "text", "lang", "source").toPandas()  # noqa: F841
+    db = duckdb.connect()
+    db.register("documents", documents)
+    found = db.execute(ORACLES["op5_quality"]).fetchdf()
+    wanted = {r.doc_id: r.kept for r in quality_rules(docs).collect()}
+    assert dict(zip(found["doc_id"], found["kept"])) == wanted
+    return wanted
+
+
+def test_the_sql_has_the_same_bounds_where_they_are_far_from_the_guards(make_docs):
+    rng = random.Random(9)
+
+    def text(length, marks):
+        words = ["".join(rng.choices("abcdefghijklmnop", k=max(1, round(rng.gauss(length, 1))))) for _ in range(150)]
+        return " ".join(words) + " " + "#" * marks
+
+    # sources of their own lengths and marks, each with rows that stand apart from it
+    rows, odd = [], []
+    for k, (length, marks) in enumerate([(5, 0), (9, 30), (16, 0), (5, 120)]):
+        rows += [(1000 * k + i, text(length, marks + rng.randint(0, marks // 8)), f"s{k}", "en") for i in range(260)]
+        odd += [(1000 * k + 900 + i, text(length, marks * 2 + 90), f"s{k}", "en") for i in range(9)]
+    rows += [(9000 + i, text(6, 0), f"tiny{i % 7}", None if i % 2 else "fr") for i in range(60)]
+    kept = assert_sql_agrees(make_docs(rows + odd))
+    assert all(kept[r[0]] for r in rows if r[0] < 9000) and not any(kept[r[0]] for r in odd)
+    # the constants alone would decide otherwise: a source of 120 marks in 900 characters is far above its guard
+    assert GUARDS["symbol_rate"] * 10 < 120 * 10_000 // 900 and kept[3000]
+
+
+def test_a_tail_without_a_gap_stays(make_docs):
+    lines = lambda n, same: "\n".join([*(clean(1000 * n + i)[:40] for i in range(n)), *["one line again"] * same])
+    rows = [(i, lines(20 + i % 30, 1 + i % 5), "s") for i in range(300)]
+    assert all(r.kept for r in quality_rules(make_docs(rows)).collect())

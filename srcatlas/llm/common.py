@@ -1,11 +1,15 @@
 """Helpers shared by the operators of this folder.
 
 Input conventions, the same for every operator: a null text counts as empty, extra columns are carried or ignored but
-never read, and working columns start with ``__sa_`` so that they do not clash with columns of the input.
+never read.  Working columns start with ``__sa_``; operators that carry all columns rename input columns of that kind first
+(``shielded``), so that none can clash.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,35 +40,46 @@ def columns_of(df: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
+def shielded(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For operators whose result has the columns of their first argument: names like those of working columns are hidden meanwhile."""
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        names = docs.columns
+        if not any(c.lower().startswith("__sa_") for c in names):
+            return operator(docs, *args, **kwargs)
+        taken, hidden = {c.lower() for c in names}, []
+        for i, c in enumerate(names):
+            other = f"carried_{i}"
+            while other in taken:
+                other += "_"
+            hidden.append(other if c.lower().startswith("__sa_") else c)
+        return operator(docs.toDF(*hidden), *args, **kwargs).toDF(*names)
+
+    return run
+
+
 def with_uid(df: DataFrame) -> DataFrame:
     """A number unique to each row, repeated rows included.  Stable only once the result is written (``durable``)."""
     return df.withColumn(UID, F.monotonically_increasing_id())
 
 
-def running_total(df: DataFrame, group: list[str], weight: Column, out: str, rows_per_task: int = 100_000) -> DataFrame:
+def running_total_by(df: DataFrame, group: list[str], order: list[Column], weight: Column, out: str) -> DataFrame:
     """Add ``out``: the sum of ``weight`` over the rows that precede this one in its group (a long; 0 for the first).
 
-    The order within a group is arbitrary but fixed: by bucket, then by ``UID``.  ``df`` must be a written table with
-    ``UID``.  A group of any size is dealt over as many buckets as ``rows_per_task`` asks for, so no task sees a whole
-    hot group; what is gathered per group is one sum per bucket.
+    ``order`` says which precede, whatever tasks wrote the rows; equal rows come in any order.  ``df`` has ``UID``.  Rows are
+    dealt by ranges of group, order and ``UID``, so a group of any size, and also one of equal rows, is split; what is gathered
+    per group is one sum per range.
     """
-    largest = df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
-    buckets = max(1, -(-largest // rows_per_task))
-    dealt = df.withColumn(BUCKET, F.pmod(F.xxhash64(UID), F.lit(buckets))).withColumn("__sa_w", weight.cast("long"))
-    keys = [*group, BUCKET]
+    keys = [*map(F.col, group), *order, F.col(UID)]
+    ranged = df.withColumn("__sa_w", weight.cast("long")).repartitionByRange(*keys).withColumn(BUCKET, F.spark_partition_id())
+    dealt = durable(ranged, "ranges")
     earlier = Window.partitionBy(*group).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        dealt.groupBy(*keys)
-        .agg(F.sum("__sa_w").alias("__sa_sum"))
-        .select(*keys, F.coalesce(F.sum("__sa_sum").over(earlier), F.lit(0)).alias("__sa_offset"))
-    )
-    inside = Window.partitionBy(*keys).orderBy(UID).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        dealt.withColumn("__sa_inside", F.coalesce(F.sum("__sa_w").over(inside), F.lit(0)))
-        .join(offsets, keys)
-        .withColumn(out, F.col("__sa_inside") + F.col("__sa_offset"))
-        .drop(BUCKET, "__sa_w", "__sa_inside", "__sa_offset")
-    )
+    sums = dealt.groupBy(*group, BUCKET).agg(F.sum("__sa_w").alias("__sa_sum"))
+    offsets = sums.select(*group, BUCKET, F.coalesce(F.sum("__sa_sum").over(earlier), F.lit(0)).alias("__sa_offset"))
+    inside = Window.partitionBy(*group, BUCKET).orderBy(*order, UID).rowsBetween(Window.unboundedPreceding, -1)
+    run = dealt.withColumn("__sa_inside", F.coalesce(F.sum("__sa_w").over(inside), F.lit(0))).join(offsets, [*group, BUCKET])
+    return run.withColumn(out, F.col("__sa_inside") + F.col("__sa_offset")).drop(BUCKET, "__sa_w", "__sa_inside", "__sa_offset")
 
 
 def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from srcatlas.llm.common import UID, columns_of, whole_text, with_uid
+from srcatlas.llm.common import columns_of, shielded, UID, whole_text, with_uid
 from srcatlas.session import durable
 
 PREFIX_CHARS = 256
@@ -100,6 +100,7 @@ def exact_duplicates(docs: DataFrame, *carry: Column) -> DataFrame:
     return alone.unionByName(grouped)
 
 
+@shielded
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts: one with the largest ``doc_id`` (of repeated rows, just one)."""
     rows = _refined(docs, columns_of(docs))

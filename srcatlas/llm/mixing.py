@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from srcatlas.llm.common import columns_of, numbered, whole_text
+from srcatlas.llm.common import columns_of, numbered, shielded, whole_text
 from srcatlas.session import durable
 
 MAX_REPEAT = 3
@@ -99,6 +99,7 @@ def mixture(docs: DataFrame) -> DataFrame:
     )
 
 
+@shielded
 def mixed(docs: DataFrame) -> DataFrame:
     """``docs`` with each row as often as the mix takes it: not at all, or up to MAX_REPEAT times."""
     rows = with_copies(docs, whole=True).where("__sa_copies > 0")

@@ -4,8 +4,8 @@ Documents longer than a window are cut into full windows and one remainder.  Rem
 SEQUENCE - 1 numbers), and the driver plans windows over these counts: the longest remaining length opens a window, and a
 bitset subset-sum (a bit per reachable fill) over the remaining lengths, longest first, finds the fill closest to the
 capacity; going back through the steps gives how often each length is used.  The window is planned as often as the counts
-allow, so the plan is short whatever the number of documents.  Executors number the pieces of each length and look up their
-place in the plan.
+allow, so the plan is short whatever the number of documents.  Tasks number the pieces of each length as they make them, and
+pieces look up their place in the plan by that number and the counts of the tasks before.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from srcatlas.llm.common import running_total, whole_text, with_uid
+from srcatlas.llm.common import UID, whole_text, with_uid
 from srcatlas.session import durable
 
 SEQUENCE = 1024
@@ -137,15 +137,17 @@ class ByteBpe:
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> DataFrame:
-    """One row per piece of at most SEQUENCE ids: ``doc_id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens`` (and ``ids``).
+    """One row per piece of at most SEQUENCE ids: ``doc_id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens`` (and ``ids``),
+    with ``nth``: its number from 0 among the pieces of that length which its task has made.
 
     A null text is empty and has the end id only.
     """
-    schema = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
+    schema = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, nth long" + ", ids binary" * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = ByteBpe(tokenizer_path)
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        made = [0] * (SEQUENCE + 1)
         names = [c.split()[0] for c in schema.split(", ")]
         for batch in batches:
             for part in _slices(batch):
@@ -155,8 +157,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -
                     total = len(ids) // 4
                     for start in range(0, total, SEQUENCE):
                         piece = ids[4 * start : 4 * (start + SEQUENCE)]
-                        for column, value in zip(rows, (doc_id, start, len(piece) // 4, zlib.crc32(piece), total, piece)):
+                        length = len(piece) // 4
+                        for column, value in zip(rows, (doc_id, start, length, zlib.crc32(piece), total, made[length], piece)):
                             column.append(value)
+                        made[length] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types)], names)
 
     return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(cut, schema)
@@ -177,15 +181,19 @@ def packed(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> Data
 
     Repeated rows and rows without ``doc_id`` are packed like others.  An empty table gives no rows.
     """
-    pieces = durable(with_uid(token_pieces(docs, tokenizer_path, with_ids)), "pieces")
-    counts = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most SEQUENCE rows
+    pieces = durable(with_uid(token_pieces(docs, tokenizer_path, with_ids)).withColumn("part", F.shiftright(UID, 33)).drop(UID), "pieces")
+    made = durable(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "lengths")
+    counts = {r.length: r.n for r in made.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most SEQUENCE rows
     plan = docs.sparkSession.createDataFrame(plan_windows(counts) or [(0, 0, 0, 0, 0)], PLAN)
-    ranked = running_total(pieces, ["length"], F.lit(1), "__sa_rank")
-    place = (ranked["length"] == plan["length"]) & (ranked["__sa_rank"] >= plan["lo"]) & (ranked["__sa_rank"] < plan["hi"])
+    # a piece's rank among those of its length: pieces of the tasks before its own, then its number in its task
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = durable(made.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")), "firsts")
+    ranked = pieces.join(firsts, ["length", "part"]).withColumn("rank", F.col("first") + F.col("nth"))
+    place = (ranked["length"] == plan["length"]) & (ranked["rank"] >= plan["lo"]) & (ranked["rank"] < plan["hi"])
     out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
     return ranked.join(F.broadcast(plan), place).select(
         *[ranked[c].cast("long").alias(c) if c == "length" else ranked[c] for c in out],
-        (F.col("sequence") + F.col("__sa_rank") - F.col("lo")).alias("sequence_id"),
+        (F.col("sequence") + F.col("rank") - F.col("lo")).alias("sequence_id"),
         F.col("offset"),
     )
 

@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from srcatlas.llm.common import columns_of, whole_text
+from srcatlas.llm.common import columns_of, shielded, whole_text
 from srcatlas.session import durable
 
 # Fixed values of the base rule.
@@ -171,6 +171,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     )
 
 
+@shielded
 def keep_good(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that the rules reject."""
     rows = durable(docs.withColumn(F_, features(whole_text())), "documents")

@@ -12,7 +12,6 @@ copies with a third of all rows fits no bounded shard.
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcatlas.llm.common import UID, running_total, whole_text, with_uid
+from srcatlas.llm.common import UID, running_total_by, whole_text, with_uid
 from srcatlas.session import durable
 
 SHARDS = 16
@@ -68,10 +67,10 @@ def stretches(sizes: dict[int, int], owners: list[int], shards: int, slack: floa
 
 
 def place_cut(rows: list[tuple[int, int, int]], load: list[int], owners: list[int], slack: float) -> list[tuple[int, int]]:
-    """(uid, shard) for the documents on cuts, largest first: clockwise to the first shard with room, else the emptiest."""
+    """(uid, shard) for the documents on cuts, in their order (largest first): clockwise to the first shard with room, else the emptiest."""
     bound = -int(-(sum(load) + sum(size for _, _, size in rows)) * (1 + slack) // len(load))
     out = []
-    for uid, arc, size in sorted(rows, key=lambda r: (-r[2], r[0])):
+    for uid, arc, size in rows:
         around = dict.fromkeys([*owners[arc:], *owners[:arc]])
         shard = next((s for s in around if load[s] + size <= bound), min(around, key=lambda s: load[s]))
         load[shard] += size
@@ -98,30 +97,25 @@ def bounded_shards(docs: DataFrame, shards: int = SHARDS, points: int = POINTS,
         (F.octet_length(whole_text()) + F.lit(1)).cast("long").alias("size"),
         F.crc32(whole_text()).alias("text_crc32"),
         arc_of(F.xxhash64("doc_id")).alias("arc"),
+        F.xxhash64("doc_id", whole_text()).alias("place"),
     )
     rows = durable(with_uid(narrow), "sized")
     sizes = {r.arc: r.size for r in rows.groupBy("arc").agg(F.sum("size").alias("size")).collect()}  # one row per arc
-    parts: dict[int, list[tuple[int, int, int]]] = {}
-    for arc, start, end, shard in stretches(sizes, owners, shards, slack):
-        parts.setdefault(arc, []).append((start, shard, end))
-
-    @F.pandas_udf("int")
-    def shard_of(arcs: pd.Series, before: pd.Series, size: pd.Series) -> pd.Series:
-        out = []
-        for arc, low, length in zip(arcs, before, size):
-            at = bisect.bisect_right(parts[arc], (low, shards, 0)) - 1
-            _, shard, end = parts[arc][at]
-            out.append(shard if low + length <= end else CUT)
-        return pd.Series(out, dtype="int32")
-
-    placed = running_total(rows, ["arc"], F.col("size"), "before").withColumn("shard", shard_of("arc", "before", "size"))
-    placed = durable(placed.select("doc_id", "size", "text_crc32", "arc", "shard", UID), "placed")
+    parts = docs.sparkSession.createDataFrame(stretches(sizes, owners, shards, slack) or [(-1, 0, 0, 0)], "arc int, lo long, hi long, shard int")
+
+    # the order in an arc depends on the rows alone, not on the tasks that wrote them
+    order = [F.col("place"), F.col("doc_id"), F.col("size"), F.col("text_crc32")]
+    run = running_total_by(rows, ["arc"], order, F.col("size"), "before")
+    within = (run["arc"] == parts["arc"]) & (run["before"] >= parts["lo"]) & (run["before"] < parts["hi"])
+    whole = F.when(F.col("before") + F.col("size") <= F.col("hi"), F.col("shard")).otherwise(CUT).alias("shard")
+    placed = run.join(F.broadcast(parts), within).select("doc_id", "size", "text_crc32", run["arc"], "place", whole, UID)
+    placed = durable(placed, "placed")
     # a cut ends an arc's own part or fills a shard: at most two per shard, so this is a handful of rows
-    cut = placed.where(F.col("shard") == CUT).select(UID, "arc", "size").collect()
+    cut = placed.where(F.col("shard") == CUT).orderBy(F.desc("size"), *order).select(UID, "arc", "size").collect()
     load = {r.shard: r.size for r in placed.groupBy("shard").agg(F.sum("size").alias("size")).collect()}
     put = place_cut([tuple(r) for r in cut], [load.get(s, 0) for s in range(shards)], owners, slack)
     late = docs.sparkSession.createDataFrame(put or [(-1, -1)], f"{UID} long, late int")
     placed = placed.join(F.broadcast(late), UID, "left").withColumn("shard", F.coalesce("late", "shard")).drop("late")
-    return running_total(placed, ["shard"], F.lit(1), "slot").select(
+    return running_total_by(placed, ["shard"], order, F.lit(1), "slot").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

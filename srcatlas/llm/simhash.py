@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcatlas.llm.common import UID, columns_of, whole_text, with_uid
+from srcatlas.llm.common import columns_of, shielded, UID, whole_text, with_uid
 from srcatlas.llm.components import components
 from srcatlas.session import durable
 
@@ -134,8 +134,10 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return near_groups(rows).select("doc_id", F.lpad(F.lower(F.hex(FP)), 16, "0").alias("fingerprint"), "component_id")
 
 
+@shielded
 def drop_near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     """``docs`` with one row of each group: one that carries the smallest ``doc_id`` (of repeated rows, just one)."""
     rows = durable(with_uid(with_fingerprint(docs, words)), "documents")
-    keepers = near_groups(rows.select("doc_id", UID, FP)).select(F.col("__sa_keeper").alias(UID)).distinct()
-    return rows.join(keepers, UID, "left_semi").select(*columns_of(docs))
+    # the rows that go are written: where they are few, they are sent to every task and no text is shuffled
+    gone = durable(near_groups(rows.select("doc_id", UID, FP)).where(F.col(UID) != F.col("__sa_keeper")).select(UID), "gone")
+    return rows.join(gone, UID, "left_anti").select(*columns_of(docs))

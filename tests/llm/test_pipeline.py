@@ -1,12 +1,15 @@
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
 from srcatlas.llm.packing import SEQUENCE
+from srcatlas.session import names_in, shared_dir
 from test_mixing import slow_targets
 from test_quality import slow_counts
 from test_simhash import slow_components, slow_fingerprint
@@ -56,7 +59,11 @@ def test_stages_match_a_brute_force_version(spark, make_docs, tmp_path):
     pieces = seen[5].collect()
     assert sum(r.length for r in pieces) == sum(len(tokenizer.encode(r[1], add_special_tokens=False).ids) + 1 for r in texts[4])
     assert max(r.offset + r.length for r in pieces) <= SEQUENCE
+    ids = {r[0]: tokenizer.encode(r[1], add_special_tokens=False).ids + [0] for r in texts[4]}
+    assert all(np.frombuffer(r.ids, "<u4").tolist() == ids[r.doc_id][r.start : r.start + r.length] for r in pieces)
+    left = set(names_in(spark, shared_dir(spark)))
     total = corpus_pipeline.run(spark, str(tmp_path)).count()
+    assert {n.rsplit("-", 1)[0] for n in set(names_in(spark, shared_dir(spark))) - left} == {"packing"}
     assert abs(total - len(pieces)) <= 2 + len(pieces) // 10
 
 
@@ -67,5 +74,18 @@ def test_empty_table(spark, empty, tmp_path):
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in names} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} <= {k.split("_")[0] for k in names} and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_columns_with_names_like_those_of_working_columns_pass(spark, make_docs, tmp_path):
+    clash = ["__sa_uid", "__sa_f", "__sa_size", "__sa_length", "__sa_fp", "__sa_kept", "__SA_digest", "carried_13"]
+    docs = make_docs(rows()[:80])
+    for i, c in enumerate(clash):
+        docs = docs.withColumn(c, F.lit(i))
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == docs.columns, name
+    assert {tuple(r) for r in kept.select(*clash).distinct().collect()} == {tuple(range(len(clash)))}
+    assert corpus_pipeline.packing(spark, kept, str(tmp_path)).count() > 0

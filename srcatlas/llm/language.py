@@ -24,6 +24,8 @@ TEXT_WEIGHT = 60
 #: A page votes for its text language in the grouped counts if that is this likely by text alone.
 SURE = 0.9
 PRIOR_ROWS = 5.0
+#: Languages that are told apart: those with most documents, ties by name.  Others of a dirty column are no evidence.
+MAX_LANGS = 200
 _PIECE = 1 << 20
 
 
@@ -38,7 +40,7 @@ def _trigrams(text: str) -> np.ndarray:
 
 
 def train(docs: DataFrame) -> DataFrame:
-    """``lang``, ``bucket``, ``n`` over all documents with a language: one partial sum per task, language and bucket."""
+    """``lang``, ``bucket``, ``n`` over all documents of the MAX_LANGS most frequent languages: one partial sum per task, language and bucket."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, np.ndarray] = {}
@@ -50,11 +52,13 @@ def train(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"lang": lang, "bucket": used.astype("int32"), "n": counts[used]})
 
     known = docs.where("lang is not null and text is not null").select("lang", "text")
+    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    known = known.where(F.col("lang").isin([r.lang for r in most]))
     return known.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 def model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and log likelihoods (BUCKETS x languages).  Its size depends on the number of languages only."""
+    """Languages and log likelihoods (BUCKETS x languages, MAX_LANGS at most)."""
     rows = train(docs).toPandas()
     langs = sorted(rows["lang"].unique())
     counts = np.ones((BUCKETS, len(langs)))

@@ -33,7 +33,7 @@ _JS_FUNC = re.compile(rf"{_JS_EXPORT}(?:async[ \t]+)?function[ \t]+({_NAME})", r
 _JS_CLASS = re.compile(rf"{_JS_EXPORT}(?:abstract[ \t]+)?class[ \t]+({_NAME})", re.M)
 _JS_VAR = re.compile(rf"^[ \t]*(?:export[ \t]+)?(?:const|let|var)[ \t]+({_NAME})[ \t]*(?::[^=\n]*)?=[ \t]*(?:async\b[ \t]*)?(?:(function\b)|(\()|{_NAME}[ \t]*(=>))", re.M)
 _JS_METHOD = re.compile(
-    r"^[ \t]*(?:(?:public|private|protected|override|static)[ \t]+)*(?:async[ \t]+)?(?:(?:get|set)[ \t]+)?"
+    r"^[ \t]*(?:(?:public|private|protected|override|static)[ \t]+)*(?:async\b[ \t]*)?(?:(?:get|set)[ \t]+)?(?:\*[ \t]*)?"
     rf"(?!(?:if|for|while|switch|catch|function|return|with)\b)({_NAME})[ \t]*(?:<[^<>()\n]*>)?[ \t]*\(",
     re.M,
 )

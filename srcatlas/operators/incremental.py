@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from srcatlas.session import durable
+
 
 def _not_seen(gone: DataFrame, errors: DataFrame) -> DataFrame:
     """``gone`` without files at or below a path of ``errors``: what could not be listed or read is not deleted."""
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
     below = gone.select("repo", "path", F.explode(above).alias("_up"))
-    failed = errors.select("repo", F.col("path").alias("_up")).distinct()
+    # written: failures are few as a rule, and are then sent to every task instead of dealing all deleted paths of a repository
+    failed = durable(errors.select("repo", F.col("path").alias("_up")).distinct(), "failed")
     return gone.join(below.join(failed, ["repo", "_up"], "left_semi").select("repo", "path"), ["repo", "path"], "left_anti")
 
 

@@ -19,7 +19,7 @@ from srcatlas.functions.tables import CHUNK_BYTES
 from srcatlas.operators.embed import Embedder
 from srcatlas.plans.indexing import index_files, refresh_table
 from srcatlas.schemas import CHUNKS
-from srcatlas.session import durable, remove, scratch
+from srcatlas.session import durable, names_in, remove, scratch
 from srcatlas.sources.code_tree import Roots, read_files, stream_code_files
 from srcatlas.sources.index_table import IndexTable
 
@@ -92,19 +92,20 @@ def compact(spark: SparkSession, target: str, out: str | None = None, since: Col
         current_index(spark, target, since).write.mode("overwrite").parquet(out)
         return
     versions = spark.read.schema(_VERSIONS).parquet(f"{target}/versions")
-    batches = sorted(r.batch for r in versions.select("batch").distinct().collect())  # a number per micro-batch
-    merged = min([0, *batches]) - 1
-    old = versions.where(F.col("batch").isin(batches))
+    ends = versions.agg(F.min("batch").alias("first"), F.max("batch").alias("last")).first()
+    last_batch, merged = ends.last if ends.last is not None else -1, min(0, ends.first or 0) - 1
+    old = versions.where(F.col("batch") <= last_batch)
     kept = old if since is None else old.where(F.col("mtime") >= since)
     last = kept.groupBy("repo", "file").agg(F.max(F.struct("mtime", "batch", "deleted")).alias("_v"))
     last = durable(last.select("repo", "file", "_v.*"), "newest")
-    chunks = spark.read.schema(_CHUNKS).parquet(f"{target}/chunks").where(F.col("batch").isin(batches))
+    chunks = spark.read.schema(_CHUNKS).parquet(f"{target}/chunks").where(F.col("batch") <= last_batch)
     chunks = chunks.join(last.where(~F.col("deleted")), ["repo", "file", "batch"], "left_semi").drop("batch")
     chunks.write.mode("overwrite").parquet(f"{target}/chunks/batch={merged}")
     last.drop("batch").write.mode("overwrite").parquet(f"{target}/versions/batch={merged}")
     for kind in ("versions", "chunks"):
-        for batch in batches:
-            remove(spark, f"{target}/{kind}/batch={batch}")
+        for name in names_in(spark, f"{target}/{kind}"):
+            if name.startswith("batch=") and merged < int(name.removeprefix("batch=")) <= last_batch:
+                remove(spark, f"{target}/{kind}/{name}")
 
 
 def watch_tree(

@@ -226,3 +226,9 @@ def test_time_is_linear():
     for text in ("(" * 200_000, "`" * 200_001, "x=>" * 20_000, "{" * 200_000 + ")" * 200_000, "foo(" * 100_000, '"' * 200_001, "/" * 200_000):
         for ext in (".py", ".go", ".js"):
             definition_spans(ext, text)
+
+
+def test_generator_methods(files):
+    text = "class A {\n  *gen() {\n    yield 1\n  }\n  static async *both() {\n  }\n  async* near(a, b) {\n  }\n  async plain() {\n  }\n  async() {\n  }\n  x = a * b(1)\n}\n"
+    for path in ("a.js", "a.ts"):
+        assert found(files, path, text) == [(1, 14, "", "A"), (2, 4, "gen", ""), (5, 6, "both", ""), (7, 8, "near", ""), (9, 10, "plain", ""), (11, 12, "async", "")]

@@ -25,6 +25,7 @@ from srcatlas.sources.code_tree import scan_code_files as scan
 from srcatlas.sources.consumer import consume
 from srcatlas.sources.index_store import load_or_build, read_index, read_index_json, write_index, write_index_array, write_index_json
 from srcatlas.sources.index_table import IndexTable
+from srcatlas.sources.split_lines import split_line_chunks
 from srcatlas.sources.vector_store import VectorStore
 from srcatlas.streaming import reindex
 from srcatlas.streaming.versions import start_stateful_reindex
@@ -182,6 +183,17 @@ def stream_stateful(spark: SparkSession, sf: str) -> DataFrame:
     return reindex.current_index(spark, target).select("repo", "file", "chunk_idx", "content")
 
 
+@query
+def line_chunks_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Line chunks of documents as files, each file cut by byte ranges."""
+    folder = new_shared_path(spark, "doc-tree")
+    docs = _docs(spark, sf)
+    fx.write_as_files(docs, folder)
+    repos = [r.repo for r in docs.select("repo").distinct().collect()]  # a name per source
+    listing = list_code_files(spark, {repo: f"{folder}/{repo}" for repo in sorted(repos)})
+    return split_line_chunks(listing, LINE_CHUNK_BYTES, range_bytes=2048)
+
+
 @query
 def scan_report(spark: SparkSession, sf: str) -> DataFrame:
     """From written files to dependency lines."""

@@ -223,7 +223,7 @@ class CodeTreeSource(DataSource):
         return CodeTreeStreamReader(self.options)
 
 
-def _replace_byte(err: UnicodeError):
+def replace_byte(err: UnicodeError):
     """One replacement character per undecodable byte."""
     return "�", err.start + 1
 
@@ -234,7 +234,7 @@ def _read_batches(fail_fast: bool):
     schema = pa.schema(fields)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codecs.register_error("srcatlas_byte", _replace_byte)
+        codecs.register_error("srcatlas_byte", replace_byte)
         for batch in batches:
             out, held = [], 0
             for row in batch.to_pylist():
@@ -401,7 +401,7 @@ def stream_line_chunks(listing: DataFrame, max_bytes: int, mode: str = "PERMISSI
     schema = pa.schema(fields)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codecs.register_error("srcatlas_byte", _replace_byte)
+        codecs.register_error("srcatlas_byte", replace_byte)
         out, held = [], 0
         for batch in batches:
             for row in batch.to_pylist():

@@ -4,10 +4,10 @@ The rule is a substring test (``main`` is found in ``domain``), case-sensitive,
 Comparing every file with every other one is quadratic in a repository, so the test is turned into
 equality joins that give the same numbers:
 
-* A stem made of word characters can only occur inside one run of word characters.  Runs are reduced to the distinct ones
-  per repository.  Every place in a run gives its first few characters once per class of stem lengths (PREFIXES), which meet
-  the prefixes of the repository's stems by equality; the rest of a longer stem is compared at the places that are left,
-  and the hits go back to the files by equality on the run.
+* A stem made of word characters can only occur inside one run of word characters.  Every place in a file's distinct runs is
+  tested by its first few characters, once per class of stem lengths (PREFIXES), against a filter of the repository's stems
+  (bits, one for each prefix).  What passes, with the text that follows as far as the longest stem of the class, meets the
+  stems by equality of the prefix, and those that it begins with are in the file.
 * Any other stem has a first character that is no word character: its anchor (``-`` in ``user-service``).  It is
   met only at the anchors of that kind: the word characters before the anchor and the text after it give one
   candidate for each place and length that the repository's stems with this anchor have.  Without white space in
@@ -38,8 +38,9 @@ _WORD = r"[A-Za-z0-9_\x{80}-\x{10FFFF}]"
 WINDOW = 256
 #: Stems are looked up by so many first characters: the largest of these that they have.
 PREFIXES = (1, 2, 3, 4, 8)
-#: Shuffle keys for each prefix of one or two characters.
-SALTS = 32
+#: Bits a prefix in the filter of its repository, and the largest filter in words of 64 bits (32 KB).
+BITS_PER_PREFIX = 16
+MAX_WORDS = 1 << 12
 
 
 def _kind(base: Column) -> Column:
@@ -60,64 +61,66 @@ def _windows(text: Column, overlap: Column) -> Column:
     )
 
 
-def _heads(window: Column, starts: Column, classes: Column) -> Column:
-    """What stems are looked up by: ``(q, at, prefix)`` of the first ``q`` characters from each start, for every class ``q``.
+def _bit(q: Column, prefix: Column, words: Column) -> Column:
+    """The place of a prefix in its repository's filter of ``words`` times 64 bits."""
+    return F.pmod(F.xxhash64(q, prefix), words.cast("long") * 64)
 
-    A class that holds whole stems only needs each prefix once in a window; the others need every place.
-    """
-    size = F.char_length(window)
 
-    def places(q: Column) -> Column:
-        return F.sequence(F.lit(1), F.least(starts, size - q + 1))
+def prefix_filters(anchors: DataFrame) -> DataFrame:
+    """``repo, classes array<struct<q,width>>, bits``: the classes of a repository's stems with the longest stem of each, and a
+    bit set for each prefix.
 
-    def whole(q: Column) -> Column:
-        distinct = F.array_distinct(F.transform(places(q), lambda p: F.substring(window, p, q)))
-        return F.transform(distinct, lambda x: F.struct(q.alias("q"), F.lit(0).alias("at"), x.alias("prefix")))
+    A filter has ``BITS_PER_PREFIX`` bits a prefix and ``MAX_WORDS`` words of 64 bits at most; beyond that more prefixes
+    pass that meet nothing in the join that follows, and no prefix is lost.
+    """
+    per_class = anchors.groupBy("repo", "q").agg(F.max(F.char_length("base")).alias("width"), F.count_distinct("prefix").alias("n"))
+    sizes = per_class.groupBy("repo").agg(
+        F.array_sort(F.collect_list(F.struct("q", "width"))).alias("classes"),
+        F.least(F.ceil(F.sum("n") * BITS_PER_PREFIX / 64), F.lit(MAX_WORDS)).cast("int").alias("words"),
+    )
+    places = anchors.join(sizes, "repo").select("repo", _bit(F.col("q"), F.col("prefix"), F.col("words")).alias("bit"))
+    mark = F.expr("shiftleft(1L, cast(bit & 63 as int))")
+    marked = places.groupBy("repo", F.shiftright("bit", 6).cast("int").alias("word")).agg(F.bit_or(mark).alias("marks"))
+    every = sizes.withColumn("word", F.explode(F.sequence(F.lit(0), F.col("words") - 1)))
+    cells = every.join(marked, ["repo", "word"], "left").withColumn("marks", F.coalesce("marks", F.lit(0)))
+    in_order = F.array_sort(F.collect_list(F.struct("word", "marks")))
+    return cells.groupBy("repo").agg(F.first("classes").alias("classes"), F.transform(in_order, lambda c: c["marks"]).alias("bits"))
 
-    def placed(q: Column) -> Column:
-        return F.transform(places(q), lambda p: F.struct(q.alias("q"), p.alias("at"), F.substring(window, p, q).alias("prefix")))
 
-    fitting = F.filter(classes, lambda q: q <= size)
-    short = F.transform(F.filter(fitting, lambda q: q < PREFIXES[3]), whole)
-    return F.flatten(F.concat(short, F.transform(F.filter(fitting, lambda q: q >= PREFIXES[3]), placed)))
+def prefix_rows(runs: DataFrame, anchors: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """``repo, path, q, piece`` of word runs (``repo, path, run``): at most one row for each place and class of lengths that the
+    repository's stems have, whatever the number of lengths, and hardly any whose prefix no stem has.
 
+    No text is shuffled for it, but where there are so many filters that they are not broadcast; a repository may hold most
+    runs, so the join is salted (``hot`` as in ``salted_join``).
+    """
+    filters = durable(prefix_filters(anchors), "prefix-filters")
+    longest = anchors.agg(F.max(F.char_length("base"))).first()[0] or 0  # a file system bounds the length of a name
+    whole = F.array(F.struct(F.col("run").alias("window"), F.char_length("run").alias("starts")))
+    cut = F.transform(_windows(F.col("run"), F.lit(longest)), lambda w: F.struct(w.alias("window"), F.least(F.lit(WINDOW), F.char_length(w)).alias("starts")))
+    windows = runs.select("repo", "path", F.inline(F.when(F.char_length("run") > WINDOW, cut).otherwise(whole)))
+    met = salted_join(windows, filters, ["repo"], ["path", "window"], hot=hot, written="filters-by-salt")
 
-def prefix_rows(windows: DataFrame, anchors: DataFrame) -> DataFrame:
-    """``repo, wid, run_id, q, at, prefix`` of the windows (``repo, wid, run_id, window, starts``): at most one row for each start and
-    class of lengths that the repository's stems have, whatever the number of lengths."""
-    classes = durable(anchors.groupBy("repo").agg(F.collect_set("q").alias("classes")), "prefix-classes")
-    cells = F.inline(_heads(F.col("window"), F.col("starts"), F.col("classes")))
-    return windows.join(classes, "repo").select("repo", "wid", "run_id", cells)
+    # one row a place, in generated code: the filter's bits are read where they lie, not copied
+    room = F.least("starts", F.char_length("window") - F.col("q") + 1)
+    places = met.select("repo", "path", "window", "starts", "bits", F.inline("classes")).where(room > 0)
+    places = places.select("repo", "path", "window", "q", "width", "bits", F.explode(F.sequence(F.lit(1), room)).alias("at"))
+    bit = _bit(F.col("q"), F.substring("window", F.col("at"), F.col("q")), F.size("bits"))
+    known = F.getbit(F.get("bits", F.shiftright(bit, 6).cast("int")), bit.bitwiseAND(F.lit(63)).cast("int")) == 1
+    return places.where(known).select("repo", "path", "q", F.substring("window", F.col("at"), F.col("width")).alias("piece"))
 
 
 def _word_hits(files: DataFrame, stems: DataFrame) -> DataFrame:
     """``repo, base, path`` for stems of word characters, with repeats."""
     n = F.char_length("base")
     q = reduce(lambda rest, c: F.when(n >= c, c).otherwise(rest), PREFIXES[1:], F.lit(PREFIXES[0]))
-    anchors = stems.select("repo", "base", q.alias("q"), F.substring("base", F.lit(1), q).alias("prefix"), n.alias("n"))
-    anchors = durable(anchors, "prefix-anchors")
-    per_file = files.select("repo", "path", F.explode("runs").alias("run"))
-    vocabulary = per_file.groupBy("repo", "run").agg(F.count(F.lit(1)).alias("files"))
-    vocabulary = durable(vocabulary.withColumn("run_id", F.monotonically_increasing_id()), "vocabulary")
-    longest = durable(anchors.groupBy("repo").agg(F.max("n").alias("longest")), "stem-lengths")  # a file system bounds the length of a name
-    whole = F.array(F.struct(F.col("run").alias("window"), F.char_length("run").alias("starts")))
-    cut = F.transform(_windows(F.col("run"), F.col("longest")), lambda w: F.struct(w.alias("window"), F.least(F.lit(WINDOW), F.char_length(w)).alias("starts")))
-    windows = vocabulary.join(longest, "repo").select("repo", "run_id", F.inline(F.when(F.char_length("run") > WINDOW, cut).otherwise(whole)))
-    windows = durable(windows.withColumn("wid", F.monotonically_increasing_id()), "windows")
-
-    # prefixes of one or two characters meet most windows of a repository; there are few of them, so they are repeated per salt
-    salted = F.when(F.col("q") <= 2, SALTS).otherwise(1)
-    rows = prefix_rows(windows, anchors).withColumn("salt", F.pmod("wid", salted).cast("int"))
-    keys = anchors.withColumn("salt", F.explode(F.sequence(F.lit(0), salted - 1)))
-    met = durable(rows.join(keys, ["repo", "q", "prefix", "salt"]).select("wid", "run_id", "at", "base", "q", "n"), "prefix-hits")
-    # a stem longer than its prefix is compared at that place only
-    longer = met.where("n > q").join(windows.select("wid", "window"), "wid").where(F.substring("window", F.col("at"), F.col("n")) == F.col("base"))
-    hits = met.where("n = q").select("run_id", "base").union(longer.select("run_id", "base")).distinct()
-    found = vocabulary.select("repo", "run", "run_id").join(hits, "run_id").drop("run_id")
-    # Back to the files; runs such as keywords are in a large share of them.
-    return salted_join(per_file, found, ["repo", "run"], ["path"], hot=hot_keys(vocabulary, ["repo", "run"], "files")).select(
-        "repo", "base", "path"
-    )
+    anchors = durable(stems.select("repo", "base", q.alias("q"), F.substring("base", F.lit(1), q).alias("prefix")), "prefix-anchors")
+    hot = hot_keys(files.groupBy("repo").agg(F.sum(F.size("runs")).alias("n")), ["repo"], "n")
+    rows = durable(prefix_rows(files.select("repo", "path", F.explode("runs").alias("run")), anchors, hot), "prefix-hits")
+    rows = rows.withColumn("prefix", F.left("piece", F.col("q")))
+    # a prefix may be in most files of a repository
+    met = salted_join(rows, anchors, ["repo", "q", "prefix"], ["path"], written="anchors-by-salt")
+    return met.where(F.startswith("piece", "base")).select("repo", "base", "path")
 
 
 def _anchored(stems: DataFrame) -> DataFrame:

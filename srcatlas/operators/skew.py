@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from srcatlas.session import durable
+
 #: A key with more rows than one task should get is hot, and is dealt over as many shuffle keys as that takes.
 ROWS_PER_TASK = 1_000_000
 #: No more keys than this can be hot: beyond ROWS_PER_TASK times as many rows, tasks get more rows each.
@@ -32,13 +34,15 @@ def salted_join(
     hot: DataFrame | None = None,
     hot_on: Sequence[str] | None = None,
     rows_per_task: int = ROWS_PER_TASK,
+    written: str | None = None,
 ) -> DataFrame:
     """Equi-join whose hot keys are split by a salt.
 
     ``left`` may be skewed on ``on``; ``right`` has few rows per key.  Rows of ``left`` with a hot key
     get a salt from ``salt_by`` (a value of the row, so a rerun task gives the same salt) and only the
     hot rows of ``right`` are repeated, each as often as its key has salts.  ``hot_on`` names a short key to
-    find hot rows by when ``on`` holds long texts.
+    find hot rows by when ``on`` holds long texts.  ``written`` names a table that ``right`` with its salts is written to, so
+    that the planner knows its size and sends it to every task where it is small, without a shuffle of ``left``.
     """
     keys, hot_on = list(on), list(hot_on or on)
     if hot is None:
@@ -48,4 +52,7 @@ def salted_join(
     salted = left.join(hot, hot_on, "left").withColumn("_salt", spread)
     every = F.sequence(F.lit(0), F.coalesce("_fan", F.lit(1)) - 1)
     repeated = right.join(hot, hot_on, "left").withColumn("_salt", F.explode(every))
-    return salted.drop("_fan").join(repeated.drop("_fan"), [*keys, "_salt"], how).drop("_salt")
+    repeated = repeated.drop("_fan")
+    if written:
+        repeated = durable(repeated, written)
+    return salted.drop("_fan").join(repeated, [*keys, "_salt"], how).drop("_salt")

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from srcatlas.operators.crossref import PREFIXES, WINDOW, imported_by, prefix_rows
+from srcatlas.operators.crossref import PREFIXES, WINDOW, imported_by, prefix_filters, prefix_rows
 from srcatlas.operators.importance import importance, key_files
 
 
@@ -79,17 +79,16 @@ def test_score_and_top_files(spark):
 
 
 def test_a_window_gives_a_row_per_place_and_class_at_most(spark):
-    """Stems of 43 lengths: the rows do not follow the number of lengths, nor do they hold the text after a place."""
+    """Stems of 43 lengths: the rows do not follow the number of lengths, and hold no more text than the longest stem of their class."""
     rng = random.Random(5)
     window = base64.b64encode(rng.randbytes(300)).decode().replace("+", "_").replace("/", "_")[:WINDOW]
     stems = [("r", window[i : i + n], n) for n in range(1, 44) for i in (3, 90)]
     q = lambda n: max(c for c in PREFIXES if c <= n)
-    anchors = spark.createDataFrame([(r, b, q(n), b[: q(n)], n) for r, b, n in stems], "repo string, base string, q int, prefix string, n int")
-    windows = spark.createDataFrame([("r", 1, 7, window, WINDOW)], "repo string, wid long, run_id long, window string, starts int")
-    rows = prefix_rows(windows, anchors)
+    anchors = spark.createDataFrame([(r, b, q(n), b[: q(n)]) for r, b, n in stems], "repo string, base string, q int, prefix string")
+    rows = prefix_rows(spark.createDataFrame([("r", "f", window)], "repo string, path string, run string"), anchors)
     counts = {r.q: r["count"] for r in rows.groupBy("q").count().collect()}
     assert set(counts) == set(PREFIXES) and max(counts.values()) <= WINDOW and counts[1] <= 64
-    assert rows.agg(F.max(F.char_length("prefix"))).first()[0] == max(PREFIXES)
+    assert {r.q: r.n for r in rows.groupBy("q").agg(F.max(F.char_length("piece")).alias("n")).collect()} == {1: 1, 2: 2, 3: 3, 4: 7, 8: 43}
 
 
 def test_noise_with_names_of_many_lengths(spark):
@@ -104,3 +103,22 @@ def test_noise_with_names_of_many_lengths(spark):
 def test_a_hot_stem_of_one_character(spark):
     rows = [("r", f"f{i}/name{i}.py", f"aeiou{i} eee xyz{i % 7}") for i in range(400)] + [("r", "e.js", "none"), ("r", "ou.js", "e"), ("q", "e.js", "no")]
     assert spark_counts(spark, rows) == brute(rows)
+
+
+def test_prefixes_that_no_stem_has_do_not_leave_the_window(spark, monkeypatch):
+    """The filter of a repository lets all its own prefixes through, hardly any other, and those of other repositories neither."""
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(rng.choices(letters, k=WINDOW)) for _ in range(40)]
+    stems = [("r", w[100:112]) for w in words[:5]] + [("q", words[6][20:32]), ("empty", "zzzz")]
+    keys = [(r, b, 8, b[:8]) for r, b in stems[:-1]] + [("empty", "zzzz", 4, "zzzz")]
+    anchors = spark.createDataFrame(keys, "repo string, base string, q int, prefix string")
+    runs = spark.createDataFrame([(r, str(i), w) for r in ("r", "q") for i, w in enumerate(words)], "repo string, path string, run string")
+    wanted = {("r", str(i), 8, w[100:112]) for i, w in enumerate(words[:5])} | {("q", "6", 8, words[6][20:32])}
+    found = {tuple(r) for r in prefix_rows(runs, anchors).collect()}
+    assert wanted <= found and len(found) < 0.15 * 2 * len(words) * WINDOW
+    assert {r.repo: len(r.bits) for r in prefix_filters(anchors).collect()} == {"r": 2, "q": 1, "empty": 1}
+
+    monkeypatch.setattr("srcatlas.operators.crossref.MAX_WORDS", 1)  # a full filter costs rows and loses none
+    assert wanted <= {tuple(r) for r in prefix_rows(runs, anchors).collect()}
+    assert {r.repo: len(r.bits) for r in prefix_filters(anchors).collect()} == {"r": 1, "q": 1, "empty": 1}

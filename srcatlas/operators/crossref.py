@@ -38,9 +38,9 @@ _WORD = r"[A-Za-z0-9_\x{80}-\x{10FFFF}]"
 WINDOW = 256
 #: Stems are looked up by so many first characters: the largest of these that they have.
 PREFIXES = (1, 2, 3, 4, 8)
-#: Bits a prefix in the filter of its repository, and the largest filter in words of 64 bits (32 KB).
+#: Bits a prefix in the filter of its repository, and the largest filter in words of 64 bits (1 MB; it is read where it was sent, not copied with rows).
 BITS_PER_PREFIX = 16
-MAX_WORDS = 1 << 12
+MAX_WORDS = 1 << 17
 
 
 def _kind(base: Column) -> Column:

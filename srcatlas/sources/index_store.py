@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from srcatlas.schemas import CHUNKS, INDEX_JSON
-from srcatlas.session import exists
+from srcatlas.session import durable, exists, scratch
 from srcatlas.sources.fs import add_file
 from srcatlas.sources.json_array import RANGE_BYTES, array_objects
 
@@ -41,7 +41,7 @@ def read_index_json(spark: SparkSession, path: str, repo: str | None = None, arr
     """Import a JSON index.
 
     ``array``: each file is one JSON array of ``file, content, embedding`` (no repository: ``repo`` names
-    it, else the file's own path does; chunks keep their order per file), read by a task per ``range_bytes``.  Otherwise JSON
+    it, else the file's own path does; chunks keep their order per file), read by ranges of ``range_bytes``.  Otherwise JSON
     lines with all index columns.
     """
     if not array:
@@ -54,7 +54,10 @@ def read_index_json(spark: SparkSession, path: str, repo: str | None = None, arr
 
 
 def write_index_array(index: DataFrame, path: str) -> None:
-    """Export as one JSON array per part, in the exchange form (no repository, no number): a file is a text of its own."""
+    """Export as one JSON array per part, in the exchange form (no repository, no number): a file is a text of its own.
+
+    Range bounds are taken from a sample, which reads all rows once more; so the index, whose vectors are costly, is written first.
+    """
     rows = index.select("repo", "file", "chunk_idx", F.to_json(F.struct("file", "content", "embedding")).alias("json"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,8 +66,9 @@ def write_index_array(index: DataFrame, path: str) -> None:
             add_file(f"{path.rstrip('/')}/{uuid.uuid4().hex}.json", ("[\n  " + ",\n  ".join(parts) + "\n]\n").encode())
         yield pa.RecordBatch.from_pydict({"n": [len(parts)]}, schema=pa.schema([("n", pa.int64())]))
 
-    ordered = rows.repartitionByRange("repo", "file").sortWithinPartitions("repo", "file", "chunk_idx")
-    ordered.select("json").mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()
+    with scratch(index.sparkSession):
+        ordered = durable(rows, "array-rows").repartitionByRange("repo", "file").sortWithinPartitions("repo", "file", "chunk_idx")
+        ordered.select("json").mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()
 
 
 def index_exists(spark: SparkSession, path: str) -> bool:

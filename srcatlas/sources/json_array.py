@@ -4,7 +4,7 @@ A file is cut into byte ranges.  Whether a range begins inside a string, and how
 that comes before; so every range is read once for each way it may begin (outside a string, inside one, after a backslash in
 one) and gives a small table: how it ends and how many more brackets are open then.  These tables are composed in order,
 file by file, and each range is read again from its known beginning: it takes the objects that start in it, reading on behind
-its end for the last one.  What a task holds is a range and an object.
+its end for the last one.  What a task holds is a range and an object.  Ranges share tasks where there are many.
 """
 
 from __future__ import annotations
@@ -20,12 +20,18 @@ from srcatlas.session import durable
 from srcatlas.sources.fs import read_range
 
 RANGE_BYTES = 32 << 20
-#: Bytes read at a time behind a range's end.
+#: So many ranges get a task each; of more, a task gets several, up to about TASK_BYTES.
+OWN_TASKS = 512
+TASK_BYTES = 32 << 20
+#: Bytes read behind a range's end for its last object: at first, and twice as many each time it goes on.
+FIRST_BYTES = 16 << 10
+#: Bytes of objects that are handed over at a time.
 MORE_BYTES = 1 << 20
 
 OUTSIDE, INSIDE, ESCAPED = range(3)
-_REST = re.compile(rb'(?:[^"\\]|\\.)*+', re.S)
-_TOKEN = re.compile(rb'"(?:[^"\\]|\\.)*+(?:"|\\?\Z)|[{}\[\]]', re.S)
+_BODY = rb'[^"\\]*+(?:\\.[^"\\]*+)*+'
+_REST = re.compile(_BODY, re.S)
+_TOKEN = re.compile(rb'"' + _BODY + rb'(?:"|\\?\Z)|[{}\[\]]', re.S)
 
 
 def outcome(data: bytes, state: int) -> tuple[int, int]:
@@ -57,6 +63,25 @@ def outcome(data: bytes, state: int) -> tuple[int, int]:
     return OUTSIDE, grown
 
 
+def outcomes(data: bytes) -> list[tuple[int, int]]:
+    """``outcome`` for every state; after a backslash a range goes on as inside a string unless its first byte matters there."""
+    outside, inside = outcome(data, OUTSIDE), outcome(data, INSIDE)
+    return [outside, inside, inside if data[:1] not in (b"", b'"', b"\\") else outcome(data, ESCAPED)]
+
+
+def blocks_behind(path: str, at: int, length: int) -> Iterator[bytes]:
+    """What follows a place in a file, in growing blocks, so that an object of any size is read a few times at most."""
+    size = FIRST_BYTES
+    while at < length:
+        yield read_range(path, at, size)
+        at, size = at + size, min(2 * size, RANGE_BYTES)
+
+
+def range_tasks(ranges: int, total_bytes: int, least: int) -> int:
+    """Tasks for so many ranges: one each while they are few, else as many as their bytes take."""
+    return max(least, min(ranges, max(OWN_TASKS, total_bytes // TASK_BYTES + 1)))
+
+
 def objects(data: bytes, state: int, depth: int, more: Iterator[bytes]) -> Iterator[tuple[int, bytes]]:
     """(place, text) of the objects that start in ``data`` right inside the array; ``more`` gives what follows, for the last one."""
     limit, at, start = len(data), 0, None
@@ -120,7 +145,7 @@ def _composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def array_objects(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """``path``, ``at`` (byte), ``json`` of every object right inside the arrays of the files at ``path``, a task per range.
+    """``path``, ``at`` (byte), ``json`` of every object right inside the arrays of the files at ``path``, by ranges.
 
     Files are opened by the tasks: plain paths, or addresses that Arrow's file systems know.
     """
@@ -130,7 +155,7 @@ def array_objects(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES
         for batch in batches:
             for row in batch.to_pylist():
                 data = read_range(row["path"], row["start"], range_bytes)
-                found = [outcome(data, s) for s in (OUTSIDE, INSIDE, ESCAPED)]
+                found = outcomes(data)
                 yield pa.RecordBatch.from_pylist([{"path": row["path"], "start": row["start"], "ends": [e for e, _ in found], "grown": [g for _, g in found]}], schema=schema)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,8 +163,7 @@ def array_objects(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES
         for batch in batches:
             for row in batch.to_pylist():
                 data = read_range(row["path"], row["start"], range_bytes)
-                behind = row["start"] + len(data)
-                more = (read_range(row["path"], at, MORE_BYTES) for at in range(behind, row["length"], MORE_BYTES))
+                more = blocks_behind(row["path"], row["start"] + len(data), row["length"])
                 held, size = [], 0
                 for at, text in objects(data, row["state"], row["depth"], more):
                     held.append({"path": row["path"], "at": row["start"] + at, "json": text.decode("utf-8", "replace")})
@@ -151,7 +175,8 @@ def array_objects(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES
                     yield pa.RecordBatch.from_pylist(held, schema=schema)
 
     ranges = durable(_ranges(spark, path, range_bytes), "ranges")
-    tasks = max(spark.sparkContext.defaultParallelism, ranges.count())
+    n, total = ranges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.least(F.lit(range_bytes), F.col("length") - F.col("start"))), F.lit(0))).first()
+    tasks = range_tasks(n, total, spark.sparkContext.defaultParallelism)
     spread = lambda df: df.repartition(tasks, "path", "start")
     tables = durable(spread(ranges).select("path", "start").mapInArrow(scan, "path string, start long, ends array<int>, grown array<int>"), "range-tables")
     begun = tables.repartition("path").sortWithinPartitions("path", "start").mapInArrow(_composed, _STATES)

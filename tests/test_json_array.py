@@ -5,8 +5,9 @@ import random
 
 import pytest
 
-from srcatlas.sources.index_store import read_index_json
-from srcatlas.sources.json_array import ESCAPED, INSIDE, OUTSIDE, array_objects, objects, outcome
+from srcatlas.schemas import CHUNKS
+from srcatlas.sources.index_store import read_index_json, write_index_array
+from srcatlas.sources.json_array import ESCAPED, INSIDE, OUTSIDE, OWN_TASKS, TASK_BYTES, array_objects, objects, outcome, outcomes, range_tasks
 
 
 def states(data):
@@ -60,3 +61,39 @@ def test_arrays_of_several_files_are_read_by_several_tasks(spark, tmp_path, rang
     assert sorted((r.repo.replace("file://", "file:"), r.file, r.chunk_idx, r.content, r.embedding) for r in got) == sorted(wanted)
     if range_bytes == 16:
         assert array_objects(spark, str(tmp_path), range_bytes).rdd.getNumPartitions() > 100
+
+
+def test_many_ranges_share_tasks(spark, tmp_path):
+    rows = [{"file": "f", "content": "text " * 30 + str(i), "embedding": [i / 2]} for i in range(400)]
+    (tmp_path / "all.json").write_text(json.dumps(rows))
+    got = array_objects(spark, str(tmp_path), 50)  # some 1,600 ranges
+    assert got.rdd.getNumPartitions() == OWN_TASKS
+    assert [json.loads(r.json) for r in sorted(got.collect(), key=lambda r: r.at)] == rows
+    assert [range_tasks(*x) for x in ((3, 900, 8), (100, 900, 8), (100_000, 900, 8), (100_000, 1000 * TASK_BYTES, 8))] == [8, 100, OWN_TASKS, 1001]
+
+
+def test_an_object_of_many_blocks_is_read_behind_its_range(spark, tmp_path):
+    rows = [{"file": "f", "content": 'a"\\' * 200_000, "embedding": []}, {"file": "f", "content": "b", "embedding": [1.0]}]
+    (tmp_path / "all.json").write_text(json.dumps(rows))
+    assert [r.content for r in read_index_json(spark, str(tmp_path), range_bytes=1000).orderBy("chunk_idx").collect()] == [r["content"] for r in rows]
+
+
+def test_export_computes_the_index_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    index = spark.createDataFrame([("r", f"f{i}", 0, f"text {i}", [float(i)]) for i in range(50)], CHUNKS)
+    write_index_array(index.mapInPandas(count, CHUNKS), str(tmp_path / "out"))
+    assert seen.value == 50
+    assert read_index_json(spark, str(tmp_path / "out")).count() == 50
+
+
+def test_outcomes_of_all_states_at_once():
+    rng = random.Random(5)
+    for _ in range(500):
+        part = bytes(rng.choices(b'ab"\\{}[]\n', k=rng.randint(0, 12)))
+        assert outcomes(part) == [outcome(part, s) for s in (OUTSIDE, INSIDE, ESCAPED)]

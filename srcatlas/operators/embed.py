@@ -13,6 +13,7 @@ from srcatlas.functions.tables import EMBED_BATCH
 from srcatlas.functions.text import embeddable, normalize, skip_reason, token_estimate
 from srcatlas.operators.skew import hot_keys, salted_join
 from srcatlas.schemas import VECTORS
+from srcatlas.session import bounded_batches
 
 #: A user's embedder: batches with columns ``text`` (stored) and ``prepared`` (to be sent) in,
 #: ``text`` and ``embedding`` out.  Rows it leaves out count as not embedded.
@@ -61,8 +62,9 @@ def embed_texts(texts: DataFrame, embedder: Embedder | None = None) -> DataFrame
     """``text, embedding`` for a table of distinct texts.
 
     A user's embedder runs on executors over Arrow batches (``spark.sql.execution.arrow.
-    maxRecordsPerBatch`` rows each); rows without a vector are dropped.
+    maxRecordsPerBatch`` rows each, and no more than ``BATCH_BYTES``); rows without a vector are dropped.
     """
+    bounded_batches(texts.sparkSession)
     prepared = texts.select("text", normalize(F.col("text")).alias("prepared"))
     if embedder is None:
         return prepared.select("text", hashed_bag(F.col("prepared")).alias("embedding"))
@@ -79,7 +81,7 @@ def attach_vectors(chunks: DataFrame, vectors: DataFrame, copies: DataFrame | No
 
     ``vectors`` holds ``text`` or its ``digest``, with ``embedding``.  The join is by digest, so a text moves once,
     with its chunk.  Copies of one text may be a large share of all chunks, so hot digests are salted; ``copies``
-    (``text, copies``) tells how often each text occurs where that is known, otherwise the chunks are counted.
+    (``copies`` with ``text`` or its ``digest``) tells how often each text occurs where that is known, otherwise the chunks are counted.
     """
     left = chunks.drop("embedding").withColumn("_d", digest(F.col("content")))
     key = F.col("digest") if "digest" in vectors.columns else digest(F.col("text"))
@@ -87,7 +89,8 @@ def attach_vectors(chunks: DataFrame, vectors: DataFrame, copies: DataFrame | No
     if copies is None:
         counts = left.groupBy("_d").agg(F.count(F.lit(1)).alias("_n"))
     else:
-        counts = copies.select(digest(F.col("text")).alias("_d"), F.col("copies").alias("_n"))
+        of_copies = F.col("digest") if "digest" in copies.columns else digest(F.col("text"))
+        counts = copies.select(of_copies.alias("_d"), F.col("copies").alias("_n"))
     salt_by = [c for c in chunks.columns if c in ("repo", "file", "chunk_idx", "start_line")]
     return salted_join(left, right, ["_d"], salt_by, hot=hot_keys(counts, ["_d"], "_n")).drop("_d")
 

@@ -14,7 +14,7 @@ from srcatlas.operators.chunk import paragraph_chunks, with_paragraph_chunks
 from srcatlas.operators.definitions import semantic_chunks
 from srcatlas.operators.embed import Embedder, attach_vectors, digest, distinct_texts, embed_texts
 from srcatlas.operators.incremental import changed_files
-from srcatlas.session import durable
+from srcatlas.session import bounded_batches, durable
 from srcatlas.sources.index_table import IndexTable
 
 NO_VALID_TEXT = "no valid texts to embed"
@@ -29,6 +29,7 @@ def with_vectors(chunks: DataFrame, embedder: Embedder | None = None) -> DataFra
     once, and a lost executor does not make the embedder run again for what is done.
     """
     if embedder is None:
+        bounded_batches(chunks.sparkSession)
         valid = chunks.where(embeddable(F.col("content")))
         return valid.withColumn("embedding", hashed_bag(normalize(F.col("content"))))
     chunks = durable(chunks, "chunks")

@@ -2,11 +2,12 @@
 
 import sys
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from srcatlas.functions.hashed_bag import bucket_counts, hashed_bag
+from srcatlas.functions.hashed_bag import MAX_KNOWN, Buckets, bucket_counts, hashed_bag
 from srcatlas.functions.text import embeddable, normalize, skip_reason
 from srcatlas.operators.chunk import paragraph_chunks, with_paragraph_chunks
 from srcatlas.operators.embed import (
@@ -14,6 +15,7 @@ from srcatlas.operators.embed import (
 )
 from srcatlas.plans.indexing import code_embeddings, error_report, file_errors, index_files, index_stats
 from srcatlas.schemas import CHUNKS
+from srcatlas.session import BATCH_BYTES
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -108,3 +110,49 @@ def test_code_embeddings_keep_metadata(files):
 def test_default_index_has_no_shuffle(files):
     plan = index_files(files({"f": "a"}))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_hashed_bag_of_many_words_equals_a_plain_one(spark):
+    """Words that come often, long ones, others than ASCII, a text without words and NULL, over several batches."""
+    import hashlib
+    import math
+    import random
+    import re
+
+    rng = random.Random(2)
+    words = ["alpha", "BETA", "x" * 90, "a_1", "\u212aelvin", "\u0130d", "stra\u00dfe", "42", "\u4e2d\u6587"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 40))) for _ in range(200)] + ["", "--", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    got = df.select("n", F.lower("text").alias("low"), bucket_counts(F.col("text"), 100).alias("c"), hashed_bag(F.col("text"), 100).alias("v")).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        if r.low is None:
+            assert r.c == [None] * 100 and r.v == [None] * 100
+            continue
+        want = [0] * 100
+        for w in re.findall("[a-z0-9_]+", r.low):
+            want[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 100] += 1
+        norm = math.sqrt(sum(x * x for x in want))
+        assert r.c == want and r.v == [float(np.float32(x / norm)) if norm else 0.0 for x in want]
+
+
+def test_a_task_remembers_few_words():
+    """Digests are not computed again for words that were met, and what is remembered has a bound."""
+    known = Buckets(64)
+    assert known["alpha"] == known["alpha"] and list(known) == ["alpha"]
+    for i in range(MAX_KNOWN + 10):
+        known[str(i)]
+    known["x" * 1000]
+    assert len(known) <= MAX_KNOWN and max(map(len, known)) <= 64
+
+
+def test_batches_of_long_texts_are_bounded_by_bytes(spark):
+    """Not by rows alone: 3,000 texts of 10,000 bytes came as one batch of 60 MB, with what is prepared of them."""
+
+    def sizes(batches):
+        for b in batches:
+            yield pd.DataFrame({"text": b.text, "embedding": [[float(b.text.str.len().sum() + b.prepared.str.len().sum())]] * len(b)})
+
+    texts = spark.range(0, 3000, 1, 1).select(F.concat(F.repeat(F.lit("0123456789"), 1000), "id").alias("text"))
+    got = embed_texts(texts, sizes).select(F.count("*").alias("n"), F.max(F.col("embedding")[0]).alias("most")).first()
+    assert got.n == 3000 and got.most <= 1.2 * BATCH_BYTES

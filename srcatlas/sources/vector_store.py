@@ -7,6 +7,7 @@ twice, of which readers take one.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import uuid
 from collections.abc import Iterator
@@ -17,9 +18,9 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcatlas.operators.embed import Embedder, attach_vectors, digest, distinct_texts
-from srcatlas.functions.text import normalize
-from srcatlas.session import durable, names_in
+from srcatlas.functions.text import embeddable, normalize
+from srcatlas.operators.embed import Embedder, attach_vectors, digest
+from srcatlas.session import bounded_batches, durable, names_in
 from srcatlas.sources.fs import add_file
 
 STORED = "digest binary, embedding array<float>"
@@ -47,29 +48,28 @@ class VectorStore:
         path = self.path
 
         def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            def sent() -> Iterator[pd.DataFrame]:
-                for batch in batches:
-                    known.update(zip(batch["text"], batch["digest"]))
-                    yield batch[["text", "prepared"]]
-
-            known: dict[str, bytes] = {}
-            for out in embedder(sent()):
+            for out in embedder(batches):
                 out = out[[v is not None and len(v) > 0 for v in out["embedding"]]]
                 if len(out):
-                    rows = pa.table({"digest": pa.array([known[t] for t in out["text"]], pa.binary()), "embedding": pa.array([list(map(float, v)) for v in out["embedding"]], pa.list_(pa.float32()))})
+                    rows = pa.table({"digest": pa.array([hashlib.sha256(t.encode()).digest() for t in out["text"]], pa.binary()), "embedding": pa.array([list(map(float, v)) for v in out["embedding"]], pa.list_(pa.float32()))})
                     held = io.BytesIO()
                     pq.write_table(rows, held)
                     add_file(f"{path}/{uuid.uuid4().hex}.parquet", held.getvalue())
                 yield pd.DataFrame({"n": [len(out)]})
 
-        wanted = durable(self.missing(texts.select("text")), "missing-texts")
-        prepared = wanted.select("text", normalize(F.col("text")).alias("prepared"), digest(F.col("text")).alias("digest"))
+        bounded_batches(self.spark)
+        prepared = self.missing(texts.select("text")).select("text", normalize(F.col("text")).alias("prepared"))
         return durable(prepared.mapInPandas(add, "n long"), "added").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     def attach(self, chunks: DataFrame, embedder: Embedder) -> DataFrame:
-        """``chunks`` with ``embedding``, new texts embedded first; those without a vector are dropped."""
+        """``chunks`` with ``embedding``, new texts embedded first; those without a vector are dropped.
+
+        Digests are counted and meet the store; of the texts only those without a vector are dealt, once, and are sent once.
+        """
         chunks = durable(chunks, "chunks")
-        texts = durable(distinct_texts(chunks), "texts")
-        self.fill(texts, embedder)
-        wanted = texts.select(digest(F.col("text")).alias("digest"))
-        return attach_vectors(chunks, durable(self.vectors().join(wanted, "digest", "left_semi"), "vectors"), texts)
+        fit = chunks.where(embeddable(F.col("content"))).select(F.col("content").alias("text"), digest(F.col("content")).alias("digest"))
+        digests = durable(fit.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")), "digests")
+        new = durable(digests.join(self._files().select("digest"), "digest", "left_anti").select("digest"), "new-digests")
+        if new.limit(1).count():
+            self.fill(fit.join(new, "digest", "left_semi").select("text").distinct(), embedder)
+        return attach_vectors(chunks, durable(self.vectors().join(digests, "digest", "left_semi"), "vectors"), digests)

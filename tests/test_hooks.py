@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from srcatlas.functions.sql_chunkers import register_chunkers
 from srcatlas.operators.chunk import line_chunks, paragraph_blocks, paragraph_chunks
-from srcatlas.session import new_shared_path
+from srcatlas.session import names_in, new_shared_path, shared_dir
 from srcatlas.sources.consumer import consume
 from srcatlas.sources.vector_store import VectorStore
 
@@ -96,3 +96,17 @@ def test_chunkers_from_sql(spark, files, limit):
     blocks = call("paragraph_blocks(f.content)", "c.start_line, c.end_line, c.content")
     assert rows_of(blocks) == rows_of(paragraph_blocks(df))
     assert "Python" not in call("line_chunks(f.content, 9)", "c.content")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_attach_writes_no_text_but_its_chunks(spark, tmp_path, sizes):
+    """Digests are counted and meet the store; of known texts nothing is dealt, and texts are not written beside their chunks."""
+    store = VectorStore(spark, str(tmp_path / "vectors"))
+    rows = spark.createDataFrame([("r", f"f{i}", 0, f"text {i % 20}") for i in range(60)] + [("r", "blank", 0, " "), ("r", "null", 0, None)], CHUNKS)
+    before = set(names_in(spark, shared_dir(spark)))
+    assert store.fill(rows.where("content like 'text 1%'").select(F.col("content").alias("text")).distinct(), sizes) == 11
+    got = store.attach(rows, sizes)
+    assert rows_of(got.select("file", F.col("embedding")[0])) == rows_of(rows.where("content like 'text%'").select("file", F.length("content").cast("float")))
+    written = [n for n in names_in(spark, shared_dir(spark)) if n not in before]
+    held = [n for n in written if "string" in str(spark.read.parquet(f"{shared_dir(spark)}/{n}").dtypes)]
+    assert len(held) == 1 and held[0].startswith("chunks-")
+    assert store.vectors().count() == 20

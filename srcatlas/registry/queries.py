@@ -106,14 +106,19 @@ def index_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _incoming(versions: DataFrame, path: str, batches: int) -> DataFrame:
+    """A stream of ``versions`` in so many micro-batches, over files written by about as many tasks as the table is read by."""
+    each = max(1, -(-versions.rdd.getNumPartitions() // batches))
+    versions.repartition(batches * each, "version").write.parquet(path)
+    return versions.sparkSession.readStream.schema(versions.schema).option("maxFilesPerTrigger", each).parquet(path)
+
+
 @query
 def stream_reindex(spark: SparkSession, sf: str) -> DataFrame:
     incoming, target, log = (new_shared_path(spark, x) for x in ("versions", "live-index", "stream-log"))
     mtime = (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(mins=F.col("version").cast("int")))
     versions = fx.view(spark, sf, fx.DOC_VERSIONS_SQL).withColumn("mtime", mtime)
-    versions.repartition(4, "version").write.parquet(incoming)
-    stream = spark.readStream.schema(versions.schema).option("maxFilesPerTrigger", 1).parquet(incoming)
-    reindex.start_reindex(stream, target, log).awaitTermination()
+    reindex.start_reindex(_incoming(versions, incoming, 4), target, log).awaitTermination()
     return reindex.current_index(spark, target).select("repo", "file", "chunk_idx", "content")
 
 
@@ -177,8 +182,7 @@ def stream_stateful(spark: SparkSession, sf: str) -> DataFrame:
     incoming, target, log = (new_shared_path(spark, x) for x in ("versions", "live-index", "stream-log"))
     mtime = F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(mins=F.col("version").cast("int"))
     versions = fx.view(spark, sf, fx.DOC_VERSIONS_SQL).withColumn("mtime", mtime)
-    versions.union(versions.where("version % 3 = 0")).repartition(4, "version").write.parquet(incoming)
-    stream = spark.readStream.schema(versions.schema).option("maxFilesPerTrigger", 2).parquet(incoming)
+    stream = _incoming(versions.union(versions.where("version % 3 = 0")), incoming, 2)
     start_stateful_reindex(stream, target, log, "500 minutes").awaitTermination()
     return reindex.current_index(spark, target).select("repo", "file", "chunk_idx", "content")
 

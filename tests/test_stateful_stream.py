@@ -6,7 +6,8 @@ import random
 from pyspark.sql import functions as F
 
 from srcatlas.plans.indexing import index_files
-from srcatlas.session import new_shared_path
+from srcatlas.registry.queries import _incoming
+from srcatlas.session import names_in, new_shared_path
 from srcatlas.streaming.reindex import current_index
 from srcatlas.streaming.versions import newest_versions, start_stateful_reindex
 
@@ -97,3 +98,15 @@ def test_only_changes_leave_the_state(spark):
         ("a", "changed", "y"), ("a", "expired", None), ("a", "new", "x"), ("b", "deleted", None), ("b", "new", "x"), ("c", "expired", None),
         ("c", "new", "x"), ("d", "new", "z"), ("gone", "deleted", None),
     ]
+
+
+def test_versions_are_written_by_as_many_tasks_as_they_are_read_by(spark):
+    """Four tasks wrote them, whatever their size; the number of micro-batches stays."""
+    rows = spark.range(0, 4000, 1, 24).select(F.lit("r").alias("repo"), F.col("id").cast("string").alias("path"), F.col("id").alias("version"))
+    for batches in (2, 4):
+        path, seen = new_shared_path(spark, "in"), []
+        stream = _incoming(rows, path, batches)
+        assert len([n for n in names_in(spark, path) if n.endswith(".parquet")]) == 24
+        query = stream.writeStream.foreachBatch(lambda df, n: seen.append(df.count())).option("checkpointLocation", new_shared_path(spark, "log"))
+        query.trigger(availableNow=True).start().awaitTermination()
+        assert len(seen) == batches and sum(seen) == 4000

@@ -25,15 +25,19 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from srcatlas.functions.text import stem
 from srcatlas.operators.skew import hot_keys, salted_join
-from srcatlas.session import durable
+from srcatlas.session import bounded_batches, durable
 
 # Word characters: ASCII letters, digits, underscore and everything beyond ASCII.
 _WORD = r"[A-Za-z0-9_\x{80}-\x{10FFFF}]"
+_IS_WORD = np.array([chr(c).isalnum() or c == ord("_") for c in range(128)] + [True])
 #: Longer runs are cut into windows of this many characters, overlapping by the longest stem.
 WINDOW = 256
 #: Stems are looked up by so many first characters: the largest of these that they have.
@@ -160,10 +164,34 @@ def _mixed_hits(texts: DataFrame, stems: DataFrame) -> DataFrame:
     return salted_join(per_file, found, key, ["path"], hot=hot_keys(vocabulary, key, "files")).select("repo", "base", "path")
 
 
+def pieces_of_text(text: str, anchor: str, places: list[dict]) -> list[str]:
+    """``_candidates`` of a whole text: the distinct substrings that have ``anchor`` at place ``o`` of ``n``, word characters before it."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    at = np.flatnonzero(codes == ord(anchor))
+    breaks = np.concatenate([[-1], np.flatnonzero(~_IS_WORD[np.minimum(codes, 128)])])
+    before = at - breaks[np.searchsorted(breaks, at) - 1] - 1  # word characters right before each anchor
+    found: set[str] = set()
+    for place in places:
+        starts = at[before >= place["o"]] - place["o"]
+        starts = starts[starts + place["n"] <= len(codes)]
+        if place["n"] <= 3 < len(starts):  # three code points fit a number, so repeats go before any text is made
+            keys = reduce(lambda key, k: key << 21 | codes[starts + k], range(place["n"]), np.zeros(len(starts), np.int64))
+            starts = starts[np.unique(keys, return_index=True)[1]]
+        found.update(text[s : s + place["n"]] for s in starts.tolist())
+    return list(found)
+
+
+def _pieces(texts: pa.Array, anchors: pa.Array, places: pa.Array) -> pa.Array:
+    rows = zip(texts, anchors.to_pylist(), places)
+    return pa.array([pieces_of_text(text.as_py(), anchor, spots.as_py()) for text, anchor, spots in rows], pa.list_(pa.string()))
+
+
 def _spaced_hits(texts: DataFrame, stems: DataFrame) -> DataFrame:
     """``repo, base, path`` for stems with white space."""
     marked = texts.join(_anchored(stems), "repo").where(F.contains("text", F.col("anchor")))
-    pieces = marked.select("repo", "path", F.explode(_candidates(F.col("text"))).alias("base"))
+    bounded_batches(texts.sparkSession)
+    found = F.arrow_udf(_pieces, T.ArrayType(T.StringType()))("text", "anchor", "places")
+    pieces = marked.select("repo", "path", F.explode(found).alias("base"))
     return pieces.join(stems, ["repo", "base"]).select("repo", "base", "path")
 
 

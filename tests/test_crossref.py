@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from srcatlas.operators import crossref
 from srcatlas.operators.crossref import PREFIXES, WINDOW, imported_by, prefix_filters, prefix_rows
 from srcatlas.operators.importance import importance, key_files
 
@@ -122,3 +123,28 @@ def test_prefixes_that_no_stem_has_do_not_leave_the_window(spark, monkeypatch):
     monkeypatch.setattr("srcatlas.operators.crossref.MAX_WORDS", 1)  # a full filter costs rows and loses none
     assert wanted <= {tuple(r) for r in prefix_rows(runs, anchors).collect()}
     assert {r.repo: len(r.bits) for r in prefix_filters(anchors).collect()} == {"r": 1, "q": 1, "empty": 1}
+
+
+def test_pieces_of_a_text_equal_the_candidates_of_expressions(spark):
+    """Whole texts are cut by arrays in Python, runs by expressions: both give the same pieces."""
+    rng = random.Random(8)
+    signs = ["a", "b1", "_", " ", "  ", "\n", "-", ".", "é", "漢", "😀", "\t"]
+    rows = []
+    for n in range(300):
+        places = sorted({(o, o + 1 + rng.randint(0, 4)) for o in (rng.randint(0, 3) for _ in range(rng.randint(1, 3)))})
+        rows.append((n, "".join(rng.choices(signs, k=rng.randint(0, 30))), rng.choice(" \n-."), max(e - o - 1 for o, e in places), places))
+    df = spark.createDataFrame(rows, "n int, text string, anchor string, tail int, places array<struct<o:int,n:int>>")
+    for r in df.withColumn("wanted", crossref._candidates(F.col("text"))).collect():
+        got = crossref.pieces_of_text(r.text, r.anchor, [p.asDict() for p in r.places])
+        assert sorted(got) == sorted(r.wanted)
+
+
+def test_whole_texts_go_to_python(spark):
+    """Each blank of a text cost a lambda per place and length."""
+    rows = [("r", "a b.py", "a b x-y"), ("r", "x-y.py", "a  b, x-y.z; x-y"), ("r", "i.j.py", "i.j a b\nx-y"), ("s", "k.l.py", ""), ("s", "m n.py", "k.l m\nn m n")]
+    texts = spark.createDataFrame(rows, "repo string, path string, text string")
+    got = {(r.repo, r.path): r.imported_by for r in crossref.imported_by(texts).collect()}
+    assert got == {("r", "a b.py"): 1, ("r", "x-y.py"): 2, ("r", "i.j.py"): 0, ("s", "k.l.py"): 1, ("s", "m n.py"): 0}
+    stems = spark.createDataFrame([("r", "a b")], "repo string, base string")
+    plan = crossref._spaced_hits(texts, stems)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan

@@ -205,7 +205,8 @@ def scan_report(spark: SparkSession, sf: str) -> DataFrame:
     packages = fx.view(spark, sf, fx.MANIFESTS_SQL)
     fx.write_as_files(packages, folder)
     last = packages.agg(F.max(F.regexp_extract("repo", "[0-9]+", 0).cast("int"))).first()[0]
-    roots = {f"pkg{i}": f"{folder}/pkg{i}" for i in range(last + 1)}
+    name = F.concat(F.lit("pkg"), "id")
+    roots = spark.range(last + 1).select(name.alias("repo"), F.concat(F.lit(f"{folder}/"), name).alias("root"))
     files = scan(spark, roots, names=["go.mod", "package.json", "requirements.txt"])
     return deps.deps_report(structure.chunks_of_files(files.where("_error is null")))
 

@@ -49,6 +49,8 @@ READ_TASK_BYTES = 128 << 20
 STREAM_BYTES = 1 << 20
 #: Rows of a listing that are handed over at a time.
 LISTED_AT_ONCE = 4096
+#: Roots of a table that a listing task gets on average.
+ROOTS_PER_TASK = 4096
 LISTING = "repo string, path string, location string, mtime timestamp, size bigint, _error string"
 
 
@@ -272,7 +274,7 @@ def named_roots(roots: str | list[str] | dict[str, str]) -> dict[str, str]:
     return named
 
 
-Roots = str | list[str] | dict[str, str]
+Roots = str | list[str] | dict[str, str] | DataFrame
 
 
 def _options(roots: Roots, mode: str, names: Sequence[str], tasks: int) -> dict[str, str]:
@@ -286,14 +288,48 @@ def list_code_files(
 
     ``names``: file names taken besides those with an extension of code, such as manifests.  At most ``tasks`` tasks
     list (twice the cores if not given).  Filters on ``repo``, ``path`` (equal, prefix, suffix) and ``size`` reach the
-    source: directories that they rule out are not opened.
+    source: directories that they rule out are not opened.  ``roots`` may be a table ``repo, root``, for more repositories than
+    a driver should name: it is dealt to tasks, and filters are then tested by Spark.
     """
+    if isinstance(roots, DataFrame):
+        return _list_table(roots, mode, names, tasks)
     spark.dataSource.register(CodeTreeSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     options = _options(roots, mode, names, tasks or spark.sparkContext.defaultParallelism * 2)
     return spark.read.format("codetree").options(**options).load()
 
 
+_LISTED = list(zip((c.split()[0] for c in LISTING.split(", ")), [pa.string()] * 3 + [pa.timestamp("us", tz="UTC"), pa.int64(), pa.string()]))
+
+
+def _listed(row: tuple) -> dict:
+    repo, path, location, mtime, size, error = row
+    return dict(zip((n for n, _ in _LISTED), (repo, path, location, mtime.astimezone(dt.timezone.utc) if mtime else None, size, error)))
+
+
+def _list_table(roots: DataFrame, mode: str, names: Sequence[str], tasks: int | None) -> DataFrame:
+    """The listing of a table of roots: every task walks the roots that it is dealt."""
+    walk, schema = Listing(_options({"": "/"}, mode, names, 1)), pa.schema(_LISTED)  # its own root is not walked
+
+    def open_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            for repo, root in zip(batch["repo"].to_pylist(), batch["root"].to_pylist()):
+                at = root.rstrip("/")
+                for row in walk.rows(Subtrees([(repo, at, at, True)])):
+                    held.append(_listed(row))
+                    if len(held) >= LISTED_AT_ONCE:
+                        yield pa.RecordBatch.from_pylist(held, schema=schema)
+                        held = []
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+    spark = roots.sparkSession
+    roots = durable(roots.select("repo", "root"), "roots")
+    tasks = tasks or max(spark.sparkContext.defaultParallelism * 2, roots.count() // ROOTS_PER_TASK)
+    return roots.repartition(tasks, "root").mapInArrow(open_roots, LISTING)
+
+
 def stream_code_files(spark: SparkSession, roots: Roots, names: Sequence[str] = (), tasks: int | None = None) -> DataFrame:
     """A stream of listings: every micro-batch has a row for each code file there is at that time."""
     spark.dataSource.register(CodeTreeSource)
@@ -308,29 +344,28 @@ def list_by_levels(spark: SparkSession, roots: Roots, mode: str = "PERMISSIVE",
     never on the driver.
     """
     tasks = tasks or spark.sparkContext.defaultParallelism * 2
-    walk = Listing(_options(roots, mode, names, tasks))
+    walk = Listing(_options({"": "/"} if isinstance(roots, DataFrame) else roots, mode, names, tasks))
     out = LISTING + ", folder string, root string"
-    names_of = [c.split()[0] for c in out.split(", ")]
 
     def open_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.string()] * 3 + [pa.timestamp("us", tz="UTC"), pa.int64()] + [pa.string()] * 3
-        schema, held = pa.schema(list(zip(names_of, types))), []
+        schema, held = pa.schema([*_LISTED, ("folder", pa.string()), ("root", pa.string())]), []
         for batch in batches:
             for place in batch.to_pylist():
                 for is_row, found in walk.folder(place["repo"], place["root"], place["folder"]):
                     if is_row:
-                        repo, path, location, mtime, size, error = found
-                        stamp = mtime.astimezone(dt.timezone.utc) if mtime else None
-                        held.append(dict(zip(names_of, (repo, path, location, stamp, size, error, None, None))))
+                        held.append(_listed(found))
                     else:
-                        held.append(dict(zip(names_of, (found[0], None, None, None, None, None, found[2], found[1]))))
+                        held.append({"repo": found[0], "folder": found[2], "root": found[1]})
                     if len(held) >= LISTED_AT_ONCE:
                         yield pa.RecordBatch.from_pylist(held, schema=schema)
                         held = []
         if held:
             yield pa.RecordBatch.from_pylist(held, schema=schema)
 
-    frontier, files = spark.createDataFrame([(n, r, r) for n, r in walk.roots], "repo string, root string, folder string"), None
+    if isinstance(roots, DataFrame):
+        frontier, files = roots.select("repo", F.rtrim("root", F.lit("/")).alias("root"), F.rtrim("root", F.lit("/")).alias("folder")), None
+    else:
+        frontier, files = spark.createDataFrame([(n, r, r) for n, r in walk.roots], "repo string, root string, folder string"), None
     while frontier.limit(1).count():
         level = durable(frontier.repartition(tasks).mapInArrow(open_folders, out), "level")
         frontier = level.where(F.col("folder").isNotNull()).select("repo", "root", "folder")
@@ -435,7 +470,7 @@ def scan_code_files(
 ) -> DataFrame:
     """List and read the code files below ``roots``.
 
-    ``repo`` is a root's own name, or its key in a dictionary, and ``path`` is relative to it.  ``mode``: PERMISSIVE
+    ``repo`` is a root's own name, its key in a dictionary or its ``repo`` in a table, and ``path`` is relative to it.  ``mode``: PERMISSIVE
     keeps a file that cannot be read with its error; FAILFAST ends the job.  ``names``: files taken besides code
     (``["go.mod", "package.json", "requirements.txt"]`` brings dependencies into a report).  ``where``: SQL over the listing,
     such as ``path like 'cmd/%'``, which the source tests before it opens directories.  ``by_levels``: see ``list_by_levels``.

@@ -124,3 +124,23 @@ def test_a_file_of_one_long_line_is_read_in_linear_time(spark, tmp_path):
     start = time.perf_counter()
     assert sum(map(len, code_tree._lines(str(tmp_path / "r" / "one.py")))) == 64 << 20
     assert time.perf_counter() - start < 2
+
+
+def test_roots_as_a_table(spark, tmp_path):
+    """As many repositories as a table holds, none of them named by the driver; the same rows as from a dictionary, errors included."""
+    roots = {}
+    for i in range(60):
+        roots[f"p{i}"] = f"{tmp_path}/p{i}"
+        if i % 7:
+            (tmp_path / f"p{i}" / "sub").mkdir(parents=True)
+            (tmp_path / f"p{i}" / "go.mod").write_text(f"module {i}")
+            (tmp_path / f"p{i}" / "sub" / "a.py").write_text("x = 1")
+    table = spark.createDataFrame([(n, r + "/" * (len(n) % 2)) for n, r in roots.items()], "repo string, root string")
+    wanted = sorted(map(tuple, list_code_files(spark, roots, names=["go.mod"]).collect()), key=repr)
+    assert len(wanted) == 51 * 2 + 9
+    for lists in (list_code_files, list_by_levels):
+        assert sorted(map(tuple, lists(spark, table, names=["go.mod"]).collect()), key=repr) == wanted
+    files = scan_code_files(spark, table, names=["go.mod"], where="path = 'go.mod'")
+    assert sorted(r.content for r in files.collect()) == sorted(f"module {i}" for i in range(60) if i % 7)
+    with pytest.raises(Exception, match="No such file"):
+        list_code_files(spark, table, mode="FAILFAST").collect()

@@ -14,6 +14,7 @@ import json
 import time
 from collections import deque
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +40,7 @@ from srcatlas.functions.tables import CODE_EXTENSIONS, SKIPPED_DIRS
 from srcatlas.functions.text import extension
 from srcatlas.schemas import FILES, SCANNED_FILES
 from srcatlas.session import durable
-from srcatlas.sources.fs import entries, read_blocks, read_bytes
+from srcatlas.sources.fs import entries, folders, read_blocks, read_bytes
 
 #: Files are handed over in batches of about this many characters; a larger file is its own batch.
 READ_BATCH_CHARS = 4 << 20
@@ -130,13 +131,16 @@ class Listing:
         return name not in SKIPPED_DIRS and self.asked.folder(f"{folder}/{name}"[len(root) + 1 :])
 
     def subtrees(self) -> list[Subtrees]:
-        """Open directories, upper ones first, until there are some subtrees for every task; then deal them out."""
+        """Open directories, upper ones first, until there are some subtrees for every task; then deal them out.
+
+        Only names of directories are asked for: files are left to the tasks, and a directory may hold millions.
+        """
         opened, waiting = [], deque((name, root, root) for name, root in self.roots if self.asked.repo(name))
         while waiting and len(opened) + len(waiting) < 4 * self.wanted:
             name, root, folder = waiting.popleft()
             opened.append((name, root, folder, False))
             try:
-                below = [n for n, is_dir, _, _ in entries(folder) if is_dir and self._opens(root, folder, n)]
+                below = [n for n in folders(folder) if self._opens(root, folder, n)]
             except OSError:
                 below = []  # reported by the task that lists the directory
             waiting += [(name, root, f"{folder}/{n}") for n in below]
@@ -174,6 +178,23 @@ class Listing:
         return repo, where[len(root) + 1:], where, mtime, size, error
 
 
+_LISTED = list(zip((c.split()[0] for c in LISTING.split(", ")), [pa.string()] * 3 + [pa.timestamp("us", tz="UTC"), pa.int64(), pa.string()]))
+
+
+def _listed(row: tuple) -> dict:
+    repo, path, location, mtime, size, error = row
+    return dict(zip((n for n, _ in _LISTED), (repo, path, location, mtime.astimezone(dt.timezone.utc) if mtime else None, size, error)))
+
+
+def _listed_batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of a listing as Arrow batches, column by column."""
+    schema = pa.schema(_LISTED)
+    while held := list(islice(rows, LISTED_AT_ONCE)):
+        columns = dict(zip(schema.names, zip(*held)))
+        columns["mtime"] = [m.astimezone(dt.timezone.utc) if m else None for m in columns["mtime"]]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
 class CodeTreeReader(Listing, DataSourceReader):
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """Filters on repository, path (equal, prefix, suffix) and size are tested here; directories outside them are not opened."""
@@ -199,7 +220,7 @@ class CodeTreeStreamReader(Listing, DataSourceStreamReader):
         return self.subtrees() if start != end else []
 
     def read(self, part: Subtrees):
-        return self.rows(part)
+        return _listed_batches(self.rows(part))
 
     def commit(self, end: dict) -> None:
         pass
@@ -238,24 +259,24 @@ def _read_batches(fail_fast: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codecs.register_error("srcatlas_byte", replace_byte)
         for batch in batches:
-            out, held = [], 0
-            for row in batch.to_pylist():
-                text, error = None, row["_error"]
-                if error is None:
+            given = [batch[f.name].cast(f.type) for f in schema if f.name not in ("content", "_error")]
+            errors, texts, held = batch["_error"].to_pylist(), [], 0
+            for at, location in enumerate(batch["location"].to_pylist(), 1):
+                text = None
+                if errors[at - 1] is None:
                     try:
-                        text = read_bytes(row["location"]).decode("utf-8", "srcatlas_byte")
+                        text = read_bytes(location).decode("utf-8", "srcatlas_byte")
                     except OSError as e:
                         if fail_fast:
                             raise
-                        error = f"failed to read file: {e}"
-                kept = {k: row[k] for k in ("repo", "path", "mtime", "size")}
-                out.append({**kept, "content": text, "_error": error})
+                        errors[at - 1] = f"failed to read file: {e}"
+                texts.append(text)
                 held += len(text or "")
-                if held > READ_BATCH_CHARS:
-                    yield pa.RecordBatch.from_pylist(out, schema=schema)
-                    out, held = [], 0
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
+                if held > READ_BATCH_CHARS or at == batch.num_rows:
+                    first = at - len(texts)
+                    read = [pa.array(x, pa.string()) for x in (texts, errors[first:at])]
+                    yield pa.RecordBatch.from_arrays([c.slice(first, len(texts)) for c in given] + read, schema=schema)
+                    texts, held = [], 0
 
     return rows
 
@@ -299,30 +320,14 @@ def list_code_files(
     return spark.read.format("codetree").options(**options).load()
 
 
-_LISTED = list(zip((c.split()[0] for c in LISTING.split(", ")), [pa.string()] * 3 + [pa.timestamp("us", tz="UTC"), pa.int64(), pa.string()]))
-
-
-def _listed(row: tuple) -> dict:
-    repo, path, location, mtime, size, error = row
-    return dict(zip((n for n, _ in _LISTED), (repo, path, location, mtime.astimezone(dt.timezone.utc) if mtime else None, size, error)))
-
-
 def _list_table(roots: DataFrame, mode: str, names: Sequence[str], tasks: int | None) -> DataFrame:
     """The listing of a table of roots: every task walks the roots that it is dealt."""
-    walk, schema = Listing(_options({"": "/"}, mode, names, 1)), pa.schema(_LISTED)  # its own root is not walked
+    walk = Listing(_options({"": "/"}, mode, names, 1))  # its own root is not walked
 
     def open_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for batch in batches:
-            for repo, root in zip(batch["repo"].to_pylist(), batch["root"].to_pylist()):
-                at = root.rstrip("/")
-                for row in walk.rows(Subtrees([(repo, at, at, True)])):
-                    held.append(_listed(row))
-                    if len(held) >= LISTED_AT_ONCE:
-                        yield pa.RecordBatch.from_pylist(held, schema=schema)
-                        held = []
-        if held:
-            yield pa.RecordBatch.from_pylist(held, schema=schema)
+        named = (pair for batch in batches for pair in zip(batch["repo"].to_pylist(), batch["root"].to_pylist()))
+        places = ((repo, root.rstrip("/")) for repo, root in named)
+        yield from _listed_batches(row for repo, at in places for row in walk.rows(Subtrees([(repo, at, at, True)])))
 
     spark = roots.sparkSession
     roots = durable(roots.select("repo", "root"), "roots")

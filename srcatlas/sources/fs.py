@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 from collections.abc import Iterator
+from contextlib import suppress
 
 
 def local_path(address: str) -> str | None:
@@ -49,6 +50,16 @@ def entries(folder: str) -> Iterator[tuple[str, bool, float, int]]:
             yield e.name, is_dir, info.st_mtime if info else 0.0, info.st_size if info else 0
 
 
+def folders(folder: str) -> Iterator[str]:
+    """Names of the directories in a directory; unlike ``entries`` it asks for no file's size or time."""
+    path = local_path(folder)
+    if path is None:
+        yield from (name for name, is_dir, _, _ in remote_entries(folder) if is_dir)
+        return
+    with os.scandir(path) as it:
+        yield from (e.name for e in it if e.is_dir(follow_symlinks=False))
+
+
 def remote_entries(folder: str) -> Iterator[tuple[str, bool, float, int]]:
     from pyarrow.fs import FileSelector, FileType
 
@@ -85,8 +96,12 @@ def read_blocks(location: str, size: int) -> Iterator[bytes]:
 def write_bytes(location: str, data: bytes) -> None:
     path = local_path(location)
     if path is not None:
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(path, "wb") as f:
+        try:
+            f = open(path, "wb")
+        except FileNotFoundError:  # asked for where it is missing only: most files are not the first of their directory
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            f = open(path, "wb")
+        with f:
             f.write(data)
         return
     system, path = _remote(location)
@@ -95,6 +110,19 @@ def write_bytes(location: str, data: bytes) -> None:
         f.write(data)
 
 
+def replace_bytes(location: str, data: bytes) -> None:
+    """``write_bytes`` to a new file, in place of one that may be there.
+
+    A file that is emptied and written again is sent to disk when it is closed on some file systems (ext4), and one that
+    is then removed has to wait for it: a new file is neither.
+    """
+    path = local_path(location)
+    if path is not None:
+        with suppress(FileNotFoundError):
+            os.unlink(path)
+    write_bytes(location, data)
+
+
 def remove_file(location: str) -> None:
     """Remove a file; one that is not there is no error."""
     path = local_path(location)

@@ -1,16 +1,19 @@
 """Filters that reach the source, listing by levels, and trees as a stream."""
 
 import datetime as dt
+import json
 import os
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThan, StringContains, StringEndsWith, StringStartsWith
 
+from srcatlas.registry.fixtures import remove_files, write_as_files
 from srcatlas.session import new_shared_path
-from srcatlas.sources import code_tree
-from srcatlas.sources.code_tree import CodeTreeReader, list_by_levels, list_code_files, scan_code_files
+from srcatlas.sources import code_tree, fs
+from srcatlas.sources.code_tree import CodeTreeReader, CodeTreeStreamReader, list_by_levels, list_code_files, scan_code_files
 from srcatlas.sources.index_table import IndexTable
 from srcatlas.streaming.reindex import watch_tree
 
@@ -144,3 +147,60 @@ def test_roots_as_a_table(spark, tmp_path):
     assert sorted(r.content for r in files.collect()) == sorted(f"module {i}" for i in range(60) if i % 7)
     with pytest.raises(Exception, match="No such file"):
         list_code_files(spark, table, mode="FAILFAST").collect()
+
+
+def test_a_stream_deals_directories_by_name_and_lists_in_columns(monkeypatch, trees, tmp_path):
+    """Whoever deals the subtrees asks for no file's size or time; the rows are those of a scan, errors included."""
+    os.symlink(tmp_path / "a" / "lib", tmp_path / "b" / "linked")
+    options = {"roots": json.dumps([*trees.items(), ("gone", f"{tmp_path}/gone")]), "numpartitions": "8"}
+    stream, scan = CodeTreeStreamReader(options), CodeTreeReader(options)
+    with monkeypatch.context() as m:
+        m.setattr(code_tree, "entries", lambda folder: pytest.fail(f"{folder}: files are asked for"))
+        parts = stream.partitions({"asked": 0}, {"asked": 1})
+    assert len(parts) == 8 and sum(len(p.items) for p in parts) == 2 * 8 + 1  # with lib's node_modules left out
+    monkeypatch.setattr(code_tree, "LISTED_AT_ONCE", 2)
+    batches = [b for p in parts for b in stream.read(p)]
+    assert {type(b) for b in batches} == {pa.RecordBatch} and max(b.num_rows for b in batches) == 2
+    found = [tuple(row.values()) for b in batches for row in b.to_pylist()]
+    utc = lambda row: (*row[:3], row[3] and row[3].astimezone(dt.timezone.utc), *row[4:])
+    assert sorted(found, key=repr) == sorted((utc(r) for p in scan.partitions() for r in scan.read(p)), key=repr)
+    assert len(found) == 2 * 5 * 3 + 1 and [r[5][:14] for r in found if r[3] is None] == ["failed to list"]
+    assert list(stream.read(None)) == []
+
+
+def test_a_file_that_is_written_again_is_a_new_one(spark, files, tmp_path, monkeypatch):
+    """It is not emptied, so that nothing waits for the disk; whoever reads the old one reads it to its end."""
+    write_as_files(files({"d/a.py": "first", "d/e/b.py": "b"}), str(tmp_path))
+    with open(tmp_path / "r" / "d" / "a.py") as old:
+        write_as_files(files({"d/a.py": "second"}), str(tmp_path))
+        assert old.read() == "first"
+    assert [(tmp_path / "r" / p).read_text() for p in ("d/a.py", "d/e/b.py")] == ["second", "b"]
+    remove_files(files({"d/a.py": "", "none.py": ""}), str(tmp_path))
+    assert not (tmp_path / "r" / "d" / "a.py").exists()
+    made, makedirs = [], os.makedirs
+    monkeypatch.setattr(os, "makedirs", lambda *a, **k: (made.append(a[0]), makedirs(*a, **k)))
+    for i in range(3):
+        fs.write_bytes(f"file:{tmp_path}/new/f{i}", b"x")
+    assert made == [f"{tmp_path}/new"] and sorted(os.listdir(tmp_path / "new")) == ["f0", "f1", "f2"]
+
+
+def test_files_are_read_in_parts_of_a_batch(tmp_path, monkeypatch):
+    """Rows keep their columns wherever a batch is cut, next to files that cannot be read."""
+    rows = []
+    for i in range(7):
+        (tmp_path / f"f{i}").write_bytes(b"\xff" + b"x" * i)
+        error = "failed to list: told" if i == 2 else None
+        rows.append({"repo": None if i == 1 else "r", "path": f"f{i}", "location": f"{tmp_path}/f{i}", "mtime": dt.datetime(2024, 1, 1 + i, tzinfo=dt.timezone.utc), "size": i + 1, "_error": error})
+    os.remove(tmp_path / "f4")
+    listed = pa.RecordBatch.from_pylist(rows, schema=pa.schema(code_tree._LISTED))
+    monkeypatch.setattr(code_tree, "READ_BATCH_CHARS", 4)
+    batches = list(code_tree._read_batches(False)(iter([listed, listed.slice(0, 0), listed.slice(5)])))
+    assert [b.num_rows for b in batches] == [4, 2, 1, 1, 1]
+    read = [r for b in batches for r in b.to_pylist()]
+    for row, was in zip(read, rows + rows[5:], strict=True):
+        i = int(was["path"][1:])
+        assert [row[c] for c in ("repo", "path", "mtime", "size")] == [was[c] for c in ("repo", "path", "mtime", "size")]
+        assert row["content"] == (None if i in (2, 4) else "\ufffd" + "x" * i)
+        assert (row["_error"] or "")[:22] == {2: "failed to list: told", 4: "failed to read file: ["}.get(i, "")
+    with pytest.raises(FileNotFoundError):
+        list(code_tree._read_batches(True)(iter([listed])))

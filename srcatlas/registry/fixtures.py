@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from srcatlas.session import spread
-from srcatlas.sources.fs import remove_file, replace_bytes
+from srcatlas.sources.fs import remove_file, write_bytes
 
 # Documents as files: line feeds doubled, so each line is a paragraph.
 DOCS_SQL = """
@@ -139,7 +139,7 @@ def write_as_files(files: DataFrame, folder: str) -> None:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for repo, path, content in zip(*(batch[c].to_pylist() for c in ("repo", "path", "content"))):
-                replace_bytes(f"{folder}/{repo}/{path}", content.encode())
+                write_bytes(f"{folder}/{repo}/{path}", content.encode())
             yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]}, schema=pa.schema([("n", pa.int64())]))
 
     files.select("repo", "path", "content").mapInArrow(write, "n bigint").write.format("noop").mode("overwrite").save()

@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import shutil
 from collections.abc import Iterator
-from contextlib import suppress
 
 
 def local_path(address: str) -> str | None:
@@ -93,16 +92,29 @@ def read_blocks(location: str, size: int) -> Iterator[bytes]:
             yield block
 
 
+def _open_to_write(path: str) -> int:
+    """A file as it is, or a new one."""
+    return os.open(path, os.O_WRONLY | os.O_CREAT | os.O_CLOEXEC, 0o666)
+
+
 def write_bytes(location: str, data: bytes) -> None:
+    """Write a file, with the directories above it where they are missing.
+
+    A file that is there is written over and cut to its new length: some file systems (ext4) free the place of a file that
+    is emptied, and send what is written to it to disk when it is closed.
+    """
     path = local_path(location)
     if path is not None:
         try:
-            f = open(path, "wb")
-        except FileNotFoundError:  # asked for where it is missing only: most files are not the first of their directory
+            opened = _open_to_write(path)
+        except FileNotFoundError:
             os.makedirs(os.path.dirname(path), exist_ok=True)
-            f = open(path, "wb")
-        with f:
+            opened = _open_to_write(path)
+        with open(opened, "wb") as f:
             f.write(data)
+            f.flush()
+            if os.fstat(opened).st_size > len(data) or not data:  # nothing written leaves the time of change as it is, a cut does not
+                f.truncate()
         return
     system, path = _remote(location)
     system.create_dir(path.rsplit("/", 1)[0], recursive=True)
@@ -110,19 +122,6 @@ def write_bytes(location: str, data: bytes) -> None:
         f.write(data)
 
 
-def replace_bytes(location: str, data: bytes) -> None:
-    """``write_bytes`` to a new file, in place of one that may be there.
-
-    A file that is emptied and written again is sent to disk when it is closed on some file systems (ext4), and one that
-    is then removed has to wait for it: a new file is neither.
-    """
-    path = local_path(location)
-    if path is not None:
-        with suppress(FileNotFoundError):
-            os.unlink(path)
-    write_bytes(location, data)
-
-
 def remove_file(location: str) -> None:
     """Remove a file; one that is not there is no error."""
     path = local_path(location)

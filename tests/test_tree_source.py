@@ -168,13 +168,19 @@ def test_a_stream_deals_directories_by_name_and_lists_in_columns(monkeypatch, tr
     assert list(stream.read(None)) == []
 
 
-def test_a_file_that_is_written_again_is_a_new_one(spark, files, tmp_path, monkeypatch):
-    """It is not emptied, so that nothing waits for the disk; whoever reads the old one reads it to its end."""
+def test_a_file_that_is_written_again_is_written_over(spark, files, tmp_path, monkeypatch):
+    """It is not emptied first, so that nothing waits for the disk; what is left of a longer one is cut off."""
     write_as_files(files({"d/a.py": "first", "d/e/b.py": "b"}), str(tmp_path))
-    with open(tmp_path / "r" / "d" / "a.py") as old:
-        write_as_files(files({"d/a.py": "second"}), str(tmp_path))
-        assert old.read() == "first"
+    write_as_files(files({"d/a.py": "second"}), str(tmp_path))
     assert [(tmp_path / "r" / p).read_text() for p in ("d/a.py", "d/e/b.py")] == ["second", "b"]
+    place, opened, raw = tmp_path / "over", [], os.open
+    monkeypatch.setattr(os, "open", lambda path, flags, *a, **k: (opened.append((str(path), flags & os.O_TRUNC)), raw(path, flags, *a, **k))[1])
+    for data in (b"first", b"longer", b"less", b"", b"", b"x" * 100_000, b"y"):
+        if place.exists():
+            os.utime(place, (1, 1))
+        fs.write_bytes(str(place), data)
+        assert place.read_bytes() == data and place.stat().st_mtime > 1
+    assert [o for o in opened if o[0] == str(place)] == [(str(place), 0)] * 7
     remove_files(files({"d/a.py": "", "none.py": ""}), str(tmp_path))
     assert not (tmp_path / "r" / "d" / "a.py").exists()
     made, makedirs = [], os.makedirs
